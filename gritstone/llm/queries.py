@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngramjoin, quality, urlfilter
+from . import linededup, mixing, ngramjoin, passages, quality, urlfilter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_groups(read(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     return urlfilter.judge(read(spark, sf_dir, "pages"), outcomes, URL_RULES, least=0.85)
@@ -39,9 +43,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "source", "text", F.col("_copy").alias("copy"), F.col("_key").alias("order_key"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op4_ngram_join": op4_ngram_join,
+    "op5_line_dedup": op5_line_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
+    "op10_passages": op10_passages,
 }

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of numpy work looks at; longer single texts are taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Ten white-space bytes end no word elsewhere: words are [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, bool)
