@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, ngramjoin, passages, quality, urlfilter
+from . import linededup, lm, mixing, ngramjoin, passages, quality, urlfilter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
+    return lm.score(documents, documents.where(~held_out)).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     return urlfilter.judge(read(spark, sf_dir, "pages"), outcomes, URL_RULES, least=0.85)
@@ -51,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
+    "op7_lm_score": op7_lm_score,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_passages": op10_passages,
