@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, lm, mixing, ngramjoin, passages, quality, urlfilter
+from . import linededup, lm, mixing, ngramjoin, passages, pieces, quality, urlfilter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+#: Where the public tokenizers lie, on the driver; the vocabulary travels with the tasks.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), pieces.Pieces.load(PIECE_MODEL), check=True)
+    return encoded.select("doc_id", F.size("_ids").alias("n_tokens"), F.col("_ids").alias("ids"), F.col("_exact").alias("round_trip"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_groups(read(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -55,6 +64,7 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
+    "op3_pieces": op3_pieces,
     "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op7_lm_score": op7_lm_score,
