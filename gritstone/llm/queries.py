@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, lm, mixing, ngramjoin, passages, pieces, quality, urlfilter
+from . import imatch, linededup, lm, mixing, ngramjoin, passages, pieces, quality, urlfilter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def crc_remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(crc_remainder("doc_id", 4) != 2)
     scored = quality.classify(read(spark, sf_dir, "documents"), labels, threshold=0.7)
@@ -63,6 +67,7 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_imatch": op1_imatch,
     "op2_quality": op2_quality,
     "op3_pieces": op3_pieces,
     "op4_ngram_join": op4_ngram_join,

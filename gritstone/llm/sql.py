@@ -57,4 +57,47 @@ SELECT doc_id, source, text, copy::INTEGER AS copy, md5('order 17|' || key || '|
 FROM (SELECT doc_id, source, text, key, unnest(range(0, n)) AS copy FROM counted WHERE n > 0)
 """
 
-ORACLES: dict[str, str] = {"op8_url_filter": OP8, "op9_mixing": OP9}
+OP1 = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         lead(doc_id) OVER (ORDER BY doc_id) AS after, first_value(doc_id) OVER (ORDER BY doc_id) AS start
+  FROM documents),
+edit AS (
+  SELECT b.doc_id, b.text, b.n, coalesce(b.after, b.start) AS next_id, substr(b.text, 1, b.n - b.n // 2) || substr(x.text, 1, b.n // 2) AS edited
+  FROM base b JOIN base x ON x.doc_id = coalesce(b.after, b.start)),
+texts AS (SELECT doc_id, 0 AS k, text FROM edit UNION ALL SELECT doc_id, 1, edited FROM edit),
+terms AS (
+  SELECT doc_id, k, unnest(list_distinct(list_filter(
+    regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS t
+  FROM texts),
+df AS (SELECT t, count(*) AS df FROM terms WHERE k = 0 GROUP BY t),
+lex AS (SELECT t FROM df WHERE df >= greatest(1, 0.001::DOUBLE * (SELECT count(*) FROM documents)) AND df <= greatest(1, 0.05::DOUBLE * (SELECT count(*) FROM documents))),
+kept AS (
+  SELECT doc_id, k, t, substr(md5(t), 1, 1) AS a, substr(md5(t), 2, 1) || translate(substr(md5(t), 3, 1), '0123456789abcdef', '0123012301230123') AS b, substr(md5(t), 4, 2) AS c
+  FROM terms JOIN lex USING (t)),
+whole AS (SELECT doc_id, k, substr(md5(string_agg(t, ' ' ORDER BY t)), 1, 16) AS h FROM kept GROUP BY ALL),
+all_terms AS (SELECT doc_id, k, substr(md5(string_agg(t, ' ' ORDER BY t)), 1, 16) AS h FROM terms GROUP BY ALL),
+parts AS (
+  SELECT doc_id, k, 'a' || a AS name, substr(md5(string_agg(t, ' ' ORDER BY t)), 1, 4) AS h FROM kept GROUP BY ALL
+  UNION ALL SELECT doc_id, k, 'b' || b, substr(md5(string_agg(t, ' ' ORDER BY t)), 1, 4) FROM kept GROUP BY doc_id, k, b
+  UNION ALL SELECT doc_id, k, 'c' || c, substr(md5(string_agg(t, ' ' ORDER BY t)), 1, 4) FROM kept GROUP BY doc_id, k, c),
+names AS (
+  SELECT row_number() OVER () AS pos, name FROM (
+    SELECT unnest(list_concat(
+      [ 'a' || printf('%x', x) for x in range(0, 16) ], [ 'b' || printf('%x', x) || '0' for x in range(0, 16) ], [ 'c' || printf('%02x', x) for x in range(0, 256, 8) ])) AS name)),
+grid AS (
+  SELECT x.doc_id, x.k, list(coalesce(p.h, '') ORDER BY n.pos) AS hs
+  FROM texts x CROSS JOIN names n LEFT JOIN parts p ON p.doc_id = x.doc_id AND p.k = x.k AND p.name = n.name GROUP BY ALL),
+prints AS (
+  SELECT g.doc_id, g.k, list_concat([coalesce(w.h, z.h, substr(md5(''), 1, 16))], hs) AS f
+  FROM grid g LEFT JOIN whole w ON w.doc_id = g.doc_id AND w.k = g.k LEFT JOIN all_terms z ON z.doc_id = g.doc_id AND z.k = g.k),
+pairs AS (
+  SELECT e.doc_id, e.n, e.edited, o.f AS f, d.f AS g, x.f AS h
+  FROM edit e JOIN prints o ON o.doc_id = e.doc_id AND o.k = 0 JOIN prints d ON d.doc_id = e.doc_id AND d.k = 1 JOIN prints x ON x.doc_id = e.next_id AND x.k = 0)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(f, '.') AS fingerprint, array_to_string(g, '.') AS edited_fingerprint,
+  len(list_filter(list_zip(f, g), lambda p: p[1] = p[2] AND p[1] <> ''))::DOUBLE / len(list_filter(list_zip(f, g), lambda p: p[1] <> '' OR p[2] <> '')) AS near_edited,
+  len(list_filter(list_zip(f, h), lambda p: p[1] = p[2] AND p[1] <> ''))::DOUBLE / len(list_filter(list_zip(f, h), lambda p: p[1] <> '' OR p[2] <> '')) AS near_next
+FROM pairs
+"""
+
+ORACLES: dict[str, str] = {"op1_imatch": OP1, "op8_url_filter": OP8, "op9_mixing": OP9}
