@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, linededup, lm, mixing, ngramjoin, passages, pieces, quality, urlfilter
+from . import ann, imatch, linededup, lm, mixing, ngramjoin, passages, pieces, quality, urlfilter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op3_pieces": op3_pieces,
     "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ann": op6_ann,
     "op7_lm_score": op7_lm_score,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
