@@ -4,7 +4,8 @@ A document is the set of its distinct word shingles, each a 64-bit hash. Documen
 the set. In a fixed order of shingles, rare before frequent, a node of n shingles that must share at least a = ceil(t n) with any partner shares
 at least l tokens between its prefix of n - a + l and the partner's. Each node picks its own l: more prefix tokens
 cost more rows, but where its tokens are frequent a pair must then share more of them before it is verified. A pair is
-verified when it shares the smaller of its two l, which loses no pair, as the longer prefix holds the shorter.
+verified when it shares the smaller of its two l, which loses no pair, as the longer prefix holds the shorter. What two nodes share outside both
+prefixes lies in the rest of the one whose prefix ends first; so a pair that must share o shingles must share o less the larger rest within the prefixes.
 """
 
 from __future__ import annotations
@@ -123,6 +124,35 @@ def _held_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return save(held.join(wanted, ["rep", "node"], "left_semi").dropDuplicates(["rep", "node"]).select("node", "shingles"), "sets")
 
 
+def _enough(a: str, b: str, percent: int) -> str:
+    """Whether a pair may be linked that shares `shared` of its prefix tokens."""
+    rest = "((%d * n_%s + 99) div 100 - l_%s)"
+    need = f"(({percent} * (n_{a} + n_{b}) + {99 + percent}) div {100 + percent})"
+    return f"shared >= least(l_{a}, l_{b}) and shared >= {need} - greatest({rest % (percent, a, a)}, {rest % (percent, b, b)})"
+
+
+def _fits(a: str, b: str, percent: int) -> str:
+    return f"least(n_{a}, n_{b}) * 100 >= greatest(n_{a}, n_{b}) * {percent}"
+
+
+def _star(postings: DataFrame, percent: int) -> DataFrame:
+    """a, b: each node with the one it shares most of those tokens with whose most central holder is that one. A guess at what falls together; nothing rests on it."""
+    top = F.max(F.struct("central", "node", "n", "l", "component")).over(Window.partitionBy("token")).alias("top")
+    rows = postings.select(F.col("node").alias("node_a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("component").alias("component_a"), top)
+    rows = rows.select("node_a", "n_a", "l_a", "component_a", *[F.col(f"top.{c}").alias(f"{c}_b") for c in ("node", "n", "l", "component")])
+    pairs = rows.where("node_a <> node_b and component_a <> component_b").where(_fits("a", "b", percent)).groupBy("node_a", "n_a", "l_a", "node_b", "n_b", "l_b").agg(F.count(F.lit(1)).alias("shared")).where(_enough("a", "b", percent))
+    best = F.row_number().over(Window.partitionBy("node_a").orderBy(F.desc("shared"), "node_b"))
+    return pairs.withColumn("best", best).where("best = 1").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """a, b: every pair of nodes of different components that may be linked."""
+    x, y = (postings.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "l", "component")]) for s in "ab")
+    pairs = x.join(y, "token").where("node_a < node_b and component_a <> component_b").where(_fits("a", "b", percent))
+    pairs = pairs.groupBy("node_a", "n_a", "l_a", "node_b", "n_b", "l_b").agg(F.count(F.lit(1)).alias("shared")).where(_enough("a", "b", percent))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b and linked for each pair."""
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -161,37 +191,24 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     postings = _postings(known, size, percent, _excess(survey))
     postings = postings.withColumn("low", F.min("node").over(token)).withColumn("high", F.max("node").over(token)).where("low <> high").drop("low", "high")
     postings = save(postings.select("token", "node", F.shiftright("meta", 32).cast("int").alias("n"), F.expr("cast((meta >> 8) & 16777215 as int)").alias("central"), F.expr("cast(meta & 255 as int)").alias("l")), "postings")
-    wanted = save(postings.select("node").distinct().join(reps, "node"), "wanted")
-    sets = _held_sets(known, wanted, size)
+    nodes = save(postings.select("node").distinct().join(reps, "node"), "nodes")
     same = rows.where("n_shingles > 0 and doc_id is not null").join(reps, "node").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    copies = save(same.distinct(), "copies")  # a doc_id with two texts links their nodes
+    links = save(same.distinct(), "copies")  # a doc_id with two texts links their nodes
+    groups = components(links)
 
-    links, tested, labels = None, None, wanted.withColumn("component", F.col("rep"))
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    tested = None
     for k in range(STAR_ROUNDS + 1):
-        open_ = postings.join(labels.select("node", "component"), "node")
-        open_ = open_.withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token)).where("low <> high").drop("low", "high")
-        if k < STAR_ROUNDS:
-            top = F.max(F.struct("central", "node", "n", "component")).over(token).alias("top")
-            star = open_.select("node", "n", "component", top).where(F.col("node") != F.col("top.node")).where(F.col("component") != F.col("top.component")).where(fits(F.col("n"), F.col("top.n")))
-            star = star.groupBy("node", F.col("top.node").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
-            best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "other"))
-            pairs = star.withColumn("r", best).where("r = 1").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        else:
-            open_ = save(open_, "open")
-            x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "l", "component")]) for s in "xy")
-            pairs = x.join(y, "token").where(F.col("node_x") < F.col("node_y")).where(F.col("component_x") != F.col("component_y")).where(fits(F.col("n_x"), F.col("n_y")))
-            pairs = pairs.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l_x", "l_y")).alias("l")).where("shared >= l").select("a", "b")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = _verified(pairs, sets, percent)
+        labels = nodes.join(groups, nodes.rep == groups.id, "left").select("node", F.coalesce("component", "rep").alias("component"))
+        open_ = postings.join(labels, "node").withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token)).where("low <> high").drop("low", "high")
+        pairs = _star(open_, percent) if k < STAR_ROUNDS else _all_pairs(save(open_, "open"), percent)
+        pairs = save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
+        found = _verified(pairs, _held_sets(known, save(wanted, "wanted"), size), percent)
         tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
-        rep = reps if wanted is None else wanted
-        fresh = found.where("linked").join(rep.select(F.col("node").alias("a"), F.col("rep").alias("u")), "a").join(rep.select(F.col("node").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
-        links = fresh if links is None else links.unionByName(fresh)
-        if k == 0:
-            links = links.unionByName(copies)
+        fresh = found.where("linked").join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select("u", "v")
+        links = save(links.unionByName(fresh), "links")
         groups = components(links)
-        labels = wanted.join(groups, wanted.rep == groups.id, "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
     groups = groups.select(F.col("id").alias("doc_id"), "component")
     return rows.join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
