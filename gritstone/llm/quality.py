@@ -181,3 +181,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(np.full(len(p), model.mean is not None))], ["doc_id", "score", "predicted", "learned"])
 
     return stats.mapInArrow(score, "doc_id bigint, score double, predicted int, learned boolean")
+
+
+def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all columns, that score at least threshold; all of them where nothing could be learned. Texts are read twice and never shuffled."""
+    model = fit(save(with_statistics(docs), "quality"), labels)
+    if model.mean is None:
+        return docs
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x, words = statistics(batch.column("text"))
+            yield batch.filter(pa.array(model.score(drawn(x, words, model.centre)) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
