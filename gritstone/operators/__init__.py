@@ -1 +1 @@
-"""Operators of the engine."""
+"""Filters, reads, trace order, detectors, correlation and incidents, as functions from DataFrame to DataFrame. `now` is always an argument."""
