@@ -8,8 +8,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import correlate, detect, filters, incidents, reads, trace
 from ..schema import FAILED
+from ..sources import alerts, intake
 from .views import seeds, signals, wide_events
 
 NOW = datetime(2024, 1, 29)
@@ -329,3 +331,37 @@ def naive_rollup(spark, sf_dir):
     rows = w.where(filters.rollup_filter(statuses=FAILED))
     per = rows.select("trace_id", F.col("error_code").alias("code")).distinct().join(w.select("trace_id", "service"), "trace_id").groupBy("code").agg(F.count_distinct("service").alias("services"))
     return rows.groupBy(F.col("error_code").alias("code")).agg(F.count(F.lit(1)).alias("events")).join(per, "code").withColumn("naive", F.col("events") * F.col("services"))
+
+
+@query
+def validate_reasons(spark, sf_dir):
+    """Each event as a JSON line, some broken, of an old version or without a service, and why it is refused."""
+    w = wide_events(spark, sf_dir)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    body = F.to_json(F.struct(
+        F.when(F.col("k") % 13 == 0, "1.1").otherwise("2.0").alias("schema_version"), F.col("event_id").cast("string").alias("event_id"), stamp("ts_start").alias("ts_start"), stamp("ts_end").alias("ts_end"), F.lit("http").alias("kind"),
+        F.when(F.col("k") % 17 != 0, F.col("service")).alias("service"), "env", F.md5("trace_id").alias("trace_id"), "status", F.when(filters.failed(), F.struct("step", "error_code")).alias("anchor"),
+    ))
+    lines = w.select("event_id", F.when(F.col("k") % 11 == 0, F.substring(body, 2, 40)).otherwise(body).alias("value"))
+    return intake.parse(lines).select("event_id", "reason")
+
+
+@query
+def span_event_ids(spark, sf_dir):
+    w = wide_events(spark, sf_dir)
+    return w.select("event_id", text.event_uuid(F.col("trace_id"), F.col("event_id").cast("string")).alias("uuid"))
+
+
+@query
+def alert_normalize(spark, sf_dir):
+    """The error events as alerts of four providers."""
+    w = wide_events(spark, sf_dir).where(filters.failed())
+    common = F.struct(F.lit("graf").alias("grafana_folder"), "service", "env", "error_code", F.lit("high").alias("severity"))
+    plain = F.struct("service", "env", "error_code", F.lit("info").alias("severity"), F.lit("Alert").alias("alertname"))
+    body = (
+        F.when(F.col("k") % 4 == 0, F.to_json(F.struct(F.lit("bench").alias("source"), "service", "env", F.lit("why").alias("reason"), "error_code")))
+        .when(F.col("k") % 4 == 1, F.to_json(F.struct(F.lit("r").alias("receiver"), F.array(F.struct(plain.alias("labels"))).alias("alerts"))))
+        .when(F.col("k") % 4 == 2, F.to_json(F.struct(F.lit("t").alias("title"), F.array(F.struct(common.alias("labels"))).alias("alerts"))))
+        .otherwise(F.to_json(F.struct(F.struct("service", "error_code", F.lit("late").alias("title")).alias("incident"), F.lit("e").alias("event"))))
+    )
+    return alerts.normalize(w.select("event_id", body.alias("body")), NOW).select("event_id", "provider", "service", "severity", "reason", "error")

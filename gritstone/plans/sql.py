@@ -192,4 +192,7 @@ SELECT event_id, trace_id, status FROM w JOIN h USING (trace_id) WHERE failed OR
     "signal_query": W + "SELECT signal_id, type, severity, at_ AS timestamp FROM sig WHERE service = 'svc_1' AND type IN ('alert', 'runtime') ORDER BY at_ DESC, signal_id DESC LIMIT 200",
     "deploy_list": W + "SELECT id, service, first_seen FROM dep WHERE first_seen BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-25'",
     "naive_rollup": W + ", p AS (SELECT code, count(DISTINCT w.service) AS services FROM (SELECT DISTINCT trace_id, error_code AS code FROM w WHERE failed) h JOIN w USING (trace_id) GROUP BY code), e AS (SELECT error_code AS code, count(*) AS events FROM w WHERE failed GROUP BY 1) SELECT code, events, services, events * services AS naive FROM e JOIN p USING (code)",
+    "validate_reasons": W + "SELECT event_id, CASE WHEN k % 11 = 0 THEN 'invalid_json' WHEN k % 13 = 0 THEN 'bridge_not_implemented' WHEN k % 17 = 0 THEN 'schema_validation_failed' END AS reason FROM w",
+    "span_event_ids": W + ", h AS (SELECT event_id, sha256(trace_id || ':' || event_id) AS h FROM w) SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM h",
+    "alert_normalize": W + "SELECT event_id, CASE k % 4 WHEN 0 THEN 'native' WHEN 1 THEN 'alertmanager' WHEN 2 THEN 'grafana' ELSE 'pagerduty' END AS provider, service, CASE k % 4 WHEN 1 THEN 'info' WHEN 2 THEN 'critical' ELSE 'warning' END AS severity, CASE k % 4 WHEN 0 THEN 'why' WHEN 1 THEN 'Alert' WHEN 2 THEN 't' ELSE 'late' END AS reason, CASE WHEN k % 4 = 3 THEN 'missing_fields' END AS error FROM w WHERE failed",
 }
