@@ -4,8 +4,10 @@ A document is the set of its distinct word shingles, each a 64-bit hash. Documen
 the set. In a fixed order of shingles, rare before frequent, a node of n shingles that must share at least a = ceil(t n) with any partner shares
 at least l tokens between its prefix of n - a + l and the partner's. Each node picks its own l: more prefix tokens
 cost more rows, but where its tokens are frequent a pair must then share more of them before it is verified. A pair is
-verified when it shares the smaller of its two l, which loses no pair, as the longer prefix holds the shorter. What two nodes share outside both
-prefixes lies in the rest of the one whose prefix ends first; so a pair that must share o shingles must share o less the larger rest within the prefixes.
+verified when it shares the smaller of its two l, which loses no pair, as the longer prefix holds the shorter. Three facts of a pair that must share o
+shingles cut down what is looked at. The smaller of the two needs only a prefix of n - ceil(2 t n / (1 + t)) + l, as o is at least that ceiling. A shared token at places i
+and j leaves at most min(i, j) before it and the shorter rest after it. What the two share outside both prefixes lies in the rest of the
+one whose prefix ends first, so they share o less the larger rest within the prefixes.
 """
 
 from __future__ import annotations
@@ -71,17 +73,20 @@ def _excess(survey: DataFrame) -> np.ndarray:
 
 
 def choose_prefix(excess: np.ndarray, percent: int) -> tuple[int, int]:
-    """(length, l) of least estimated cost. excess: the estimated number of other holders of each token, in prefix order. At most sum/l documents share l tokens or more."""
+    """(length, l) of least estimated cost. excess: the estimated number of other holders of each token, in prefix order.
+
+    Each holder of a token of the shorter prefix costs a row, and at most a share 1/l of these rows are documents that share l tokens, to be verified.
+    """
     n = len(excess)
-    must = -(-percent * n // 100)
+    must, must_small = -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
     total = np.concatenate([[0.0], np.cumsum(excess)])
-    cost = {m: (n - must + m) + VERIFY_COST * total[n - must + m] / m for m in CHOICES if m <= must}
+    cost = {m: (n - must + m) + (1 + VERIFY_COST / m) * total[n - must_small + m] for m in CHOICES if m <= must}
     best = min(cost, key=cost.get)
     return n - must + best, best
 
 
 def _postings(docs: DataFrame, size: int, percent: int, excess: np.ndarray) -> DataFrame:
-    """token, node, n, central and l for each prefix token of each node; a task gives a node once, however many copies it sees."""
+    """token, node and, in meta, n, place, centrality and l for each prefix token of each node; a task gives a node once, however many copies it sees."""
     levels = np.ceil(np.log2(excess + 1)).astype(np.uint64)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +107,9 @@ def _postings(docs: DataFrame, size: int, percent: int, excess: np.ndarray) -> D
                 tokens.append(x[:length])
                 lengths.append(length)
                 names.append(node)
-                meta.append((len(x) << 32) | (min(int(level.mean() * 1000), 0xFFFFFF) << 8) | m)
+                meta.append(np.arange(length, dtype=np.int64) << 16 | (len(x) << 40 | min(int(level.mean() * 200), 0xFFF) << 4 | m))
             every = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([signed(every), signed(np.repeat(np.array(names, np.uint64), lengths)), pa.array(np.repeat(np.array(meta, np.int64), lengths))], ["token", "node", "meta"])
+            yield pa.RecordBatch.from_arrays([signed(every), signed(np.repeat(np.array(names, np.uint64), lengths)), pa.array(np.concatenate(meta) if meta else np.zeros(0, np.int64))], ["token", "node", "meta"])
 
     return docs.mapInArrow(emit, "token bigint, node bigint, meta bigint")
 
@@ -124,32 +129,45 @@ def _held_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return save(held.join(wanted, ["rep", "node"], "left_semi").dropDuplicates(["rep", "node"]).select("node", "shingles"), "sets")
 
 
-def _enough(a: str, b: str, percent: int) -> str:
-    """Whether a pair may be linked that shares `shared` of its prefix tokens."""
-    rest = "((%d * n_%s + 99) div 100 - l_%s)"
-    need = f"(({percent} * (n_{a} + n_{b}) + {99 + percent}) div {100 + percent})"
-    return f"shared >= least(l_{a}, l_{b}) and shared >= {need} - greatest({rest % (percent, a, a)}, {rest % (percent, b, b)})"
+def _ceiling(n: str, over: str, percent: int) -> str:
+    """The least number of shingles that a node must share with a larger partner (over 'small') or any."""
+    return f"(({2 * percent} * {n} + {99 + percent}) div {100 + percent})" if over == "small" else f"(({percent} * {n} + 99) div 100)"
+
+
+def _need(percent: int) -> str:
+    return f"(({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent})"
 
 
-def _fits(a: str, b: str, percent: int) -> str:
-    return f"least(n_{a}, n_{b}) * 100 >= greatest(n_{a}, n_{b}) * {percent}"
+def _may_link(percent: int) -> str:
+    """Whether the rows of two nodes, a and b, for one token may be part of a link."""
+    sizes = f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}"
+    small = lambda x: f"pos_{x} < n_{x} - {_ceiling(f'n_{x}', 'small', percent)} + l_{x}"
+    places = f"least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {_need(percent)}"
+    return f"{sizes} and (n_a > n_b or {small('a')}) and (n_b > n_a or {small('b')}) and {places}"
+
+
+def _enough(percent: int) -> str:
+    """Whether a pair may be linked that shares `shared` of its prefix tokens."""
+    rest = lambda x, y: f"if(n_{x} <= n_{y}, {_ceiling(f'n_{x}', 'small', percent)}, {_ceiling(f'n_{x}', 'any', percent)}) - l_{x}"
+    return f"shared >= least(l_a, l_b) and shared >= {_need(percent)} - greatest({rest('a', 'b')}, {rest('b', 'a')})"
 
 
 def _star(postings: DataFrame, percent: int) -> DataFrame:
     """a, b: each node with the one it shares most of those tokens with whose most central holder is that one. A guess at what falls together; nothing rests on it."""
-    top = F.max(F.struct("central", "node", "n", "l", "component")).over(Window.partitionBy("token")).alias("top")
-    rows = postings.select(F.col("node").alias("node_a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("component").alias("component_a"), top)
-    rows = rows.select("node_a", "n_a", "l_a", "component_a", *[F.col(f"top.{c}").alias(f"{c}_b") for c in ("node", "n", "l", "component")])
-    pairs = rows.where("node_a <> node_b and component_a <> component_b").where(_fits("a", "b", percent)).groupBy("node_a", "n_a", "l_a", "node_b", "n_b", "l_b").agg(F.count(F.lit(1)).alias("shared")).where(_enough("a", "b", percent))
+    fields = ("node", "n", "pos", "l", "component")
+    top = F.max(F.struct("central", *fields)).over(Window.partitionBy("token")).alias("top")
+    rows = postings.select(*[F.col(c).alias(f"{c}_a") for c in fields], top)
+    rows = rows.select(*[f"{c}_a" for c in fields], *[F.col(f"top.{c}").alias(f"{c}_b") for c in fields])
+    pairs = rows.where("node_a <> node_b and component_a <> component_b").where(_may_link(percent)).groupBy("node_a", "n_a", "l_a", "node_b", "n_b", "l_b").agg(F.count(F.lit(1)).alias("shared")).where(_enough(percent))
     best = F.row_number().over(Window.partitionBy("node_a").orderBy(F.desc("shared"), "node_b"))
     return pairs.withColumn("best", best).where("best = 1").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """a, b: every pair of nodes of different components that may be linked."""
-    x, y = (postings.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "l", "component")]) for s in "ab")
-    pairs = x.join(y, "token").where("node_a < node_b and component_a <> component_b").where(_fits("a", "b", percent))
-    pairs = pairs.groupBy("node_a", "n_a", "l_a", "node_b", "n_b", "l_b").agg(F.count(F.lit(1)).alias("shared")).where(_enough("a", "b", percent))
+    x, y = (postings.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "l", "component")]) for s in "ab")
+    pairs = x.join(y, "token").where("node_a < node_b and component_a <> component_b").where(_may_link(percent))
+    pairs = pairs.groupBy("node_a", "n_a", "l_a", "node_b", "n_b", "l_b").agg(F.count(F.lit(1)).alias("shared")).where(_enough(percent))
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
@@ -190,7 +208,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     token = Window.partitionBy("token")
     postings = _postings(known, size, percent, _excess(survey))
     postings = postings.withColumn("low", F.min("node").over(token)).withColumn("high", F.max("node").over(token)).where("low <> high").drop("low", "high")
-    postings = save(postings.select("token", "node", F.shiftright("meta", 32).cast("int").alias("n"), F.expr("cast((meta >> 8) & 16777215 as int)").alias("central"), F.expr("cast(meta & 255 as int)").alias("l")), "postings")
+    postings = save(postings.select("token", "node", *[F.expr(f"cast((meta >> {at}) & {mask} as int)").alias(c) for c, at, mask in (("n", 40, 0x7FFFFF), ("pos", 16, 0xFFFFFF), ("central", 4, 0xFFF), ("l", 0, 0xF))]), "postings")
     nodes = save(postings.select("node").distinct().join(reps, "node"), "nodes")
     same = rows.where("n_shingles > 0 and doc_id is not null").join(reps, "node").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     links = save(same.distinct(), "copies")  # a doc_id with two texts links their nodes
@@ -212,3 +230,14 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         groups = components(links)
     groups = groups.select(F.col("id").alias("doc_id"), "component")
     return rows.join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all columns, whose doc_id is the least of their group; of repeated rows with that doc_id, the one whose text has the least xxhash64. Texts without words and rows with a null doc_id all stay."""
+    groups = jaccard_groups(docs, size, percent)
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs.doc_id.cast("bigint") == gone["_gone"], "left_anti")
+    names = docs.columns
+    wordless = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$") | F.col("doc_id").isNull()
+    again = F.lag(F.lit(1)).over(Window.partitionBy("doc_id", wordless).orderBy(F.xxhash64("text")))
+    return left.withColumn("_again", again).where(F.col("_again").isNull() | wordless).select(*names)
