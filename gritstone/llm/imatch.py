@@ -14,10 +14,8 @@ from .shared import save
 
 #: A term is kept that at least and at most this share of the documents holds. The lower share bounds the lexicon: it has at most 1/share times the mean number of distinct words of a document.
 BAND = (0.001, 0.05)
-#: The lexicon travels with the tasks while it has at most so many terms (8 bytes each); beyond it, terms are joined.
+#: The lexicon is broadcast while it has at most so many terms (8 bytes each); beyond it, terms are shuffled to it.
 TRAVELS = 1 << 20
-#: Slots in which the travelling lexicon is looked up.
-SLOTS = 1 << 16
 #: Random subsets, dealt by digits of a term's md5: all 16 of a sixteenth each, 16 of a sixty-fourth, 32 of a 256th.
 SIXTEENTHS = [f"{k:x}" for k in range(16)]
 SIXTY_FOURTHS = [f"{k:x}0" for k in range(16)]
@@ -37,49 +35,35 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     return save(counts.where((F.col("df") >= max(1.0, band[0] * n)) & (F.col("df") <= max(1.0, band[1] * n))).select("h"), "lexicon")
 
 
-def travelling(words: DataFrame) -> Column:
-    """The lexicon as a scalar: an array of SLOTS arrays of hashes."""
-    slots = words.sparkSession.range(SLOTS).select(F.col("id").alias("slot"))
-    held = words.groupBy(F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.collect_list("h").alias("hs"))
-    rows = slots.join(held, "slot", "left").select(F.struct("slot", F.coalesce("hs", F.array().cast("array<bigint>")).alias("hs")).alias("s"))
-    table = save(rows.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["hs"]).alias("table")), "travelling")
-    return table.scalar()
-
-
 def signatures(kept: Column, every: Column) -> Column:
-    """Hashes of the sorted kept terms (if none, of all terms), and of those in each subset; '' where a subset has none."""
+    """Hashes of the sorted kept terms (where there are none, of all terms), and of those in each subset; '' where a subset has none."""
     rows = F.transform(F.array_sort(kept), lambda t: F.struct(t.alias("t"), F.md5(t).alias("d")))
     rows = F.transform(rows, lambda r: F.struct(r["t"].alias("t"), F.substring(r["d"], 1, 1).alias("a"), F.concat(F.substring(r["d"], 2, 1), F.translate(F.substring(r["d"], 3, 1), "0123456789abcdef", "0123012301230123")).alias("b"), F.substring(r["d"], 4, 2).alias("c")))
+    whole = F.array_join(F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.array_sort(kept)).otherwise(F.array_sort(every)), " ")
 
     def part(field: str, names: list[str]) -> Column:
         def one(name):
-            joined = F.array_join(F.transform(F.filter(rows_, lambda r: r[field] == name), lambda r: r["t"]), " ")
+            joined = F.array_join(F.transform(F.filter("_rows", lambda r: r[field] == name), lambda r: r["t"]), " ")
             return F.when(joined == "", "").otherwise(F.substring(F.md5(joined), 1, 4))
 
-        rows_ = F.col("_rows")
         return F.transform(F.array(*[F.lit(n) for n in names]), one)
 
-    return rows, F.concat(
-        F.array(F.substring(F.md5(F.array_join(F.when(F.size("_rows") > 0, F.transform("_rows", lambda r: r["t"])).otherwise(F.array_sort(every)), " ")), 1, 16)),
-        part("a", SIXTEENTHS),
-        part("b", SIXTY_FOURTHS),
-        part("c", PARTS_256),
-    )
-
-
-def fingerprints(docs: DataFrame, text: str, words: DataFrame, table: Column | None, to: str) -> DataFrame:
-    """Adds `to`, the array of signatures of the text. table: travelling(words), or None where the lexicon is too large to travel: terms are then joined with it, grouped by the columns of docs."""
-    if table is not None:
-        rows = docs.withColumn("_terms", terms(F.col(text))).withColumn("_table", table)
-        kept = F.filter("_terms", lambda t: F.array_contains(F.get("_table", F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int")), F.xxhash64(t)))
-    else:
-        rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_terms", terms(F.col(text)))
-        rows = save(rows, "terms")
-        held = rows.select("_row", F.explode("_terms").alias("_t")).withColumn("h", F.xxhash64("_t")).join(words, "h", "left_semi").groupBy("_row").agg(F.collect_list("_t").alias("_kept"))
-        rows = rows.join(held, "_row", "left")
-        kept = F.coalesce("_kept", F.array().cast("array<string>"))
-    sorted_rows, signed = signatures(kept, F.col("_terms"))
-    return rows.withColumn("_rows", sorted_rows).withColumn(to, signed).select(*docs.columns, to)
+    none = F.array().cast("array<struct<t:string,a:string,b:string,c:string>>")
+    return F.coalesce(rows, none), F.concat(F.array(F.substring(F.md5(whole), 1, 16)), part("a", SIXTEENTHS), part("b", SIXTY_FOURTHS), part("c", PARTS_256))
+
+
+def fingerprints(docs: DataFrame, keys: list[str], text: str, words: DataFrame, to: str, within: str | None = None) -> DataFrame:
+    """The columns of docs and `to`, the array of signatures of the text. keys, and within, name a text; none is null.
+
+    Terms are joined with the lexicon and gathered again by keys; where docs are dealt by these keys, that shuffles nothing.
+    """
+    term = F.col("_t") if within is None else F.struct(F.col(within).alias("w"), "_t")
+    held = docs.select(*keys, *[within] * (within is not None), F.explode(terms(F.col(text))).alias("_t")).withColumn("h", F.xxhash64("_t"))
+    kept = held.join(words, "h", "left_semi").groupBy(*keys).agg(F.collect_set(term).alias("_kept"))
+    rows = docs.join(kept, keys, "left")
+    own = F.col("_kept") if within is None else F.transform(F.filter("_kept", lambda k: k["w"] == F.col(within)), lambda k: k["_t"])
+    sorted_rows, signed = signatures(F.col("_own"), terms(F.col(text)))
+    return rows.withColumn("_own", own).withColumn("_rows", sorted_rows).withColumn(to, signed).select(*docs.columns, to)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -111,32 +95,33 @@ def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Data
     """
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = lexicon(base, band)
-    table = travelling(words) if words.count() <= TRAVELS else None
+    if words.count() <= TRAVELS:
+        words = F.broadcast(words)
+    key = ["doc_id", "version"]
     rows = base.where("doc_id is not null").withColumn("version", F.xxhash64("text"))
-
-    own = save(fingerprints(rows, "text", words, table, "fingerprint").select("doc_id", "version", "fingerprint"), "fingerprints").dropDuplicates(["doc_id", "version"])
-    first = own.groupBy("doc_id").agg(F.min("version").alias("next_version"))
+    versions = save(rows.select(*key).distinct(), "versions")
+    first = versions.groupBy("doc_id").agg(F.min("version").alias("next_version"))
     follows = next_ids(first.select("doc_id")).join(first.withColumnRenamed("doc_id", "next_id"), "next_id")
-    keys = save(own.select("doc_id", "version").join(follows, "doc_id"), "keys")
-
-    again = F.lag(F.lit(1)).over(Window.partitionBy("doc_id", "version").orderBy("doc_id"))
-    after = rows.withColumn("again", again).where("again is null").select(F.col("doc_id").alias("next_id"), F.col("version").alias("next_version"), F.col("text").alias("next_text"))
+    follows = save(versions.join(follows, "doc_id"), "follows")
+
+    # Texts are dealt by key once, for all that follows; then each one's head goes to the document after it.
+    dealt = rows.repartition(*key)
+    again = F.lag(F.lit(1)).over(Window.partitionBy(*key).orderBy("doc_id"))
+    single = dealt.withColumn("again", again).where("again is null").drop("again")
+    own = fingerprints(single, key, "text", words, "fingerprint").drop("text")
+    after = single.select(F.col("doc_id").alias("next_id"), F.col("version").alias("next_version"), F.col("text").alias("next_text"))
     n = F.char_length("text")
-    head = rows.join(keys, ["doc_id", "version"]).select("doc_id", "version", "next_id", "next_version", n.alias("n_chars"), F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")).alias("head"))
-    edited = _edited(head.join(after, ["next_id", "next_version"]), words, table)
-
-    next_own = own.select(F.col("doc_id").alias("next_id"), F.col("version").alias("next_version"), F.col("fingerprint").alias("next_fingerprint"))
-    out = edited.join(own, ["doc_id", "version"]).join(next_own, ["next_id", "next_version"])
-    outside = base.where("doc_id is null")
-    outside = _edited(outside.select("doc_id", F.char_length("text").alias("n_chars"), "text", F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")).alias("head"), F.lit("").alias("next_text")), words, table)
-    outside = fingerprints(fingerprints(outside, "text", words, table, "fingerprint").withColumn("empty", F.lit("")), "empty", words, table, "next_fingerprint")
-    return _result(out).unionByName(_result(outside))
-
-
-def _edited(rows: DataFrame, words: DataFrame, table: Column | None) -> DataFrame:
-    text = F.concat("head", F.substring("next_text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")))
-    rows = fingerprints(rows.withColumn("edited", text), "edited", words, table, "edited_fingerprint")
-    return rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited", "head", "next_text")
+    head = F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")).alias("head")
+    heads = dealt.join(follows, key).select(*key, "next_id", "next_version", n.alias("n_chars"), head)
+    edited = F.concat("head", F.substring("next_text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int"))).alias("edited")
+    joined = heads.join(after, ["next_id", "next_version"]).select("next_id", "next_version", *key, "n_chars", edited)
+    # Only one doc_id has this next_id, so its version tells its texts apart.
+    out = fingerprints(joined, ["next_id", "next_version"], "edited", words, "edited_fingerprint", within="version").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    out = out.join(own.toDF("next_id", "next_version", "next_fingerprint"), ["next_id", "next_version"]).join(own, key)
+
+    outside = base.where("doc_id is null").select("doc_id", "text", F.monotonically_increasing_id().alias("row"), n.alias("n_chars"), head).withColumn("empty", F.lit(""))
+    outside = fingerprints(fingerprints(fingerprints(outside, ["row"], "text", words, "fingerprint"), ["row"], "head", words, "edited_fingerprint"), ["row"], "empty", words, "next_fingerprint")
+    return _result(out).unionByName(_result(outside.withColumn("edited_sha256", F.sha2("head", 256))))
 
 
 def _result(rows: DataFrame) -> DataFrame:

@@ -48,12 +48,11 @@ def test_imatch_next_ids(spark):
     assert {r.doc_id: r.next_id for r in imatch.next_ids(ids).collect()} == {-3: 5, 5: 17, 17: 900, 900: -3}
 
 
-def test_imatch_lexicon_by_join_is_the_same(spark):
+def test_imatch_lexicon_by_shuffle_is_the_same(spark):
     rng = random.Random(0)
     docs = frame(spark, [(k, prose(rng), None, None, None) for k in range(60)]).select("doc_id", "text")
     words = imatch.lexicon(docs, (0.02, 0.9))
-    near = imatch.fingerprints(docs, "text", words, imatch.travelling(words), "f").collect()
-    far = imatch.fingerprints(docs, "text", words, None, "f").collect()
+    near, far = (imatch.fingerprints(docs, ["doc_id"], "text", w, "f").collect() for w in (F.broadcast(words), words.hint("merge")))
     assert {r.doc_id: r.f for r in near} == {r.doc_id: r.f for r in far}
 
 
