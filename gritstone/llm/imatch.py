@@ -16,8 +16,8 @@ from .shared import save
 BAND = (0.001, 0.05)
 #: The lexicon is broadcast while it has at most so many terms (8 bytes each); beyond it, terms are shuffled to it.
 TRAVELS = 1 << 20
-#: Random subsets, dealt by digits of a term's md5: all 16 of a sixteenth each, 16 of a sixty-fourth, 32 of a 256th.
-SIXTEENTHS = [f"{k:x}" for k in range(16)]
+#: Random subsets, dealt by digits of a term's md5: 4 of a sixteenth each, 16 of a sixty-fourth, 32 of a 256th.
+SIXTEENTHS = [f"{k:x}" for k in range(0, 16, 4)]
 SIXTY_FOURTHS = [f"{k:x}0" for k in range(16)]
 PARTS_256 = [f"{k:02x}" for k in range(0, 256, 8)]
 
@@ -37,33 +37,37 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
 
 def signatures(kept: Column, every: Column) -> Column:
     """Hashes of the sorted kept terms (where there are none, of all terms), and of those in each subset; '' where a subset has none."""
-    rows = F.transform(F.array_sort(kept), lambda t: F.struct(t.alias("t"), F.md5(t).alias("d")))
+    rows = F.transform(F.sort_array(kept), lambda t: F.struct(t.alias("t"), F.md5(t).alias("d")))
     rows = F.transform(rows, lambda r: F.struct(r["t"].alias("t"), F.substring(r["d"], 1, 1).alias("a"), F.concat(F.substring(r["d"], 2, 1), F.translate(F.substring(r["d"], 3, 1), "0123456789abcdef", "0123012301230123")).alias("b"), F.substring(r["d"], 4, 2).alias("c")))
-    whole = F.array_join(F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.array_sort(kept)).otherwise(F.array_sort(every)), " ")
+    whole = F.array_join(F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.sort_array(kept)).otherwise(F.sort_array(every)), " ")
+
+    def dealt(field: str, names: list[str]) -> Column:
+        """The few rows that are in any subset of this size, so that each subset looks at these only."""
+        return F.coalesce(F.filter(rows, lambda r: r[field].isin(*names)), F.array().cast("array<struct<t:string,a:string,b:string,c:string>>"))
 
     def part(field: str, names: list[str]) -> Column:
         def one(name):
-            joined = F.array_join(F.transform(F.filter("_rows", lambda r: r[field] == name), lambda r: r["t"]), " ")
+            joined = F.array_join(F.transform(F.filter(f"_{field}", lambda r: r[field] == name), lambda r: r["t"]), " ")
             return F.when(joined == "", "").otherwise(F.substring(F.md5(joined), 1, 4))
 
         return F.transform(F.array(*[F.lit(n) for n in names]), one)
 
-    none = F.array().cast("array<struct<t:string,a:string,b:string,c:string>>")
-    return F.coalesce(rows, none), F.concat(F.array(F.substring(F.md5(whole), 1, 16)), part("a", SIXTEENTHS), part("b", SIXTY_FOURTHS), part("c", PARTS_256))
+    sizes = {"a": SIXTEENTHS, "b": SIXTY_FOURTHS, "c": PARTS_256}
+    return {f"_{f}": dealt(f, names) for f, names in sizes.items()}, F.concat(F.array(F.substring(F.md5(whole), 1, 16)), *[part(f, names) for f, names in sizes.items()])
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text: str, words: DataFrame, to: str, within: str | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, keys: list[str], text: str, words: DataFrame, to: str, within: list[str] | None = None) -> DataFrame:
     """The columns of docs and `to`, the array of signatures of the text. keys, and within, name a text; none is null.
 
     Terms are joined with the lexicon and gathered again by keys; where docs are dealt by these keys, that shuffles nothing.
     """
-    term = F.col("_t") if within is None else F.struct(F.col(within).alias("w"), "_t")
-    held = docs.select(*keys, *[within] * (within is not None), F.explode(terms(F.col(text))).alias("_t")).withColumn("h", F.xxhash64("_t"))
+    term = F.col("_t") if within is None else F.struct(F.struct(*within).alias("w"), "_t")
+    held = docs.select(*keys, *(within or ()), F.explode(terms(F.col(text))).alias("_t")).withColumn("h", F.xxhash64("_t"))
     kept = held.join(words, "h", "left_semi").groupBy(*keys).agg(F.collect_set(term).alias("_kept"))
     rows = docs.join(kept, keys, "left")
-    own = F.col("_kept") if within is None else F.transform(F.filter("_kept", lambda k: k["w"] == F.col(within)), lambda k: k["_t"])
-    sorted_rows, signed = signatures(F.col("_own"), terms(F.col(text)))
-    return rows.withColumn("_own", own).withColumn("_rows", sorted_rows).withColumn(to, signed).select(*docs.columns, to)
+    own = F.col("_kept") if within is None else F.transform(F.filter("_kept", lambda k: k["w"] == F.struct(*within)), lambda k: k["_t"])
+    subsets, signed = signatures(F.col("_own"), terms(F.col(text)))
+    return rows.withColumn("_own", own).withColumns(subsets).withColumn(to, signed).select(*docs.columns, to)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -93,7 +97,8 @@ def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Data
     the one whose text has the least xxhash64. Rows with a null doc_id stand outside the order: their next document is empty. Texts without kept terms
     are hashed by all their terms. Repeated rows come back as often. Other columns are not looked at.
     """
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("bigint").alias("doc_id")  # a cast that does nothing would keep Spark from shuffling once for all
+    base = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text"))
     words = lexicon(base, band)
     if words.count() <= TRAVELS:
         words = F.broadcast(words)
@@ -116,7 +121,7 @@ def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Data
     edited = F.concat("head", F.substring("next_text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int"))).alias("edited")
     joined = heads.join(after, ["next_id", "next_version"]).select("next_id", "next_version", *key, "n_chars", edited)
     # Only one doc_id has this next_id, so its version tells its texts apart.
-    out = fingerprints(joined, ["next_id", "next_version"], "edited", words, "edited_fingerprint", within="version").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    out = fingerprints(joined, ["next_id", "next_version"], "edited", words, "edited_fingerprint", within=key).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
     out = out.join(own.toDF("next_id", "next_version", "next_fingerprint"), ["next_id", "next_version"]).join(own, key)
 
     outside = base.where("doc_id is null").select("doc_id", "text", F.monotonically_increasing_id().alias("row"), n.alias("n_chars"), head).withColumn("empty", F.lit(""))

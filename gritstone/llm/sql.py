@@ -84,7 +84,7 @@ parts AS (
 names AS (
   SELECT row_number() OVER () AS pos, name FROM (
     SELECT unnest(list_concat(
-      [ 'a' || printf('%x', x) for x in range(0, 16) ], [ 'b' || printf('%x', x) || '0' for x in range(0, 16) ], [ 'c' || printf('%02x', x) for x in range(0, 256, 8) ])) AS name)),
+      [ 'a' || printf('%x', x) for x in range(0, 16, 4) ], [ 'b' || printf('%x', x) || '0' for x in range(0, 16) ], [ 'c' || printf('%02x', x) for x in range(0, 256, 8) ])) AS name)),
 grid AS (
   SELECT x.doc_id, x.k, list(coalesce(p.h, '') ORDER BY n.pos) AS hs
   FROM texts x CROSS JOIN names n LEFT JOIN parts p ON p.doc_id = x.doc_id AND p.k = x.k AND p.name = n.name GROUP BY ALL),
