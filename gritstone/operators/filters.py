@@ -69,7 +69,7 @@ def fnv1a32(text: Column) -> Column:
     return F.when(F.length(digits) == 0, start).otherwise(F.aggregate(places, start, step))
 
 
-def head_sample(events: DataFrame, percent: int = 2, slow_ms: int = 400, salt: str = "waylog", vip: Column | None = None) -> DataFrame:
+def head_sample(events: DataFrame, percent: int = 2, slow_ms: int = 400, salt: str = "sample", vip: Column | None = None) -> DataFrame:
     """Failed, slow and VIP events stay; of the rest, those whose salted trace hash falls below the percentage."""
     keep = failed() | (F.col("duration_ms") >= slow_ms) | (fnv1a32(F.concat(F.lit(salt), "trace_id")) % 100 < percent)
     return events.where(keep if vip is None else keep | vip)

@@ -184,7 +184,7 @@ x AS (SELECT *, count(*) OVER (PARTITION BY incident_id) AS n, count(*) FILTER (
 SELECT incident_id, kind, title, signal_id, trace_id, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY at_, kind, title, event_id) AS INTEGER) AS place FROM x WHERE n <= 12 OR kept OR other <= 12 - must""",
     "impact_queue": W + "SELECT incident_id, users, requests, split_part(cause, '/', 1) AS cause, split_part(cause, '/', 1) = 'unknown' OR split_part(cause, '/', 2) = 'low' OR deploy_at IS NULL AS needs_judgment FROM causes WHERE events % 5 <> 4 ORDER BY users DESC, requests DESC, incident_id LIMIT 50",
     "evidence_fingerprint": W + "SELECT trace_id AS incident_id, sha256(string_agg(DISTINCT status || ':' || service, chr(10) ORDER BY status || ':' || service)) AS fingerprint FROM w GROUP BY trace_id",
-    "head_sample": W + """, t AS (SELECT DISTINCT trace_id, 'waylog' || trace_id AS s FROM w), h AS (SELECT trace_id, list_reduce(list_prepend(2166136261::UBIGINT, [ascii(c)::UBIGINT for c in string_split(s, '')]), lambda a, c: (xor(a, c) * 16777619::UBIGINT) % 4294967296::UBIGINT) AS h FROM t)
+    "head_sample": W + """, t AS (SELECT DISTINCT trace_id, 'sample' || trace_id AS s FROM w), h AS (SELECT trace_id, list_reduce(list_prepend(2166136261::UBIGINT, [ascii(c)::UBIGINT for c in string_split(s, '')]), lambda a, c: (xor(a, c) * 16777619::UBIGINT) % 4294967296::UBIGINT) AS h FROM t)
 SELECT event_id, trace_id, status FROM w JOIN h USING (trace_id) WHERE failed OR duration_ms >= 400 OR h % 100 < 2""",
     "per_second_cap": W + ", c AS (SELECT event_id, status, failed, row_number() OVER (PARTITION BY date_trunc('day', ts_start), failed ORDER BY event_id) AS r FROM w) SELECT event_id, status FROM c WHERE failed OR r <= 3",
     "dedup_first": W + "SELECT trace_id, min(event_id) AS event_id FROM w GROUP BY trace_id",

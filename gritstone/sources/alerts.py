@@ -9,10 +9,10 @@ from ..functions.text import first_text, severity_of
 from ..schema import SEVERITIES, SIGNAL_TYPES
 
 
-def normalize(payloads: DataFrame, now) -> DataFrame:
+def normalize(payloads: DataFrame, now, own_name: str = "engine") -> DataFrame:
     """payloads: body (JSON text). Adds provider, the signal's columns, and error: invalid_json, unsupported_alert, missing_fields or null.
 
-    A source of its own name is the native form; then a Grafana body, known by its rule ids, organisation or links; the native form again; Alertmanager's list with a receiver or
+    own_name: what the native form calls its source where it names none. A source of another name is the native form; then a Grafana body, known by its rule ids, organisation or links; the native form again; Alertmanager's list with a receiver or
     common labels; PagerDuty's messages or event. Each field is the first of its places that is not blank.
     """
     at = lambda path: F.get_json_object("body", path)
@@ -22,7 +22,7 @@ def normalize(payloads: DataFrame, now) -> DataFrame:
     own_source = first_text(at("$.source"))
     folder = has("orgId", "orgID", "alerts[0].dashboardURL", "alerts[0].panelURL", "alerts[0].ruleURL", "alerts[0].labels.grafana_folder", "alerts[0].annotations.__dashboardUid__", "alerts[0].annotations.__panelId__")
     provider = (
-        F.when((own_source != "") & (own_source != "waylog"), "native")
+        F.when((own_source != "") & (own_source != own_name), "native")
         .when(has("ruleId", "ruleUID", "evalMatches") | folder, "grafana")
         .when(has("source", "alert_id"), "native")
         .when(has("alerts") & has("receiver", "commonLabels"), "alertmanager")
@@ -36,7 +36,7 @@ def normalize(payloads: DataFrame, now) -> DataFrame:
     blank = F.lit("")
     rows = payloads.withColumn("provider", provider)
     rows = rows.withColumns({
-        "source": pick(F.when(own_source == "", "waylog").otherwise(own_source), F.lit("alertmanager"), F.lit("grafana"), F.lit("pagerduty")),
+        "source": pick(F.when(own_source == "", own_name).otherwise(own_source), F.lit("alertmanager"), F.lit("grafana"), F.lit("pagerduty")),
         "service": pick(first_text(at("$.service")), first_text(label("service")), first_text(label("service"), at("$.service")), first_text(F.when(~F.coalesce(data("service"), blank).startswith("{"), data("service")), data("service.summary"))),
         "env": pick(first_text(at("$.env")), first_text(label("env")), first_text(label("env"), at("$.env")), first_text(data("env"))),
         "severity": severity_of(pick(at("$.severity"), label("severity"), first_text(label("severity"), at("$.state")), first_text(data("urgency"), data("severity")))),
