@@ -40,9 +40,10 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None, total: float | N
         table = docs.sparkSession.createDataFrame([(str(k), float(v)) for k, v in weights.items()], "source string, weight double")
         counts, weight = counts.join(table, "source", "left"), F.coalesce(F.col("weight"), F.lit(0.0))
     counts = counts.withColumn("weight", weight)
-    sums = counts.agg(F.sum("n").alias("docs"), F.sum("weight").alias("weights"))
-    wanted = F.lit(float(total)) if total is not None else F.col("docs").cast("double")
-    return counts.join(F.broadcast(sums), F.lit(True)).select("source", "n", F.coalesce(wanted * F.col("weight") / F.nullif(F.col("weights"), F.lit(0.0)) / F.col("n"), F.lit(0.0)).alias("mean"))
+    n, weights_sum = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    wanted = float(n if total is None else total)
+    mean = F.lit(wanted) * F.col("weight") / F.lit(float(weights_sum)) / F.col("n") if weights_sum else F.lit(0.0)
+    return counts.select("source", "n", mean.alias("mean"))
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, total: float | None = None, seed: int = 17) -> DataFrame:

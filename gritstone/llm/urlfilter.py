@@ -51,12 +51,12 @@ def reputation(pages: DataFrame, outcomes: DataFrame, prior_share: float = 0.5,
     host = pages.join(known, "page_id", "left").groupBy("host", "domain", "suffix").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"))
     domain = host.groupBy("domain", "suffix").agg(F.sum("n").alias("n_domain"), F.sum("g").alias("g_domain"))
     suffix = domain.groupBy("suffix").agg(F.sum("n_domain").alias("n_suffix"), F.sum("g_domain").alias("g_suffix"))
-    everything = suffix.agg(F.coalesce(F.sum("n_suffix"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("g_suffix"), F.lit(0)).alias("g_all"))
+    n, g = suffix.agg(F.coalesce(F.sum("n_suffix"), F.lit(0)), F.coalesce(F.sum("g_suffix"), F.lit(0))).first()
 
     def mean(level: str, above: Column) -> Column:
         return (F.col(f"g_{level}") + above * strength) / (F.col(f"n_{level}") + F.lit(strength))
 
-    suffix = suffix.join(F.broadcast(everything), F.lit(True)).withColumn("p_suffix", mean("suffix", mean("all", F.lit(prior_share))))  # one row
+    suffix = suffix.withColumn("p_suffix", mean("suffix", F.lit((g + prior_share * strength) / (n + strength))))
     domain = domain.join(suffix.select("suffix", "p_suffix"), "suffix").withColumn("p_domain", mean("domain", F.col("p_suffix")))
     host = host.join(domain.select("domain", "suffix", "p_domain"), ["domain", "suffix"])
     a, b = F.col("g") + F.col("p_domain") * strength, F.col("n") - F.col("g") + (1 - F.col("p_domain")) * strength
