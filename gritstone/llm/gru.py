@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Classes, members of each, and hidden units.
-CLASSES, MEMBERS, HIDDEN = 48, 48, 16
+CLASSES, MEMBERS, HIDDEN = 40, 40, 12
 VOCABULARY = CLASSES * MEMBERS
 F32 = np.float32
 

@@ -29,7 +29,7 @@ CHOICES = (1, 2, 3, 4, 6, 8)
 #: Cost of verifying a candidate, in prefix tokens.
 VERIFY_COST = 2.0
 #: Rounds that try each node against the most central holder of its tokens, before the rest is joined in full.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -195,7 +195,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     with nothing and is its own component. Documents with equal sets are linked. Repeated rows each come back; rows with the
     same doc_id and different texts put both into one component. A null doc_id has a null component_id and links nothing. Other columns are not looked at.
 
-    Shuffled are the prefix tokens, once, then only tokens that two or more nodes hold. Two rounds try each node against the most central
+    Shuffled are the prefix tokens, once, then only tokens that two or more nodes hold. A first round tries each node against the most central
     holder of its tokens, so that a group of thousands of near copies falls together over as many pairs as it has members;
     pairs that are still in different components are then joined in full, so no link between components is lost.
     """
@@ -211,12 +211,14 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     postings = save(postings.select("token", "node", *[F.expr(f"cast((meta >> {at}) & {mask} as int)").alias(c) for c, at, mask in (("n", 40, 0x7FFFFF), ("pos", 16, 0xFFFFFF), ("central", 4, 0xFFF), ("l", 0, 0xF))]), "postings")
     nodes = save(postings.select("node").distinct().join(reps, "node"), "nodes")
     same = rows.where("n_shingles > 0 and doc_id is not null").join(reps, "node").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links = save(same.distinct(), "copies")  # a doc_id with two texts links their nodes
-    groups = components(links)
+    copies = same.distinct()  # a doc_id with two texts links their nodes
 
-    tested = None
+    links = tested = None
     for k in range(STAR_ROUNDS + 1):
-        labels = nodes.join(groups, nodes.rep == groups.id, "left").select("node", F.coalesce("component", "rep").alias("component"))
+        labels = nodes.select("node", F.col("rep").alias("component"))
+        if links is not None:
+            groups = components(links)
+            labels = nodes.join(groups, nodes.rep == groups.id, "left").select("node", F.coalesce("component", "rep").alias("component"))
         open_ = postings.join(labels, "node").withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token)).where("low <> high").drop("low", "high")
         pairs = _star(open_, percent) if k < STAR_ROUNDS else _all_pairs(save(open_, "open"), percent)
         pairs = save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -226,8 +228,8 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         found = _verified(pairs, _held_sets(known, save(wanted, "wanted"), size), percent)
         tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
         fresh = found.where("linked").join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select("u", "v")
-        links = save(links.unionByName(fresh), "links")
-        groups = components(links)
+        links = save(fresh if links is None else links.unionByName(fresh), "links")
+    groups = components(copies if links is None else copies.unionByName(links))
     groups = groups.select(F.col("id").alias("doc_id"), "component")
     return rows.join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
