@@ -1,7 +1,7 @@
 """Document fingerprints by I-Match, in DataFrame functions alone.
 
 A document's terms are its distinct words; kept are those whose document frequency lies within a band, so neither the words of every text nor the rare ones that typing errors make. The
-sorted kept terms are hashed, once as a whole and once for each of several random subsets of the lexicon: equal hashes say that two texts have the same kept terms of that subset.
+kept terms, sorted by their 64-bit hashes, are hashed, once as a whole and once for each of several random subsets of the lexicon: equal hashes say that two texts have the same kept terms of that subset.
 Large subsets tell copies apart, small ones are still equal after much of a text has changed.
 """
 
@@ -16,16 +16,14 @@ from .shared import save
 BAND = (0.001, 0.05)
 #: The lexicon is broadcast while it has at most so many terms (8 bytes each); beyond it, terms are shuffled to it.
 TRAVELS = 1 << 20
-#: Random subsets, dealt by digits of a term's md5: 4 of a sixteenth each, 16 of a sixty-fourth, 32 of a 256th.
-SIXTEENTHS = [f"{k:x}" for k in range(0, 16, 4)]
-SIXTY_FOURTHS = [f"{k:x}0" for k in range(16)]
-PARTS_256 = [f"{k:02x}" for k in range(0, 256, 8)]
+#: Random subsets of the lexicon, dealt by bits of a term's hash: (first bit, bits that must be 0, bits that number the subset). 4 of a sixteenth each, 16 of a sixty-fourth, 32 of a 256th.
+SUBSETS = ((0, 2, 2), (4, 2, 4), (10, 3, 5))
 
 
 def terms(text: Column) -> Column:
     """Distinct words, A-Z lower-cased, in order of first use."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.filter(F.split(low, r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(low, r"[\x20\x09-\x0D]+", -1), ""))
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
@@ -35,39 +33,41 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     return save(counts.where((F.col("df") >= max(1.0, band[0] * n)) & (F.col("df") <= max(1.0, band[1] * n))).select("h"), "lexicon")
 
 
-def signatures(kept: Column, every: Column) -> Column:
-    """Hashes of the sorted kept terms (where there are none, of all terms), and of those in each subset; '' where a subset has none."""
-    rows = F.transform(F.sort_array(kept), lambda t: F.struct(t.alias("t"), F.md5(t).alias("d")))
-    rows = F.transform(rows, lambda r: F.struct(r["t"].alias("t"), F.substring(r["d"], 1, 1).alias("a"), F.concat(F.substring(r["d"], 2, 1), F.translate(F.substring(r["d"], 3, 1), "0123456789abcdef", "0123012301230123")).alias("b"), F.substring(r["d"], 4, 2).alias("c")))
-    whole = F.array_join(F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.sort_array(kept)).otherwise(F.sort_array(every)), " ")
+def dealt_terms(kept: Column) -> dict[str, Column]:
+    """For each size of subset the few terms that are in any subset of it, so that a subset looks at these only."""
+    return {f"_{at}": F.filter(kept, lambda h: F.shiftright(h, at).bitwiseAND((1 << none) - 1) == 0) for at, none, _ in SUBSETS}
 
-    def dealt(field: str, names: list[str]) -> Column:
-        """The few rows that are in any subset of this size, so that each subset looks at these only."""
-        return F.coalesce(F.filter(rows, lambda r: r[field].isin(*names)), F.array().cast("array<struct<t:string,a:string,b:string,c:string>>"))
 
-    def part(field: str, names: list[str]) -> Column:
-        def one(name):
-            joined = F.array_join(F.transform(F.filter(f"_{field}", lambda r: r[field] == name), lambda r: r["t"]), " ")
-            return F.when(joined == "", "").otherwise(F.substring(F.md5(joined), 1, 4))
+def signatures(kept: str, every: Column) -> Column:
+    """Hashes of the sorted kept terms (where there are none, of all terms), and of those in each subset, from the columns of dealt_terms(); '' where a subset has none."""
+    rest = F.substring(F.md5(F.array_join(F.sort_array(every), " ")), 1, 16)
+    whole = F.when(F.size(kept) > 0, F.lower(F.lpad(F.hex(F.xxhash64(kept)), 16, "0"))).otherwise(rest)
 
-        return F.transform(F.array(*[F.lit(n) for n in names]), one)
+    def parts(at: int, none: int, bits: int) -> Column:
+        def one(k: Column) -> Column:
+            own = F.filter(f"_{at}", lambda h: F.shiftright(h, at + none).bitwiseAND((1 << bits) - 1) == k)
+            return F.when(F.size(own) == 0, "").otherwise(F.substring(F.lpad(F.lower(F.hex(F.xxhash64(own))), 16, "0"), 13, 4))
 
-    sizes = {"a": SIXTEENTHS, "b": SIXTY_FOURTHS, "c": PARTS_256}
-    return {f"_{f}": dealt(f, names) for f, names in sizes.items()}, F.concat(F.array(F.substring(F.md5(whole), 1, 16)), *[part(f, names) for f, names in sizes.items()])
+        return F.transform(F.array(*[F.lit(k).cast("bigint") for k in range(1 << bits)]), one)
+
+    return F.concat(F.array(whole), *[parts(*x) for x in SUBSETS])
 
 
 def fingerprints(docs: DataFrame, keys: list[str], text: str, words: DataFrame, to: str, within: list[str] | None = None) -> DataFrame:
     """The columns of docs and `to`, the array of signatures of the text. keys, and within, name a text; none is null.
 
-    Terms are joined with the lexicon and gathered again by keys; where docs are dealt by these keys, that shuffles nothing.
+    The hashes of terms are joined with the lexicon and gathered again by keys; where docs are dealt by these keys, that shuffles nothing.
     """
-    term = F.col("_t") if within is None else F.struct(F.struct(*within).alias("w"), "_t")
-    held = docs.select(*keys, *(within or ()), F.explode(terms(F.col(text))).alias("_t")).withColumn("h", F.xxhash64("_t"))
-    kept = held.join(words, "h", "left_semi").groupBy(*keys).agg(F.collect_set(term).alias("_kept"))
-    rows = docs.join(kept, keys, "left")
-    own = F.col("_kept") if within is None else F.transform(F.filter("_kept", lambda k: k["w"] == F.struct(*within)), lambda k: k["_t"])
-    subsets, signed = signatures(F.col("_own"), terms(F.col(text)))
-    return rows.withColumn("_own", own).withColumns(subsets).withColumn(to, signed).select(*docs.columns, to)
+    every = [*keys, *(within or ())]
+    held = docs.select(*every, F.explode(terms(F.col(text))).alias("_t")).select(*every, F.xxhash64("_t").alias("h"))
+    kept = held.join(words, "h", "left_semi").groupBy(*every).agg(F.collect_set("h").alias("_kept"))
+    own = F.col("_kept")
+    if within is not None:
+        this = F.struct(*within)
+        kept = kept.groupBy(*keys).agg(F.collect_list(F.struct(this.alias("w"), "_kept")).alias("_kept"))
+        own = F.get(F.filter("_kept", lambda k: k["w"] == this), F.lit(0))["_kept"]
+    rows = docs.join(kept, keys, "left").withColumn("_own", F.sort_array(F.coalesce(own, F.array().cast("array<bigint>"))))
+    return rows.withColumns(dealt_terms(F.col("_own"))).withColumn(to, signatures("_own", terms(F.col(text)))).select(*docs.columns, to)
 
 
 def likeness(a: Column, b: Column) -> Column:
