@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import save
+
 #: Where a mean rate is above this, the Poisson table would be long; such a source is replicated by the whole part of the excess, and the rest is drawn.
 LARGEST_MEAN = 16.0
 #: Terms of the inverse: at a mean of 16 the chance beyond 64 is below 1e-17.
@@ -54,12 +56,13 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tot
     doc_id as ''. Columns of docs named _copy or _key are replaced. The copies are shuffled globally: dealt out and sorted within each part by a hash of doc_id, copy and seed, so that part
     after part is a random order; ties go by doc_id and copy. An empty table gives an empty mix.
 
-    Rates are joined by source: they are few and Spark broadcasts them by their size; where they are many it shuffles, and adaptive
-    execution splits a source with a third of all rows.
+    Rates are a written table, whose size Spark knows before it plans: while that is under its broadcast threshold no text moves by source; where
+    there are more sources it shuffles, and adaptive execution splits a source with a third of all rows.
     """
     names = [c for c in docs.columns if c not in ("_copy", "_key")]
     whole = F.greatest(F.lit(0.0), F.ceil(F.col("mean") - LARGEST_MEAN).cast("double"))
     table = rates(docs, weights, total).where("mean > 0").select("source", whole.cast("int").alias("whole"), poisson_table(F.col("mean") - whole).alias("table"))
+    table = save(table, "rates")
     key = F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*names).alias("row")).withColumn("source", F.coalesce(F.col("row.source"), F.lit(""))).join(table, "source")
     rows = rows.withColumn("u", uniform(key, seed)).withColumn("n", F.col("whole") + F.size(F.filter("table", lambda p: p < F.col("u"))))
