@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Classes, members of each, and hidden units.
-CLASSES, MEMBERS, HIDDEN = 40, 40, 12
+CLASSES, MEMBERS, HIDDEN = 48, 48, 16
 VOCABULARY = CLASSES * MEMBERS
 F32 = np.float32
 
@@ -148,17 +148,20 @@ class Trainer:
 
 
 def train_on(trainer: Trainer, ids: np.ndarray, starts: np.ndarray, first: int, lanes: int = 64, steps: int = 24) -> None:
-    """Trains on documents laid end to end; starts marks each one's first token, before which `first` stands. The tokens are dealt to lanes as equal stretches, and every token is a target once, but for a remainder of less than one per lane."""
+    """Trains on documents laid end to end; starts marks each one's first token, before which `first` stands. The tokens are dealt to lanes as equal stretches, and every token is a target once; the first lanes have one more where the tokens don't go up evenly."""
     lanes = max(1, min(lanes, len(ids) // steps))
-    n = len(ids) // lanes
+    n, rest = divmod(len(ids), lanes)
     before = np.concatenate([[first], ids[:-1]])
     before[starts] = first
     keep = np.where(starts, F32(0), F32(1))
-    cut = lambda v: v[: n * lanes].reshape(lanes, n).T
-    before, goal, keep = cut(before), cut(ids), cut(keep)
+    lane = np.arange(lanes) * n + np.minimum(np.arange(lanes), rest)
     h = np.zeros((lanes, HIDDEN), F32)
     for t in range(0, n, steps):
-        h = trainer.train(before[t : t + steps], goal[t : t + steps], keep[t : t + steps], h)
+        at = lane + np.arange(t, min(t + steps, n))[:, None]
+        h = trainer.train(before[at], ids[at], keep[at], h)
+    if rest:
+        at = lane[None, :rest] + n
+        trainer.train(before[at], ids[at], keep[at], h[:rest])
 
 
 def score_documents(model: Model, ids: np.ndarray, bounds: np.ndarray, first: int, lanes: int = 256, steps: int = 32) -> np.ndarray:

@@ -331,3 +331,21 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
     assert components(spark.createDataFrame([(1, 1)], "u bigint, v bigint")).collect() == []
+
+
+def test_gru_size_and_every_token_trained():
+    assert (gru.CLASSES, gru.MEMBERS, gru.HIDDEN) == (48, 48, 16)
+
+    class Seen:
+        def __init__(self):
+            self.targets = []
+
+        def train(self, ids, target, keep, h):
+            self.targets += [(int(a), int(b), float(k)) for a, b, k in zip(ids.ravel(), target.ravel(), keep.ravel(), strict=True)]
+            return h
+
+    for n in (1, 7, 100, 1003):
+        trainer, starts = Seen(), np.zeros(n, bool)
+        starts[[0, n // 2]] = True
+        gru.train_on(trainer, np.arange(1, n + 1), starts, 0, lanes=16, steps=10)
+        assert sorted(trainer.targets, key=lambda r: r[1]) == [(0 if starts[k] else k, k + 1, 0.0 if starts[k] else 1.0) for k in range(n)]
