@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .shared import save
 
-#: Where a mean rate is above this, the Poisson table would be long; such a source is replicated by the whole part of the excess, and the rest is drawn.
+#: Where a mean rate is above this, the Poisson table would be long; the number is then the sum of independent draws of equal mean, which is Poisson too.
 LARGEST_MEAN = 16.0
 #: Terms of the inverse: at a mean of 16 the chance beyond 64 is below 1e-17.
 TERMS = 64
@@ -52,7 +52,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tot
     """The columns of docs, and _copy (from 0) and _key (its place in the shuffled order), a row for each copy.
 
     A document's number of copies is Poisson with its source's mean, found by inverting the distribution at a hash of its
-    doc_id, so equal runs mix alike; rows with equal doc_id get as many copies. A null source counts as the source '', a null
+    doc_id (above LARGEST_MEAN, by adding such draws, each at a hash of its own), so equal runs mix alike; rows with equal doc_id get as many copies. A null source counts as the source '', a null
     doc_id as ''. Columns of docs named _copy or _key are replaced. The copies are shuffled globally: dealt out and sorted within each part by a hash of doc_id, copy and seed, so that part
     after part is a random order; ties go by doc_id and copy. An empty table gives an empty mix.
 
@@ -60,12 +60,15 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tot
     there are more sources it shuffles, and adaptive execution splits a source with a third of all rows.
     """
     names = [c for c in docs.columns if c not in ("_copy", "_key")]
-    whole = F.greatest(F.lit(0.0), F.ceil(F.col("mean") - LARGEST_MEAN).cast("double"))
-    table = rates(docs, weights, total).where("mean > 0").select("source", whole.cast("int").alias("whole"), poisson_table(F.col("mean") - whole).alias("table"))
+    draws = F.greatest(F.lit(1), F.ceil(F.col("mean") / LARGEST_MEAN).cast("int"))
+    table = rates(docs, weights, total).where("mean > 0").select("source", draws.alias("draws"), poisson_table(F.col("mean") / draws).alias("table"))
     table = save(table, "rates")
     key = F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*names).alias("row")).withColumn("source", F.coalesce(F.col("row.source"), F.lit(""))).join(table, "source")
-    rows = rows.withColumn("u", uniform(key, seed)).withColumn("n", F.col("whole") + F.size(F.filter("table", lambda p: p < F.col("u"))))
+    drawn = lambda u: F.size(F.filter("table", lambda p: p < u))
+    again = F.transform(F.sequence(F.lit(2), F.col("draws")), lambda k: drawn(uniform(F.concat_ws("|", F.lit("draw"), k.cast("string"), key), seed)))
+    more = F.when(F.col("draws") > 1, F.aggregate(again, F.lit(0), lambda total, n: total + n)).otherwise(0)
+    rows = rows.withColumn("u", uniform(key, seed)).withColumn("n", drawn(F.col("u")) + more)
     copies = rows.where("n > 0").select("row", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_copy"))
     copies = copies.select("row.*", "_copy", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), key, F.col("_copy").cast("string"))).alias("_key"))
     return copies.repartition("_key").sortWithinPartitions("_key", "doc_id", "_copy")

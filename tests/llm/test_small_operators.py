@@ -349,3 +349,10 @@ def test_gru_size_and_every_token_trained():
         starts[[0, n // 2]] = True
         gru.train_on(trainer, np.arange(1, n + 1), starts, 0, lanes=16, steps=10)
         assert sorted(trainer.targets, key=lambda r: r[1]) == [(0 if starts[k] else k, k + 1, 0.0 if starts[k] else 1.0) for k in range(n)]
+
+
+def test_mixing_is_poisson_at_a_large_mean(spark):
+    rows = [(k, "t", "en", "rare" if k < 400 else "big", 1) for k in range(800)]
+    got = mixing.mix_sources(frame(spark, rows), {"rare": 1.0}, total=80000.0).groupBy("doc_id").count().collect()
+    n = np.array([r["count"] for r in got])
+    assert len(n) == 400 and abs(n.mean() - 200) < 4 and 150 < n.var() < 260
