@@ -9,20 +9,40 @@ each other if merging the two alone gives back the two. For a unigram model it k
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import mix, slices
 
 SPACE = "▁"
-#: Text that is indexed at a time, and distinct stretches that a task remembers.
-CHUNK_CHARS, REMEMBERED = 4 << 20, 400_000
-#: Verdicts on pairs of pieces, kept by worker processes from task to task, by model.
-_PAIRS: dict[int, dict[int, bool]] = {}
+#: Bytes of text that are cut at a time, characters of new stretches that are indexed at a time, and distinct stretches that a task remembers.
+CHUNK_BYTES, INDEX_CHARS, REMEMBERED = 1 << 21, 1 << 19, 300_000
+#: Slots for verdicts on pairs of pieces (9 bytes each).
+PAIR_BITS = 22
+
+
+class Verdicts:
+    """A direct-mapped table of verdicts on pairs of pieces, of fixed size: a newer pair replaces the one in its slot."""
+
+    def __init__(self) -> None:
+        self.keys, self.ok = np.full(1 << PAIR_BITS, -1), np.zeros(1 << PAIR_BITS, bool)
+
+    def of(self, keys: np.ndarray, judge: Callable[[int], bool]) -> np.ndarray:
+        """keys are distinct."""
+        slot = (mix(keys.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.ok[slot]
+        new = np.flatnonzero(self.keys[slot] != keys)
+        out[new] = [judge(k) for k in keys[new].tolist()]
+        self.keys[slot[new]], self.ok[slot[new]] = keys[new], out[new]
+        return out
+
+
+#: Kept by worker processes from task to task, by model.
+_PAIRS: dict[int, Verdicts] = {}
 
 
 class Pieces:
@@ -43,19 +63,33 @@ class Pieces:
         #: Stretches that no piece crosses: a piece has SPACE in front or not at all, and a character outside the vocabulary is alone.
         self.stretch = re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{inside}{SPACE}]")
         self.known = known | {SPACE}
-        assert all(SPACE not in p.lstrip(SPACE) for p in self.id)
+        if any(SPACE in p.lstrip(SPACE) for p in self.id):
+            raise ValueError("a piece with a blank inside it")
         self.longest = max(map(len, self.id))
-        self.sorted = sorted(self.id)
+        names = sorted(self.id)
+        self.ids, self.sizes = np.array([self.id[p] for p in names]), np.array([len(p) for p in names])
+        self.codes = np.zeros((len(names), self.longest), np.int64)  # characters, then zeros
+        for k, p in enumerate(names):
+            self.codes[k, : len(p)] = [ord(c) for c in p]
         self.key = hash((tuple(pieces), tuple(scores)))
 
     @classmethod
     def load(cls, path: str) -> Pieces:
+        """A model file of the SentencePiece library. Its normaliser must leave texts as they are; a model whose normaliser doesn't is an error, as its ids would be others."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        prefix = model.encode("a", out_type=str)[0].startswith(SPACE)
+        probe = " \ufb03  \uff21a\u0301 \tb "
+        if model.normalize(probe) != SPACE * prefix + probe.replace(" ", SPACE):
+            raise ValueError(f"the normaliser of {path} changes texts")
+        try:  # there is no list of best ways for byte-pair models
+            unigram = bool(model.nbest_encode_as_ids("ab", 1))
+        except RuntimeError:
+            unigram = False
         kind = lambda k: "byte" if model.is_byte(k) else "unknown" if model.is_unknown(k) else "control" if model.is_control(k) or model.is_unused(k) else "normal"
         n = model.get_piece_size()
-        return cls([model.id_to_piece(k) for k in range(n)], [model.get_score(k) for k in range(n)], [kind(k) for k in range(n)], unigram=len(model.encode("ab ab")) < 0)
+        return cls([model.id_to_piece(k) for k in range(n)], [model.get_score(k) for k in range(n)], [kind(k) for k in range(n)], unigram, prefix)
 
     def merged(self, text: str) -> list[str]:
         """The merges as byte-pair models make them: always the best-scored adjacent pair, of equals the leftmost. For short texts."""
@@ -73,18 +107,27 @@ class Pieces:
 
     def _follows(self, keys: np.ndarray) -> np.ndarray:
         """Whether merging would keep each pair of pieces apart and whole; a key is left id + 1 (0: the start), times 2**20, plus right id."""
-        known = _PAIRS.setdefault(self.key, {})
-        out = []
-        for key in keys.tolist():
-            ok = known.get(key)
-            if ok is None:
-                left, right = key >> 20, self.pieces[key & 0xFFFFF]
-                want = [self.pieces[left - 1], right] if left else [right]
-                ok = known[key] = self.merged("".join(want)) == want
-            out.append(ok)
-        if len(known) > 4_000_000:
-            known.clear()
-        return np.array(out, bool)
+
+        def judge(key: int) -> bool:
+            left, right = key >> 20, self.pieces[key & 0xFFFFF]
+            want = [self.pieces[left - 1], right] if left else [right]
+            return self.merged("".join(want)) == want
+
+        return _PAIRS.setdefault(self.key, Verdicts()).of(keys, judge)
+
+    def _apart(self, text: str) -> list[int]:
+        """Ids of a short stretch with characters that no piece holds alone: what is in no piece comes as bytes, or as unknown."""
+        if self.unigram:
+            best: list[tuple[float, list[int]]] = [(0.0, [])]
+            worst = float(self.scores[list(self.id.values())].min()) - 10
+            for end in range(1, len(text) + 1):
+                ways = [(best[at][0] + self.score[text[at:end]], best[at][1] + [self.id[text[at:end]]]) for at in range(max(0, end - self.longest), end) if text[at:end] in self.id]
+                best.append(max([*ways, (best[-1][0] + worst, best[-1][1] + self._strange(text[end - 1]))], key=lambda w: w[0]))
+            return best[-1][1]
+        return [k for p in self.merged(text) for k in ([self.id[p]] if p in self.id else self._strange(p))]
+
+    def _strange(self, char: str) -> list[int]:
+        return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """start, end and id of every occurrence of every piece in the indexed text; code 0 is in no piece."""
@@ -104,32 +147,31 @@ class Pieces:
         suffixes = np.lexsort(keys[::-1])  # the suffix array, as far as the longest piece reaches
         keys = [k[suffixes] for k in keys]
 
-        there = {chr(c): k + 1 for k, c in enumerate(alphabet.tolist())}
-        names, packed = [], []
-        for p in self.sorted:
-            if all(c in there for c in p):
-                names.append(p)
-                row = []
-                for a in range(0, len(p), per):
-                    part = p[a : a + per]
-                    v = 0
-                    for c in part:
-                        v = v << bits | there[c]
-                    row.append((v << bits * (per - len(part)), ((v + 1) << bits * (per - len(part))) - 1))
-                packed.append(row)
-        if not names:
+        # Symbols of the pieces whose characters all occur; every level of a piece is a range of keys, as its symbols may be followed by any.
+        at = np.minimum(np.searchsorted(alphabet, self.codes), len(alphabet) - 1) if len(alphabet) else np.zeros(self.codes.shape, np.int64)
+        fits = (alphabet[at] == self.codes) | (self.codes == 0) if len(alphabet) else np.zeros(self.codes.shape, bool)
+        own = np.flatnonzero(fits.all(1))
+        if not len(own):
             return (np.zeros(0, np.int64),) * 3
-        lo = np.searchsorted(keys[0], np.array([r[0][0] for r in packed], np.uint64), "left")
-        hi = np.searchsorted(keys[0], np.array([r[0][1] for r in packed], np.uint64), "right")
-        for level in range(1, levels):
-            for k in [k for k, r in enumerate(packed) if len(r) > level and lo[k] < hi[k]]:
+        size, ids = self.sizes[own], self.ids[own]
+        symbol = np.where(self.codes[own] > 0, at[own] + 1, 0).astype(np.uint64)
+        symbol = np.pad(symbol, ((0, 0), (0, per * levels - symbol.shape[1])))
+        for level in range(levels):
+            v = np.zeros(len(own), np.uint64)
+            for k in range(per):
+                v = v << np.uint64(bits) | symbol[:, level * per + k]
+            free = (np.clip(per * (level + 1) - size, 0, per) * bits).astype(np.uint64)  # bits after the piece's end
+            top = v | np.where(free > 63, ~np.uint64(0), (np.uint64(1) << np.minimum(free, np.uint64(63))) - np.uint64(1))
+            if level == 0:
+                lo, hi = np.searchsorted(keys[0], v, "left"), np.searchsorted(keys[0], top, "right")
+                continue
+            for k in np.flatnonzero((size > level * per) & (lo < hi)):
                 part = keys[level][lo[k] : hi[k]]
-                a, b = packed[k][level]
-                lo[k], hi[k] = lo[k] + np.searchsorted(part, np.uint64(a), "left"), lo[k] + np.searchsorted(part, np.uint64(b), "right")
+                lo[k], hi[k] = lo[k] + np.searchsorted(part, v[k], "left"), lo[k] + np.searchsorted(part, top[k], "right")
         count = hi - lo
         where = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
         start = suffixes[where]
-        return start, start + np.repeat([len(p) for p in names], count), np.repeat([self.id[p] for p in names], count)
+        return start, start + np.repeat(size, count), np.repeat(ids, count)
 
     def encode_stretches(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each of some distinct stretches."""
@@ -137,7 +179,7 @@ class Pieces:
         plain = []
         for k, t in enumerate(texts):
             if len(t) == 1 and t not in self.known:
-                out[k] = np.array([self.byte[b] for b in t.encode()] if self.byte else [self.unknown], np.int32)
+                out[k] = np.array(self._strange(t), np.int32)
             else:
                 plain.append(k)
         if not plain:
@@ -169,12 +211,14 @@ class Pieces:
                 ok = self._follows(keys)[inverse]
                 last[e[ok]] = p[ok]
         length = np.array([len(p) for p in self.pieces])
+        there = last[first + size] != -2
+        for k in np.flatnonzero(~there):
+            out[plain[k]] = np.array(self._apart(texts[plain[k]]), np.int32)
+        plain, first, size = [k for k, ok in zip(plain, there, strict=True) if ok], first[there], size[there]
         at, rank = first + size, np.arange(len(plain))
-        who, what = [], []
+        who, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(at):
             p = last[at]
-            if (p == -2).any():
-                raise ValueError(f"no pieces end at {[texts[plain[k]] for k in rank[p == -2][:3]]}")
             who.append(rank)
             what.append(p)
             at = at - length[p]
@@ -188,8 +232,9 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The text: bytes joined, SPACE as a blank, less the blank that encoding put first."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        """The text: bytes joined, SPACE as a blank, less the blank that encoding put first. An id outside the vocabulary, or null, reads as the unknown piece."""
+        raw, n = self.raw, len(self.raw)
+        text = b"".join([raw[k] if k is not None and 0 <= k < n else " ⁇ ".encode() for k in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -214,7 +259,7 @@ class Encoder:
         index = self.index
         fresh = list(dict.fromkeys(x for row in parts for x in row if x not in index))
         if fresh:
-            made = self.pieces.encode_stretches(fresh)
+            made = [m for part in _parts(fresh) for m in self.pieces.encode_stretches(part)]
             size = np.array([len(m) for m in made], np.int64)
             need = self.used + int(size.sum())
             if need > len(self.store):
@@ -232,6 +277,19 @@ class Encoder:
         return ids, total[np.concatenate([[0], np.cumsum([len(r) for r in parts])]).astype(np.int64)]
 
 
+def _parts(stretches: list[str]) -> Iterator[list[str]]:
+    """Runs of about INDEX_CHARS characters: the index takes some hundred bytes a character."""
+    part, size = [], 0
+    for x in stretches:
+        part.append(x)
+        size += len(x)
+        if size >= INDEX_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def encode(docs: DataFrame, pieces: Pieces, column: str = "text", check: bool = False) -> DataFrame:
     """The columns of docs and _ids, the piece ids of its text; with check also _exact, whether decoding them gives the text back.
 
@@ -245,7 +303,7 @@ def encode(docs: DataFrame, pieces: Pieces, column: str = "text", check: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces)
-        for held in _chunks(batches, column):
+        for held in slices(batches, column, CHUNK_BYTES):
             texts = held.column(column).to_pylist()
             ids, bounds = encoder.encode(texts)
             columns = [*held.columns, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))]
@@ -257,25 +315,8 @@ def encode(docs: DataFrame, pieces: Pieces, column: str = "text", check: bool =
     return docs.mapInArrow(run, schema)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for batch in slices(batches, column):
-        held.append(batch)
-        size += batch.nbytes
-        if size >= CHUNK_CHARS:
-            yield _one(held)
-            held, size = [], 0
-    if held:
-        yield _one(held)
-
-
-def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    table = pa.Table.from_batches(held).combine_chunks()
-    return table.to_batches()[0] if table.num_rows else held[0]
-
-
 def decode(docs: DataFrame, pieces: Pieces, column: str = "_ids", to: str = "text") -> DataFrame:
-    """The columns of docs and the text of its ids. A null list has a null text, an empty one an empty text; ids outside the vocabulary are an error."""
+    """The columns of docs and the text of its ids. A null list has a null text, an empty one an empty text; ids outside the vocabulary, and null ones, read as the unknown piece."""
     names = [c for c in docs.columns if c != to]
     docs = docs.select(*names)
     schema = docs.select("*", F.lit(None).cast("string").alias(to)).schema

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,25 +27,40 @@ LOWER[65:91] += 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder of our own only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session. Where that is unset: a temporary folder of our own if the session is local, so that all tasks share its disk, else a folder in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="gritstone-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
-        folder = f"file://{folder}"
+    if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        folder = f"file://{tempfile.mkdtemp(prefix='gritstone-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    elif not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_gritstone"
     return folder.rstrip("/")
 
 
+#: Where the tables that save() wrote lie.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: a lineage cut that outlives any executor."""
+    """Writes df to the shared folder and reads it again: a lineage cut that outlives any executor. The table goes with drop(), or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.parquet(path)
+    atexit.register(_delete, spark, path)
+    table = spark.read.parquet(path)
+    _PATHS[table] = path
+    return table
+
 
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables that save() wrote and that nothing reads any more."""
+    for table in tables:
+        path = None if table is None else _PATHS.pop(table, None)
+        if path:
+            _delete(table.sparkSession, path)
 
-def _drop(spark: SparkSession, path: str) -> None:
+
+def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -133,22 +151,27 @@ def shingles(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarr
     return mix(acc), out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows of about SLICE_BYTES of text, so that memory follows no batch size setting."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows of about `most` bytes in that column (strings, binaries or lists), so that what is made of a run follows no batch size setting. Nulls stay null and count as empty."""
     for batch in batches:
-        k = batch.schema.get_field_index(column)
-        column_ = batch.column(k)
-        if column_.null_count:
-            batch = batch.set_column(k, batch.schema.field(k), column_.fill_null(""))
-            column_ = batch.column(k)
-        _, bounds = text_bytes(column_)
+        bounds = _bounds(batch.column(column))
         at = 0
         while at < len(batch):
-            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
 
 
+def _bounds(values: pa.Array) -> np.ndarray:
+    """len + 1 bounds of the values' bytes."""
+    kind = values.type
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        size = pc.list_value_length(values).fill_null(0).to_numpy(zero_copy_only=False) * (kind.value_type.bit_width // 8)
+    else:
+        size = pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+
+
 def signed(x: np.ndarray) -> pa.Array:
     """uint64 as Spark's bigint, bit by bit."""
     return pa.array(np.ascontiguousarray(x).view(np.int64))
