@@ -1,7 +1,7 @@
 """Document fingerprints by I-Match, in DataFrame functions alone.
 
 A document's terms are its distinct words; kept are those whose document frequency lies within a band, so neither the words of every text nor the rare ones that typing errors make. The
-kept terms, sorted by their 64-bit hashes, are hashed, once as a whole and once for each of several random subsets of the lexicon: equal hashes say that two texts have the same kept terms of that subset.
+kept terms, each a 60-bit number from its md5, are sorted and hashed, once as a whole and once for each of several random subsets of the lexicon: equal hashes say that two texts have the same kept terms of that subset.
 Large subsets tell copies apart, small ones are still equal after much of a text has changed.
 """
 
@@ -14,10 +14,11 @@ from .shared import save
 
 #: A term is kept that at least and at most this share of the documents holds. The lower share bounds the lexicon: it has at most 1/share times the mean number of distinct words of a document.
 BAND = (0.001, 0.05)
-#: The lexicon is broadcast while it has at most so many terms (8 bytes each); beyond it, terms are shuffled to it.
+#: The lexicon is broadcast while it has at most so many terms (16 bytes each); beyond it, terms are shuffled to it.
 TRAVELS = 1 << 20
-#: Random subsets of the lexicon, dealt by bits of a term's hash: (first bit, bits that must be 0, bits that number the subset). 4 of a sixteenth each, 16 of a sixty-fourth, 32 of a 256th.
-SUBSETS = ((0, 2, 2), (4, 2, 4), (10, 3, 5))
+#: Random subsets of the lexicon, dealt by bits of a term's number: a term is in a list where `bits` bits from `at` on equal `value`, and in the subset of that list that the next `more` bits number.
+#: Lists: (at, bits, value, more). 16 subsets of a sixteenth each, in four lists, 16 of a sixty-fourth, 32 of a 256th.
+SUBSETS = ((0, 2, 0, 2), (0, 2, 1, 2), (0, 2, 2, 2), (0, 2, 3, 2), (4, 2, 0, 4), (10, 3, 0, 5))
 
 
 def terms(text: Column) -> Column:
@@ -27,40 +28,45 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """h: xxhash64 of the terms within the band, counted over all documents."""
+    """x (xxhash64, for joins) and h (the number) of the terms within the band, counted over all documents."""
     n = docs.count()
-    counts = docs.select(F.explode(F.transform(terms(F.col("text")), lambda w: F.xxhash64(w))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    return save(counts.where((F.col("df") >= max(1.0, band[0] * n)) & (F.col("df") <= max(1.0, band[1] * n))).select("h"), "lexicon")
+    counts = docs.select(F.explode(terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    kept = counts.where((F.col("df") >= max(1.0, band[0] * n)) & (F.col("df") <= max(1.0, band[1] * n)))
+    return save(kept.select(F.xxhash64("t").alias("x"), F.conv(F.substring(F.md5("t"), 1, 15), 16, 10).cast("bigint").alias("h")), "lexicon")
 
 
 def dealt_terms(kept: Column) -> dict[str, Column]:
-    """For each size of subset the few terms that are in any subset of it, so that a subset looks at these only."""
-    return {f"_{at}": F.filter(kept, lambda h: F.shiftright(h, at).bitwiseAND((1 << none) - 1) == 0) for at, none, _ in SUBSETS}
+    """The lists of SUBSETS, so that a subset looks at few terms only."""
+    return {f"_list{k}": F.filter(kept, lambda h: F.shiftright(h, at).bitwiseAND((1 << bits) - 1) == value) for k, (at, bits, value, _) in enumerate(SUBSETS)}  # noqa: B023
+
+
+def _hash(numbers: Column) -> Column:
+    return F.md5(F.array_join(numbers.cast("array<string>"), " "))
 
 
 def signatures(kept: str, every: Column) -> Column:
-    """Hashes of the sorted kept terms (where there are none, of all terms), and of those in each subset, from the columns of dealt_terms(); '' where a subset has none."""
-    rest = F.substring(F.md5(F.array_join(F.sort_array(every), " ")), 1, 16)
-    whole = F.when(F.size(kept) > 0, F.lower(F.lpad(F.hex(F.xxhash64(kept)), 16, "0"))).otherwise(rest)
+    """The hashes, joined by dots, of the sorted kept terms (where there are none, of all terms), and of those in each subset, from the columns of dealt_terms(); empty where a subset has none."""
+    rest = F.md5(F.array_join(F.sort_array(every), " "))
+    whole = F.substring(F.when(F.size(kept) > 0, _hash(F.col(kept))).otherwise(rest), 1, 16)
 
-    def parts(at: int, none: int, bits: int) -> Column:
-        def one(k: Column) -> Column:
-            own = F.filter(f"_{at}", lambda h: F.shiftright(h, at + none).bitwiseAND((1 << bits) - 1) == k)
-            return F.when(F.size(own) == 0, "").otherwise(F.substring(F.lpad(F.lower(F.hex(F.xxhash64(own))), 16, "0"), 13, 4))
+    def parts(k: int, at: int, bits: int, more: int) -> Column:
+        def one(j: Column) -> Column:
+            own = F.filter(f"_list{k}", lambda h: F.shiftright(h, at + bits).bitwiseAND((1 << more) - 1) == j)
+            return F.when(F.size(own) == 0, "").otherwise(F.substring(_hash(own), 1, 8))
 
-        return F.transform(F.array(*[F.lit(k).cast("bigint") for k in range(1 << bits)]), one)
+        return F.array_join(F.transform(F.array(*[F.lit(j).cast("bigint") for j in range(1 << more)]), one), ".")
 
-    return F.concat(F.array(whole), *[parts(*x) for x in SUBSETS])
+    return F.concat_ws(".", whole, *[parts(k, at, bits, more) for k, (at, bits, _, more) in enumerate(SUBSETS)])
 
 
 def fingerprints(docs: DataFrame, keys: list[str], text: str, words: DataFrame, to: str, within: list[str] | None = None) -> DataFrame:
-    """The columns of docs and `to`, the array of signatures of the text. keys, and within, name a text; none is null.
+    """The columns of docs and `to`, the signatures of the text. keys, and within, name a text; none is null.
 
     The hashes of terms are joined with the lexicon and gathered again by keys; where docs are dealt by these keys, that shuffles nothing.
     """
     every = [*keys, *(within or ())]
-    held = docs.select(*every, F.explode(terms(F.col(text))).alias("_t")).select(*every, F.xxhash64("_t").alias("h"))
-    kept = held.join(words, "h", "left_semi").groupBy(*every).agg(F.collect_set("h").alias("_kept"))
+    held = docs.select(*every, F.explode(terms(F.col(text))).alias("_t")).select(*every, F.xxhash64("_t").alias("x"))
+    kept = held.join(words, "x").groupBy(*every).agg(F.collect_set("h").alias("_kept"))
     own = F.col("_kept")
     if within is not None:
         this = F.struct(*within)
@@ -72,7 +78,8 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str, words: DataFrame,
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal hashes among the subsets of which either text has a term."""
-    pairs = F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: (p["x"] != "") | (p["y"] != ""))
+    parts = lambda c: F.split(c, r"\.", -1)
+    pairs = F.filter(F.arrays_zip(parts(a).alias("x"), parts(b).alias("y")), lambda p: (p["x"] != "") | (p["y"] != ""))
     return F.size(F.filter(pairs, lambda p: p["x"] == p["y"])) / F.size(pairs)
 
 
@@ -124,10 +131,11 @@ def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Data
     out = fingerprints(joined, ["next_id", "next_version"], "edited", words, "edited_fingerprint", within=key).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
     out = out.join(own.toDF("next_id", "next_version", "next_fingerprint"), ["next_id", "next_version"]).join(own, key)
 
-    outside = base.where("doc_id is null").select("doc_id", "text", F.monotonically_increasing_id().alias("row"), n.alias("n_chars"), head).withColumn("empty", F.lit(""))
+    outside = save(base.where("doc_id is null").select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "outside")
+    outside = outside.select("*", n.alias("n_chars"), head, F.lit("").alias("empty"))
     outside = fingerprints(fingerprints(fingerprints(outside, ["row"], "text", words, "fingerprint"), ["row"], "head", words, "edited_fingerprint"), ["row"], "empty", words, "next_fingerprint")
     return _result(out).unionByName(_result(outside.withColumn("edited_sha256", F.sha2("head", 256))))
 
 
 def _result(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", F.array_join("fingerprint", ".").alias("fingerprint"), F.array_join("edited_fingerprint", ".").alias("edited_fingerprint"), likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    return rows.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))

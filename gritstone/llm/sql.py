@@ -42,17 +42,18 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+#: A mean of over 16 is drawn as the sum of equal draws of at most 16.
 OP9 = r"""
-WITH RECURSIVE counts AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
+WITH counts AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
 means AS (SELECT source, (SELECT count(*) FROM documents)::DOUBLE * 1.0::DOUBLE / (SELECT count(*) FROM counts)::DOUBLE / n AS mean FROM counts),
-split AS (SELECT source, greatest(0, ceil(mean - 16.0::DOUBLE)) AS whole, mean - greatest(0, ceil(mean - 16.0::DOUBLE)) AS mean FROM means),
+split AS (SELECT source, greatest(1, ceil(mean / 16.0::DOUBLE))::BIGINT AS draws, mean / greatest(1, ceil(mean / 16.0::DOUBLE)) AS mean FROM means),
 terms AS (SELECT source, k, exp(-mean) * pow(mean, k) / CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE list_product(range(1, k + 1)::DOUBLE[]) END AS p FROM split, range(0, 64) r(k)),
 cdf AS (SELECT source, list(c ORDER BY k) AS c FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source),
-drawn AS (
-  SELECT d.doc_id, d.source, d.text, coalesce(CAST(d.doc_id AS VARCHAR), '') AS key, whole, c,
-    (('0x' || substr(md5('17|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+keyed AS (
+  SELECT d.doc_id, d.source, d.text, coalesce(CAST(d.doc_id AS VARCHAR), '') AS key, c, unnest(range(1, draws + 1)) AS draw
   FROM documents d JOIN split s ON s.source = coalesce(d.source, '') JOIN cdf ON cdf.source = s.source),
-counted AS (SELECT *, (whole + len(list_filter(c, lambda x: x < u)))::INTEGER AS n FROM drawn)
+drawn AS (SELECT *, (('0x' || substr(md5(CASE WHEN draw = 1 THEN '17|' || key ELSE '17|draw|' || draw || '|' || key END), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM keyed),
+counted AS (SELECT doc_id, source, text, key, sum(len(list_filter(c, lambda x: x < u)))::INTEGER AS n FROM drawn GROUP BY doc_id, source, text, key)
 SELECT doc_id, source, text, copy::INTEGER AS copy, md5('order 17|' || key || '|' || copy) AS order_key
 FROM (SELECT doc_id, source, text, key, unnest(range(0, n)) AS copy FROM counted WHERE n > 0)
 """
@@ -72,22 +73,18 @@ terms AS (
   FROM texts),
 df AS (SELECT t, count(*) AS df FROM terms WHERE k = 0 GROUP BY t),
 lex AS (SELECT t FROM df WHERE df >= greatest(1, 0.001::DOUBLE * (SELECT count(*) FROM documents)) AND df <= greatest(1, 0.05::DOUBLE * (SELECT count(*) FROM documents))),
-kept AS (
-  SELECT doc_id, k, t, substr(md5(t), 1, 1) AS a, substr(md5(t), 2, 1) || translate(substr(md5(t), 3, 1), '0123456789abcdef', '0123012301230123') AS b, substr(md5(t), 4, 2) AS c
-  FROM terms JOIN lex USING (t)),
-whole AS (SELECT doc_id, k, substr(md5(string_agg(t, ' ' ORDER BY t)), 1, 16) AS h FROM kept GROUP BY ALL),
+kept AS (SELECT doc_id, k, ('0x' || substr(md5(t), 1, 15))::BIGINT AS h FROM terms JOIN lex USING (t)),
+whole AS (SELECT doc_id, k, substr(md5(string_agg(h::VARCHAR, ' ' ORDER BY h)), 1, 16) AS h FROM kept GROUP BY ALL),
 all_terms AS (SELECT doc_id, k, substr(md5(string_agg(t, ' ' ORDER BY t)), 1, 16) AS h FROM terms GROUP BY ALL),
-parts AS (
-  SELECT doc_id, k, 'a' || a AS name, substr(md5(string_agg(t, ' ' ORDER BY t)), 1, 4) AS h FROM kept GROUP BY ALL
-  UNION ALL SELECT doc_id, k, 'b' || b, substr(md5(string_agg(t, ' ' ORDER BY t)), 1, 4) FROM kept GROUP BY doc_id, k, b
-  UNION ALL SELECT doc_id, k, 'c' || c, substr(md5(string_agg(t, ' ' ORDER BY t)), 1, 4) FROM kept GROUP BY doc_id, k, c),
-names AS (
-  SELECT row_number() OVER () AS pos, name FROM (
-    SELECT unnest(list_concat(
-      [ 'a' || printf('%x', x) for x in range(0, 16, 4) ], [ 'b' || printf('%x', x) || '0' for x in range(0, 16) ], [ 'c' || printf('%02x', x) for x in range(0, 256, 8) ])) AS name)),
+dealt AS (
+  SELECT doc_id, k, h, (h & 3) * 4 + ((h >> 2) & 3) AS pos FROM kept
+  UNION ALL SELECT doc_id, k, h, 16 + ((h >> 6) & 15) FROM kept WHERE (h >> 4) & 3 = 0
+  UNION ALL SELECT doc_id, k, h, 32 + ((h >> 13) & 31) FROM kept WHERE (h >> 10) & 7 = 0),
+parts AS (SELECT doc_id, k, pos, substr(md5(string_agg(h::VARCHAR, ' ' ORDER BY h)), 1, 8) AS h FROM dealt GROUP BY ALL),
+names AS (SELECT unnest(range(0, 64)) AS pos),
 grid AS (
   SELECT x.doc_id, x.k, list(coalesce(p.h, '') ORDER BY n.pos) AS hs
-  FROM texts x CROSS JOIN names n LEFT JOIN parts p ON p.doc_id = x.doc_id AND p.k = x.k AND p.name = n.name GROUP BY ALL),
+  FROM texts x CROSS JOIN names n LEFT JOIN parts p ON p.doc_id = x.doc_id AND p.k = x.k AND p.pos = n.pos GROUP BY ALL),
 prints AS (
   SELECT g.doc_id, g.k, list_concat([coalesce(w.h, z.h, substr(md5(''), 1, 16))], hs) AS f
   FROM grid g LEFT JOIN whole w ON w.doc_id = g.doc_id AND w.k = g.k LEFT JOIN all_terms z ON z.doc_id = g.doc_id AND z.k = g.k),
