@@ -121,52 +121,100 @@ def test_pieces_edges(spark):
 # line dedup
 
 
-def plain_patience(a, b):
-    """Common subsequence check only: rising in both, equal, and heads and tails aligned."""
-    out = linededup.patience(a, b)
-    assert all(a[i] == b[j] is not None for i, j in out)
-    assert all(p < r and q < s for (p, q), (r, s) in zip(out, out[1:], strict=False))
+def plain_patience(a, b, i=0, j=0):
+    """Patience alignment by recursion, the longest rising run by the square of its length; of equal runs the one that ends with the last pair, and goes back by the last ones."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(i, j), *plain_patience(a[1:], b[1:], i + 1, j + 1)]
+    if a[-1] == b[-1]:
+        return [*plain_patience(a[:-1], b[:-1], i, j), (i + len(a) - 1, j + len(b) - 1)]
+    pairs = [(p, b.index(x)) for p, x in enumerate(a) if a.count(x) == b.count(x) == 1]
+    if not pairs:
+        nth = lambda rows: [(x, rows[:k].count(x)) for k, x in enumerate(rows)]
+        pairs = [(p, nth(b).index(x)) for p, x in enumerate(nth(a)) if x in nth(b)]
+    best = []
+    for k, (_, q) in enumerate(pairs):
+        best.append(1 + max((best[h] for h in range(k) if pairs[h][1] < q), default=0))
+    run, n = [], max(best, default=0)
+    for k in range(len(pairs) - 1, -1, -1):
+        if n and best[k] == n and (not run or pairs[k][1] < run[-1][1]):
+            run.append(pairs[k])
+            n -= 1
+    out, edges = [], [(-1, -1), *run[::-1], (len(a), len(b))]
+    if not run:
+        return []
+    for (p, s), (q, t) in zip(edges, edges[1:], strict=False):
+        out += plain_patience(a[p + 1 : q], b[s + 1 : t], i + p + 1, j + s + 1)
+        out += [(i + q, j + t)] * (q < len(a))
     return out
 
 
 def test_patience():
     rng = random.Random(3)
-    for _ in range(200):
-        a = [rng.choice([1, 2, 3, 4, 5, 6, 7, 8, None]) for _ in range(rng.randrange(0, 12))]
+    for _ in range(300):
+        a = [rng.choice([1, 2, 3, 4, 5, 6, 7, 8]) for _ in range(rng.randrange(0, 12))]
         b = [x for x in a if rng.random() < 0.7] + [rng.randrange(5, 12)]
-        plain_patience(a, b)
-        assert plain_patience(a, a) == [(k, k) for k in range(len(a)) if a[k] is not None] or None in a
+        rng.random() < 0.3 and rng.shuffle(b)
+        out = linededup.patience(a, b)
+        assert out == plain_patience(a, b)
+        assert all(a[i] == b[j] for i, j in out) and all(p < r and q < s for (p, q), (r, s) in zip(out, out[1:], strict=False))
+        assert linededup.patience(a, a) == [(k, k) for k in range(len(a))]
     assert linededup.patience([1, 2, 3, 4], [9, 1, 2, 8, 4]) == [(0, 1), (1, 2), (3, 4)]
-    assert linededup.patience([5, 5, 6], [6, 5, 5]) in ([(0, 1), (1, 2)], [(2, 0)])
-
-
-def brute_lines(rows, rare=100):
-    """The same rule, document by document."""
-    line = lambda x: x.strip(" ") if len(x.strip(" ")) >= linededup.LEAST_CHARS else None
-    lines = {d: [line(x) for x in (t or "").split("\n")] for d, t in rows}
-    held = Counter(x for v in lines.values() for x in set(v) if x)
-    first = {}
-    for d in sorted(lines):
-        for x in lines[d]:
-            if x:
-                first.setdefault(x, d)
-    out = {}
-    for d, t in rows:
-        shared = {x for x in lines[d] if x and held[x] > 1 and first[x] < d}
-        rarest = min((held[x] for x in shared), default=0)
-        partners = {first[x] for x in shared if held[x] <= rare or held[x] == rarest}
-        gone = {j for p in partners for _, j in linededup.patience(lines[p], lines[d])}
-        out[d] = t if not gone else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone)
-    return out
+
+
+def brute_lines(rows, least=20):
+    """The same rule, document by document, with an alignment of its own."""
+    lines = {d: [x.strip(" ") for x in (t or "").split("\n")] for d, t in rows}
+    long = {d: {x for x in v if len(x) >= least} for d, v in lines.items()}
+    held = Counter(x for v in long.values() for x in v)
+    first = {x: min(d for d in long if x in long[d]) for x in held}
+
+    def blocks(kept, own):
+        out, run = set(), []
+        pairs = plain_patience(kept, own)
+        for k, (i, j) in enumerate(pairs):
+            run = [*run, j] if k and (i - 1, j - 1) == pairs[k - 1] else [j]
+            if k + 1 == len(pairs) or pairs[k + 1] != (i + 1, j + 1):
+                out |= set(run) if any(len(own[x]) >= least for x in run) else set()
+        return out
+
+    gone, done, open_ = {d: set() for d in lines}, {d: set() for d in lines}, {d: {x for x in long[d] if first[x] < d} for d in lines}
+    for turn in range(3):
+        keeper = first if turn < 2 else {x: min(d for d in lines if x in open_[d]) for x in {x for v in open_.values() for x in v}}
+        now = {}
+        for d in lines:
+            rare = min((held[x] for x in open_[d]), default=0)
+            partners = {keeper[x] for x in open_[d] if turn or held[x] == rare} - done[d] - {d}
+            done[d] |= partners
+            now[d] = set().union(*[blocks(lines[p], lines[d]) for p in partners if p < d])
+        for d in lines:
+            gone[d] |= now[d]
+            open_[d] -= {lines[d][j] for j in now[d]}
+    return {d: t if not gone[d] else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[d]) for d, t in rows}
 
 
 def test_line_dedup_as_brute_force(spark):
     rng = random.Random(4)
     pool = [f"line number {k} of the pool of lines" for k in range(40)]
-    rows = [(k, "\n".join(rng.choice([rng.choice(pool), f"own line {rng.random()} of a document", "short"]) for _ in range(rng.randrange(1, 9)))) for k in range(80)]
+    rows = [(k, "\n".join(rng.choice([rng.choice(pool), f"own line {rng.random()} of a document", "short", ""]) for _ in range(rng.randrange(1, 9)))) for k in range(80)]
     rows += [(100 + k, rows[5][1]) for k in range(150)]
-    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, [(d, t, None, None, None) for d, t in rows])).collect()}
+    data = frame(spark, [(d, t, None, None, None) for d, t in rows])
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(data).collect()}
     assert got == brute_lines(rows)
+    short = {r.doc_id: r.text for r in linededup.dedup_lines(data, least_chars=5).collect()}
+    assert short == brute_lines(rows, 5) and sum(map(len, short.values())) < sum(map(len, got.values()))
+
+
+def test_line_dedup_frequent_and_moved_lines(spark):
+    """A passage that a third of the documents hold goes from those that also share a rarer line, and a block goes whose lines stand in another order in their first document."""
+    hot, rare = "a line that a third of all documents hold", "a line that only two documents hold"
+    a, b = "the first line of a moved block", "the second line of a moved block"
+    rows = [(k, f"{hot}\nown line {k} of a document" if k % 3 == 0 else f"own line {k} of a document") for k in range(30)]
+    rows += [(40, f"{rare}\nxyz"), (41, f"{rare}\n{hot}\nabc"), (50, f"{b}\n{a}"), (51, f"{a}\n{b}\nkept line of the second document"), (52, f"{a}\n{b}\nkept line of the third document")]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, [(d, t, None, None, None) for d, t in rows])).collect()}
+    assert got[41] == "abc" and got[3] == "own line 3 of a document" and got[0] == rows[0][1]
+    assert got[52] == "kept line of the third document" and got == brute_lines(rows)
 
 
 def test_line_dedup_edges(spark):
