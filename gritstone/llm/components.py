@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import drop, save
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id and component (the least id reachable) for each id of edges (u, v: bigint), where the two differ.
 
     A round hangs every neighbour of a node on the least of them; rounds end when the edges are a forest of stars, after about the
-    logarithm of the longest path. A hub is one row on the grouped side of each join, and its neighbours on the other,
-    which adaptive execution can split. No edges give no rows.
+    logarithm of the longest path. The least neighbour of each node is a table of its own, so a hub is one row on that side of a
+    join, and its neighbours on the other, which adaptive execution can split. No edges give no rows.
     """
     now = save(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct(), "edges")
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a")
-        now = save(hung.select("b", "m").where("b <> m").toDF("a", "b").unionByName(least.toDF("a", "b")).distinct(), "edges")
+        large = save(large, "large")
+        lower = save(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        hung = large.join(lower, "a")
+        old, now = now, save(hung.select("b", "m").where("b <> m").toDF("a", "b").unionByName(lower.toDF("a", "b")).distinct(), "edges")
+        drop(old, least, large, lower)
         before, state = state, _state(now)
         if state == before:
             break

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import hash_words, id_bits, in_bits, mix, save, shingles, signed, slices, with_slot
+from .shared import bits_of, drop, hash_words, id_bits, in_bits, mix, save, shingles, signed, slices, with_slot
 
 #: Slots of the table of shingle counts, which every task holds: 2 MB whatever the corpus.
 LOG_SLOTS = 18
@@ -28,6 +28,8 @@ LOG_SLOTS = 18
 CHOICES = (1, 2, 3, 4, 6, 8)
 #: Cost of verifying a candidate, in prefix tokens.
 VERIFY_COST = 2.0
+#: Bits of the filter of tokens that two or more nodes hold: 4 MB whatever the corpus. Where it fills up, it merely lets more rows through to the join.
+TOKEN_BITS = 25
 #: Rounds that try each node against the most central holder of its tokens, before the rest is joined in full.
 STAR_ROUNDS = 1
 
@@ -85,15 +87,16 @@ def choose_prefix(excess: np.ndarray, percent: int) -> tuple[int, int]:
     return n - must + best, best
 
 
-def _postings(docs: DataFrame, size: int, percent: int, excess: np.ndarray) -> DataFrame:
-    """token, node and, in meta, n, place, centrality and l for each prefix token of each node; a task gives a node once, however many copies it sees."""
+def _postings(docs: DataFrame, size: int, percent: int, excess: np.ndarray, bits: np.ndarray | None = None) -> DataFrame:
+    """token, node and, in places and meta, n, pos, central and l for each prefix token of each node whose bit is set; a task gives a node once, however many copies it sees."""
     levels = np.ceil(np.log2(excess + 1)).astype(np.uint64)
+    names = ["token", "node", "places", "meta"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches):
             sets, nodes = _sets(batch, size)
-            tokens, lengths, meta, names = [], [], [], []
+            columns: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]]
             for x, node in zip(sets, nodes.tolist(), strict=True):
                 if not len(x) or node in seen:
                     continue
@@ -104,14 +107,29 @@ def _postings(docs: DataFrame, size: int, percent: int, excess: np.ndarray) -> D
                     order = np.lexsort((x, level))
                     x, held = x[order], held[order]
                 length, m = choose_prefix(held, percent)
-                tokens.append(x[:length])
-                lengths.append(length)
-                names.append(node)
-                meta.append(np.arange(length, dtype=np.int64) << 16 | (len(x) << 40 | min(int(level.mean() * 200), 0xFFF) << 4 | m))
-            every = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([signed(every), signed(np.repeat(np.array(names, np.uint64), lengths)), pa.array(np.concatenate(meta) if meta else np.zeros(0, np.int64))], ["token", "node", "meta"])
+                at = np.arange(length)
+                if bits is not None:
+                    at = at[in_bits(bits, x[:length] & np.uint64((1 << TOKEN_BITS) - 1))]
+                for column, values in zip(columns, (x[at], np.full(len(at), node, np.uint64), len(x) << 32 | at, np.full(len(at), min(int(level.mean() * 200), 0xFFF) << 4 | m, np.int32)), strict=True):
+                    column.append(values)
+            token, node, places, meta = map(np.concatenate, columns)
+            yield pa.RecordBatch.from_arrays([signed(token), signed(node), pa.array(places), pa.array(meta)], names)
 
-    return docs.mapInArrow(emit, "token bigint, node bigint, meta bigint")
+    return docs.mapInArrow(emit, "token bigint, node bigint, places bigint, meta int")
+
+
+def _shared_postings(docs: DataFrame, size: int, percent: int, excess: np.ndarray) -> DataFrame:
+    """The postings of tokens that two or more nodes hold.
+
+    Which these are is counted within tasks before the shuffle; then only their postings are shuffled, to a join with the table of these tokens, of which adaptive execution can split any token.
+    """
+    held = _postings(docs, size, percent, excess).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = save(held.where("low <> high").select("token"), "tokens")
+    bits = bits_of(shared.select(F.col("token").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)).alias("s")), TOKEN_BITS)
+    rows = _postings(docs, size, percent, excess, bits).join(shared, "token")
+    found = save(rows.select("token", "node", *[F.expr(f"cast({e} as int)").alias(c) for c, e in (("n", "places >> 32"), ("pos", "places & 4294967295"), ("central", "meta >> 4"), ("l", "meta & 15"))]).dropDuplicates(["token", "node"]), "postings")
+    drop(shared)
+    return found
 
 
 def _held_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -152,15 +170,22 @@ def _enough(percent: int) -> str:
     return f"shared >= least(l_a, l_b) and shared >= {_need(percent)} - greatest({rest('a', 'b')}, {rest('b', 'a')})"
 
 
-def _star(postings: DataFrame, percent: int) -> DataFrame:
-    """a, b: each node with the one it shares most of those tokens with whose most central holder is that one. A guess at what falls together; nothing rests on it."""
+def _open(postings: DataFrame, labels: DataFrame, *more) -> tuple[DataFrame, DataFrame]:
+    """The postings, with their nodes' components, of tokens that nodes of different components hold, and the table of these tokens with what `more` adds up. A token's sums are made within tasks first, and joined to its rows as a table of their own."""
+    rows = postings.join(labels, "node")
+    sums = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), *more).where("low <> high").drop("low", "high")
+    sums = save(sums, "open-tokens")
+    return rows.join(sums, "token"), sums
+
+
+def _star(postings: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: each node with the one it shares most of those tokens with whose most central holder is that one; and a table to drop. A guess at what falls together; nothing rests on it."""
     fields = ("node", "n", "pos", "l", "component")
-    top = F.max(F.struct("central", *fields)).over(Window.partitionBy("token")).alias("top")
-    rows = postings.select(*[F.col(c).alias(f"{c}_a") for c in fields], top)
-    rows = rows.select(*[f"{c}_a" for c in fields], *[F.col(f"top.{c}").alias(f"{c}_b") for c in fields])
+    rows, sums = _open(postings, labels, F.max(F.struct("central", *fields)).alias("top"))
+    rows = rows.select(*[F.col(c).alias(f"{c}_a") for c in fields], *[F.col(f"top.{c}").alias(f"{c}_b") for c in fields])
     pairs = rows.where("node_a <> node_b and component_a <> component_b").where(_may_link(percent)).groupBy("node_a", "n_a", "l_a", "node_b", "n_b", "l_b").agg(F.count(F.lit(1)).alias("shared")).where(_enough(percent))
     best = F.row_number().over(Window.partitionBy("node_a").orderBy(F.desc("shared"), "node_b"))
-    return pairs.withColumn("best", best).where("best = 1").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return pairs.withColumn("best", best).where("best = 1").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), sums
 
 
 def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +201,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(slices(batches, "x"), "y"):
             linked = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
@@ -195,41 +220,53 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     with nothing and is its own component. Documents with equal sets are linked. Repeated rows each come back; rows with the
     same doc_id and different texts put both into one component. A null doc_id has a null component_id and links nothing. Other columns are not looked at.
 
-    Shuffled are the prefix tokens, once, then only tokens that two or more nodes hold. A first round tries each node against the most central
+    Tokens are counted first, within tasks before the shuffle, and then only the rows of tokens that two or more nodes hold are shuffled. A first round tries each node against the most central
     holder of its tokens, so that a group of thousands of near copies falls together over as many pairs as it has members;
     pairs that are still in different components are then joined in full, so no link between components is lost.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     survey = _survey(texts, size)
     rows = survey.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
-    reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    named = rows.where("n_shingles > 0 and doc_id is not null")
+    reps = save(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "representatives")
 
     known = texts.where("doc_id is not null")
-    token = Window.partitionBy("token")
-    postings = _postings(known, size, percent, _excess(survey))
-    postings = postings.withColumn("low", F.min("node").over(token)).withColumn("high", F.max("node").over(token)).where("low <> high").drop("low", "high")
-    postings = save(postings.select("token", "node", *[F.expr(f"cast((meta >> {at}) & {mask} as int)").alias(c) for c, at, mask in (("n", 40, 0x7FFFFF), ("pos", 16, 0xFFFFFF), ("central", 4, 0xFFF), ("l", 0, 0xF))]), "postings")
-    nodes = save(postings.select("node").distinct().join(reps, "node"), "nodes")
-    same = rows.where("n_shingles > 0 and doc_id is not null").join(reps, "node").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    copies = same.distinct()  # a doc_id with two texts links their nodes
+    postings = _shared_postings(known, size, percent, _excess(survey))
+    nodes = save(postings.select("node").distinct().join(reps, "node").select("node", "rep"), "nodes")
+    copied = save(reps.where("rep <> last").select("node", "rep"), "copied")
+    copies = named.join(copied, "node").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()  # a doc_id with two texts links their nodes
 
     links = tested = None
+    scratch = [reps, postings, nodes, copied]
     for k in range(STAR_ROUNDS + 1):
         labels = nodes.select("node", F.col("rep").alias("component"))
         if links is not None:
             groups = components(links)
             labels = nodes.join(groups, nodes.rep == groups.id, "left").select("node", F.coalesce("component", "rep").alias("component"))
-        open_ = postings.join(labels, "node").withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token)).where("low <> high").drop("low", "high")
-        pairs = _star(open_, percent) if k < STAR_ROUNDS else _all_pairs(save(open_, "open"), percent)
+            scratch.append(groups)
+        if k < STAR_ROUNDS:
+            pairs, sums = _star(postings, labels, percent)
+        else:
+            open_, sums = _open(postings, labels)
+            open_ = save(open_, "open")
+            pairs = _all_pairs(open_, percent)
+            scratch.append(open_)
         pairs = save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        scratch += [sums, pairs]
         if pairs.isEmpty():
             continue
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
-        found = _verified(pairs, _held_sets(known, save(wanted, "wanted"), size), percent)
+        wanted = save(wanted, "wanted")
+        sets = _held_sets(known, wanted, size)
+        found = _verified(pairs, sets, percent)
+        drop(sets, wanted)
+        scratch.append(found)
         tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
         fresh = found.where("linked").join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select("u", "v")
         links = save(fresh if links is None else links.unionByName(fresh), "links")
+        scratch.append(links)
     groups = components(copies if links is None else copies.unionByName(links))
+    drop(*scratch)
     groups = groups.select(F.col("id").alias("doc_id"), "component")
     return rows.join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

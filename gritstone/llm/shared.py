@@ -177,16 +177,19 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def id_bits(ids: DataFrame, column: str, log_bits: int = 23) -> np.ndarray:
-    """A one-hash Bloom filter of ids, for the map side of a join that stays exact. Its size is fixed (1 MB at 23), so it may be broadcast at any scale; where it fills up it merely lets more rows through."""
-    slot = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(1 << log_bits))
-    rows = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).collect()
+def bits_of(slots: DataFrame, log_bits: int) -> np.ndarray:
+    """A bit set for each s of slots (0 to 2**log_bits - 1). Its size is fixed, so it may go to every task at any scale."""
+    rows = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toArrow()  # at most 2**(log_bits - 6)
     bits = np.zeros(1 << (log_bits - 6), np.int64)
-    if rows:
-        bits[[r.w for r in rows]] = [r.b for r in rows]
+    bits[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return bits.view(np.uint64)
 
 
+def id_bits(ids: DataFrame, column: str, log_bits: int = 23) -> np.ndarray:
+    """A one-hash Bloom filter of ids, for the map side of a join that stays exact. 1 MB at 23; where it fills up it merely lets more rows through."""
+    return bits_of(ids.select(F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(1 << log_bits)).alias("s")), log_bits)
+
+
 def with_slot(df: DataFrame, column: str, log_bits: int = 23) -> DataFrame:
     """Adds _slot, where id_bits() looks."""
     return df.withColumn("_slot", F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(1 << log_bits)))
