@@ -69,14 +69,15 @@ def statistics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Discriminant:
-    """Means, Cholesky factors (made once, at fitting) and log weights of both classes; None of them where a class has too few labels.
+    """Means, inverses of the Cholesky factors and logs of their determinants (made once, at fitting), and log weights of both classes; None of them where a class has too few labels.
 
     centre: the statistics of a few words say little, so they are drawn to it as if some words of that kind had been seen (see drawn()).
     """
 
     centre: np.ndarray | None = None
     mean: np.ndarray | None = None
-    factor: np.ndarray | None = None
+    inverse: np.ndarray | None = None
+    log_det: np.ndarray | None = None
     log_weight: np.ndarray | None = None
 
     @classmethod
@@ -92,16 +93,17 @@ class Discriminant:
             cov = (1 - shrink_to_pooled) * scatter[k] / count[k] + shrink_to_pooled * pooled
             cov = (1 - shrink_to_diagonal) * cov + shrink_to_diagonal * np.diag(np.diag(cov))
             factor.append(np.linalg.cholesky(cov + 1e-6 * np.eye(len(cov))))
-        return cls(centre, mean, np.stack(factor), np.log(count / count.sum()))
+        inverse = np.stack([np.linalg.inv(f) for f in factor])
+        return cls(centre, mean, inverse, np.array([np.log(np.diag(f)).sum() for f in factor]), np.log(count / count.sum()))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of label 1; 0.5 where nothing could be learned."""
         if self.mean is None:
             return np.full(len(x), 0.5)
         logs = []
-        for mean, factor, weight in zip(self.mean, self.factor, self.log_weight, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            logs.append(weight - 0.5 * (z * z).sum(0) - np.log(np.diag(factor)).sum())
+        for mean, inverse, log_det, weight in zip(self.mean, self.inverse, self.log_det, self.log_weight, strict=True):
+            z = (x - mean) @ inverse.T
+            logs.append(weight - 0.5 * (z * z).sum(1) - log_det)
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
