@@ -12,8 +12,8 @@ def first_text(*values: Column) -> Column:
 
 
 def host_of(peer: Column) -> Column:
-    """An address without its scheme and its last port."""
-    return F.regexp_replace(F.regexp_replace(peer, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r":\d+$", "")
+    """An address without http:// or https://, and without what follows its last colon, but for a colon in front."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(peer, "^http://", ""), "^https://", ""), r"^(.+):[^:]*$", "$1")
 
 
 def severity_of(text: Column) -> Column:
@@ -30,9 +30,22 @@ def event_uuid(trace_id: Column, span_id: Column) -> Column:
 
 
 def short_ref(text: Column) -> Column:
-    return F.when(F.octet_length(text) > 12, F.concat(F.substring(text, 1, 12), F.lit("…"))).otherwise(text)
+    """The first 12 bytes of a longer text, and an ellipsis; a character that is cut through reads as the replacement character."""
+    head = F.decode(F.substring(F.encode(text, "UTF-8"), 1, 12), "UTF-8")
+    return F.when(F.octet_length(text) > 12, F.concat(head, F.lit("…"))).otherwise(text)
+
+
+def route(fields: Column) -> Column:
+    """fields.http.route, where it is a string; else ''."""
+    return string_at(fields, "$.http.route", F.lit(""))
+
+
+def string_at(json: Column, path: str, otherwise: Column) -> Column:
+    """What is at a path of a JSON text, where it is a string."""
+    value = F.try_variant_get(F.try_parse_json(json), path, "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(otherwise)
 
 
 def user_id(fields: Column) -> Column:
     """fields.user.id, where it is a string; else null."""
-    return F.get_json_object(fields, "$.user.id")
+    return string_at(fields, "$.user.id", F.lit(None).cast("string"))

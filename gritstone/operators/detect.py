@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,16 +13,39 @@ from .filters import failed
 from .reads import FAMILY, nearest_rank
 
 
-def windows(spark, ticks: Sequence[datetime], length: timedelta) -> DataFrame:
-    """tick, w (0: the current window, 1 to 3: those before it), since, until. A window ends where the one after it starts, and both ends count, so an event at a boundary is in two."""
-    rows = [(tick, w, tick - (w + 1) * length, tick - w * length) for tick in ticks for w in range(4)]
-    names = ("tick", "w", "since", "until")
-    return spark.createDataFrame(rows, "tick timestamp_ntz, w int, since timestamp_ntz, until timestamp_ntz").select(*names)
+@dataclass(frozen=True)
+class Windows:
+    """For each tick the current window (w 0) and the three before it (w 1 to 3), all of one length. A window ends where the one after it starts, and both ends count, so an event at a boundary is in two."""
 
+    ticks: tuple[datetime, ...]
+    length: timedelta
 
-def in_windows(events: DataFrame, table: DataFrame) -> DataFrame:
-    """Each event once for each window that holds it: a join with four rows a tick, on the side of the events."""
-    return events.join(F.broadcast(table), F.col("ts_start").between(F.col("since"), F.col("until")))
+
+def windows(ticks: Sequence[datetime], length: timedelta) -> Windows:
+    return Windows(tuple(sorted(set(ticks))), length)
+
+
+def in_windows(events: DataFrame, table: Windows) -> DataFrame:
+    """Each event, with tick and w, once for each window that holds it.
+
+    The least and the largest instant of all windows are constants that reach the scan, and an event's windows follow from its
+    time by arithmetic: no join. Events without a start are in none.
+    """
+    if not table.ticks:
+        return events.select("*", F.lit(None).cast("timestamp_ntz").alias("tick"), F.lit(0).alias("w")).where("false")
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    rows = events.where((F.col("ts_start") >= at(table.ticks[0] - 4 * table.length)) & (F.col("ts_start") <= at(table.ticks[-1])))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    length = table.length // timedelta(microseconds=1)
+
+    def held(tick: datetime) -> Column:
+        ago = micros(at(tick)) - micros(F.col("ts_start"))
+        w = F.floor(ago / length)
+        row = lambda k: F.struct(at(tick).alias("tick"), k.cast("int").alias("w"))
+        return F.array(F.when((ago >= 0) & (w < 4), row(w)), F.when((ago > 0) & (ago % length == 0) & (w <= 4), row(w - 1)))
+
+    own = F.filter(F.flatten(F.array(*[held(t) for t in table.ticks])), lambda x: x.isNotNull())
+    return rows.select("*", F.inline(own))
 
 
 def median3(*values: Column) -> Column:
@@ -33,7 +57,7 @@ def _per_window(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.groupBy("tick", *by).agg(*counts).withColumn("baseline", median3(F.col("n1"), F.col("n2"), F.col("n3")))
 
 
-def error_spikes(events: DataFrame, table: DataFrame, min_count: int = 5, min_lift: float = 3.0, min_rate: float = 0.0, minutes: float = 10.0, most: int = 200) -> DataFrame:
+def error_spikes(events: DataFrame, table: Windows, min_count: int = 5, min_lift: float = 3.0, min_rate: float = 0.0, minutes: float = 10.0, most: int = 200) -> DataFrame:
     """Families whose current window has min_count errors and min_lift times the median of the three before; with no errors before, the lift is the count. Each window is read as its `most` largest families."""
     rows = in_windows(events.where(failed() & F.col("error_code").isNotNull()), table)
     sizes = rows.groupBy("tick", "w", *FAMILY).agg(F.count(F.lit(1)).alias("n"))
@@ -46,14 +70,14 @@ def error_spikes(events: DataFrame, table: DataFrame, min_count: int = 5, min_li
     return wide.withColumn("lift", lift).where(spike)
 
 
-def traffic(events: DataFrame, table: DataFrame, min_volume: int = 20, drop: float = 0.5, surge: float = 3.0) -> DataFrame:
+def traffic(events: DataFrame, table: Windows, min_volume: int = 20, drop: float = 0.5, surge: float = 3.0) -> DataFrame:
     """tick, service, n0, baseline and direction (drop, surge or null) of services with enough traffic before; a service absent from a window has none there."""
     wide = _per_window(in_windows(events, table), ("service",)).where(F.col("baseline") >= min_volume)
     direction = F.when(F.col("n0") <= drop * F.col("baseline"), "drop").when((F.lit(surge) > 0) & (F.col("n0") >= surge * F.col("baseline")), "surge")
     return wide.withColumn("direction", direction)
 
 
-def latency(events: DataFrame, table: DataFrame, percent: int = 95, min_requests: int = 50, factor: float = 2.0, min_ms: int = 0) -> DataFrame:
+def latency(events: DataFrame, table: Windows, percent: int = 95, min_requests: int = 50, factor: float = 2.0, min_ms: int = 0) -> DataFrame:
     """tick, service, latency_ms, baseline_ms, anomalous: the current percentile against the lower median of the windows before that have enough requests, of which there must be two."""
     stats = nearest_rank(in_windows(events, table), ("tick", "w", "service"), "duration_ms", percent).where(F.col("count") >= min_requests)
     wide = stats.groupBy("tick", "service").agg(F.max(F.when(F.col("w") == 0, F.col("latency_ms"))).alias("latency_ms"), F.sort_array(F.collect_list(F.when(F.col("w") > 0, F.col("latency_ms")))).alias("before"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import FAILED, STATUSES
+from ..schema import FAILED
 
 
 def failed(status: str | Column = "status") -> Column:
@@ -71,8 +71,9 @@ def fnv1a32(text: Column) -> Column:
 
 def head_sample(events: DataFrame, percent: int = 2, slow_ms: int = 400, salt: str = "sample", vip: Column | None = None) -> DataFrame:
     """Failed, slow and VIP events stay; of the rest, those whose salted trace hash falls below the percentage."""
-    keep = failed() | (F.col("duration_ms") >= slow_ms) | (fnv1a32(F.concat(F.lit(salt), "trace_id")) % 100 < percent)
-    return events.where(keep if vip is None else keep | vip)
+    sure = failed() | F.coalesce(F.col("duration_ms") >= slow_ms, F.lit(False))
+    sure = sure if vip is None else sure | F.coalesce(vip, F.lit(False))
+    return events.where(F.when(sure, True).otherwise(fnv1a32(F.concat(F.lit(salt), "trace_id")) % 100 < percent))  # the hash is made for the others only
 
 
 def cap_per_second(events: DataFrame, most: int, priority: Column, order: str = "seq") -> DataFrame:
@@ -81,30 +82,6 @@ def cap_per_second(events: DataFrame, most: int, priority: Column, order: str =
     return events.withColumn("_place", F.row_number().over(second)).where(priority | (F.col("_place") <= most)).drop("_place")
 
 
-def reject_reason(raw: Column, event: Column) -> Column:
-    """Why an event is refused, or null. raw: its JSON text; event: it, parsed with the schema of events, null where malformed."""
-    major = F.get_json_object(raw, "$.schema_version")
-    e = lambda name: event.getField(name)
-    text = ("event_id", "service", "env")
-    missing = F.lit(False)
-    for name in text:
-        missing = missing | e(name).isNull() | (e(name) == "")
-    bad = (
-        missing
-        | (F.coalesce(major, F.lit("")) != "2.0")
-        | e("ts_start").isNull()
-        | e("ts_end").isNull()
-        | ~F.coalesce(e("trace_id").rlike("^[0-9a-f]{32}$"), F.lit(False))
-        | (F.coalesce(e("kind"), F.lit("")) != "http")
-        | ~F.coalesce(e("status").isin(*STATUSES), F.lit(False))
-        | F.coalesce(e("duration_ms") < 0, F.lit(False))
-        | (e("status").isin(*FAILED) & (F.coalesce(e("anchor").getField("step"), F.lit("")) == ""))
-        | (e("status").isin(*FAILED) & (F.coalesce(e("anchor").getField("error_code"), F.lit("")) == ""))
-        | F.coalesce(F.exists(e("steps"), lambda s: s["downstream"].isNotNull() & (F.coalesce(s["span_id"], F.lit("")) == "")), F.lit(False))
-    )
-    return F.when(~F.coalesce(F.get_json_object(raw, "$").isNotNull() & raw.rlike(r"^\s*\{"), F.lit(False)), "invalid_json").when(major.startswith("1."), "bridge_not_implemented").when(bad, "schema_validation_failed")
-
-
 def cold_search(events: DataFrame, trace_id=None, user_id=None, service=None, error_code=None, since=None, until=None, before_id=None, limit: int = 50) -> DataFrame:
     """Newest ids first, with the number of all matches."""
     keep = in_window(since, until)

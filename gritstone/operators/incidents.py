@@ -47,23 +47,29 @@ def cause(dependency_at: str, deploy_at: str, downstream: str, runtime: str, eve
 
 
 def cap_evidence(evidence: DataFrame, most: int = 12) -> DataFrame:
-    """Each incident's evidence by time, kind and title, once for each kind, title, signal, deployment and trace. Runtime and deployment rows all stay; the earliest others fill what is left of the cap."""
-    order = ("occurred_at", "kind", "title", "seq")
-    same = Window.partitionBy("incident_id", "kind", "title", "signal_id", "deploy_id", "trace_id").orderBy(*order)
-    rows = evidence.withColumn("_copy", F.row_number().over(same)).where("_copy = 1")
-    kept = F.col("kind").isin("runtime", "deployment")
-    own = Window.partitionBy("incident_id")
-    rows = rows.withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("_kept", F.count_if(kept).over(own)).withColumn("_other", F.sum(F.when(kept, 0).otherwise(1)).over(own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where((F.col("_all") <= most) | kept | (F.col("_other") <= most - F.col("_kept")))
-    return rows.withColumn("place", F.row_number().over(own.orderBy(*order))).drop("_copy", "_all", "_kept", "_other")
+    """Each incident's evidence by time, kind and title, once for each kind, title, signal, deployment and trace. Runtime and deployment rows all stay; the earliest others fill what is left of the cap. Nulls in the five are a value like others.
+
+    Copies go within tasks first, and of an incident's other rows no more than the cap are put in order in one place.
+    """
+    order, same = ["occurred_at", "kind", "title", "seq"], ["incident_id", "kind", "title", "signal_id", "deploy_id", "trace_id"]
+    rest = [c for c in evidence.columns if c not in same]
+    rows = evidence.groupBy(*same).agg(F.min_by(F.struct(*rest), F.struct("occurred_at", "seq")).alias("_rest")).select(*same, "_rest.*").select(*evidence.columns)
+    kept = F.coalesce(F.col("kind").isin("runtime", "deployment"), F.lit(False))
+    must = rows.where(kept)
+    sizes = rows.groupBy("incident_id").agg(F.count_if(kept).alias("_must"))
+    own = Window.partitionBy("incident_id").orderBy(*order)
+    others = rows.where(~kept).withColumn("_place", F.row_number().over(own)).where(F.col("_place") <= most).join(sizes, "incident_id").where(F.col("_place") <= most - F.col("_must")).drop("_place", "_must")
+    return must.unionByName(others).withColumn("place", F.row_number().over(own))
 
 
 def lifecycle(state: DataFrame, seen: DataFrame, now: Column, minutes: int = 2) -> DataFrame:
-    """The next state of the incidents: those seen are active, with their first start kept and their sticky deployment; others recover, and are resolved after some minutes unseen. transition: opened, resolved or null."""
+    """The next state of the incidents. Those seen are active, with their first start kept and their sticky deployment. Of those unseen, active ones recover, and recovering
+    ones are resolved when they were last seen some minutes ago or more; resolved ones stay so. transition: opened, resolved or null. The next state is read back as `state`, less its transition.
+    """
     old = state.select("incident_id", *[F.col(c).alias(f"old_{c}") for c in ("status", "started_at", "last_seen", "suspect_deploy_id")])
     rows = old.join(seen.withColumn("_seen", F.lit(True)), "incident_id", "full_outer")
-    quiet = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("old_last_seen").cast("timestamp")) >= minutes * 60
-    status = F.when(F.col("_seen"), "active").when(F.col("old_status") == "resolved", "resolved").when(quiet, "resolved").otherwise("recovering")
+    quiet = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("old_last_seen").cast("timestamp")) >= minutes * 60_000_000
+    status = F.when(F.col("_seen"), "active").when(F.col("old_status") == "active", "recovering").when((F.col("old_status") == "recovering") & quiet, "resolved").otherwise(F.col("old_status"))
     rows = rows.withColumn("status", status)
     transition = F.when(F.col("_seen") & (F.col("old_status").isNull() | (F.col("old_status") == "resolved")), "opened").when((F.col("status") == "resolved") & (F.col("old_status") != "resolved"), "resolved")
     return rows.select("incident_id", "status", F.coalesce("old_started_at", "started_at").alias("started_at"), F.coalesce("last_seen", "old_last_seen").alias("last_seen"), F.coalesce("old_suspect_deploy_id", "suspect_deploy_id").alias("suspect_deploy_id"), transition.alias("transition"))

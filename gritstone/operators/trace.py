@@ -14,7 +14,8 @@ CAUSAL, FALLBACK = "causal", "timestamp_fallback"
 
 
 def _identity(e: dict) -> tuple:
-    return e["ts_start"], e["service"], e["event_id"]
+    """Nulls come first."""
+    return tuple((e[name] is not None, e[name]) if e[name] is not None else (False,) for name in ("ts_start", "service", "event_id"))
 
 
 class Graph:
@@ -34,21 +35,35 @@ class Graph:
                 self.parent[e["event_id"]] = above
         self.usable = bool(self.parent)
 
-    def depth(self, event_id: str) -> int:
-        seen: set[str] = set()
-        while event_id in self.parent and event_id not in seen:
-            seen.add(event_id)
-            event_id = self.parent[event_id]
-        return len(seen)
-
-    def below(self, event_id: str) -> set[str]:
-        found, stack = set(), [event_id]
-        while stack:
-            for child in self.children.get(stack.pop(), ()):
-                if child["event_id"] not in found:
-                    found.add(child["event_id"])
-                    stack.append(child["event_id"])
-        return found - {event_id}
+    def depths(self) -> dict[str, int]:
+        """The number of events above each one; in a cycle, of all that it can reach."""
+        out: dict[str, int] = {}
+        for start in self.parent:
+            path, at = [], start
+            while at in self.parent and at not in out and at not in path[-1:] and len(path) <= len(self.parent):
+                path.append(at)
+                at = self.parent[at]
+            if len(path) > len(self.parent):  # it leads into a cycle
+                seen, at = [], start
+                while at not in seen:
+                    seen.append(at)
+                    at = self.parent[at]
+                out[start] = len(seen)
+                continue
+            base = out.get(at, 0)
+            for k, e in enumerate(reversed(path)):
+                out[e] = base + k + 1
+        return out
+
+    def above(self, ids: set[str]) -> set[str]:
+        """The events that another of ids is below. Each event is climbed through once."""
+        found: set[str] = set()
+        for start in ids:
+            at = self.parent.get(start)
+            while at is not None and at != start and at not in found:
+                found.add(at)
+                at = self.parent.get(at)
+        return found
 
 
 def ordered(events: list[dict]) -> tuple[list[dict], str]:
@@ -76,9 +91,10 @@ def anchor(events: list[dict], exclude_suppressed: bool = True) -> tuple[dict |
     if bad:
         ids = {e["event_id"] for e in bad}
         if graph.usable and any(i in graph.parent or graph.children.get(i) for i in ids):
-            leaves = [e for e in bad if not graph.below(e["event_id"]) & ids]
+            above, depths = graph.above(ids), graph.depths()
+            leaves = [e for e in bad if e["event_id"] not in above]
             if leaves:
-                return min(leaves, key=lambda e: (-graph.depth(e["event_id"]), *_identity(e))), CAUSAL
+                return min(leaves, key=lambda e: (-depths.get(e["event_id"], 0), *_identity(e))), CAUSAL
         return min(bad, key=_identity), FALLBACK
     linkage, roots = FALLBACK, [e for e in may if not e["parent_span_id"]]
     if not roots:
@@ -88,18 +104,20 @@ def anchor(events: list[dict], exclude_suppressed: bool = True) -> tuple[dict |
 
 
 def _grouped(events: DataFrame) -> DataFrame:
-    row = F.struct("ts_start", "service", F.col("event_id").cast("string").alias("event_id"), F.coalesce("parent_span_id", F.lit("")).alias("parent_span_id"), "status", F.transform("steps", lambda s: s["span_id"]).alias("spans"), "seq")
-    return events.groupBy("trace_id").agg(F.array_sort(F.collect_list(row)).alias("events"))
+    """A row a trace: its events in order of seq. Nulls in status, service or start are values like others."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    row = F.struct("seq", "ts_start", "service", F.col("event_id").cast("string").alias("event_id"), blank("parent_span_id").alias("parent_span_id"), "status", F.transform("steps", lambda s: s["span_id"]).alias("spans"), "step", "error_code")
+    return events.where("trace_id is not null").groupBy("trace_id").agg(F.array_sort(F.collect_list(row)).alias("events"))
 
 
 def order_traces(events: DataFrame) -> DataFrame:
-    """trace_id, event_id, place (from 1), linkage."""
+    """trace_id, event_id, place (from 1), linkage. Events without a trace_id have no row; repeated rows of an event have one each only where the order is by time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for trace, own in zip(batch.column("trace_id").to_pylist(), batch.column("events").to_pylist(), strict=True):
-                out, linkage = ordered(sorted(own, key=lambda e: e["seq"]))
+                out, linkage = ordered(own)
                 rows += [(trace, e["event_id"], k + 1, linkage) for k, e in enumerate(out)]
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["trace_id", "event_id", "place", "linkage"])
@@ -112,35 +130,73 @@ def anchors(events: DataFrame, exclude_suppressed: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchor(sorted(own, key=lambda e: e["seq"]), exclude_suppressed) for own in batch.column("events").to_pylist()]
+            found = [anchor(own, exclude_suppressed) for own in batch.column("events").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("trace_id"), pa.array([e and e["event_id"] for e, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], ["trace_id", "event_id", "linkage"])
 
     return _grouped(events).mapInArrow(run, "trace_id string, event_id string, linkage string")
 
 
-def contributing_steps(steps: Column, anchor_step: Column) -> Column:
-    """The steps that end no later than the anchor's, by start. The anchor's is the first of the latest-starting error steps of that name, else of all of that name; with none, every step stays."""
+def trace_facts(events: DataFrame, exclude_suppressed: bool = True) -> DataFrame:
+    """trace_id, services (in order of first use, '' and null left out), and of the anchor event event_id, linkage, status and anchor, its family (null where it has no error code)."""
+
+    def family(e: dict | None) -> str | None:
+        return None if not e or not e["error_code"] else ":".join((e[n] or "").replace(":", "\\:") for n in ("service", "step", "error_code"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            services, found = [], []
+            for own in batch.column("events").to_pylist():
+                services.append(list(dict.fromkeys(e["service"] for e in ordered(own)[0] if e["service"])))
+                found.append(anchor(own, exclude_suppressed))
+            text = lambda values: pa.array(list(values), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("trace_id"), pa.array(services, pa.list_(pa.string())), text(e and e["event_id"] for e, _ in found), text(x for _, x in found), text(e and e["status"] for e, _ in found), text(family(e) for e, _ in found)],
+                ["trace_id", "services", "event_id", "linkage", "status", "anchor"],
+            )
+
+    return _grouped(events).mapInArrow(run, "trace_id string, services array<string>, event_id string, linkage string, status string, anchor string")
+
+
+def anchor_step(steps: Column, name: Column) -> Column:
+    """The first of the latest-starting error steps of that name, else of all steps of that name; null where there is none."""
     numbered = F.transform(steps, lambda s, k: F.struct(s["start_ms"].alias("start"), (-k).alias("order"), s.alias("step")))
-    named = F.filter(numbered, lambda n: n["step"]["name"] == anchor_step)
+    named = F.filter(numbered, lambda n: n["step"]["name"] == name)
     wrong = F.filter(named, lambda n: n["step"]["status"] == "error")
-    chosen = F.array_max(F.when(F.size(wrong) > 0, wrong).otherwise(named))["step"]
-    end = chosen["start_ms"] + chosen["duration_ms"]
-    kept = F.filter(numbered, lambda n: end.isNull() | (n["step"]["start_ms"] + n["step"]["duration_ms"] <= end))
-    by_start = F.array_sort(F.transform(kept, lambda n: F.struct(n["start"].alias("start"), (-n["order"]).alias("order"), n["step"].alias("step"))))
+    return F.array_max(F.when(F.size(wrong) > 0, wrong).otherwise(named))["step"]
+
+
+def contributing_steps(steps: Column, until: Column) -> Column:
+    """By start, the steps that end at `until` or before; all of them where it is null."""
+    kept = F.filter(steps, lambda s: until.isNull() | (s["start_ms"] + s["duration_ms"] <= until))
+    by_start = F.array_sort(F.transform(kept, lambda s, k: F.struct(s["start_ms"].alias("start"), k.alias("order"), s.alias("step"))))
     return F.transform(by_start, lambda n: n["step"])
 
 
-def story_logs(logs: Column, path: Column, anchored: Column) -> Column:
-    """Warnings and errors; with an anchor, from the start of the path's first step to the end of its last-ending one."""
-    loud = F.filter(logs, lambda x: x["level"].isin("warn", "error"))
-    first = F.array_min(F.transform(path, lambda s: s["start_ms"]))
-    last = F.array_max(F.transform(path, lambda s: s["start_ms"] + s["duration_ms"]))
-    return F.when(anchored & first.isNotNull(), F.filter(loud, lambda x: (x["ts_offset_ms"] >= first) & (x["ts_offset_ms"] <= last))).otherwise(loud)
+def story_logs(logs: Column, path: Column, until: Column) -> Column:
+    """Warnings and errors; where an anchor's step was found, from the start of the path's first step to that one's end."""
+    first = F.coalesce(F.get(path, 0)["start_ms"], F.lit(0))
+    return F.filter(logs, lambda x: x["level"].isin("warn", "error") & (until.isNull() | x["ts_offset_ms"].between(first, until)))
 
 
 def stories(events: DataFrame) -> DataFrame:
-    """Path, loud logs and downstream services of each event; a suppressed one has its header only. events: with steps, logs and anchor (step, error_code)."""
+    """Each event with path, loud (its logs), downstream (step, service and endpoint of each call of the path) and anchored (whether its anchor's step was found).
+
+    events: with steps, logs and anchor (step, error_code). A suppressed event has its header only: the three are empty. Null steps or logs count as none; a step without start or duration is in no path that ends at an anchor.
+    """
     shown = F.col("status") != "suppressed"
-    path = F.when(shown, F.when(F.col("anchor.step").isNotNull(), contributing_steps(F.col("steps"), F.col("anchor.step"))).otherwise(F.col("steps")))
-    rows = events.withColumn("path", path).withColumn("loud", F.when(shown, story_logs(F.col("logs"), F.col("path"), F.col("anchor.step").isNotNull())))
-    return rows.withColumn("downstream", F.array_distinct(F.filter(F.transform("path", lambda s: s["downstream"]["service"]), lambda x: x.isNotNull())))
+    none = lambda name: F.filter(name, lambda x: F.lit(False))
+    rows = events.withColumn("steps", F.coalesce("steps", F.array())).withColumn("logs", F.coalesce("logs", F.array()))
+    rows = rows.withColumn("_at", F.when(shown, anchor_step(F.col("steps"), F.col("anchor.step"))))
+    until = F.col("_at.start_ms") + F.col("_at.duration_ms")
+    rows = rows.withColumn("path", F.when(shown, contributing_steps(F.col("steps"), until)).otherwise(none("steps")))
+    rows = rows.withColumn("loud", F.when(shown, story_logs(F.col("logs"), F.col("path"), until)).otherwise(none("logs")))
+    calls = F.filter("path", lambda s: s["downstream"].isNotNull())
+    calls = F.transform(calls, lambda s: F.struct(s["name"].alias("step"), s["downstream"]["service"].alias("service"), s["downstream"]["endpoint"].alias("endpoint")))
+    return rows.withColumn("downstream", calls).withColumn("anchored", F.col("_at").isNotNull()).drop("_at")
+
+
+def trace_stories(events: DataFrame) -> DataFrame:
+    """The story of each trace's anchor event, and how that was found (linkage). Traces of suppressed events only have none."""
+    found = anchors(events).where("event_id is not null").select(F.col("event_id").alias("_id"), F.col("trace_id").alias("_trace"), "linkage")
+    own = (F.col("event_id").cast("string") == F.col("_id")) & (F.col("trace_id") == F.col("_trace"))
+    return stories(events.join(found, own).drop("_id", "_trace"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import correlate, detect, filters, incidents, reads, trace
 from ..schema import FAILED
-from ..sources import alerts, intake
-from .views import seeds, signals, wide_events
+from ..sources import alerts, intake, otlp
+from .views import long_events, seeds, signals, wide_events
 
 NOW = datetime(2024, 1, 29)
 WEEK = timedelta(days=7)
@@ -39,11 +39,18 @@ def event_search(spark, sf_dir):
     return reads.page(rows, order, limit).withColumnRenamed("_more", "more")
 
 
+def _second_page(rows, order, limit):
+    """The page behind the last row of the first one; empty where that one is."""
+    keys = [F.desc(c) if down else F.asc(c) for c, down in order]
+    first = rows.orderBy(*keys).limit(limit).collect()  # a page
+    page = reads.page(rows, order, limit, first[-1].asDict()) if first else reads.page(rows, order, limit)
+    return page.withColumnRenamed("_more", "more")
+
+
 @query
 def event_search_page2(spark, sf_dir):
     rows, order, limit = _first_page(spark, sf_dir)
-    last = rows.orderBy(F.desc("ts_start"), "event_id").limit(limit).collect()[-1]
-    return reads.page(rows, order, limit, last.asDict()).withColumnRenamed("_more", "more")
+    return _second_page(rows, order, limit)
 
 
 @query
@@ -68,8 +75,7 @@ def error_rollup(spark, sf_dir):
 @query
 def error_rollup_page2(spark, sf_dir):
     rows = _rollup(spark, sf_dir)
-    last = rows.orderBy(F.desc("events"), "service", "step", "error_code").limit(20).collect()[-1]
-    return reads.page(rows, reads.ERROR_ORDER, 20, last.asDict()).withColumnRenamed("_more", "more")
+    return _second_page(rows, reads.ERROR_ORDER, 20)
 
 
 @query
@@ -141,6 +147,13 @@ def recent_traces(spark, sf_dir):
     return reads.recent_traces(w, w.where(filters.event_filter(error_code="E3")))
 
 
+@query
+def recent_traces_page2(spark, sf_dir):
+    w = wide_events(spark, sf_dir)
+    rows = reads.recent_traces(w, w.where(filters.event_filter(service="svc_2", since=SINCE))).select("trace_id", "started", "status", "anchor")
+    return _second_page(rows, reads.TRACE_ORDER, 30)
+
+
 @query
 def trace_order(spark, sf_dir):
     return trace.order_traces(wide_events(spark, sf_dir))
@@ -156,36 +169,54 @@ def trace_linkage(spark, sf_dir):
     return trace.order_traces(wide_events(spark, sf_dir)).groupBy("linkage").agg(F.count_distinct("trace_id").alias("traces"))
 
 
+_CALLS = lambda calls: F.array_join(F.transform(calls, lambda c: F.concat_ws("|", c["step"], c["service"], c["endpoint"])), ",")
+
+
+def _story(rows):
+    path = F.array_join(F.transform("path", lambda s: F.concat_ws("@", s["name"], s["start_ms"].cast("string"))), ",")
+    loud = F.array_join(F.transform("loud", lambda x: F.concat_ws("@", x["msg"], x["ts_offset_ms"].cast("string"))), ",")
+    return rows.select("trace_id", F.col("event_id").cast("string").alias("event_id"), "service", "status", path.alias("path"), loud.alias("logs"), _CALLS("downstream").alias("downstream"), *[c for c in ("linkage",) if c in rows.columns])
+
+
 @query
 def trace_story_path(spark, sf_dir):
-    w = wide_events(spark, sf_dir).withColumn("anchor", F.struct("step", "error_code")).withColumn("logs", F.array().cast("array<struct<ts_offset_ms:bigint,level:string,msg:string>>"))
-    return trace.stories(w).select("event_id", F.array_join(F.transform("path", lambda s: s["name"]), ",").alias("path"), F.array_join("downstream", ",").alias("downstream"))
+    """Stories of events with several steps and logs."""
+    return _story(trace.stories(long_events(spark, sf_dir)))
 
 
-def _windows(spark, ticks=(NOW,)):
-    return detect.windows(spark, ticks, WEEK)
+@query
+def story_by_trace(spark, sf_dir):
+    """The story of each trace's anchor event. Events are linked by the spans of the plain view's steps."""
+    w = wide_events(spark, sf_dir)
+    found = trace.anchors(w).where("event_id is not null")
+    rows = long_events(spark, sf_dir).withColumn("event_id", F.col("event_id").cast("string")).join(found, ["trace_id", "event_id"])
+    return _story(trace.stories(rows)).drop("linkage")
+
+
+def _windows(ticks=(NOW,)):
+    return detect.windows(ticks, WEEK)
 
 
 @query
 def spike_detect(spark, sf_dir):
-    found = detect.error_spikes(wide_events(spark, sf_dir), _windows(spark), min_count=5, min_lift=1.2)
+    found = detect.error_spikes(wide_events(spark, sf_dir), _windows(), min_count=5, min_lift=1.2)
     return found.select("service", "step", "error_code", "n0", "baseline", F.round("lift", 6).alias("lift"))
 
 
 @query
 def traffic_anomaly(spark, sf_dir):
-    return detect.traffic(wide_events(spark, sf_dir), _windows(spark), min_volume=20, drop=0.98, surge=1.02).select("service", "n0", "baseline", "direction")
+    return detect.traffic(wide_events(spark, sf_dir), _windows(), min_volume=20, drop=0.98, surge=1.02).select("service", "n0", "baseline", "direction")
 
 
 @query
 def latency_anomaly(spark, sf_dir):
-    return detect.latency(wide_events(spark, sf_dir), _windows(spark), min_requests=20, factor=1.01).select("service", "latency_ms", "baseline_ms", "anomalous")
+    return detect.latency(wide_events(spark, sf_dir), _windows(), min_requests=20, factor=1.01).select("service", "latency_ms", "baseline_ms", "anomalous")
 
 
 @query
 def sustained_gate(spark, sf_dir):
     ticks = [NOW - k * timedelta(hours=12) for k in range(8)]
-    found = detect.traffic(wide_events(spark, sf_dir), detect.windows(spark, ticks, timedelta(days=3)), min_volume=5, drop=0.95, surge=1.05)
+    found = detect.traffic(wide_events(spark, sf_dir), detect.windows(ticks, timedelta(days=3)), min_volume=5, drop=0.95, surge=1.05)
     numbered = found.withColumn("tick_no", F.floor(F.unix_seconds(F.col("tick").cast("timestamp")) / 43200).cast("int"))
     return detect.sustained(numbered, ("service",), "direction", need=2).select("service", "tick_no", "direction", F.col("run_length").cast("int").alias("run_length"))
 
@@ -203,13 +234,16 @@ def severity_score(spark, sf_dir):
 
 @query
 def incident_lifecycle(spark, sf_dir):
-    rows = seeds(spark, sf_dir).select(F.concat_ws("|", "service", "step", "error_code").alias("incident_id"), "day", "started_at", F.col("now").alias("last_seen"), F.lit(None).cast("string").alias("suspect_deploy_id"))
-    state = rows.where("day = '20240110'").withColumn("status", F.lit("active"))
-    return incidents.lifecycle(state, rows.where("day = '20240111'").drop("day"), F.lit("2024-01-11 23:59:59").cast("timestamp_ntz"))
+    """Three ticks, at the ends of three days, over the incidents of four days."""
+    rows = seeds(spark, sf_dir).select(F.concat_ws("|", "service", "step", "error_code").alias("incident_id"), "day", "started_at", F.col("now").alias("last_seen"), F.concat_ws("-", F.lit("d"), "day").alias("suspect_deploy_id"))
+    state = rows.where("day = '20240110'").drop("day").withColumn("status", F.lit("active"))
+    for day in (11, 12, 13):
+        state = incidents.lifecycle(state, rows.where(F.col("day") == f"202401{day}").drop("day"), F.lit(f"2024-01-{day} 23:59:59").cast("timestamp_ntz"))
+    return state
 
 
 def _deploys(spark, sf_dir):
-    return correlate.deploy_events(wide_events(spark, sf_dir).withColumn("seq", F.struct("ts_start", "event_id")))
+    return correlate.deploy_events(wide_events(spark, sf_dir).withColumn("seq", F.struct("ts_start", "event_id")), F.date_trunc("day", F.col("ts_start")))
 
 
 @query
@@ -365,3 +399,93 @@ def alert_normalize(spark, sf_dir):
         .otherwise(F.to_json(F.struct(F.struct("service", "error_code", F.lit("late").alias("title")).alias("incident"), F.lit("e").alias("event"))))
     )
     return alerts.normalize(w.select("event_id", body.alias("body")), NOW).select("event_id", "provider", "service", "severity", "reason", "error")
+
+
+@query
+def counter_window(spark, sf_dir):
+    """Requests and failures of the last hour and a half, from the minute counters."""
+    return reads.counter_sum(reads.minute_counters(wide_events(spark, sf_dir)), F.lit(UNTIL).cast("timestamp_ntz"), 90)
+
+
+@query
+def schema_rules(spark, sf_dir):
+    """Events that each break one rule of the schema, or none."""
+    w = wide_events(spark, sf_dir)
+    good = '{"schema_version":"2.0","event_id":"e","ts_start":"2024-01-01T00:00:00Z","ts_end":"2024-01-01T00:00:01Z","kind":"http","service":"s","env":"p","trace_id":"0123456789abcdef0123456789abcdef","status":"ok"%s}'
+    step = '{"name":"a","span_id":"0123456789abcdef","start_ms":0,"duration_ms":1,"status":"ok"}'
+    more = (
+        "", ',"span_id":"xyz"', f',"steps":[{step}]', ',"steps":[{"name":"","start_ms":0,"duration_ms":1,"status":"ok"}]', ',"steps":[{"name":"a","start_ms":0,"duration_ms":1,"status":"late"}]', ',"steps":[{"name":"a","duration_ms":1,"status":"ok"}]',
+        ',"logs":[{"ts_offset_ms":1,"level":"loud","msg":"m"}]', ',"logs":[{"ts_offset_ms":1,"level":"warn","msg":"m"}]', ',"errors":[{"reason":"r"}]', ',"duration_ms":"5"', ',"duration_ms":5', ',"anchor":{"step":"","error_code":"E"}', ',"anchor":{"step":"a","error_code":"E"}',
+        ',"steps":[{"name":"a","start_ms":0,"duration_ms":1,"status":"ok","downstream":{"service":"x"}}]', ',"version":7', ',"fields":[]', ',"parent_span_id":""',
+    )
+    bodies = F.array(*[F.lit(good % x) for x in more])
+    return intake.parse(w.select("event_id", F.get(bodies, (F.col("k") % len(more)).cast("int")).alias("value"))).select("event_id", "reason")
+
+
+@query
+def otlp_events(spark, sf_dir):
+    """Each event as an exported span, of several kinds and with or without exceptions, and the event that is made of it."""
+    w = wide_events(spark, sf_dir)
+    attribute = lambda key, value, kind="stringValue": F.struct(F.lit(key).alias("key"), F.struct(*[(value if kind == k else F.lit(None)).cast("string").alias(k) for k in ("stringValue", "intValue")]).alias("value"))
+    given = lambda when, what: F.when(when, what)
+    k = F.col("k")
+    attributes = F.array_compact(F.array(
+        given(k % 3 == 0, attribute("http.response.status_code", F.when(k % 2 == 0, "200").otherwise("503"), "intValue")), given(k % 3 == 1, attribute("http.request.method", F.lit("GET"))),
+        given(k % 4 == 1, attribute("http.route", F.concat(F.lit("/r"), k % 7))), given(k % 5 != 0, attribute("server.address", F.concat(F.lit("https://db"), k % 3, F.lit(":5432")))),
+    ))
+    thrown = F.when(k % 7 == 0, F.array(F.struct(F.lit("exception").alias("name"), F.array(attribute("exception.type", F.lit("Boom")), attribute("exception.message", F.concat(F.lit("m"), k))).alias("attributes"))))
+    start = F.unix_micros(F.col("ts_start").cast("timestamp"))
+    span = F.struct(
+        F.md5("trace_id").alias("traceId"), F.substring(F.md5(F.col("event_id").cast("string")), 1, 16).alias("spanId"), F.when(k % 6 == 0, F.lit("0" * 16)).otherwise("").alias("parentSpanId"), F.lit("GET /").alias("name"), (k % 6).cast("int").alias("kind"),
+        F.concat(start.cast("string"), F.lit("000")).alias("startTimeUnixNano"), F.concat((start + F.col("duration_ms") * 1000).cast("string"), F.lit("999")).alias("endTimeUnixNano"), attributes.alias("attributes"), thrown.alias("events"),
+        F.struct(F.when(k % 11 == 0, 2).otherwise(0).alias("code"), F.when(k % 22 == 0, "bad").otherwise("").alias("message")).alias("status"),
+    )
+    resource = F.struct(F.array_compact(F.array(given(k % 13 != 0, attribute("service.name", F.col("service"))), attribute("service.version", F.col("version")))).alias("attributes"))
+    body = F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))
+    made = otlp.spans_to_events(w.select(body.alias("body")), datetime(2024, 1, 25))
+    step = F.get("steps", 0)
+    return made.select(
+        "span_id", "drop", "status", "duration_ms", "parent_span_id", F.col("anchor.error_code").alias("code"), F.get("errors", 0)["reason"].alias("reason"), step["name"].alias("step"), step["downstream"]["service"].alias("calls"), step["downstream"]["endpoint"].alias("endpoint"),
+        F.get("logs", 0)["msg"].alias("log"), F.get_json_object("fields", "$.http.status").alias("http_status"), F.get_json_object("fields", "$.otel.span_kind").alias("kind"),
+    )
+
+
+def _alerts(spark, sf_dir):
+    """Alerts of which some name an incident, that may not exist, some a trace, and some leave their environment or time open."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'")
+    named = F.when(k % 7 == 0, F.concat_ws("|", F.concat(F.lit("svc_"), k % 5), F.concat(F.lit("step_"), k % 3), F.concat(F.lit("E"), k % 4), F.date_format("ts", "yyyyMMdd"))).when(k % 7 == 1, "none").otherwise("")
+    return e.select(F.concat(F.lit("sig_"), "event_id").alias("signal_id"), F.concat(F.lit("svc_"), k % 5).alias("service"), F.when(k % 4 == 0, "").when(k % 4 == 1, "test").otherwise("prod").alias("env"), F.when(k % 17 != 0, F.col("ts")).alias("timestamp"),
+                    F.when(k % 3 == 0, F.concat_ws("_", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))).alias("trace_id"), named.alias("alert_incident_id"), F.when(k % 5 != 4, F.concat(F.lit("E"), k % 4)).otherwise("").alias("alert_code"))
+
+
+def _incidents(spark, sf_dir):
+    s = seeds(spark, sf_dir)
+    return s.withColumn("status", F.when(F.col("events") % 3 == 0, "resolved").otherwise("active")).withColumn("severity", F.col("events").cast("int")).withColumn("updated_at", F.col("now"))
+
+
+@query
+def alert_to_incident(spark, sf_dir):
+    w = wide_events(spark, sf_dir)
+    anchors = trace.anchors(w).join(w.select("trace_id", F.col("event_id").cast("string").alias("event_id"), "service", "error_code"), ["trace_id", "event_id"])
+    return correlate.alert_to_incident(_alerts(spark, sf_dir), _incidents(spark, sf_dir), anchors, 600)
+
+
+@query
+def alert_evidence(spark, sf_dir):
+    found = correlate.alert_evidence(seeds(spark, sf_dir), signals(spark, sf_dir), 360)
+    return found.select("incident_id", "signal_id", F.col("place").cast("int").alias("place"))
+
+
+@query
+def deploy_fallback(spark, sf_dir):
+    found = correlate.deploy_signal_fallback(seeds(spark, sf_dir), _deploys(spark, sf_dir), signals(spark, sf_dir), 60 * 24)
+    return found.select("incident_id", "signal_id", "signal_at")
+
+
+@query
+def suspect_change(spark, sf_dir):
+    deploys = _deploys(spark, sf_dir)
+    rates = correlate.deploy_rate_delta(deploys.dropDuplicates(["id"]), wide_events(spark, sf_dir), minutes=600, least=1)
+    s = seeds(spark, sf_dir).withColumn("suspect_deploy_id", F.concat_ws(":", F.lit("otlp"), "service", "env", "version"))
+    return correlate.suspect_change(s, deploys, rates).select("incident_id", "suspect_deploy_id", "deploy_version", "deploy_first_seen")

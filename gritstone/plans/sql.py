@@ -98,10 +98,96 @@ ordered AS (
   FROM placed)
 """
 
+#: The anchor event of each trace.
+_ANCHOR = W.replace("WITH raw", "WITH RECURSIVE raw") + _TREE + _WALK + """,
+above AS (SELECT trace_id, id AS descendant, unnest(chain[:-2]) AS ancestor FROM walk),
+bad AS (SELECT * FROM ids WHERE failed),
+leaf AS (
+  SELECT b.trace_id, b.id, row_number() OVER (PARTITION BY b.trace_id ORDER BY len(k.path) DESC, b.by_time) AS r
+  FROM bad b JOIN walk k ON k.trace_id = b.trace_id AND k.id = b.id
+  WHERE b.usable AND NOT EXISTS (SELECT 1 FROM above a JOIN bad x ON x.trace_id = a.trace_id AND x.id = a.descendant WHERE a.trace_id = b.trace_id AND a.ancestor = b.id)),
+early AS (SELECT trace_id, id, row_number() OVER (PARTITION BY trace_id ORDER BY by_time) AS r FROM bad),
+root AS (SELECT trace_id, id, row_number() OVER (PARTITION BY trace_id ORDER BY CASE WHEN parent_span_id = '' THEN 0 ELSE 1 END, by_time) AS r FROM ids WHERE status <> 'suppressed'),
+orphan AS (
+  SELECT c.trace_id, c.id, row_number() OVER (PARTITION BY c.trace_id ORDER BY c.by_time) AS r FROM ids c LEFT JOIN ids p ON p.trace_id = c.trace_id AND p.id = c.parent_span_id
+  WHERE c.status <> 'suppressed' AND c.parent_span_id <> '' AND (p.id IS NULL OR EXISTS (SELECT 1 FROM ids x WHERE x.trace_id = c.trace_id AND x.parent_span_id = 'missing' AND CAST(x.id AS BIGINT) < CAST(c.id AS BIGINT)))),
+open_root AS (SELECT trace_id, id FROM root JOIN ids USING (trace_id, id) WHERE r = 1 AND parent_span_id = ''),
+anchors AS (
+SELECT t.trace_id, coalesce(l.id, e.id, o.id, q.id, r.id) AS event_id
+FROM (SELECT DISTINCT trace_id FROM ids) t LEFT JOIN leaf l ON l.trace_id = t.trace_id AND l.r = 1 LEFT JOIN early e ON e.trace_id = t.trace_id AND e.r = 1
+LEFT JOIN open_root o ON o.trace_id = t.trace_id LEFT JOIN orphan q ON q.trace_id = t.trace_id AND q.r = 1 LEFT JOIN root r ON r.trace_id = t.trace_id AND r.r = 1)
+"""
+#: Services of each trace in its order, and summaries of traces with an anchor event.
+_SUMMARY = _ANCHOR + """,
+placed AS (SELECT i.*, k.path, count(k.path) OVER (PARTITION BY i.trace_id) = count(*) OVER (PARTITION BY i.trace_id) AND i.usable AS causal FROM ids i LEFT JOIN walk k ON k.trace_id = i.trace_id AND k.id = i.id),
+spot AS (SELECT trace_id, service, row_number() OVER (PARTITION BY trace_id ORDER BY CASE WHEN causal THEN path ELSE [by_time] END) AS place FROM placed),
+used AS (SELECT trace_id, string_agg(service, ',' ORDER BY place) AS services FROM (SELECT trace_id, service, min(place) AS place FROM spot GROUP BY ALL) GROUP BY trace_id),
+summary AS (
+  SELECT w.trace_id, min(ts_start) AS started, max(ts_end) AS ended, CAST(floor((epoch_us(max(ts_end)) - epoch_us(min(ts_start))) / 1000) AS BIGINT) AS duration_ms, count(*) AS events, any_value(u.services) AS services,
+    max(CASE WHEN CAST(w.event_id AS VARCHAR) = a.event_id THEN status END) AS status, max(CASE WHEN CAST(w.event_id AS VARCHAR) = a.event_id THEN service || ':' || step || ':' || error_code END) AS anchor
+  FROM w JOIN anchors a ON a.trace_id = w.trace_id JOIN used u ON u.trace_id = w.trace_id WHERE a.event_id IS NOT NULL GROUP BY w.trace_id)
+"""
+
+#: The events with four steps and logs: what their stories are made of, rule by rule.
+_STORY = """
+, four AS (SELECT event_id, k, trace_id, service, status, CASE WHEN failed THEN CASE WHEN k % 11 = 0 THEN 'absent' ELSE step END END AS anchor_step, unnest([0, 1, 2, 3]) AS j FROM w),
+steps AS (
+  SELECT *, 'step_' || ((k + j) % 3) AS name, (k + 1) * (j + 1) * 7 % 50 AS start_ms, (k + j * 13) % 40 AS duration_ms, CASE WHEN (k + j) % 4 = 0 THEN 'error' ELSE 'ok' END AS step_status,
+    CASE WHEN (k + j) % 2 = 0 THEN 'svc_' || ((k + j) % 5) END AS called
+  FROM four),
+chosen AS (
+  SELECT event_id, start_ms + duration_ms AS until FROM (
+    SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY CASE WHEN step_status = 'error' THEN 0 ELSE 1 END, start_ms DESC, j) AS r FROM steps WHERE name = anchor_step) WHERE r = 1),
+path AS (SELECT s.* FROM steps s LEFT JOIN chosen c USING (event_id) WHERE status <> 'suppressed' AND (c.until IS NULL OR start_ms + duration_ms <= c.until)),
+paths AS (
+  SELECT event_id, string_agg(name || '@' || start_ms, ',' ORDER BY start_ms, j) AS path, min(start_ms) AS first_ms, string_agg(name || '|' || called || '|/' || j, ',' ORDER BY start_ms, j) FILTER (called IS NOT NULL) AS downstream
+  FROM path GROUP BY event_id),
+loud AS (
+  SELECT f.event_id, string_agg('m' || j || '@' || (k * 11 + j * 17) % 90, ',' ORDER BY j) AS logs
+  FROM four f LEFT JOIN chosen c USING (event_id) LEFT JOIN paths p USING (event_id)
+  WHERE status <> 'suppressed' AND (k + j) % 3 > 0 AND (c.until IS NULL OR (k * 11 + j * 17) % 90 BETWEEN coalesce(p.first_ms, 0) AND c.until) GROUP BY f.event_id),
+story AS (
+  SELECT w.trace_id, CAST(w.event_id AS VARCHAR) AS event_id, service, status, coalesce(path, '') AS path, coalesce(logs, '') AS logs, coalesce(downstream, '') AS downstream
+  FROM w LEFT JOIN paths USING (event_id) LEFT JOIN loud USING (event_id))
+"""
+
 _WEEKS = """
 , win AS (SELECT k AS win, TIMESTAMP '2024-01-29' - (k + 1) * INTERVAL 7 DAY AS since, TIMESTAMP '2024-01-29' - k * INTERVAL 7 DAY AS until FROM range(0, 4) r(k))
 """
 
+
+def _lifecycle() -> str:
+    """Three ticks: an active incident that isn't seen recovers; a recovering one is resolved when it was last seen two minutes ago or more; a resolved one that is seen again opens."""
+    text = W + """, r AS (SELECT service || '|' || step || '|' || error_code AS incident_id, day, started_at, now AS last_seen, 'd-' || day AS suspect_deploy_id FROM seeds),
+t10 AS (SELECT incident_id, 'active' AS status, started_at, last_seen, suspect_deploy_id, NULL::VARCHAR AS transition FROM r WHERE day = '20240110')"""
+    for day in (11, 12, 13):
+        text += f""", s{day} AS (SELECT * FROM r WHERE day = '202401{day}'),
+t{day} AS (
+  SELECT coalesce(o.incident_id, s.incident_id) AS incident_id,
+    CASE WHEN s.incident_id IS NOT NULL THEN 'active' WHEN o.status = 'active' THEN 'recovering'
+         WHEN o.status = 'recovering' AND TIMESTAMP '2024-01-{day} 23:59:59' - o.last_seen >= INTERVAL 2 MINUTE THEN 'resolved' ELSE o.status END AS status,
+    coalesce(o.started_at, s.started_at) AS started_at, coalesce(s.last_seen, o.last_seen) AS last_seen, coalesce(o.suspect_deploy_id, s.suspect_deploy_id) AS suspect_deploy_id,
+    CASE WHEN s.incident_id IS NOT NULL AND (o.incident_id IS NULL OR o.status = 'resolved') THEN 'opened'
+         WHEN s.incident_id IS NULL AND o.status = 'recovering' AND TIMESTAMP '2024-01-{day} 23:59:59' - o.last_seen >= INTERVAL 2 MINUTE THEN 'resolved' END AS transition
+  FROM t{day - 1} o FULL JOIN s{day} s ON o.incident_id = s.incident_id)"""
+    return text + " SELECT * FROM t13"
+
+
+#: The spans of otlp_events, with what their attributes say.
+_SPANS = W + """
+, span AS (
+  SELECT *, substr(md5(CAST(event_id AS VARCHAR)), 1, 16) AS span_id, CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN 200 ELSE 503 END END AS answered, k % 4 = 1 AS routed, k % 7 = 0 AS threw,
+    k % 7 = 0 OR k % 11 = 0 AS wrong, k % 6 AS kind
+  FROM w),
+outcome AS (
+  SELECT *, answered IS NOT NULL OR k % 3 = 1 OR routed AS http, coalesce(answered, CASE WHEN wrong THEN 500 ELSE 200 END) AS code_, wrong OR coalesce(answered >= 500, false) AS bad,
+    CASE WHEN routed THEN '/r' || k % 7 ELSE 'GET /' END AS step_name
+  FROM span),
+told AS (
+  SELECT *, CASE WHEN threw THEN 'Boom' ELSE 'HTTP_' || code_ END AS error_, CASE WHEN threw THEN 'm' || k WHEN k % 22 = 0 THEN 'bad' ELSE 'otlp span reported error' END AS reason_, kind IN (3, 4) AND k % 5 <> 0 AS calls_
+  FROM outcome)
+"""
+
 ORACLES: dict[str, str] = {
     "event_search": W + ", r AS (" + _RANKED + ") SELECT event_id, ts_start, service, status, trace_id, n > 50 AS more FROM r WHERE r <= 50",
     "event_search_page2": W + ", r AS (" + _RANKED + ") SELECT event_id, ts_start, service, status, trace_id, n > 100 AS more FROM r WHERE r BETWEEN 51 AND 100",
@@ -118,31 +204,18 @@ ORACLES: dict[str, str] = {
     "service_index": W + "SELECT service, min(ts_end) AS first_seen, max(ts_end) AS last_seen FROM w GROUP BY service",
     "error_index": W + "SELECT service, step, error_code, count(*) AS failures, min(ts_end) AS first_seen, max(ts_end) AS last_seen FROM w WHERE failed GROUP BY service, step, error_code",
     "call_edges": W + "SELECT service AS from_service, 'svc_' || ((k + 1) % 5) AS to_service, '/' || event_type AS endpoint, count(*) AS calls, min(ts_end) AS first_seen, max(ts_end) AS last_seen FROM w WHERE status <> 'suppressed' GROUP BY ALL",
-    "index_sizes": W + "SELECT count(DISTINCT event_id) AS events, count(DISTINCT trace_id) AS traces, count(DISTINCT service) AS services, count(DISTINCT CASE WHEN failed THEN service || '|' || step || '|' || error_code END) AS errors FROM w",
+    "index_sizes": W + "SELECT count(DISTINCT event_id) AS events, count(DISTINCT trace_id) AS traces, count(DISTINCT service) AS services, count(DISTINCT CASE WHEN failed THEN service || '|' || step || '|' || error_code END) AS errors, count(DISTINCT CASE WHEN status <> 'suppressed' THEN service || '|' || (k + 1) % 5 || '|' || event_type END) AS calls FROM w",
     "minute_counters": W + "SELECT date_trunc('minute', ts_start) AS minute, count(*) AS total, count(*) FILTER (failed) AS errors FROM w GROUP BY 1",
     "service_error_rate": W + "SELECT count(*) AS requests, count(*) FILTER (failed) AS failures FROM w WHERE service = 'svc_3' AND ts_start BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'",
-    "recent_traces": W + """, hit AS (SELECT DISTINCT trace_id FROM w WHERE error_code = 'E3' AND status <> 'suppressed'), whole AS (SELECT w.* FROM w JOIN hit USING (trace_id)),
-firsts AS (SELECT trace_id, string_agg(service, ',' ORDER BY f_ts, f_id) AS services FROM (SELECT trace_id, service, min(ts_start) AS f_ts, arg_min(event_id, ts_start) AS f_id FROM whole GROUP BY ALL) GROUP BY trace_id)
-SELECT trace_id, min(ts_start) AS started, max(ts_end) AS ended, CAST(floor((epoch_us(max(ts_end)) - epoch_us(min(ts_start))) / 1000) AS BIGINT) AS duration_ms, count(*) AS events, any_value(services) AS services, bool_or(failed) AS has_failed FROM whole JOIN firsts USING (trace_id) GROUP BY trace_id""",
     "trace_order": _ORDER + "SELECT trace_id, event_id, place, linkage FROM ordered",
     "trace_linkage": _ORDER + "SELECT linkage, count(DISTINCT trace_id) AS traces FROM ordered GROUP BY linkage",
-    "trace_anchor": W.replace("WITH raw", "WITH RECURSIVE raw") + _TREE + _WALK + """,
-above AS (SELECT trace_id, id AS descendant, unnest(chain[:-2]) AS ancestor FROM walk),
-bad AS (SELECT * FROM ids WHERE failed),
-leaf AS (
-  SELECT b.trace_id, b.id, row_number() OVER (PARTITION BY b.trace_id ORDER BY len(k.path) DESC, b.by_time) AS r
-  FROM bad b JOIN walk k ON k.trace_id = b.trace_id AND k.id = b.id
-  WHERE b.usable AND NOT EXISTS (SELECT 1 FROM above a JOIN bad x ON x.trace_id = a.trace_id AND x.id = a.descendant WHERE a.trace_id = b.trace_id AND a.ancestor = b.id)),
-early AS (SELECT trace_id, id, row_number() OVER (PARTITION BY trace_id ORDER BY by_time) AS r FROM bad),
-root AS (SELECT trace_id, id, row_number() OVER (PARTITION BY trace_id ORDER BY CASE WHEN parent_span_id = '' THEN 0 ELSE 1 END, by_time) AS r FROM ids WHERE status <> 'suppressed'),
-orphan AS (
-  SELECT c.trace_id, c.id, row_number() OVER (PARTITION BY c.trace_id ORDER BY c.by_time) AS r FROM ids c LEFT JOIN ids p ON p.trace_id = c.trace_id AND p.id = c.parent_span_id
-  WHERE c.status <> 'suppressed' AND c.parent_span_id <> '' AND (p.id IS NULL OR EXISTS (SELECT 1 FROM ids x WHERE x.trace_id = c.trace_id AND x.parent_span_id = 'missing' AND CAST(x.id AS BIGINT) < CAST(c.id AS BIGINT)))),
-open_root AS (SELECT trace_id, id FROM root JOIN ids USING (trace_id, id) WHERE r = 1 AND parent_span_id = '')
-SELECT t.trace_id, coalesce(l.id, e.id, o.id, q.id, r.id) AS event_id
-FROM (SELECT DISTINCT trace_id FROM ids) t LEFT JOIN leaf l ON l.trace_id = t.trace_id AND l.r = 1 LEFT JOIN early e ON e.trace_id = t.trace_id AND e.r = 1
-LEFT JOIN open_root o ON o.trace_id = t.trace_id LEFT JOIN orphan q ON q.trace_id = t.trace_id AND q.r = 1 LEFT JOIN root r ON r.trace_id = t.trace_id AND r.r = 1""",
-    "trace_story_path": W + "SELECT event_id, CASE WHEN status <> 'suppressed' THEN 'step_' || (k % 3) END AS path, CASE WHEN status <> 'suppressed' THEN 'svc_' || ((k + 1) % 5) END AS downstream FROM w",
+    "trace_anchor": _ANCHOR + " SELECT trace_id, event_id FROM anchors",
+    "trace_story_path": W + _STORY + "SELECT * FROM story",
+    "story_by_trace": _ANCHOR + _STORY + "SELECT s.* FROM story s JOIN anchors a ON a.trace_id = s.trace_id AND a.event_id = s.event_id",
+    "recent_traces": _SUMMARY + "SELECT * FROM summary WHERE trace_id IN (SELECT trace_id FROM w WHERE error_code = 'E3' AND status <> 'suppressed')",
+    "recent_traces_page2": _SUMMARY + """, r AS (
+  SELECT *, row_number() OVER (ORDER BY started DESC, trace_id) AS r, count(*) OVER () AS n FROM summary WHERE trace_id IN (SELECT trace_id FROM w WHERE service = 'svc_2' AND status <> 'suppressed' AND ts_start >= TIMESTAMP '2024-01-10'))
+SELECT trace_id, started, status, anchor, n > 60 AS more FROM r WHERE r BETWEEN 31 AND 60""",
     "spike_detect": W + _WEEKS + """, c AS (SELECT service, step, error_code, count(*) FILTER (win = 0) AS n0, list_sort([count(*) FILTER (win = 1), count(*) FILTER (win = 2), count(*) FILTER (win = 3)])[2] AS baseline FROM w JOIN win ON ts_start BETWEEN since AND until WHERE failed GROUP BY ALL)
 SELECT service, step, error_code, n0, baseline, round(CASE WHEN baseline > 0 THEN n0 / baseline ELSE n0::DOUBLE END, 6) AS lift FROM c WHERE n0 >= 5 AND (baseline = 0 OR n0 / baseline >= 1.2::DOUBLE)""",
     "traffic_anomaly": W + _WEEKS + """, c AS (SELECT service, count(*) FILTER (win = 0) AS n0, list_sort([count(*) FILTER (win = 1), count(*) FILTER (win = 2), count(*) FILTER (win = 3)])[2] AS baseline FROM w JOIN win ON ts_start BETWEEN since AND until GROUP BY ALL)
@@ -160,10 +233,7 @@ l AS (SELECT service, tick_no, direction, CAST(row_number() OVER (PARTITION BY s
 SELECT * FROM l WHERE run_length >= 2""",
     "stable_incident_id": W + "SELECT incident_id AS seed, 'inc_' || substr(sha256(env || '|' || service || '|' || service || ':' || step || ':' || error_code || '|' || strftime(time_bucket(INTERVAL 5 MINUTE, started_at), '%Y-%m-%dT%H:%M:%SZ')), 1, 16) AS incident_id FROM seeds",
     "severity_score": W + "SELECT incident_id, CAST(least(10, 1 + events // 5 + users + CASE WHEN events / 2 >= 10 THEN 3 WHEN events / 2 >= 3 THEN 2 ELSE 0 END) AS INTEGER) AS severity FROM seeds",
-    "incident_lifecycle": W + """, r AS (SELECT service || '|' || step || '|' || error_code AS incident_id, day, started_at, now FROM seeds), o AS (SELECT * FROM r WHERE day = '20240110'), s AS (SELECT * FROM r WHERE day = '20240111')
-SELECT coalesce(o.incident_id, s.incident_id) AS incident_id, CASE WHEN s.incident_id IS NOT NULL THEN 'active' WHEN epoch(TIMESTAMP '2024-01-11 23:59:59') - floor(epoch(o.now)) >= 120 THEN 'resolved' ELSE 'recovering' END AS status, coalesce(o.started_at, s.started_at) AS started_at, coalesce(s.now, o.now) AS last_seen, CAST(NULL AS VARCHAR) AS suspect_deploy_id,
-  CASE WHEN o.incident_id IS NULL THEN 'opened' WHEN s.incident_id IS NULL AND epoch(TIMESTAMP '2024-01-11 23:59:59') - floor(epoch(o.now)) >= 120 THEN 'resolved' END AS transition
-FROM o FULL JOIN s ON o.incident_id = s.incident_id""",
+    "incident_lifecycle": _lifecycle(),
     "deploy_detect": W + "SELECT id, service, version, first_seen FROM dep",
     "deploy_upsert": W + ", u AS (SELECT service || ':' || version AS id, service, env, CASE WHEN k % 2 = 0 THEN version ELSE '' END AS version, ts_start, ts_end, event_id FROM w) SELECT id, min(service) AS service, min(env) AS env, arg_max(version, event_id) FILTER (version <> '') AS version, min(ts_start) AS first_seen, max(ts_end) AS last_seen, count(*) AS writes FROM u GROUP BY id HAVING count(DISTINCT env) = 1",
     "deploy_rate_delta": W + """, d AS (SELECT DISTINCT id, service, first_seen FROM dep), c AS (
@@ -195,4 +265,32 @@ SELECT event_id, trace_id, status FROM w JOIN h USING (trace_id) WHERE failed OR
     "validate_reasons": W + "SELECT event_id, CASE WHEN k % 11 = 0 THEN 'invalid_json' WHEN k % 13 = 0 THEN 'bridge_not_implemented' WHEN k % 17 = 0 THEN 'schema_validation_failed' END AS reason FROM w",
     "span_event_ids": W + ", h AS (SELECT event_id, sha256(trace_id || ':' || event_id) AS h FROM w) SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM h",
     "alert_normalize": W + "SELECT event_id, CASE k % 4 WHEN 0 THEN 'native' WHEN 1 THEN 'alertmanager' WHEN 2 THEN 'grafana' ELSE 'pagerduty' END AS provider, service, CASE k % 4 WHEN 1 THEN 'info' WHEN 2 THEN 'critical' ELSE 'warning' END AS severity, CASE k % 4 WHEN 0 THEN 'why' WHEN 1 THEN 'Alert' WHEN 2 THEN 't' ELSE 'late' END AS reason, CASE WHEN k % 4 = 3 THEN 'missing_fields' END AS error FROM w WHERE failed",
+    "counter_window": W + "SELECT count(*) AS total, count(*) FILTER (failed) AS errors FROM w WHERE date_trunc('minute', ts_start) BETWEEN TIMESTAMP '2024-01-20' - INTERVAL 90 MINUTE AND TIMESTAMP '2024-01-20'",
+    "schema_rules": W + "SELECT event_id, CASE WHEN k % 17 IN (1, 3, 4, 5, 6, 8, 9, 11, 13, 14, 15) THEN 'schema_validation_failed' END AS reason FROM w",
+    "otlp_events": _SPANS + """SELECT span_id, CASE WHEN k % 13 = 0 THEN 'missing_service' WHEN NOT http THEN 'unsupported_kind' WHEN ts_start > TIMESTAMP '2024-01-25' + INTERVAL 5 MINUTE THEN 'future_timestamp' END AS drop,
+  CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, duration_ms, '' AS parent_span_id, CASE WHEN bad THEN error_ END AS code, CASE WHEN bad THEN reason_ END AS reason, step_name AS step, CASE WHEN calls_ THEN 'db' || k % 3 END AS calls,
+  CASE WHEN calls_ THEN CASE WHEN routed THEN '/r' || k % 7 ELSE '' END END AS endpoint, CASE WHEN bad THEN reason_ END AS log, CAST(code_ AS VARCHAR) AS http_status,
+  ['SPAN_KIND_UNSPECIFIED', 'SPAN_KIND_INTERNAL', 'SPAN_KIND_SERVER', 'SPAN_KIND_CLIENT', 'SPAN_KIND_PRODUCER', 'SPAN_KIND_CONSUMER'][kind + 1] AS kind FROM told""",
+    "alert_to_incident": _ANCHOR + """,
+inc AS (SELECT incident_id, service, error_code, env, CASE WHEN events % 3 = 0 THEN 'resolved' ELSE 'active' END AS status, events AS severity, started_at, now AS updated_at FROM seeds),
+al AS (
+  SELECT 'sig_' || event_id AS signal_id, 'svc_' || k % 5 AS service, CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN 'test' ELSE 'prod' END AS env, CASE WHEN k % 17 <> 0 THEN ts_start END AS at_, CASE WHEN k % 3 = 0 THEN trace_id END AS trace_id,
+    CASE k % 7 WHEN 0 THEN 'svc_' || k % 5 || '|step_' || k % 3 || '|E' || k % 4 || '|' || strftime(ts_start, '%Y%m%d') WHEN 1 THEN 'none' ELSE '' END AS named, CASE WHEN k % 5 <> 4 THEN 'E' || k % 4 ELSE '' END AS code
+  FROM w WHERE event_type = 'signup'),
+asked AS (
+  SELECT al.signal_id, 2 AS way, w.service AS s, w.error_code AS c, al.env, al.at_ FROM al JOIN anchors a ON a.trace_id = al.trace_id JOIN w ON w.trace_id = a.trace_id AND CAST(w.event_id AS VARCHAR) = a.event_id WHERE w.error_code IS NOT NULL
+  UNION ALL SELECT signal_id, 3, service, code, env, at_ FROM al WHERE code <> ''),
+hits AS (
+  SELECT signal_id, incident_id, 1 AS way, severity, started_at FROM al JOIN inc ON incident_id = named
+  UNION ALL
+  SELECT signal_id, incident_id, way, severity, started_at FROM asked JOIN inc ON inc.service = s AND inc.error_code = c AND inc.status = 'active' AND (asked.env = '' OR asked.env = inc.env)
+    AND (at_ IS NULL OR at_ BETWEEN started_at - INTERVAL 600 MINUTE AND updated_at + INTERVAL 600 MINUTE))
+SELECT signal_id, incident_id, way FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY way, severity DESC, started_at DESC, incident_id) AS r FROM hits) WHERE r = 1""",
+    "alert_evidence": W + """SELECT s.incident_id, g.signal_id, CAST(row_number() OVER (PARTITION BY s.incident_id ORDER BY CASE g.severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END DESC, g.at_ DESC, g.signal_id) AS INTEGER) AS place
+FROM seeds s JOIN sig g ON g.type = 'alert' AND g.service = s.service AND g.at_ BETWEEN s.started_at - INTERVAL 360 MINUTE AND s.now""",
+    "deploy_fallback": W + """SELECT incident_id, signal_id, at_ AS signal_at FROM (
+  SELECT s.incident_id, g.signal_id, g.at_, row_number() OVER (PARTITION BY s.incident_id ORDER BY g.at_ DESC, g.signal_id DESC) AS r FROM seeds s JOIN sig g ON g.type = 'deploy' AND g.service = s.service AND g.at_ BETWEEN s.now - INTERVAL 24 HOUR AND s.now
+  WHERE NOT EXISTS (SELECT 1 FROM dep d WHERE d.service = s.service AND d.version = s.version AND d.first_seen BETWEEN s.now - INTERVAL 24 HOUR AND s.now)) WHERE r = 1""",
+    "suspect_change": W + """, d AS (SELECT id, min(first_seen) AS first_seen, any_value(version) AS version FROM dep GROUP BY id)
+SELECT s.incident_id, 'otlp:' || s.service || ':' || s.env || ':' || s.version AS suspect_deploy_id, d.version AS deploy_version, d.first_seen AS deploy_first_seen FROM seeds s LEFT JOIN d ON d.id = 'otlp:' || s.service || ':' || s.env || ':' || s.version""",
 }

@@ -12,7 +12,8 @@ def wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request event of each row of `events`: service, step and code from its key, a trace for each user and day, each event called by the one before it, with some parents that nothing owns."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    rows = e.select("event_id", F.col("ts").alias("ts_start"), F.floor("value").cast("bigint").alias("duration_ms"), "event_type", F.col("user_id").cast("string").alias("user_id"), k.alias("k"))
+    # A row for a row: the key is parsed once here, and not again for each column made of it.
+    rows = e.select("event_id", F.col("ts").alias("ts_start"), F.floor("value").cast("bigint").alias("duration_ms"), "event_type", F.col("user_id").cast("string").alias("user_id"), F.explode(F.array(k)).alias("k"))
     status = (
         F.when(F.col("event_type") == "error", F.when(F.col("k") % 10 == 0, "timeout").when(F.col("k") % 10 == 1, "partial").when(F.col("k") % 10 == 2, "aborted").otherwise("error"))
         .when((F.col("event_type") == "view") & (F.col("k") % 20 == 0), "suppressed")
@@ -49,3 +50,18 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("ts_start", "yyyyMMdd")
     rows = w.groupBy("env", "service", "step", "error_code", day.alias("day")).agg(F.min("ts_start").alias("started_at"), F.max("ts_start").alias("now"), F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"), F.count_distinct("trace_id").alias("requests"), F.max("version").alias("version"))
     return rows.withColumn("incident_id", F.concat_ws("|", "service", "step", "error_code", "day")).withColumn("downstream_service", F.concat(F.lit("svc_"), (F.substring("service", 5, 1).cast("int") + 1) % 5))
+
+
+def long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide events with four steps and four logs each, made of the key; every eleventh failed one's anchor names no step."""
+    w = wide_events(spark, sf_dir)
+    steps = F.transform(F.array(*[F.lit(j) for j in range(4)]), lambda j: F.struct(
+        F.concat(F.lit("step_"), (F.col("k") + j) % 3).alias("name"), F.concat_ws("-", F.col("event_id").cast("string"), j.cast("string")).alias("span_id"), ((F.col("k") + 1) * (j + 1) * 7 % 50).alias("start_ms"), ((F.col("k") + j * 13) % 40).alias("duration_ms"),
+        F.when((F.col("k") + j) % 4 == 0, "error").otherwise("ok").alias("status"),
+        F.when((F.col("k") + j) % 2 == 0, F.struct(F.concat(F.lit("svc_"), (F.col("k") + j) % 5).alias("service"), F.concat(F.lit("/"), j.cast("string")).alias("endpoint"))).alias("downstream"),
+    ))
+    levels = F.array(*[F.lit(x) for x in ("info", "warn", "error")])
+    logs = F.transform(F.array(*[F.lit(j) for j in range(4)]), lambda j: F.struct((F.col("k") * 11 + j * 17).alias("n"), j.alias("j"))) 
+    logs = F.transform(logs, lambda x: F.struct((x["n"] % 90).alias("ts_offset_ms"), F.get(levels, ((F.col("k") + x["j"]) % 3).cast("int")).alias("level"), F.concat(F.lit("m"), x["j"].cast("string")).alias("msg")))
+    anchor = F.when(failed(), F.struct(F.when(F.col("k") % 11 == 0, "absent").otherwise(F.col("step")).alias("step"), "error_code"))
+    return w.withColumn("steps", steps).withColumn("logs", logs).withColumn("anchor", anchor)

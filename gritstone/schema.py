@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 FAILED = ("error", "timeout", "partial", "aborted")
 STATUSES = ("ok", *FAILED, "suppressed")
+STEP_STATUSES, LOG_LEVELS = ("ok", "error"), ("info", "warn", "error")
 
 
 def _struct(**fields: T.DataType) -> T.StructType:

@@ -5,49 +5,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import event_uuid, first_text, host_of
+from ..functions.text import event_uuid, host_of
 
 _ATTRIBUTES = "array<struct<key:string,value:struct<stringValue:string,intValue:string,boolValue:boolean,doubleValue:double>>>"
-SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{_ATTRIBUTES},status:struct<code:int,message:string>>"
+_EVENT = f"struct<name:string,attributes:{_ATTRIBUTES}>"
+SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{_ATTRIBUTES},events:array<{_EVENT}>,status:struct<code:int,message:string>>"
 EXPORT = f"struct<resourceSpans:array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeSpans:array<struct<spans:array<{SPAN}>>>>>>"
-#: Span kinds and the status code of an error.
+#: Names of span kinds by number, the kinds that call others, and the status code of an error.
+KINDS = ("SPAN_KIND_UNSPECIFIED", "SPAN_KIND_INTERNAL", "SPAN_KIND_SERVER", "SPAN_KIND_CLIENT", "SPAN_KIND_PRODUCER", "SPAN_KIND_CONSUMER")
 CLIENT, PRODUCER, ERROR = 3, 4, 2
 
 
-def attribute(attributes: str, *names: str) -> Column:
-    """The first of the attributes that is not blank, as text."""
-    def one(name):
-        v = F.get(F.filter(attributes, lambda a: a["key"] == name), 0)["value"]
-        return F.coalesce(v["stringValue"], v["intValue"], v["boolValue"].cast("string"), v["doubleValue"].cast("string"))
+def _value(attributes: Column | str, name: str) -> Column:
+    return F.get(F.filter(attributes, lambda a: a["key"] == name), 0)["value"]
 
-    return first_text(*[one(n) for n in names])
 
+def _text(attributes: Column | str, *names: str) -> Column:
+    """The first of the attributes that is a string and not empty; else ''."""
+    return F.coalesce(*[F.nullif(_value(attributes, n)["stringValue"], F.lit("")) for n in names], F.lit(""))
 
-def spans_to_events(exports: DataFrame, now=None) -> DataFrame:
-    """exports: body, a JSON export request. A row for each span: the event's columns, and drop, the reason that it makes none (missing_service, missing_trace_id, invalid_span, future_timestamp) or null."""
+
+def spans_to_events(exports: DataFrame, now=None, step_attribute: str = "event.step", code_attribute: str = "event.error_code") -> DataFrame:
+    """exports: body, a JSON export request. A row for each span: the event's columns, and drop, the reason that it makes none (missing_service, missing_trace_id, invalid_span, unsupported_kind: it isn't of HTTP; future_timestamp) or null.
+
+    step_attribute, code_attribute: attributes by which a span names its step and error code itself. Malformed bodies and those without spans make no row. A span without start or end has null times and length.
+    """
     rows = exports.select(F.from_json("body", EXPORT).alias("x")).select(F.explode("x.resourceSpans").alias("r")).select("r.resource.attributes", F.explode("r.scopeSpans").alias("s")).select("attributes", F.explode("s.spans").alias("s"))
     rows = rows.select(F.col("attributes").alias("resource"), "s.*")
     zero = lambda c: F.coalesce(F.col(c), F.lit("")).rlike("^0*$")
     micros = lambda c: F.expr(f"cast({c} as bigint) div 1000")  # noqa: E731  nanoseconds are beyond a double
-    http = F.coalesce(attribute("attributes", "http.response.status_code", "http.status_code").try_cast("int"), F.lit(0))
-    error = (F.coalesce(F.col("status.code"), F.lit(0)) == ERROR) | (http >= 500)
-    step = first_text(attribute("attributes", "http.route"), attribute("attributes", "rpc.method"), attribute("attributes", "db.operation.name", "db.operation"), F.col("name"))
-    code = first_text(attribute("attributes", "error.type"), attribute("attributes", "exception.type"), F.when(http >= 500, F.concat(F.lit("HTTP_"), http.cast("string"))), F.lit("OTEL_ERROR"))
-    end = F.greatest(micros("startTimeUnixNano"), micros("endTimeUnixNano"))
-    peer = host_of(attribute("attributes", "peer.service", "server.address", "net.peer.name"))
-    calls = F.col("kind").isin(CLIENT, PRODUCER) & (peer != "")
-    downstream = F.when(calls, F.struct(peer.alias("service"), first_text(attribute("attributes", "url.path", "http.target"), F.col("name")).alias("endpoint"), F.lit("http").alias("kind")))
+
+    thrown = F.filter(F.coalesce("events", F.array().cast(f"array<{_EVENT}>")), lambda e: e["name"] == "exception")
+    wrong = F.coalesce(F.col("status.code") == ERROR, F.lit(False)) | (F.size(thrown) > 0)
+    answered = _value("attributes", "http.response.status_code")["intValue"].try_cast("int")
+    has_answer = F.coalesce(answered > 0, F.lit(False))
+    http = has_answer | _value("attributes", "http.request.method").isNotNull() | _value("attributes", "http.route").isNotNull()
+    status_code = F.when(has_answer, answered).when(wrong, 500).otherwise(200)
+    error = wrong | (has_answer & (answered >= 500))
+
+    rows = rows.select("*", thrown.alias("thrown"), http.alias("is_http"), status_code.alias("status_code"), error.alias("is_error"))
+    own = lambda x: F.nullif(x, F.lit(""))
+    step = F.coalesce(own(_text("attributes", step_attribute, "http.route")), own(F.col("name")), F.lit("otlp.span"))
+    attribute_of = lambda e, name: F.nullif(_text(e["attributes"], name), F.lit(""))
+    typed = F.get(F.filter("thrown", lambda e: attribute_of(e, "exception.type").isNotNull()), 0)
+    told = F.get(F.filter("thrown", lambda e: attribute_of(e, "exception.message").isNotNull()), 0)
+    any_reason = F.coalesce(attribute_of(told, "exception.message"), own(F.col("status.message")), F.lit("otlp span reported error"))
+    own_code, typed_code = own(_text("attributes", code_attribute)), attribute_of(typed, "exception.type")
+    code = F.coalesce(own_code, typed_code, F.concat(F.lit("HTTP_"), F.col("status_code").cast("string")))
+    reason = F.when(own_code.isNull() & typed_code.isNotNull(), _text(typed["attributes"], "exception.message")).otherwise(any_reason)
+    rows = rows.select("*", step.alias("step"), code.alias("code"), reason.alias("reason"))
+
+    service = _text("resource", "service.name")
     start_at = F.timestamp_micros(micros("startTimeUnixNano"))
-    service = attribute("resource", "service.name")
-    drop = F.when(service == "", "missing_service").when(zero("traceId"), "missing_trace_id").when(zero("spanId"), "invalid_span")
+    drop = F.when(service == "", "missing_service").when(zero("traceId"), "missing_trace_id").when(zero("spanId"), "invalid_span").when(~F.col("is_http"), "unsupported_kind")
     if now is not None:
         drop = F.coalesce(drop, F.when(F.unix_micros(start_at) > F.unix_micros(F.lit(now).cast("timestamp")) + 300_000_000, "future_timestamp"))
-    length = F.floor((end - micros("startTimeUnixNano")) / 1000)
+    nanos = lambda c: F.col(c).cast("decimal(20,0)")
+    length = F.when(nanos("endTimeUnixNano") < nanos("startTimeUnixNano"), 0).otherwise(F.floor((nanos("endTimeUnixNano") - nanos("startTimeUnixNano")) / 1_000_000)).cast("bigint")
+    end = F.greatest(micros("startTimeUnixNano"), micros("endTimeUnixNano"))
+    peer = host_of(_text("attributes", "peer.service", "server.address", "net.peer.name"))
+    downstream = F.struct(peer.alias("service"), _text("attributes", "http.route", "url.path", "http.target").alias("endpoint"), F.lit("http").alias("kind"))
+    fault = F.struct(F.col("code"), F.col("reason"), F.lit("otlp").alias("cause"))
+    when_wrong = lambda x: F.when(F.col("is_error"), x)
+    state = F.when(F.col("is_error"), "error").otherwise("ok")
+    fields = F.to_json(F.struct(
+        F.struct(F.col("status_code").alias("status"), own(_text("attributes", "http.request.method")).alias("method"), own(_text("attributes", "http.route")).alias("route")).alias("http"),
+        F.struct(F.coalesce("name", F.lit("")).alias("span_name"), F.coalesce(F.get(F.array(*[F.lit(k) for k in KINDS]), F.coalesce("kind", F.lit(0))), F.col("kind").cast("string")).alias("span_kind")).alias("otel"),
+    ))
+    log = F.struct(F.lit(0).cast("bigint").alias("ts_offset_ms"), F.lit("error").alias("level"), F.when(F.col("reason") == "", F.col("code")).otherwise(F.col("reason")).alias("msg"), F.to_json(F.struct(F.col("code").alias("error_code"))).alias("fields"))
     return rows.select(
-        event_uuid(F.col("traceId"), F.col("spanId")).alias("event_id"), start_at.alias("ts_start"), F.timestamp_micros(end).alias("ts_end"), length.alias("duration_ms"), service.alias("service"),
-        first_text(attribute("resource", "deployment.environment.name"), attribute("resource", "deployment.environment"), F.lit("unknown")).alias("env"), attribute("resource", "service.version").alias("version"),
-        F.col("traceId").alias("trace_id"), F.col("spanId").alias("span_id"), F.coalesce("parentSpanId", F.lit("")).alias("parent_span_id"), F.when(error, "error").otherwise("ok").alias("status"),
-        F.when(error, F.struct(step.alias("step"), code.alias("error_code"), F.lit("otel").alias("kind"))).alias("anchor"),
-        F.array(F.struct(step.alias("name"), F.col("spanId").alias("span_id"), F.lit(0).cast("bigint").alias("start_ms"), length.alias("duration_ms"), F.when(error, "error").otherwise("ok").alias("status"), downstream.alias("downstream"))).alias("steps"),
+        event_uuid(F.lower("traceId"), F.lower("spanId")).alias("event_id"), start_at.alias("ts_start"), F.timestamp_micros(end).alias("ts_end"), length.alias("duration_ms"), service.alias("service"),
+        F.coalesce(own(_text("resource", "deployment.environment.name", "deployment.environment")), F.lit("unknown")).alias("env"), _text("resource", "service.version").alias("version"),
+        F.lower("traceId").alias("trace_id"), F.lower("spanId").alias("span_id"), F.when(zero("parentSpanId"), "").otherwise(F.lower("parentSpanId")).alias("parent_span_id"), state.alias("status"),
+        when_wrong(F.struct(F.col("step"), F.col("code").alias("error_code"), F.lit("otlp").alias("kind"))).alias("anchor"),
+        F.array(F.struct(
+            F.col("step").alias("name"), F.lower("spanId").alias("span_id"), F.lit(0).cast("bigint").alias("start_ms"), length.alias("duration_ms"), state.alias("status"),
+            F.when(F.col("kind").isin(CLIENT, PRODUCER) & (peer != ""), downstream).alias("downstream"), when_wrong(fault).alias("error"),
+        )).alias("steps"),
+        F.when(F.col("is_error"), F.array(log)).alias("logs"), fields.alias("fields"), F.when(F.col("is_error"), F.array(F.struct("code", "reason"))).alias("errors"),
         F.col("name").alias("span_name"), drop.alias("drop"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -40,21 +41,31 @@ def service_counters(events: DataFrame, late: str = "24 hours") -> DataFrame:
 
 
 def detector(events: DataFrame, history: Callable[[SparkSession], DataFrame], report: Callable[[DataFrame, datetime], None], checkpoint: str, now: Callable[[], datetime], length: timedelta = timedelta(minutes=10), every: str = "30 seconds", once: bool = False, **thresholds) -> StreamingQuery:
-    """At each trigger, error spikes over the events so far go to `report`. history: reads the stored events; the stream only says that there are new ones."""
+    """At each trigger, error spikes over the last four windows go to `report`. history: reads the stored events, of which the windows' bounds choose the files; the stream only says that there are new ones."""
 
     def tick(batch: DataFrame, _: int) -> None:
         at = now()
         spark = batch.sparkSession
-        report(detect.error_spikes(history(spark), detect.windows(spark, [at], length), **thresholds), at)
+        report(detect.error_spikes(history(spark), detect.windows([at], length), **thresholds), at)
 
     trigger = {"availableNow": True} if once else {"processingTime": every}
     return events.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def notify(transitions: DataFrame, send: Callable[[list[dict]], None], most: int = 1000) -> None:
-    """Hands opened and resolved incidents, which are few, to a sender, which may fail without failing the batch."""
-    rows = [r.asDict() for r in transitions.where("transition is not null").limit(most).collect()]
-    try:
-        send(rows)
-    except OSError:
-        pass
+def notify(transitions: DataFrame, send: Callable[[list[dict]], None], at_once: int = 1000) -> None:
+    """Hands all opened and resolved incidents to a sender, in lists of at most so many; a list that it fails on is left out and the others still go. Rows come to the driver part by part."""
+    part: list[dict] = []
+
+    def hand(rows: list[dict]) -> None:
+        try:
+            send(rows)
+        except Exception as error:  # a sender's failure is not the batch's
+            warnings.warn(f"{len(rows)} transitions were not sent: {error}", stacklevel=2)
+
+    for row in transitions.where("transition is not null").toLocalIterator():
+        part.append(row.asDict())
+        if len(part) == at_once:
+            hand(part)
+            part = []
+    if part:
+        hand(part)

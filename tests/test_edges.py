@@ -88,13 +88,53 @@ def test_alert_providers(spark):
 
 def test_otlp(spark):
     attr = lambda **kw: [{"key": k.replace("_", "."), "value": {"stringValue": v}} for k, v in kw.items()]
-    span = {"traceId": "ab" * 16, "spanId": "cd" * 8, "name": "GET /", "kind": 3, "startTimeUnixNano": "1704067200000000000", "endTimeUnixNano": "1704067200250000000", "attributes": attr(peer_service="http://db:5432"), "status": {"code": 2}}
-    body = {"resourceSpans": [{"resource": {"attributes": attr(service_name="s")}, "scopeSpans": [{"spans": [span, span | {"spanId": "0" * 16}]}]}, {"resource": {"attributes": []}, "scopeSpans": [{"spans": [span]}]}]}
-    good, bad, none = sorted(otlp.spans_to_events(spark.createDataFrame([(json.dumps(body),)], "body string"), datetime(2024, 1, 2)).collect(), key=lambda r: (r.drop or "", r.service))
-    assert (good.duration_ms, good.status, good.env, good.anchor.error_code, good.steps[0].downstream.service) == (250, "error", "unknown", "OTEL_ERROR", "db")
-    assert good.event_id[14] == "5" and len(good.event_id) == 36
-    assert {bad.drop, none.drop} == {"invalid_span", "missing_service"}
-
+    http = [{"key": "http.request.method", "value": {"stringValue": "GET"}}]
+    span = {"traceId": "ab" * 16, "spanId": "cd" * 8, "name": "GET /", "kind": 3, "startTimeUnixNano": "1704067200000000000", "endTimeUnixNano": "1704067200250000000", "attributes": attr(peer_service="http://db:5432") + http, "status": {"code": 2}}
+    thrown = {"name": "exception", "attributes": [{"key": "exception.type", "value": {"stringValue": "Boom"}}, {"key": "exception.message", "value": {"stringValue": "it broke"}}]}
+    spans = [
+        span, span | {"spanId": "0" * 16}, span | {"spanId": "11" * 8, "attributes": []}, span | {"spanId": "22" * 8, "status": {}, "events": [thrown], "parentSpanId": "0" * 16}, span | {"spanId": "33" * 8, "startTimeUnixNano": "1804067200000000000"},
+        span | {"spanId": "44" * 8, "status": {}, "endTimeUnixNano": "1704067100000000000", "attributes": [{"key": "http.response.status_code", "value": {"intValue": "503"}}, {"key": "event.step", "value": {"stringValue": "pay"}}]},
+        span | {"spanId": "55" * 8, "status": {}, "kind": 2, "attributes": [{"key": "http.status_code", "value": {"intValue": "503"}}, *http]},
+    ]
+    body = {"resourceSpans": [{"resource": {"attributes": attr(service_name="s")}, "scopeSpans": [{"spans": spans}]}, {"resource": {"attributes": []}, "scopeSpans": [{"spans": [span | {"spanId": "66" * 8}]}]}]}
+    got = {r.span_id[:2]: r for r in otlp.spans_to_events(spark.createDataFrame([(json.dumps(body),), ("nope",), (None,)], "body string"), datetime(2024, 1, 2)).collect()}
+    good = got["cd"]
+    assert (good.duration_ms, good.status, good.env, good.anchor.error_code, good.anchor.kind, good.steps[0].downstream.service) == (250, "error", "unknown", "HTTP_500", "otlp", "db")
+    assert good.event_id[14] == "5" and len(good.event_id) == 36 and good.errors[0].reason == "otlp span reported error" and good.logs[0].level == "error"
+    assert {k: got[k].drop for k in got} == {"cd": None, "00": "invalid_span", "11": "unsupported_kind", "22": None, "33": "future_timestamp", "44": None, "55": None, "66": "missing_service"}
+    assert (got["22"].status, got["22"].anchor.error_code, got["22"].errors[0].reason, got["22"].parent_span_id) == ("error", "Boom", "it broke", "")
+    assert (got["44"].status, got["44"].anchor.error_code, got["44"].steps[0].name, got["44"].duration_ms) == ("error", "HTTP_503", "pay", 0)
+    assert got["55"].status == "ok" and got["55"].anchor is None and got["55"].logs is None  # the legacy attribute says nothing
+
+
+def test_schema_rules(spark):
+    """Each entry breaks one rule, or none."""
+    step = {"name": "a", "span_id": "0" * 16, "start_ms": 0, "duration_ms": 1, "status": "ok"}
+    bad = [
+        {"span_id": "xyz"}, {"parent_span_id": "0"}, {"duration_ms": -1}, {"duration_ms": "5"}, {"duration_ms": 1.5}, {"version": 1}, {"kind": "rpc"}, {"status": "late"}, {"env": ""}, {"event_id": 7}, {"ts_start": "2024-01-01"}, {"ts_end": "2024-13-01T00:00:00Z"}, {"trace_id": "A" * 32},
+        {"status": "error"}, {"anchor": {"step": "", "error_code": "x"}}, {"anchor": None}, {"anchor": {"step": "a"}}, {"steps": {}}, {"steps": [None]}, {"steps": [step | {"name": ""}]}, {"steps": [step | {"status": "x"}]}, {"steps": [{"name": "a"}]}, {"steps": [step | {"start_ms": -1}]},
+        {"steps": [{k: v for k, v in step.items() if k != "span_id"} | {"downstream": {}}]}, {"steps": [step | {"downstream": {"service": 1}}]}, {"steps": [step | {"error": "x"}]}, {"logs": [{"ts_offset_ms": 0, "level": "debug", "msg": ""}]}, {"logs": [{"level": "warn", "msg": ""}]},
+        {"logs": [{"ts_offset_ms": 0, "level": "warn", "msg": "", "fields": 1}]}, {"errors": [{"reason": "x"}]}, {"errors": [{"code": 1}]}, {"fields": "x"}, {"schema_version": "3"}, {"schema_version": 2},
+    ]
+    good = [{}, {"span_id": ""}, {"steps": [step]}, {"steps": [step | {"downstream": {"service": "x"}, "error": {"code": "c"}}]}, {"steps": []}, {"logs": [{"ts_offset_ms": 0, "level": "info", "msg": "", "fields": {"a": 1}}]}, {"errors": [{"code": ""}]}, {"fields": {}}, {"more": 1}, {"event_id": "anything"}, {"status": "suppressed"}, {"anchor": {"step": "a", "error_code": "x"}}]
+    odd = ["[]", "7", '{"a":1} x', "{} {}", "{'a': 1}"]
+    got = [r.reason for r in intake.parse(lines(spark, [VALID | x for x in bad + good] + odd)).orderBy("line").collect()]
+    assert got[: len(bad)] == ["schema_validation_failed"] * len(bad)
+    assert got[len(bad) : len(bad) + len(good)] == [None] * len(good)
+    assert got[-len(odd) :] == ["schema_validation_failed"] * 2 + ["invalid_json"] * 3
+
+
+def test_notify_hands_over_everything(spark):
+    sent = []
+
+    def send(rows):
+        sent.append(len(rows))
+        if len(sent) == 1:
+            raise RuntimeError("down")
+
+    df = spark.range(25).withColumn("transition", F.when(F.col("id") % 5 > 0, "opened"))
+    stream.notify(df, send, at_once=7)
+    assert sum(sent) == 20 and max(sent) == 7
 
 def sample_report(**more):
     return report.build({"incident_id": "inc_1", "window": "15m", "confidence": "high"}, {"requests": 3, "users": 2, "services": 1}, [{"service": "s<b>", "step": "a", "error_code": "C", "count": 3}], "2024-01-01T00:00:00Z", signals=[{"id": "sig", "type": "alert", "evidence_ids": []}], suspect_change={"deploy_id": "d", "service": "s", "error_rate_after": 0.5}, **more)

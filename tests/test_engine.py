@@ -52,18 +52,30 @@ def test_suppressed_root():
     assert trace.anchor(rows[:1])[0] is None
 
 
+STORY = "event_id string, status string, anchor struct<step:string,error_code:string>, steps array<struct<name:string,span_id:string,start_ms:bigint,duration_ms:bigint,status:string,downstream:struct<service:string,endpoint:string>>>, logs array<struct<ts_offset_ms:bigint,level:string,msg:string>>"
+
+
 def test_story_window(spark):
-    step = lambda name, a, b, status="ok": (name, "", a, b - a, status)
-    steps = [step("prepare", 0, 5), step("pay", 10, 15, "error"), step("pay", 20, 25, "error"), step("cleanup", 30, 35)]
+    step = lambda name, a, b, status="ok", call=None: (name, "", a, b - a, status, call)
+    steps = [step("prepare", 0, 5), step("pay", 10, 15, "error", ("db", "/q")), step("pay", 20, 25, "error", ("db", "/q")), step("cleanup", 30, 35)]
     logs = [(4, "warn", "a"), (24, "error", "b"), (31, "warn", "c"), (12, "info", "d")]
-    schema = "event_id string, status string, anchor struct<step:string,error_code:string>, steps array<struct<name:string,span_id:string,start_ms:bigint,duration_ms:bigint,status:string>>, logs array<struct<ts_offset_ms:bigint,level:string,msg:string>>"
-    df = spark.createDataFrame([("e", "error", ("pay", "X"), steps, logs), ("q", "suppressed", None, steps, logs)], schema)
-    df = df.withColumn("steps", F.transform("steps", lambda s: s.withField("downstream", F.struct(F.lit(None).cast("string").alias("service")))))
-    e, q = trace.stories(df).orderBy("event_id").collect()
+    rows = [("e", "error", ("pay", "X"), steps, logs), ("n", "ok", None, [step("b", 9, 10), step("a", 1, 2)], logs), ("o", "error", ("gone", "X"), steps[::-1], logs), ("q", "suppressed", None, steps, logs), ("r", "ok", None, None, None)]
+    e, n, o, q, r = trace.stories(spark.createDataFrame(rows, STORY)).orderBy("event_id").collect()
     assert [s.name for s in e.path] == ["prepare", "pay", "pay"] and [x.ts_offset_ms for x in e.loud] == [4, 24]
-    assert q.path is None and q.loud is None
+    assert [tuple(c) for c in e.downstream] == [("pay", "db", "/q")] * 2  # one for each step
+    assert [s.name for s in n.path] == ["a", "b"]  # by start, also without an anchor
+    assert [s.name for s in o.path] == ["prepare", "pay", "pay", "cleanup"] and [x.msg for x in o.loud] == ["a", "b", "c"] and not o.anchored
+    assert q.path == [] and q.loud == [] and q.downstream == [] and r.path == [] and r.loud == []
 
 
+def test_story_of_a_trace(spark):
+    base = frame(spark, [event(1, 0), event(2, 10, parent="s1", status="error", code="X", step="pay")])
+    step = F.struct(F.lit("pay").alias("name"), F.concat(F.lit("s"), F.substring("event_id", 2, 1)).alias("span_id"), F.lit(0).alias("start_ms"), F.lit(5).alias("duration_ms"), F.lit("error").alias("status"), F.lit(None).cast("struct<service:string,endpoint:string>").alias("downstream"))
+    steps = F.array(step)
+    rows = base.withColumn("steps", steps).withColumn("logs", F.lit(None).cast("array<struct<ts_offset_ms:bigint,level:string,msg:string>>")).withColumn("anchor", F.struct("step", "error_code"))
+    got = trace.trace_stories(rows).collect()
+    assert [(r.event_id, r.linkage) for r in got] == [("e2", "causal")]
+
 def test_service_stats(spark):
     rows = [event(k, k, ms=10 * k) for k in range(1, 11)]
     got = reads.service_stats(frame(spark, rows), 95).collect()[0]
@@ -101,7 +113,7 @@ def test_blast(spark):
 def spikes(spark, counts, **options):
     now, length = T0, timedelta(minutes=10)
     rows = [event(100 * w + k, -600 * w - 300, status="error", step="s", code="C", trace_id=f"{w}-{k}") for w, n in enumerate(counts) for k in range(n)]
-    return detect.error_spikes(frame(spark, rows), detect.windows(spark, [now], length), **options).collect()
+    return detect.error_spikes(frame(spark, rows), detect.windows([now], length), **options).collect()
 
 
 def test_spikes(spark):
@@ -116,7 +128,7 @@ def test_traffic_and_latency(spark):
     def rows(counts, ms):
         return [event(1000 * w + k, -600 * w - 300, ms=ms[w]) for w, n in enumerate(counts) for k in range(n)]
 
-    table = detect.windows(spark, [T0], timedelta(minutes=10))
+    table = detect.windows([T0], timedelta(minutes=10))
     direction = lambda counts: [r.direction for r in detect.traffic(frame(spark, rows(counts, [1] * 4)), table).collect()]
     assert direction([10, 100, 100, 100]) == ["drop"]
     assert direction([400, 100, 100, 100]) == ["surge"]
@@ -136,7 +148,7 @@ def test_sustained(spark):
 
 def test_boundary_is_in_two_windows(spark):
     df = frame(spark, [event(1, -600)])
-    assert sorted(r.w for r in detect.in_windows(df, detect.windows(spark, [T0], timedelta(minutes=10))).collect()) == [0, 1]
+    assert sorted(r.w for r in detect.in_windows(df, detect.windows([T0], timedelta(minutes=10))).collect()) == [0, 1]
 
 
 def test_stable_id(spark):
@@ -172,13 +184,17 @@ def test_evidence_cap_keeps_runtime(spark):
 
 
 def test_lifecycle(spark):
-    old = spark.createDataFrame([("a", "active", T0, T0, "d"), ("b", "active", T0, T0, None), ("c", "active", T0, T0 - timedelta(minutes=3), None)], "incident_id string, status string, started_at timestamp_ntz, last_seen timestamp_ntz, suspect_deploy_id string")
+    old = spark.createDataFrame([("a", "active", T0, T0, "d"), ("b", "active", T0, T0, None), ("c", "active", T0, T0 - timedelta(minutes=3), None), ("d", "recovering", T0, T0 - timedelta(minutes=1), None), ("e", "recovering", T0, T0, None)], "incident_id string, status string, started_at timestamp_ntz, last_seen timestamp_ntz, suspect_deploy_id string")
     now = T0 + timedelta(minutes=1)
     seen = spark.createDataFrame([("a", now, now, "x"), ("n", now, now, None)], "incident_id string, started_at timestamp_ntz, last_seen timestamp_ntz, suspect_deploy_id string")
-    got = {r.incident_id: r for r in incidents.lifecycle(old, seen, F.lit(now)).collect()}
-    assert {k: (r.status, r.transition) for k, r in got.items()} == {"a": ("active", None), "b": ("recovering", None), "c": ("resolved", "resolved"), "n": ("active", "opened")}
+    state = incidents.lifecycle(old, seen, F.lit(now))
+    got = {r.incident_id: r for r in state.collect()}
+    assert {k: (r.status, r.transition) for k, r in got.items()} == {"a": ("active", None), "b": ("recovering", None), "c": ("recovering", None), "d": ("resolved", "resolved"), "e": ("recovering", None), "n": ("active", "opened")}
     assert got["a"].started_at == T0 and got["a"].suspect_deploy_id == "d"
-
+    state = incidents.lifecycle(state, seen.where("incident_id = 'c'"), F.lit(T0 + timedelta(minutes=3)))
+    assert {r.incident_id: (r.status, r.transition) for r in state.collect()} == {"a": ("recovering", None), "b": ("resolved", "resolved"), "c": ("resolved", "resolved"), "d": ("resolved", None), "e": ("resolved", "resolved"), "n": ("recovering", None)}
+    back = spark.createDataFrame([("d", now, now, None)], seen.schema)
+    assert incidents.lifecycle(state, back, F.lit(now)).where("incident_id = 'd'").first().transition == "opened"
 
 def test_deploys(spark):
     rows = [event(1, 0, version="v1"), event(2, 10, version="v1"), event(3, 20, version="v2"), event(4, 30, version="v1")]
