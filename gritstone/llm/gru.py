@@ -13,6 +13,13 @@ VOCABULARY = CLASSES * MEMBERS
 F32 = np.float32
 
 
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class and member of each target, an order by class, and where each class starts in it."""
+    cls = target // MEMBERS
+    order = np.argsort(cls.astype(np.int16), kind="stable")  # by radix
+    return cls, target - cls * MEMBERS, order, np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -73,11 +80,9 @@ class Model:
     def log_probability(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target (any shape, flattened with its hidden states)."""
         hidden, target = hidden.reshape(-1, HIDDEN), target.ravel()
-        cls, member = target // MEMBERS, target % MEMBERS
+        cls, member, order, edges = _by_class(target)
         logits = hidden @ self.c + self.cb
         out = logits[np.arange(len(target)), cls] - np.log(np.exp(logits).sum(1))
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
             rows = order[edges[k] : edges[k + 1]]
             if len(rows):
@@ -87,11 +92,16 @@ class Model:
 
 
 class Trainer:
-    """Adagrad over windows of truncated backpropagation."""
+    """Adagrad over windows of truncated backpropagation. seen: the sums of squares to go on from, like a model's flat()."""
 
-    def __init__(self, model: Model, rate: float = 0.1):
+    def __init__(self, model: Model, rate: float = 0.1, seen: np.ndarray | None = None):
         self.model, self.rate = model, rate
-        self.seen = {n: np.full(getattr(model, n).shape, 1e-3, F32) for n in Model.NAMES}
+        held = Model.of(np.full(len(model.flat()), 1e-3, F32) if seen is None else seen)
+        self.seen = {n: getattr(held, n) for n in Model.NAMES}
+
+    def flat(self) -> np.ndarray:
+        """The model, and after it the sums of squares."""
+        return np.concatenate([self.model.flat(), *[self.seen[n].ravel() for n in Model.NAMES]])
 
     def _step(self, name: str, g: np.ndarray, at=slice(None)) -> None:
         seen = self.seen[name]
@@ -104,15 +114,13 @@ class Trainer:
         out, last, kept = m.window(ids, keep, h, trace=True)
         scale = F32(1 / ids.shape[1])
         flat, goal = out.reshape(-1, k), target.ravel()
-        cls, member = goal // MEMBERS, goal % MEMBERS
+        cls, member, order, edges = _by_class(goal)
         p = np.exp(flat @ m.c + m.cb)
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(goal)), cls] -= 1
         d = p @ m.c.T
         self._step("c", flat.T @ p * scale)
         self._step("cb", p.sum(0) * scale)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             rows = order[edges[c] : edges[c + 1]]
             if len(rows):
@@ -140,10 +148,10 @@ class Trainer:
             gu += before.T @ inner
             back = (back * z + inner @ m.u.T) * keep[t][:, None]
         self._step("u", np.clip(gu, -1, 1))
-        which, inverse = np.unique(ids.ravel(), return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        g = np.add.reduceat(gates.reshape(-1, 3 * k)[order], np.searchsorted(inverse[order], np.arange(len(which))), axis=0)
-        self._step("x", g, which)
+        order = np.argsort(ids.ravel().astype(np.int16), kind="stable")
+        which = ids.ravel()[order]
+        start = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+        self._step("x", np.add.reduceat(gates.reshape(-1, 3 * k)[order], start, axis=0), which[start])
         return last
 
 

@@ -1,4 +1,8 @@
-"""LM scoring: corpus counts by shuffle, a gated recurrent model trained in every task and averaged, and log-probabilities of whole documents.
+"""LM scoring: corpus counts by shuffle, a gated recurrent model trained on shards of the corpus and averaged, round after round, and log-probabilities of whole documents.
+
+Training documents are dealt to shards by a hash of their text. A round trains on twice as many shards as the one before, each from the
+mean of the round before it, so the rounds grow with the logarithm of the corpus and the model with all of it; and a shard's documents and their order follow from the texts
+alone, so the model does too.
 
 Words are 64-bit hashes. The most frequent ones are the network's vocabulary; all others share MEMBERS tail tokens by their last two bytes, and a
 tail word's probability is that of its tail token times its add-one share among the tail words of that token, over all training documents.
@@ -12,16 +16,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .gru import MEMBERS, VOCABULARY, Model, Trainer, score_documents, train_on
-from .shared import LOWER, SPACE, hash_words, mix, save, signed, slices, text_bytes
+from .shared import LOWER, SPACE, drop, hash_words, mix, save, signed, slices, text_bytes
 
 #: At most so many frequent words' counts go to every task (16 bytes each, 4 MB); the counts of the others are joined.
 HEAD = 1 << 18
-#: Tokens that a task trains or scores on at a time.
-CHUNK = 1 << 20
+#: Tokens that are trained or scored on at a time, and tokens of a shard.
+CHUNK, SHARD_TOKENS = 1 << 20, 1 << 20
 #: Blocks of parameters, for averaging.
 BLOCK = 1 << 13
 #: Stands for the end of a document; no word's hash is looked for here but by a chance of 2**-64.
@@ -151,93 +155,133 @@ class Head:
         return np.where(ids >= 0, ids, VOCABULARY - MEMBERS + tails), np.where(there, self.counts[at], -1)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], head: Head) -> Iterator[tuple]:
-    """Runs of whole documents of about CHUNK tokens: batches, words, tails, ids, counts, bounds."""
-    held, n = [], 0
-    for batch in slices(batches):
-        words, tails, bounds = _tokens(batch.column("text"))
-        held.append((batch, words, tails, *head.look_up(words, tails), bounds))
-        n += len(words)
-        if n >= CHUNK:
-            yield _joined(held)
-            held, n = [], 0
-    if n:
-        yield _joined(held)
+def _marked(docs: DataFrame, head: Head) -> DataFrame:
+    """From docs (doc_id, text, training, key): row, doc_id, training, key, n_tokens, known, base and inner (the log10 shares that frequent words have of the base and of their tail tokens), ids (the network's tokens, two bytes each), and the words and tails that aren't frequent."""
+    whole = float(head.n + head.v + 1)
+    names = ["row", "doc_id", "training", "key", "n_tokens", "known", "base", "inner", "ids", "words", "tails"]
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId() << 36, 0
+        for batch in slices(batches):
+            words, tails, bounds = _tokens(batch.column("text"))
+            ids, c = head.look_up(words, tails)
+            frequent, own = c >= 0, ids < VOCABULARY - MEMBERS
+            base = np.where(frequent, np.log10((np.maximum(c, 0) + 1) / whole), 0)
+            inner = np.where(frequent & ~own, np.log10((np.maximum(c, 0) + 1) / (head.tail_n[tails] + head.tail_v[tails] + 1)), 0)
+            per = lambda v: pa.array(np.add.reduceat(v, bounds[:-1]))  # noqa: E731, B023  no document is without a token
+            rest = np.flatnonzero(~frequent)
+            cuts = pa.array(np.searchsorted(rest, bounds).astype(np.int32))
+            n = len(bounds) - 1
+            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(ids.astype(np.uint16))])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(part + at + np.arange(n)), *(batch.column(c) for c in names[1:4]), pa.array(np.diff(bounds)), per((c > 0).astype(np.int64)), per(base), per(inner), packed,
+                pa.ListArray.from_arrays(cuts, signed(words[rest])), pa.ListArray.from_arrays(cuts, pa.array(tails[rest].astype(np.int32))),
+            ], names)
+            at += n
 
-def _joined(held: list[tuple]) -> tuple:
-    batches, words, tails, ids, counts, bounds = zip(*held, strict=True)
-    shift = np.cumsum([0, *[len(w) for w in words]])
-    return batches, np.concatenate(words), np.concatenate(tails), np.concatenate(ids), np.concatenate(counts), np.concatenate([[0], *[b[1:] + s for b, s in zip(bounds, shift, strict=False)]])
+    schema = "row bigint, doc_id bigint, training boolean, key bigint, n_tokens bigint, known bigint, base double, inner double, ids binary, words array<bigint>, tails array<int>"
+    return save(docs.mapInArrow(look, schema), "tokens")
 
 
-def train(docs: DataFrame, head: Head, lanes: int = 512, steps: int = 12) -> Model:
-    """Every task trains from the same start over all of its documents; the mean of the tasks' models, weighted by their tokens, is the model. Sums are made by block of parameters, so only one model reaches the driver."""
+def _laid_out(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents end to end, and bounds."""
+    return np.concatenate(ids).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+
+
+def train(tokens: DataFrame, head: Head, lanes: int = 512, steps: int = 12) -> Model:
+    """tokens: training, key and ids of documents. The mean of a round's models is weighted by their tokens; sums are made by block of parameters and in order of shards, so only one model reaches the driver, and always the same."""
     start = Model.start(head.token_counts)
+    size = len(start.flat())
+    state = np.concatenate([start.flat(), np.full(size, 1e-3, np.float32)])
+    shards = max(1, -(-head.n // SHARD_TOKENS))
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards))
+    lessons = save(tokens.where("training").select(F.floor(F.log2(shard + 1)).cast("int").alias("round"), shard.alias("shard"), "key", "ids").repartition("round", "shard"), "lessons")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, n = Trainer(Model.of(start.flat())), 0
-        for _, _, _, ids, _, bounds in _chunks(batches, head):
+        """From documents in order of shards."""
+        last, trainer, held, waiting, n = None, None, [], 0, 0
+
+        def learn() -> None:
+            ids, bounds = _laid_out(held)
             starts = np.zeros(len(ids), bool)
             starts[bounds[:-1]] = True
             train_on(trainer, ids, starts, head.first, lanes, steps)
-            n += len(ids)
-        if n:
-            flat = trainer.model.flat()
+
+        def made() -> pa.RecordBatch:
+            if held:
+                learn()
+            flat = trainer.flat()
             blocks = [flat[a : a + BLOCK].tobytes() for a in range(0, len(flat), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), TaskContext.get().partitionId() % 64, np.int32)), pa.array(np.full(len(blocks), n)), pa.array(blocks, pa.binary())], ["block", "salt", "n", "v"])
+            every = lambda v, kind: pa.array(np.full(len(blocks), v), kind)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), every(last % 64, pa.int32()), every(last, pa.int64()), every(n, pa.int64()), pa.array(blocks, pa.binary())], ["block", "salt", "shard", "n", "v"])
+
+        for batch in batches:
+            for own, packed in zip(batch.column("shard").to_pylist(), batch.column("ids"), strict=True):
+                if own != last:
+                    if last is not None:
+                        yield made()
+                    last, trainer, held, waiting, n = own, Trainer(Model.of(state[:size]), seen=state[size:]), [], 0, 0
+                held.append(np.frombuffer(packed.as_buffer(), np.uint16))
+                waiting, n = waiting + len(held[-1]), n + len(held[-1])
+                if waiting >= CHUNK:
+                    learn()
+                    held, waiting = [], 0
+        if last is not None:
+            yield made()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
+        """Means by block and salt, of rows in order."""
+        sums: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for block, n, v in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            for block, salt, n, v in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "n", "v")), strict=True):
                 x = np.frombuffer(v, np.float32)
-                held = sums.setdefault(block, [0, np.zeros(len(x))])
+                held = sums.setdefault((block, salt), [0, np.zeros(len(x))])
                 held[0] += n
                 held[1] += x.astype(float) * n
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())], ["block", "n", "v"])
+        means = [(s[1] / max(1, s[0])).astype(np.float32).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sums], pa.int32()), pa.array([x for _, x in sums], pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array(means, pa.binary())], ["block", "salt", "n", "v"])
 
-    made = docs.select("text").mapInArrow(fit, "block int, salt int, n bigint, v binary").repartition("block", "salt").mapInArrow(total, "block int, n bigint, v binary")
-    rows = sorted(made.repartition("block").mapInArrow(total, "block int, n bigint, v binary").collect())  # one model
-    return Model.of(np.concatenate([np.frombuffer(r.v, np.float32) for r in rows])) if rows else start
+    means = "block int, salt int, n bigint, v binary"
+    for turn in range(int(shards).bit_length()):
+        dealt = lessons.where(F.col("round") == turn).select("shard", "key", "ids").repartition(min(1 << turn, shards), "shard").sortWithinPartitions("shard", "key")
+        models = dealt.mapInArrow(fit, "block int, salt int, shard bigint, n bigint, v binary").repartition("block", "salt").sortWithinPartitions("block", "salt", "shard")
+        few = models.mapInArrow(total, means).withColumn("part", F.col("salt")).withColumn("salt", F.lit(0)).repartition("block").sortWithinPartitions("block", "part")
+        rows = sorted(few.select("block", "salt", "n", "v").mapInArrow(total, means).collect())  # one model
+        if rows:
+            state = np.concatenate([np.frombuffer(r.v, np.float32) for r in rows])
+    drop(lessons)
+    return Model.of(state[:size])
 
 
-def score(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text), learning from training (text).
+def score(docs: DataFrame, training: Column) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text), learning from the rows that training holds for.
 
     A null or empty text is the end alone. base_score is the add-one unigram model's log10 probability, score the recurrent
     model's. Repeated rows are scored one by one; a null doc_id is a value like any other. With no training documents every
     token is unknown: the base is then log10(1 / 1) a token, and the network is the uniform start.
     Other columns are not looked at.
     """
-    counts = word_counts(training)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("training"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    counts = word_counts(docs.where("training"))
     head = Head.of(counts)
-    model = train(training, head)
-    whole = float(head.n + head.v + 1)
+    tokens = _marked(docs, head)
+    model = train(tokens, head)
     log10e = np.log10(np.e)
-    names = ["row", "doc_id", "n_tokens", "known", "base", "score", "words", "tails"]
+    names = ["row", "doc_id", "n_tokens", "known", "base", "score"]
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId() << 36, 0
-        for held, words, tails, ids, c, bounds in _chunks(batches, head):
-            frequent, own = c >= 0, ids < VOCABULARY - MEMBERS
-            base = np.where(frequent, np.log10((np.maximum(c, 0) + 1) / whole), 0)
-            inner = np.where(frequent & ~own, np.log10((np.maximum(c, 0) + 1) / (head.tail_n[tails] + head.tail_v[tails] + 1)), 0)
-            per = lambda v: np.add.reduceat(v, bounds[:-1])  # noqa: E731  no document is without a token
-            total = score_documents(model, ids, bounds, head.first) * log10e + per(inner)
-            rest = np.flatnonzero(~frequent)
-            cuts = pa.array(np.searchsorted(rest, bounds).astype(np.int32))
-            n = len(bounds) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(part + at + np.arange(n)), pa.concat_arrays([b.column("doc_id") for b in held]), pa.array(np.diff(bounds)), pa.array(per((c > 0).astype(np.int64))), pa.array(per(base)), pa.array(total), pa.ListArray.from_arrays(cuts, signed(words[rest])), pa.ListArray.from_arrays(cuts, pa.array(tails[rest].astype(np.int32)))], names)
-            at += n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "ids", 2 * CHUNK):
+            ids, bounds = _laid_out([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column("ids")])
+            net = score_documents(model, ids, bounds, head.first) * log10e + batch.column("inner").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(net)], names)
 
-    seen = save(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(look, "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, score double, words array<bigint>, tails array<int>"), "scored")
+    scored = tokens.select("row", "doc_id", "n_tokens", "known", "base", "inner", "ids").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, score double")
     # What is not frequent: the words of a document with their counts, joined by word.
-    rest = seen.select("row", F.explode(F.arrays_zip("words", "tails")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.tails").alias("tail"))
+    rest = tokens.select("row", F.explode(F.arrays_zip("words", "tails")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.tails").alias("tail"))
     table = F.array(*[F.lit(float(a + b + 1)) for a, b in zip(head.tail_n, head.tail_v, strict=True)])
-    c = F.coalesce("c", F.lit(0))
+    whole, c = F.lit(float(head.n + head.v + 1)), F.coalesce("c", F.lit(0))
     joined = rest.join(counts.select("word", "c"), "word", "left")
-    sums = joined.groupBy("row").agg(F.sum(F.when(c > 0, 1).otherwise(0)).alias("more"), F.sum(F.log10((c + 1) / F.lit(whole))).alias("more_base"), F.sum(F.log10((c + 1) / F.element_at(table, F.col("tail") + 1))).alias("more_score"))
+    sums = joined.groupBy("row").agg(F.sum(F.when(c > 0, 1).otherwise(0)).alias("more"), F.sum(F.log10((c + 1) / whole)).alias("more_base"), F.sum(F.log10((c + 1) / F.element_at(table, F.col("tail") + 1))).alias("more_score"))
     zero = lambda name, to: F.coalesce(name, F.lit(to))
-    out = seen.drop("words", "tails").join(sums, "row", "left")
+    out = scored.join(sums, "row", "left")
     return out.select("doc_id", "n_tokens", (F.col("known") + zero("more", 0)).alias("n_known"), F.lit(head.n).cast("bigint").alias("train_tokens"), (F.col("base") + zero("more_base", 0.0)).alias("base_score"), (F.col("score") + zero("more_score", 0.0)).alias("score"))

@@ -54,7 +54,7 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
-    return lm.score(documents, documents.where(~held_out)).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lm.score(documents, ~held_out).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

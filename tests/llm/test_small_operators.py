@@ -293,15 +293,54 @@ def test_lm_base_as_brute_force(spark):
     rows = [(k, prose(rng, rng.randrange(1, 40)), "en", "s", 1) for k in range(60)] + odd_rows()
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     df = frame(spark, rows).withColumn("row", F.lit(1))
-    got = lm.score(df, df.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)))).collect()
+    training = ~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    got = lm.score(df, training).collect()
     words = lambda t: (t or "").encode().lower().split() + [b" "]
     counts = Counter(w for d, t, *_ in rows if not held(d) for w in words(t))
     n, v = sum(counts.values()), len(counts)
     want = sorted(((-1 if d is None else d), len(words(t)), sum(counts[w] > 0 for w in words(t)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words(t)), 6)) for d, t, *_ in rows)
     assert sorted(((-1 if r.doc_id is None else r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
-    assert lm.score(df.where("false"), df).collect() == []
-    assert all(r.n_known == 0 and r.train_tokens == 0 for r in lm.score(df, df.where("false")).collect())
+    assert lm.score(df.where("false"), training).collect() == []
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in lm.score(df, F.lit(False)).collect())
+
+
+def test_lm_is_the_same_from_any_layout(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)  # several shards and rounds
+    df = frame(spark, [(k, prose(rng, rng.randrange(20, 120)), "en", "s", 1) for k in range(120)])
+    runs = [{r.doc_id: r.score for r in lm.score(df.repartition(parts, "doc_id"), F.col("doc_id") % 7 != 2).collect()} for parts in (1, 16)]
+    assert runs[0].keys() == runs[1].keys() and all(math.isclose(runs[0][d], runs[1][d], rel_tol=1e-5) for d in runs[0])
+
+
+def test_gru_gradients_are_finite_differences():
+    """A step of gradient descent, told from Adagrad's by its sums of squares, against the loss's differences. State goes in from before the window and is cut where a document starts."""
+    rng = np.random.default_rng(3)
+    steps, lanes = 4, 3
+    model = gru.Model(*[(rng.standard_normal(shape) * 0.3).astype(np.float32) for shape in gru.Model.SHAPES])
+    ids, target = rng.integers(0, gru.VOCABULARY, (2, steps, lanes))
+    keep, h = np.ones((steps, lanes), np.float32), rng.standard_normal((lanes, gru.HIDDEN)).astype(np.float32) * 0.5
+    keep[2, 1] = 0
+
+    def loss(m):
+        wide = gru.Model(*[getattr(m, n).astype(np.float64) for n in gru.Model.NAMES])
+        out, _ = wide.window(ids, keep.astype(float), h.astype(float))
+        return -wide.log_probability(out.astype(float), target).sum() / lanes
+
+    trained = gru.Trainer(gru.Model.of(model.flat()))
+    trained.train(ids, target, keep, h)
+    for name in gru.Model.NAMES:
+        grad = np.sqrt(np.maximum(trained.seen[name].astype(float) - 1e-3, 0))
+        places = np.argwhere(grad > 0.02)
+        for at in map(tuple, places[rng.permutation(len(places))[:8]]):
+            moved = [gru.Model.of(model.flat()) for _ in range(2)]
+            for m, d in zip(moved, (1e-2, -1e-2), strict=True):
+                getattr(m, name)[at] += np.float32(d)
+            want = (loss(moved[0]) - loss(moved[1])) / (float(getattr(moved[0], name)[at]) - float(getattr(moved[1], name)[at]))
+            step = float(getattr(trained.model, name)[at]) - float(getattr(model, name)[at])
+            if name != "w" and name != "wb" or (target // gru.MEMBERS == at[0]).any():
+                assert math.isclose(abs(want), grad[at], rel_tol=0.05, abs_tol=0.005), (name, at, want, grad[at])
+                assert step * want < 0
 
 
 # url filter
