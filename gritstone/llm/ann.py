@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by learned partitions: a neighbour graph of a sample is cut into balanced parts, a small classifier learns the parts, every
-vector is indexed in its likeliest part, and a query is compared with all vectors of its few likeliest parts."""
+vector is indexed in its likeliest part, and a query is compared with all vectors of its few likeliest parts. Where there are more vectors than one classifier's parts hold,
+each part is cut again in the same way, by a sample and a classifier of its own, which are fitted in tasks."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,16 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import drop, save
 
-#: Vectors that parts and classifier are fitted on, and neighbours of each in the graph.
-SAMPLE, NEIGHBOURS = 8192, 10
-#: Vectors that a part should hold, and the most parts.
-PART_ROWS, MOST_PARTS = 1000, 256
+#: Vectors that parts and classifier are fitted on, in all and in each part that is cut again, and neighbours of each in the graph.
+SAMPLE, INNER_SAMPLE, NEIGHBOURS = 8192, 2048, 10
+#: Vectors that a part should hold, and the most parts of the first cut and of each second one: classifiers, which go to every task, are bounded by these.
+PART_ROWS, MOST_PARTS, MOST_INNER = 1000, 256, 64
 #: Recall on the sample's own queries that the number of parts to look into is chosen for.
 WANTED = 0.98
-#: About so many rows of a part, and so many queries of it, meet in a task, however many there are.
-BLOCK_ROWS = 4096
+#: About so many rows of a part, and so many queries of it, meet in a task, however many there are. A row goes out more than once only where a part has more queries.
+BLOCK_ROWS, TURN_ROWS = 4096, 1 << 15
 
 
 def _near(x: np.ndarray, y: np.ndarray, k: int, own: bool = False) -> np.ndarray:
@@ -126,7 +128,7 @@ class Router:
         return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :many]
 
 
-def learn(sample: np.ndarray, parts: int) -> Router:
+def learn(sample: np.ndarray, parts: int, hidden: int = 64) -> Router:
     """Fits parts and classifier, and chooses the number of probes at which the sample's own searches reach WANTED, and one more in eight for what the sample does not show."""
     k = min(NEIGHBOURS, len(sample) - 1)
     if parts < 2 or k < 1:
@@ -137,7 +139,7 @@ def learn(sample: np.ndarray, parts: int) -> Router:
     share = np.zeros((len(sample), parts))
     np.add.at(share, (np.repeat(np.arange(len(sample)), k), part[graph].ravel()), 1 / (k + 1))
     share[np.arange(len(sample)), part] += 1 / (k + 1)
-    router = Router.fit(sample, share)
+    router = Router.fit(sample, share, hidden)
     ranked = router.route(sample, parts)
     place = np.empty_like(ranked)
     np.put_along_axis(place, ranked, np.arange(parts)[None], 1)
@@ -154,13 +156,61 @@ def usable(column: str) -> Column:
     return F.col(column).isNotNull() & F.coalesce(fine, F.lit(False)) & F.coalesce(F.exists(column, lambda v: v != 0), F.lit(False))
 
 
+#: A hash of the id that chooses samples.
+TICKETS = 1 << 30
+
+
+def _ticket() -> Column:
+    return F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(TICKETS))
+
+
+def _vectors(table: pa.Table, dim: int) -> np.ndarray:
+    return table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) if table.num_rows else np.zeros((0, dim))
+
+
+def _routed(rows: DataFrame, dim: int, router: Router, inner: dict[int, Router]) -> DataFrame:
+    """rows with `parts`: the part a row is indexed in, and after it, for a query, the others to look into. A part that is cut again has MOST_INNER numbers for its own parts."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            ranked = router.route(x, router.probes)
+            lists: list[list[int]] = [[] for _ in asks]
+            for turn in range(ranked.shape[1]):
+                own = np.arange(len(x)) if turn == 0 else np.flatnonzero(asks)
+                for part in np.unique(ranked[own, turn]).tolist():
+                    here = own[ranked[own, turn] == part]
+                    within = inner[part].route(x[here], inner[part].probes) if part in inner else np.zeros((len(here), 1), np.int64)
+                    for k, found in zip(here.tolist(), (part * MOST_INNER + within).tolist(), strict=True):
+                        lists[k] += found if asks[k] else found[:1]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("asks"), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "asks", "parts"])
+
+    return save(rows.select("id", "v", "asks").mapInArrow(assign, "id bigint, v array<double>, asks boolean, parts array<int>"), "routed")
+
+
+def _inner_routers(routed: DataFrame, dim: int) -> dict[int, Router]:
+    """A router for each part of more than PART_ROWS rows, fitted on about INNER_SAMPLE of its rows in a task of its own."""
+    part = (F.get("parts", 0) / MOST_INNER).cast("int")
+    sizes = routed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_ROWS)
+    sizes = F.broadcast(save(sizes, "sizes"))  # at most MOST_PARTS rows
+    sample = routed.select("id", "v", part.alias("part")).join(sizes, "part").where(_ticket() < F.lit(float(TICKETS)) * INNER_SAMPLE / F.col("n"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = _vectors(table.sort_by("id"), dim)
+        parts = min(MOST_INNER, -(-table["n"][0].as_py() // PART_ROWS), max(1, len(x) // 16))
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "router": pa.array([pickle.dumps(learn(x, parts, hidden=32))], pa.binary())})
+
+    return {r.part: pickle.loads(r.router) for r in sample.groupBy("part").applyInArrow(fit, "part int, router binary").collect()}  # at most MOST_PARTS
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 10, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors that `queries` holds for, its k nearest other rows found, by Euclidean distance in double precision.
 
     Nearest first, equal distances by smaller id. Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id, nor those of
     another length than most. Every other row is indexed, in one part. Rows with the same id and vector count once. A part of any size is dealt to blocks
     by a hash of the id, and so are its queries; each meets each, and the best of the blocks are merged. Parts and classifier are fitted on SAMPLE rows
-    chosen by a hash of the id. Other columns are not looked at.
+    chosen by a hash of the id; above PART_ROWS * MOST_PARTS rows each part is cut again, by INNER_SAMPLE rows of it. Other columns are not looked at.
     """
     rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.transform(column, lambda v: v.cast("double")).alias("v"), queries.alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable("v")).withColumn("dim", F.size("v"))
@@ -170,23 +220,18 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_column: str = "v
     dim, n = sizes[0]
     rows = rows.where(F.col("dim") == dim).drop("dim").dropDuplicates(["id", "v"])
     # A hash of the id below a bound takes about SAMPLE rows with no sort; the bound leaves room for chance.
-    chosen = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 30)) < min(1 << 30, int((1 << 30) * SAMPLE / n))).select("id", "v").toArrow().sort_by("id")
-    sample = chosen["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim) if chosen.num_rows else np.zeros((0, dim))
-    router = learn(sample, int(min(MOST_PARTS, max(1, n // PART_ROWS), max(1, len(sample) // 16))))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-            ranked = router.route(x, router.probes)
-            lists = [r if a else r[:1] for r, a in zip(ranked.tolist(), asks, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("asks"), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "asks", "parts"])
-
-    routed = save(rows.withColumn("asks", F.coalesce("asks", F.lit(False))).mapInArrow(assign, "id bigint, v array<double>, asks boolean, parts array<int>"), "routed")
+    rows = rows.withColumn("asks", F.coalesce("asks", F.lit(False)))
+    sample = _vectors(rows.where(_ticket() < min(TICKETS, int(TICKETS * SAMPLE / n))).select("id", "v").toArrow().sort_by("id"), dim)
+    router = learn(sample, int(min(MOST_PARTS, max(1, -(-n // PART_ROWS)), max(1, len(sample) // 16))))
+    routed = _routed(rows, dim, router, {})
+    if n > PART_ROWS * MOST_PARTS:
+        first = routed
+        routed = _routed(rows, dim, router, _inner_routers(first, dim))
+        drop(first)
     index = routed.select(F.get("parts", 0).alias("part"), "id", "v")
     asked = routed.where("asks").select(F.explode("parts").alias("part"), F.col("id").alias("query_id"), F.col("v").alias("q"))
-    pieces = lambda rows, to: rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(to))
-    blocks = F.broadcast(save(pieces(index, "blocks").join(pieces(asked, "turns"), "part"), "blocks"))  # at most MOST_PARTS rows
+    pieces = lambda rows, most, to: rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(to))
+    blocks = F.broadcast(save(pieces(index, BLOCK_ROWS, "blocks").join(pieces(asked, TURN_ROWS, "turns"), "part"), "blocks"))  # at most MOST_PARTS * MOST_INNER rows
     spread = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
     deal = lambda id_, many: F.pmod(F.xxhash64(id_), many).cast("int")
     index = index.join(blocks, "part").select("part", deal("id", "blocks").alias("block"), spread("turns").alias("turn"), "id", "v")

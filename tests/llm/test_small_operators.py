@@ -251,6 +251,29 @@ def test_ann_recall_and_edges(spark):
     assert [v for _, v, _ in got[100]] == list(range(101, 111))
 
 
+def recall(x, got, queries, k=10):
+    hits = 0
+    for q in queries:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got.get(q, set()) & set(np.lexsort((np.arange(len(x)), d))[:k].tolist()))
+    return hits / k / len(queries)
+
+
+def test_ann_recall_with_many_parts(spark, monkeypatch):
+    """24,000 vectors in 24 parts; and the same with parts that are cut again."""
+    rng = np.random.default_rng(6)
+    basis = rng.standard_normal((6, 24))
+    x = (rng.standard_normal((24000, 6)) @ basis + 0.3 * rng.standard_normal((24000, 24))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(8).cache()
+    for most in (256, 6):
+        monkeypatch.setattr(ann, "MOST_PARTS", most)
+        got = {}
+        for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert recall(x, got, range(0, 24000, 100)) >= 0.9
+
+
 def test_ann_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.5])], "vec_id bigint, embedding array<float>")
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(df, F.col("vec_id") == 0).collect()]
