@@ -7,13 +7,10 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
-import numpy as np
-import pyarrow as pa
 import sentencepiece
 from test_ngramjoin import brute
-from test_small_operators import DOCS, brute_lines, odd_rows, prose
+from test_small_operators import DOCS, brute_lines, odd_rows, plain_scores, prose
 
-from gritstone.llm import quality
 from gritstone.llm.queries import PIECE_MODEL
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,15 +33,8 @@ def write(spark, path, rows, labels):
 
 def plain(rows, labels):
     """The five stages in Python."""
-    x, words = quality.statistics(pa.array([r[1] for r in rows], pa.string()))
-    at = {r[0]: k for k, r in enumerate(rows)}
-    known = [(at[d], q) for d, q, _ in labels if zlib.crc32(str(d).encode()) % 4 != 2]
-    k, y = np.array([a for a, _ in known]), np.array([q for _, q in known])
-    centre = x[k].mean(0)
-    z = quality.drawn(x, words, centre)
-    parts = [z[k[y == c]] for c in (0, 1)]
-    model = quality.Discriminant.fit(centre, np.array([len(p) for p in parts], float), np.stack([p.sum(0) for p in parts]), np.stack([p.T @ p for p in parts]), 0.1, 0.05)
-    rows = [r for r, s in zip(rows, model.score(z), strict=True) if s >= 0.7]
+    known = {d: q for d, q, _ in labels if zlib.crc32(str(d).encode()) % 4 != 2}
+    rows = [r for r, s in zip(rows, plain_scores([(r[0], r[1]) for r in rows], known), strict=True) if s >= 0.7]
 
     cut = brute_lines([(r[0], r[1]) for r in rows])
     rows = [(r[0], cut[r[0]], *r[2:4], r[4] if cut[r[0]] == r[1] else len(cut[r[0]])) for r in rows if cut[r[0]] == r[1] or cut[r[0]].strip()]
@@ -56,13 +46,13 @@ def plain(rows, labels):
     out = []
     for r in rows:
         mean = len(rows) / len(n) / n[r[3]]
-        whole = max(0, math.ceil(mean - 16))
+        assert mean <= 16
         u = (int(hashlib.md5(f"17|{r[0]}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
-        copies, p = 0, math.exp(-(mean - whole))
+        copies, p = 0, math.exp(-mean)
         while p < u:
             copies += 1
-            p += math.exp(-(mean - whole)) * (mean - whole) ** copies / math.factorial(copies)
-        out += [r] * (copies + whole)
+            p += math.exp(-mean) * mean**copies / math.factorial(copies)
+        out += [r] * copies
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     return Counter((*r, tuple(library.encode(r[1] or ""))) for r in out)
 

@@ -1,14 +1,18 @@
 """Edges and brute force of the operators that are not pairs of documents."""
 
+import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import sentencepiece
 from pyspark.sql import functions as F
 
-from gritstone.llm import ann, gru, imatch, linededup, lm, mixing, pieces, quality, urlfilter
+from gritstone.llm import ann, gru, imatch, linededup, lm, mixing, ngramjoin, passages, pieces, quality, urlfilter
 from gritstone.llm.components import components
 from gritstone.llm.queries import PIECE_MODEL, URL_RULES
 
@@ -118,6 +122,121 @@ def test_pieces_edges(spark):
     assert pieces.encode(frame(spark, []), own).collect() == []
 
 
+def plain_statistics(text):
+    """The statistics of quality.STATISTICS and the number of words, a character at a time."""
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in raw)) if w]
+    lines = raw.split(b"\n")
+    chars, n = len(raw), len(words)
+    rate = lambda part, whole: math.log((part + 0.002 * whole + 0.25) / (whole + 5))
+    count = lambda test: rate(sum(1 for c in raw if test(c)), chars)
+    n1 = max(n, 1)
+    made = {
+        "word_length": math.log1p(sum(map(len, words)) / n1), "capitals": count(lambda c: 65 <= c <= 90), "digits": count(lambda c: 48 <= c <= 57), "symbols": count(lambda c: chr(c) in "!#$%&*@^~+=<>{}[]\\/_"),
+        "bars": count(lambda c: c == ord("|")), "accents": count(lambda c: c >= 128), "stops": count(lambda c: chr(c) in ".,;:?"), "distinct_words": math.log((len(set(words)) + 5) / (n1 + 5)) / math.log(n1 + 10),
+        "repeated_next": rate(sum(a == b for a, b in zip(words, words[1:], strict=False)), n), "top_word": rate(max(Counter(words).values(), default=0), n),
+        "distinct_lines": math.log((len({x.strip() for x in lines} - {b""}) + 1) / (len(lines) + 1)), "line_words": math.log1p(n / len(lines)),
+    }
+    return [made[name] for name in quality.STATISTICS], n
+
+
+def plain_scores(rows, labels):
+    """doc_id's scores by inverse covariances and determinants. rows: (doc_id, text); labels: doc_id to 0 or 1."""
+    x, words = map(np.array, zip(*[plain_statistics(t) for _, t in rows], strict=True))
+    known = [(k, labels[d]) for k, (d, _) in enumerate(rows) if labels.get(d) in (0, 1)]
+    at, y = np.array([k for k, _ in known]), np.array([q for _, q in known])
+    centre = x[at].mean(0)
+    z = centre + (x - centre) * (words / (words + 30.0))[:, None]
+    cov = [np.cov(z[at[y == c]].T, bias=True) for c in (0, 1)]
+    share = [(y == c).mean() for c in (0, 1)]
+    pooled = sum(w * c for w, c in zip(share, cov, strict=True))
+    logs = []
+    for c in (0, 1):
+        m = 0.9 * cov[c] + 0.1 * pooled
+        m = 0.95 * m + 0.05 * np.diag(np.diag(m)) + 1e-6 * np.eye(len(m))
+        d = z - z[at[y == c]].mean(0)
+        logs.append(math.log(share[c]) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(m), d) - 0.5 * np.linalg.slogdet(m)[1])
+    return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+
+
+def test_quality_as_brute_force(spark):
+    rng = random.Random(12)
+    junk = lambda: " ".join(rng.choice(["BUY!!", "NOW!!", "$$$", "|", "X9%%", "éà"]) for _ in range(rng.randrange(5, 60)))
+    rows = [(k, prose(rng, rng.randrange(5, 60)) + "\n" * (k % 4) + prose(rng, 9) if k % 3 else junk()) for k in range(90)] + [(200 + k, t) for k, t in enumerate(ODD)]
+    x, n = quality.statistics(pa.array([t for _, t in rows], pa.string()))
+    assert np.allclose(x, [plain_statistics(t)[0] for _, t in rows], atol=1e-9) and n.tolist() == [plain_statistics(t)[1] for _, t in rows]
+    labels = {k: int(k % 3 > 0) if k % 10 else 1 for k in range(90)} | {3: None, 6: 7}
+    got = {r.doc_id: r.score for r in quality.classify(frame(spark, [(d, t, None, None, None) for d, t in rows]), spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int")).collect()}
+    assert np.allclose([got[d] for d, _ in rows], plain_scores(rows, labels), atol=1e-7)
+
+
+def test_nulls_stay_null(spark):
+    rows = [(k, prose(random.Random(k), 40) if k % 2 else "X! $$ " * 20, "en", "s", 1) for k in range(40)] + [(100, None, None, None, None), (101, "", None, None, None)]
+    df = frame(spark, rows)
+    assert {r.doc_id: r.text for r in pieces.encode(df, pieces.Pieces.load(PIECE_MODEL)).where("doc_id > 99").collect()} == {100: None, 101: ""}
+    kept = quality.without_rejected(df, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int"), threshold=0.0).collect()
+    assert {r.doc_id: r.text for r in kept if r.doc_id > 99} == {100: None, 101: ""} and len(kept) == len(rows)
+
+
+def plain_imatch(rows, band=(0.001, 0.05)):
+    """Fingerprints by doc_id of texts and edited texts."""
+    order = sorted(rows)
+    words = lambda t: {w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w}
+    df = Counter(w for _, t in rows for w in words(t))
+    kept = {w for w, c in df.items() if max(1, band[0] * len(rows)) <= c <= max(1, band[1] * len(rows))}
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+
+    def fingerprint(t):
+        h = sorted(int(md5(w)[:15], 16) for w in words(t) & kept)
+        text = lambda values: md5(" ".join(map(str, values)))
+        out = [text(h)[:16] if h else md5(" ".join(sorted(words(t))))[:16]]
+        groups = [[x for x in h if x & 3 == a and x >> 2 & 3 == b] for a in range(4) for b in range(4)]
+        groups += [[x for x in h if x >> 4 & 3 == 0 and x >> 6 & 15 == b] for b in range(16)]
+        groups += [[x for x in h if x >> 10 & 7 == 0 and x >> 13 & 31 == b] for b in range(32)]
+        return ".".join(out + [text(g)[:8] if g else "" for g in groups])
+
+    def near(a, b):
+        pairs = [p for p in zip(a.split("."), b.split("."), strict=True) if any(p)]
+        return sum(x == y for x, y in pairs) / len(pairs)
+
+    out = {}
+    for k, (d, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, other = fingerprint(t), fingerprint(edited)
+        out[d] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), own, other, round(near(own, other), 9), round(near(own, fingerprint(after)), 9))
+    return out
+
+
+def test_imatch_as_brute_force(spark):
+    rng = random.Random(13)
+    rows = [(k, prose(rng, rng.randrange(3, 90)) + f" own{k} Pair{k // 2}") for k in range(60)] + [(100 + k, t) for k, t in enumerate(ODD)]
+    for band in ((0.001, 0.05), (0.02, 0.5)):
+        got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in imatch.fingerprint_edits(frame(spark, [(d, t, None, None, None) for d, t in rows]), band).collect()}
+        assert got == plain_imatch(rows, band)
+
+
+def test_texts_longer_than_a_slice(spark):
+    """A text of over a MiB and its copy, in every operator that reads texts."""
+    rng = random.Random(14)
+    long = "\n".join(" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(12)) for _ in range(18000))
+    assert len(long) > 1 << 20
+    rows = [(1, long, "en", "a", 1), (2, long, "en", "b", 1), (3, "a short text of a few words", "en", "a", 1), (4, None, None, None, None)]
+    df = frame(spark, rows)
+    assert {r.doc_id: r.component_id for r in ngramjoin.jaccard_groups(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()} == {1: long, 2: "", 3: rows[2][1], 4: None}
+    assert [tuple(r)[:6] for r in passages.repeated_passages(df).collect()] == [(2, 0, len(long.split()), 1, 0, len(long.split()))]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    got = {r.doc_id: r for r in pieces.encode(df, pieces.Pieces.load(PIECE_MODEL), check=True).collect()}
+    assert list(got[1]._ids) == library.encode(long) and got[1]._exact and got[4]._ids == []
+    prints = {r.doc_id: r for r in imatch.fingerprint_edits(df).collect()}
+    assert prints[1].fingerprint == prints[2].fingerprint and prints[1].n_chars == len(long)
+    assert {r.doc_id: r.n_tokens for r in lm.score(df, F.lit(True)).collect()} == {1: len(long.split()) + 1, 2: len(long.split()) + 1, 3: 8, 4: 1}
+    assert quality.classify(df, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")).count() == 4
+    assert {len(r.text or "") for r in mixing.mix_sources(df, total=40.0).collect()} <= {len(long), len(rows[2][1]), 0}
+    assert urlfilter.judge(spark.createDataFrame([(1, "http://a.org/" + long), (2, "x" * (2 << 20))], "page_id bigint, url string"), spark.createDataFrame([], "page_id bigint, good int"), URL_RULES).count() == 2
+
+
 # line dedup
 
 
