@@ -63,7 +63,7 @@ def cap_evidence(evidence: DataFrame, most: int = 12) -> DataFrame:
 
 
 def lifecycle(state: DataFrame, seen: DataFrame, now: Column, minutes: int = 2) -> DataFrame:
-    """The next state of the incidents. Those seen are active, with their first start kept and their sticky deployment. Of those unseen, active ones recover, and recovering
+    """The next state of the incidents. Those seen are active, with their first start kept, and their suspected deployment where none is named anew. Of those unseen, active ones recover, and recovering
     ones are resolved when they were last seen some minutes ago or more; resolved ones stay so. transition: opened, resolved or null. The next state is read back as `state`, less its transition.
     """
     old = state.select("incident_id", *[F.col(c).alias(f"old_{c}") for c in ("status", "started_at", "last_seen", "suspect_deploy_id")])
@@ -72,7 +72,7 @@ def lifecycle(state: DataFrame, seen: DataFrame, now: Column, minutes: int = 2)
     status = F.when(F.col("_seen"), "active").when(F.col("old_status") == "active", "recovering").when((F.col("old_status") == "recovering") & quiet, "resolved").otherwise(F.col("old_status"))
     rows = rows.withColumn("status", status)
     transition = F.when(F.col("_seen") & (F.col("old_status").isNull() | (F.col("old_status") == "resolved")), "opened").when((F.col("status") == "resolved") & (F.col("old_status") != "resolved"), "resolved")
-    return rows.select("incident_id", "status", F.coalesce("old_started_at", "started_at").alias("started_at"), F.coalesce("last_seen", "old_last_seen").alias("last_seen"), F.coalesce("old_suspect_deploy_id", "suspect_deploy_id").alias("suspect_deploy_id"), transition.alias("transition"))
+    return rows.select("incident_id", "status", F.coalesce("old_started_at", "started_at").alias("started_at"), F.coalesce("last_seen", "old_last_seen").alias("last_seen"), F.coalesce(F.nullif(F.col("suspect_deploy_id"), F.lit("")), F.col("old_suspect_deploy_id")).alias("suspect_deploy_id"), transition.alias("transition"))
 
 
 def retained(incidents: DataFrame, now: Column, hours: int = 168) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import correlate, detect, filters, incidents, reads, trace
+from ..operators import correlate, detect, filters, incidents, reads, state, trace
 from ..schema import FAILED
-from ..sources import alerts, intake, otlp
+from ..sources import alerts, intake, legacy, otlp
 from .views import long_events, seeds, signals, wide_events
 
 NOW = datetime(2024, 1, 29)
@@ -489,3 +489,78 @@ def suspect_change(spark, sf_dir):
     rates = correlate.deploy_rate_delta(deploys.dropDuplicates(["id"]), wide_events(spark, sf_dir), minutes=600, least=1)
     s = seeds(spark, sf_dir).withColumn("suspect_deploy_id", F.concat_ws(":", F.lit("otlp"), "service", "env", "version"))
     return correlate.suspect_change(s, deploys, rates).select("incident_id", "suspect_deploy_id", "deploy_version", "deploy_first_seen")
+
+
+@query
+def family_samples(spark, sf_dir):
+    """The samples of each incident, of which every third has some already."""
+    s = seeds(spark, sf_dir).select("incident_id", "service", "step", "error_code", F.col("started_at").alias("since"), F.col("now").alias("until"), "events")
+    found = state.family_samples(s, wide_events(spark, sf_dir), most=4)
+    old = s.select("incident_id", F.when(F.col("events") % 3 == 0, F.array(F.lit("kept"), F.lit("too"))).alias("samples"))
+    return state.stable_samples(old, found, limit=3).select("incident_id", F.array_join("samples", ",").alias("samples"))
+
+
+@query
+def anomaly_incidents(spark, sf_dir):
+    w = wide_events(spark, sf_dir)
+    traffic = detect.traffic(w, _windows(), min_volume=20, drop=0.98, surge=1.02)
+    latency = detect.latency(w, _windows(), min_requests=20, factor=1.01)
+    open_ = seeds(spark, sf_dir).select(F.lit("open").alias("incident_id"), "env", "service", F.lit(state.LATENCY_STEP).alias("step"), F.lit(state.LATENCY_CODE).alias("error_code"), F.lit(SINCE).cast("timestamp_ntz").alias("started_at")).where("service = 'svc_1'").distinct()
+    found = state.anomaly_incidents(traffic, latency, open_, "prod", F.lit(NOW).cast("timestamp_ntz"))
+    return found.select("incident_id", "service", "step", "error_code", "severity", "started_at", F.round("lift", 6).alias("lift"))
+
+
+@query
+def rebuild_store(spark, sf_dir):
+    """A store of one day's incidents, of which some are resolved, replaced by the next day's."""
+    rows = seeds(spark, sf_dir).select(F.concat_ws("|", "service", "step", "error_code").alias("incident_id"), "env", "service", "step", "error_code", F.when(F.col("events") % 2 == 0, "resolved").otherwise("active").alias("status"), F.col("events").alias("severity"), "started_at", F.when(F.col("events") % 3 == 0, F.col("day")).otherwise("").alias("suspect_deploy_id"), "day")
+    day = lambda d: rows.where(F.col("day") == d).drop("day")
+    return state.replace_unresolved(day("20240110"), day("20240111").withColumn("status", F.lit("active")))
+
+
+@query
+def report_signals(spark, sf_dir):
+    s = seeds(spark, sf_dir).withColumn("until", F.col("now"))
+    return state.report_signals(s, signals(spark, sf_dir), 120).select("incident_id", "signal_id", "signal_type", F.col("place").cast("int").alias("place"))
+
+
+@query
+def top_families(spark, sf_dir):
+    s = seeds(spark, sf_dir).withColumn("until", F.col("now"))
+    return state.top_families(s, wide_events(spark, sf_dir), 60 * 48).select("incident_id", "step", "error_code", "count", F.col("place").cast("int").alias("place"))
+
+
+@query
+def retention(spark, sf_dir):
+    """What is left of incidents and signals at an instant."""
+    now = F.lit(UNTIL).cast("timestamp_ntz")
+    old = seeds(spark, sf_dir).select("incident_id", F.when(F.col("events") % 2 == 0, "resolved").otherwise("active").alias("status"), F.col("now").alias("last_seen"))
+    left = incidents.retained(old, now).select(F.col("incident_id").alias("id"))
+    return left.unionByName(state.signals_retained(signals(spark, sf_dir), now).select(F.col("signal_id").alias("id")))
+
+
+@query
+def instrumentation_warnings(spark, sf_dir):
+    w = wide_events(spark, sf_dir)
+    rows = w.select("event_id", F.when(F.col("k") % 4 == 0, "").otherwise(F.col("version")).alias("version"), (F.col("k") % 2 == 0).alias("has_downstream"), (F.col("k") % 3 == 0).alias("has_dependency_signal"), F.when(F.col("k") % 5 == 0, "timestamp_fallback").otherwise("causal").alias("linkage"))
+    return incidents.warnings(rows).select("event_id", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query
+def top_insight(spark, sf_dir):
+    rows = seeds(spark, sf_dir).select("incident_id", "started_at", F.col("events").cast("int").alias("severity"), F.when(F.col("events") % 7 == 0, "resolved").otherwise("active").alias("status"), F.when(F.col("users") % 3 == 0, "high").when(F.col("users") % 3 == 1, "medium").otherwise("low").alias("confidence"))
+    return incidents.insight(rows).select("incident_id", "confidence", "confidence_value")
+
+
+@query
+def legacy_problems(spark, sf_dir):
+    """Each event as one of version 1 that lacks what its key says, and the names of what is wrong with it."""
+    w = wide_events(spark, sf_dir)
+    k = F.col("k")
+    body = F.to_json(F.struct(
+        F.when(k % 13 == 0, "2.0").otherwise("1.1").alias("schema_version"), F.lit("e").alias("event_name"), F.date_format("ts_start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.struct(F.when(k % 5 > 0, F.col("user_id")).alias("id")).alias("user"),
+        F.struct("trace_id", F.when(k % 7 == 0, "p").alias("parent_span_id"), F.when(k % 11 == 0, "get").otherwise("GET").alias("http_method")).alias("request"), F.struct("service", "env").alias("system"),
+        F.struct((~filters.failed()).alias("success"), F.when(k % 17 > 0, 200).otherwise(0).alias("status_code")).alias("outcome"), F.when(filters.failed() & (k % 3 > 0), F.struct(F.when(k % 3 == 1, F.col("error_code")).otherwise("").alias("code"))).alias("error"),
+    ))
+    rows = w.select("event_id", F.from_json(body, legacy.EVENT_V1).alias("event"))
+    return rows.select("event_id", F.array_join(legacy.problems(F.col("event")), ",").alias("problems"))

@@ -166,7 +166,7 @@ t{day} AS (
   SELECT coalesce(o.incident_id, s.incident_id) AS incident_id,
     CASE WHEN s.incident_id IS NOT NULL THEN 'active' WHEN o.status = 'active' THEN 'recovering'
          WHEN o.status = 'recovering' AND TIMESTAMP '2024-01-{day} 23:59:59' - o.last_seen >= INTERVAL 2 MINUTE THEN 'resolved' ELSE o.status END AS status,
-    coalesce(o.started_at, s.started_at) AS started_at, coalesce(s.last_seen, o.last_seen) AS last_seen, coalesce(o.suspect_deploy_id, s.suspect_deploy_id) AS suspect_deploy_id,
+    coalesce(o.started_at, s.started_at) AS started_at, coalesce(s.last_seen, o.last_seen) AS last_seen, coalesce(s.suspect_deploy_id, o.suspect_deploy_id) AS suspect_deploy_id,
     CASE WHEN s.incident_id IS NOT NULL AND (o.incident_id IS NULL OR o.status = 'resolved') THEN 'opened'
          WHEN s.incident_id IS NULL AND o.status = 'recovering' AND TIMESTAMP '2024-01-{day} 23:59:59' - o.last_seen >= INTERVAL 2 MINUTE THEN 'resolved' END AS transition
   FROM t{day - 1} o FULL JOIN s{day} s ON o.incident_id = s.incident_id)"""
@@ -293,4 +293,39 @@ FROM seeds s JOIN sig g ON g.type = 'alert' AND g.service = s.service AND g.at_
   WHERE NOT EXISTS (SELECT 1 FROM dep d WHERE d.service = s.service AND d.version = s.version AND d.first_seen BETWEEN s.now - INTERVAL 24 HOUR AND s.now)) WHERE r = 1""",
     "suspect_change": W + """, d AS (SELECT id, min(first_seen) AS first_seen, any_value(version) AS version FROM dep GROUP BY id)
 SELECT s.incident_id, 'otlp:' || s.service || ':' || s.env || ':' || s.version AS suspect_deploy_id, d.version AS deploy_version, d.first_seen AS deploy_first_seen FROM seeds s LEFT JOIN d ON d.id = 'otlp:' || s.service || ':' || s.env || ':' || s.version""",
+    "family_samples": W + """, n AS (
+  SELECT s.incident_id, s.step AS own, w.step, w.trace_id, w.ts_start, row_number() OVER (PARTITION BY s.incident_id ORDER BY w.ts_start DESC, w.event_id) AS r
+  FROM seeds s JOIN w ON w.failed AND w.service = s.service AND w.error_code = s.error_code AND w.ts_start BETWEEN s.started_at AND s.now),
+m AS (SELECT * FROM n WHERE r <= 4 AND step = own),
+base AS (SELECT s.incident_id, CASE WHEN s.events % 3 = 0 THEN ['kept', 'too'] ELSE (SELECT list(trace_id ORDER BY ts_start, trace_id)[1:1] FROM m WHERE m.incident_id = s.incident_id) END AS start FROM seeds s),
+rest AS (SELECT incident_id, trace_id, max(ts_start) AS latest FROM m GROUP BY ALL),
+tail AS (SELECT b.incident_id, list(trace_id ORDER BY latest DESC, trace_id) FILTER (trace_id IS NOT NULL AND NOT list_contains(coalesce(start, []), trace_id)) AS more FROM base b LEFT JOIN rest USING (incident_id) GROUP BY b.incident_id)
+SELECT incident_id, array_to_string(list_concat(coalesce(start, []), coalesce(more, []))[1:3], ',') AS samples FROM base JOIN tail USING (incident_id)""",
+    "anomaly_incidents": W + _WEEKS + """, j AS (SELECT w.*, win FROM w JOIN win ON ts_start BETWEEN since AND until),
+c AS (SELECT service, count(*) FILTER (win = 0) AS n0, list_sort([count(*) FILTER (win = 1), count(*) FILTER (win = 2), count(*) FILTER (win = 3)])[2] AS b FROM j GROUP BY ALL),
+t AS (SELECT service, '<traffic>' AS step, CASE WHEN n0 <= 0.98::DOUBLE * b THEN 'TRAFFIC_DROP' ELSE 'TRAFFIC_SURGE' END AS error_code, n0 AS cur, b AS base FROM c WHERE b >= 20 AND (n0 <= 0.98::DOUBLE * b OR n0 >= 1.02::DOUBLE * b)),
+r AS (SELECT win, service, duration_ms, row_number() OVER (PARTITION BY win, service ORDER BY duration_ms) AS r, count(*) OVER (PARTITION BY win, service) AS n FROM j),
+p AS (SELECT win, service, any_value(n) AS n, max(CASE WHEN r = (95 * n + 99) // 100 THEN duration_ms END) AS ms FROM r GROUP BY win, service HAVING any_value(n) >= 20),
+g AS (SELECT service, max(ms) FILTER (win = 0) AS ms, list(ms ORDER BY ms) FILTER (win > 0) AS before FROM p GROUP BY service),
+l AS (SELECT service, '<latency>' AS step, 'LATENCY_SPIKE' AS error_code, ms AS cur, before[(len(before) - 1) // 2 + 1] AS base FROM g WHERE ms IS NOT NULL AND len(before) >= 2 AND before[(len(before) - 1) // 2 + 1] > 0 AND ms >= 1.01::DOUBLE * before[(len(before) - 1) // 2 + 1]),
+u AS (SELECT * FROM t UNION ALL SELECT * FROM l),
+v AS (SELECT *, service = 'svc_1' AND step = '<latency>' AS known, CASE error_code WHEN 'TRAFFIC_DROP' THEN base / greatest(cur, 1) ELSE cur / greatest(base, 1) END AS lift FROM u)
+SELECT CASE WHEN known THEN 'open' ELSE 'inc_' || substr(sha256('prod|' || service || '|' || service || ':' || step || ':' || error_code || '|2024-01-29T00:00:00Z'), 1, 16) END AS incident_id, service, step, error_code,
+  CAST(least(10, 1 + greatest(cur, base) // 5 + 1 + CASE WHEN lift >= 10 THEN 3 WHEN lift >= 3 THEN 2 ELSE 0 END) AS INTEGER) AS severity, CASE WHEN known THEN TIMESTAMP '2024-01-10' ELSE TIMESTAMP '2024-01-29' END AS started_at, round(lift, 6) AS lift FROM v""",
+    "rebuild_store": W + """, r AS (SELECT service || '|' || step || '|' || error_code AS incident_id, env, service, step, error_code, CASE WHEN events % 2 = 0 THEN 'resolved' ELSE 'active' END AS status, events AS severity, started_at, CASE WHEN events % 3 = 0 THEN day ELSE '' END AS suspect_deploy_id, day FROM seeds),
+o AS (SELECT * FROM r WHERE day = '20240110' AND status = 'resolved'), n AS (SELECT * FROM r WHERE day = '20240111')
+SELECT coalesce(o.incident_id, n.incident_id) AS incident_id, coalesce(o.env, n.env) AS env, coalesce(o.service, n.service) AS service, coalesce(o.step, n.step) AS step, coalesce(o.error_code, n.error_code) AS error_code,
+  CASE WHEN n.incident_id IS NOT NULL THEN 'active' ELSE o.status END AS status, coalesce(n.severity, o.severity) AS severity, coalesce(o.started_at, n.started_at) AS started_at, coalesce(nullif(n.suspect_deploy_id, ''), o.suspect_deploy_id) AS suspect_deploy_id
+FROM o FULL JOIN n ON o.incident_id = n.incident_id""",
+    "report_signals": W + """SELECT * FROM (SELECT s.incident_id, g.signal_id, g.type AS signal_type, CAST(row_number() OVER (PARTITION BY s.incident_id ORDER BY g.at_ DESC, g.signal_id DESC) AS INTEGER) AS place
+FROM seeds s JOIN sig g ON g.at_ BETWEEN s.now - INTERVAL 120 MINUTE AND s.now) WHERE place <= 200""",
+    "top_families": W + """, c AS (SELECT s.incident_id, w.step, w.error_code, count(*) AS count FROM seeds s JOIN w ON w.failed AND w.service = s.service AND w.ts_start BETWEEN s.now - INTERVAL 48 HOUR AND s.now GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY count DESC, step, error_code) AS INTEGER) AS place FROM c) WHERE place <= 5""",
+    "retention": W + """SELECT incident_id AS id FROM seeds WHERE NOT (events % 2 = 0 AND epoch(TIMESTAMP '2024-01-20') - floor(epoch(now)) > 168 * 3600)
+UNION ALL SELECT signal_id FROM sig WHERE at_ >= TIMESTAMP '2024-01-20' - INTERVAL 72 HOUR""",
+    "instrumentation_warnings": W + "SELECT event_id, array_to_string(list_filter([CASE WHEN k % 2 = 0 AND k % 3 <> 0 THEN 'missing_dependency_signal' END, CASE WHEN k % 4 = 0 THEN 'missing_service_version' END, CASE WHEN k % 5 = 0 THEN 'partial_trace' END], lambda x: x IS NOT NULL), ',') AS warnings FROM w",
+    "top_insight": W + """SELECT incident_id, CASE users % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, CASE users % 3 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.65::DOUBLE ELSE 0.35::DOUBLE END AS confidence_value
+FROM seeds WHERE events % 7 <> 0 ORDER BY events DESC, started_at DESC, incident_id LIMIT 1""",
+    "legacy_problems": W + """SELECT event_id, array_to_string(list_filter([CASE WHEN failed AND k % 3 = 0 THEN 'error' END, CASE WHEN failed AND k % 3 = 2 THEN 'error.code' END, CASE WHEN k % 17 = 0 THEN 'outcome.status_code' END, CASE WHEN k % 11 = 0 THEN 'request.http_method' END,
+  CASE WHEN k % 7 = 0 THEN 'request.span_id' END, CASE WHEN k % 13 = 0 THEN 'schema_version' END, CASE WHEN k % 5 = 0 THEN 'user.id' END], lambda x: x IS NOT NULL), ',') AS problems FROM w""",
 }

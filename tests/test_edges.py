@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions import params, text
 from gritstone.plans import report
-from gritstone.sources import alerts, intake, otlp
+from gritstone.sources import alerts, intake, legacy, otlp
 from gritstone.streaming import stream
 
 NOW = datetime(2024, 1, 2, 3, 4, 5)
@@ -165,3 +165,20 @@ def test_stream_is_batch(spark, tmp_path):
         assert q.exception() is None
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["e1", "e2"]
     assert [r.reason for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["invalid_json"]
+
+
+def test_legacy_events(spark):
+    good = {"schema_version": "1.1", "event_name": "pay", "timestamp": "2024-01-01T00:00:00Z", "user": {"id": "u"}, "request": {"trace_id": "t"}, "system": {"service": "s", "env": "prod"}, "outcome": {"success": True, "status_code": 200}}
+    cases = [
+        ({}, []), ({"schema_version": "2.0"}, ["schema_version"]), ({"schema_version": "1"}, ["schema_version"]), ({"user": {}, "event_name": ""}, ["event_name", "user.id"]), ({"request": {"trace_id": "t", "parent_span_id": "p", "http_method": "get", "route_template": "x"}}, ["request.http_method", "request.route_template", "request.span_id"]),
+        ({"outcome": {"success": False, "status_code": 500}}, ["error"]), ({"outcome": {"success": False, "status_code": 0}, "error": {"code": ""}}, ["error.code", "outcome.status_code"]), ({"retry": {"of": 1}, "request": {"trace_id": "t", "attempt": 2}}, ["retry.of"]), ({"system": {}, "timestamp": None}, ["system.env", "system.service", "timestamp"]),
+    ]
+    df = spark.createDataFrame([(k, json.dumps(good | more)) for k, (more, _) in enumerate(cases)], "n int, value string").withColumn("event", F.from_json("value", legacy.EVENT_V1))
+    assert [r.p for r in df.select("n", legacy.problems(F.col("event")).alias("p")).orderBy("n").collect()] == [p for _, p in cases]
+    lines = [json.dumps({"logged_at": "2024-01-02T00:00:00Z", "event": good | {"user": {"id": f"u{k % 2}"}, "timestamp": f"2024-01-01T00:00:{k:02}Z"}}) for k in range(20)] + [json.dumps(good)]
+    entries = intake.legacy_entries(spark.createDataFrame([(x,) for x in lines], "value string"), spark.createDataFrame([], f"e {legacy.EVENT_V1}").schema["e"].dataType)
+    got = legacy.search(entries, user_id="u1", since=datetime(2024, 1, 1, 0, 0, 5), limit=3).collect()
+    assert [r.event.timestamp.second for r in got] == [19, 17, 15] and legacy.search(entries).count() == 21
+    assert legacy.row_of(legacy.row_cursor(42)) == 42 and legacy.row_of("") == 0 and legacy.time_of(legacy.time_cursor(NOW, "a|b")) == (NOW, "a|b")
+    names = spark.createDataFrame([(n,) for n in ("events-20240101-000000.jsonl", "events-20240101-000000-2.jsonl", "events-20240301-000000.jsonl", "events-x.jsonl", "other.jsonl", "events-20230101-000000.jsonl")], "name string")
+    assert {r.name for r in legacy.expired_logs(names, datetime(2024, 2, 1), "events-20230101-000000.jsonl").collect()} == {"events-20240101-000000.jsonl", "events-20240101-000000-2.jsonl"}

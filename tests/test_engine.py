@@ -5,7 +5,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from gritstone.operators import correlate, detect, filters, incidents, reads, trace
+from gritstone.operators import correlate, detect, filters, incidents, reads, state, trace
+from gritstone.plans import report
 
 T0 = datetime(2024, 1, 1, 12)
 EVENTS = "event_id string, ts_start timestamp_ntz, ts_end timestamp_ntz, duration_ms bigint, service string, env string, version string, trace_id string, parent_span_id string, status string, step string, error_code string, user_id string, seq bigint"
@@ -190,7 +191,7 @@ def test_lifecycle(spark):
     state = incidents.lifecycle(old, seen, F.lit(now))
     got = {r.incident_id: r for r in state.collect()}
     assert {k: (r.status, r.transition) for k, r in got.items()} == {"a": ("active", None), "b": ("recovering", None), "c": ("recovering", None), "d": ("resolved", "resolved"), "e": ("recovering", None), "n": ("active", "opened")}
-    assert got["a"].started_at == T0 and got["a"].suspect_deploy_id == "d"
+    assert got["a"].started_at == T0 and got["a"].suspect_deploy_id == "x"
     state = incidents.lifecycle(state, seen.where("incident_id = 'c'"), F.lit(T0 + timedelta(minutes=3)))
     assert {r.incident_id: (r.status, r.transition) for r in state.collect()} == {"a": ("recovering", None), "b": ("resolved", "resolved"), "c": ("resolved", "resolved"), "d": ("resolved", None), "e": ("resolved", "resolved"), "n": ("recovering", None)}
     back = spark.createDataFrame([("d", now, now, None)], seen.schema)
@@ -230,3 +231,69 @@ def test_sampler_and_dedup(spark):
     assert kept == {"e1", "e2"}
     twice = frame(spark, [event(1, 5), event(1, 9)]).withColumn("seq", F.unix_seconds(F.col("ts_start").cast("timestamp")))
     assert filters.dedup_first(twice).collect()[0].ts_start == T0 + timedelta(seconds=5)
+
+
+def test_samples_stay(spark):
+    old = spark.createDataFrame([("a", ["t9"]), ("b", []), ("c", None), ("d", list("123456"))], "incident_id string, samples array<string>")
+    rows = [(i, f"e{k}", t, T0 + timedelta(seconds=k)) for i in "abd" for k, t in enumerate(("t1", "t2", "t2", "t9", "", "t3", "t4", "t5"))]
+    got = {r.incident_id: r.samples for r in state.stable_samples(old, spark.createDataFrame(rows, "incident_id string, event_id string, trace_id string, ts_start timestamp_ntz")).collect()}
+    assert got == {"a": ["t9", "t5", "t4", "t3", "t2"], "b": ["t1", "t5", "t4", "t3", "t9"], "c": [], "d": list("12345")}
+
+
+def test_family_samples_limit_before_the_step(spark):
+    events = frame(spark, [event(k, k, status="error", step="a" if k < 3 else "b", code="X") for k in range(6)])
+    asked = spark.createDataFrame([("i", "checkout", "a", "X", T0, T0 + timedelta(minutes=5))], "incident_id string, service string, step string, error_code string, since timestamp_ntz, until timestamp_ntz")
+    assert {r.event_id for r in state.family_samples(asked, events, most=4).collect()} == {"e2"}
+    assert {r.event_id for r in state.family_samples(asked, events).collect()} == {"e0", "e1", "e2"}
+
+
+def test_snapshots(spark):
+    kind = "struct<n:int,capture_status:string>"
+    prior = spark.createDataFrame([("a", (1, "ok"), (1, "ok")), ("b", None, (1, "missing")), ("c", (1, "ok"), (1, "ok"))], f"incident_id string, opening {kind}, latest {kind}")
+    fresh = spark.createDataFrame([("a", (2, "missing")), ("b", (2, "ok")), ("n", (2, "partial"))], f"incident_id string, evidence {kind}")
+    got = {r.incident_id: (r.opening and r.opening.n, r.latest.n) for r in state.update_snapshots(prior, fresh).collect()}
+    assert got == {"a": (1, 2), "b": (2, 2), "c": (1, 1), "n": (None, 2)}
+
+
+def test_rebuild_keeps_resolved(spark):
+    kind = "incident_id string, env string, service string, step string, error_code string, status string, severity int, started_at timestamp_ntz, suspect_deploy_id string"
+    row = lambda i, status, severity, at, deploy=None: (i, "prod", "s", "a", "X", status, severity, T0 + timedelta(minutes=at), deploy)
+    store = spark.createDataFrame([row("open", "active", 1, 0), row("old", "resolved", 2, 0, "d"), row("kept", "resolved", 3, 0)], kind)
+    got = {r.incident_id: r for r in state.replace_unresolved(store, spark.createDataFrame([row("old", "active", 9, 5, ""), row("new", "active", 4, 5)], kind)).collect()}
+    assert set(got) == {"old", "kept", "new"} and (got["old"].status, got["old"].severity, got["old"].started_at, got["old"].suspect_deploy_id) == ("active", 9, T0, "d")
+
+
+def test_anomaly_incidents(spark):
+    traffic = spark.createDataFrame([("s", 10, 100, "drop"), ("u", 400, 100, "surge"), ("v", 5, 5, None)], "service string, n0 bigint, baseline bigint, direction string")
+    latency = spark.createDataFrame([("s", 300, 100, True), ("u", 9, 3, False)], "service string, latency_ms bigint, baseline_ms bigint, anomalous boolean")
+    open_ = spark.createDataFrame([("mine", "prod", "s", "<latency>", "LATENCY_SPIKE", T0)], "incident_id string, env string, service string, step string, error_code string, started_at timestamp_ntz")
+    now = F.lit(T0 + timedelta(minutes=30)).cast("timestamp_ntz")
+    got = {(r.service, r.error_code): r for r in state.anomaly_incidents(traffic, latency, open_, "prod", now).collect()}
+    assert {k: (r.lift, r.severity) for k, r in got.items()} == {("s", "TRAFFIC_DROP"): (10.0, 10), ("u", "TRAFFIC_SURGE"): (4.0, 10), ("s", "LATENCY_SPIKE"): (3.0, 10)}
+    assert got["s", "LATENCY_SPIKE"].incident_id == "mine" and got["s", "LATENCY_SPIKE"].started_at == T0 and got["s", "TRAFFIC_DROP"].incident_id.startswith("inc_")
+
+
+def test_deep_traces_are_linear():
+    rows = [{"event_id": f"e{k}", "ts_start": T0, "service": "s", "parent_span_id": f"s{k - 1}" if k else "", "status": "error" if k % 2 else "ok", "spans": [f"s{k}"], "seq": k} for k in range(4000)]
+    assert trace.anchor(rows)[0]["event_id"] == "e3999" and len(trace.ordered(rows)[0]) == 4000
+    assert trace.ordered([{**rows[0], "service": None}, rows[1]])[1] == "causal"
+
+
+def test_report_from_frames(spark):
+    rows = [event(1, 0, status="error", step="pay", code="X", user="u1"), event(2, 5, status="error", step="pay", code="X", user="u2", trace_id="t2"), event(3, 6, status="error", step="other", code="Y", trace_id="t3")]
+    events, until = frame(spark, rows), T0 + timedelta(minutes=10)
+    asked = spark.createDataFrame([("i1", "prod", "checkout", "pay", "X", T0, until, "deploy", "high", "d1")], "incident_id string, env string, service string, step string, error_code string, since timestamp_ntz, until timestamp_ntz, cause string, confidence string, suspect_deploy_id string")
+    samples = state.stable_samples(asked.select("incident_id", F.lit(None).cast("array<string>").alias("samples")), state.family_samples(asked, events))
+    story = spark.createDataFrame([("t", "e1", "checkout", "error", ("pay", "X"), [("pay", "s1", 0, 5, "error", None)], None)], "trace_id string, " + STORY.replace("event_id string, status", "event_id string, service string, status"))
+    signals = spark.createDataFrame([("sig1", "alert", "warning", "checkout", "prod", T0 + timedelta(minutes=1))], "signal_id string, type string, severity string, service string, env string, timestamp timestamp_ntz")
+    deploys = spark.createDataFrame([("d1", "checkout", "v2", T0)], "id string, service string, version string, first_seen timestamp_ntz")
+    change = correlate.suspect_change(asked, deploys, correlate.deploy_rate_delta(deploys, events))
+    alerts = correlate.alert_evidence(asked.withColumnsRenamed({"since": "started_at", "until": "now"}), signals)
+    made = report.from_frames(asked, reads.blast_radius(events, events.where(filters.blast_filter("X"))), state.top_families(asked, events), samples, trace.stories(story), state.report_signals(asked, signals), alerts, change, "2024-01-01T00:00:00Z")
+    assert (made["blast_snapshot"]["requests"], made["blast_snapshot"]["users"]) == (2, 2)
+    assert [(f["step"], f["count"]) for f in made["blast_snapshot"]["top_error_families"]] == [("pay", 2), ("other", 1)]
+    assert [s["trace_id"] for s in made["sample_traces"]] == ["t", "t2"] and made["sample_traces"][0]["summary"] == "checkout/pay → pay"
+    assert made["first_failure"]["first_failing_step"] == "pay" and made["suspect_change"]["deploy_id"] == "d1" and made["signals"][0]["id"] == "sig1" and made["alerts"][0]["signal_id"] == "sig1"
+    again = report.from_frames(asked, reads.blast_radius(events, events.where(filters.blast_filter("X"))), state.top_families(asked, events), samples, trace.stories(story), state.report_signals(asked, signals), alerts, change, "2025-01-01T00:00:00Z")
+    assert again["report_hash"] == made["report_hash"] and not report.problems(made)
+    assert state.snapshot_text(asked.withColumns({"status": F.lit("active"), "severity": F.lit(3), "requests": F.lit(2), "users": F.lit(None)})).first().text.splitlines()[0] == "i1 active severity 3"
