@@ -233,11 +233,11 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     known = texts.where("doc_id is not null")
     postings = _shared_postings(known, size, percent, _excess(survey))
     nodes = save(postings.select("node").distinct().join(reps, "node").select("node", "rep"), "nodes")
-    copied = save(reps.where("rep <> last").select("node", "rep"), "copied")
+    copied = reps.where("rep <> last").select("node", "rep")
     copies = named.join(copied, "node").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()  # a doc_id with two texts links their nodes
 
     links = tested = None
-    scratch = [reps, postings, nodes, copied]
+    scratch = [reps, postings, nodes]
     for k in range(STAR_ROUNDS + 1):
         labels = nodes.select("node", F.col("rep").alias("component"))
         if links is not None:
