@@ -11,13 +11,11 @@ split AS (
   FROM after),
 named AS (SELECT *, string_split(host, '.') AS parts FROM split),
 two AS (SELECT *, array_to_string(parts[-2:], '.') AS last_two FROM named),
+sorts AS (SELECT *, regexp_matches(host, '^[0-9]+(\.[0-9]+){3}$') AS address, regexp_matches(last_two, '^(ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z]{2}$') AS long FROM two),
 levels AS (
-  SELECT page_id, host, path,
-    CASE WHEN last_two IN ('co.uk','org.uk','ac.uk','gov.uk','com.au','net.au','org.au','co.jp','com.br','co.nz','co.in','co.za','com.cn','com.mx','com.tr')
-         THEN array_to_string(parts[-3:], '.') ELSE last_two END AS domain,
-    CASE WHEN last_two IN ('co.uk','org.uk','ac.uk','gov.uk','com.au','net.au','org.au','co.jp','com.br','co.nz','co.in','co.za','com.cn','com.mx','com.tr')
-         THEN last_two ELSE parts[-1] END AS suffix
-  FROM two),
+  SELECT page_id, host, path, CASE WHEN address THEN host WHEN long THEN array_to_string(parts[-3:], '.') ELSE last_two END AS domain,
+    CASE WHEN address THEN 'ip' WHEN long THEN last_two ELSE parts[-1] END AS suffix
+  FROM sorts),
 known AS (SELECT l.*, q.quality AS good FROM levels l LEFT JOIN (SELECT doc_id, quality FROM labels WHERE quality IN (0, 1)) q ON q.doc_id = l.page_id),
 h AS (SELECT host, domain, suffix, count(good) AS n, coalesce(sum(good), 0) AS g FROM known GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(g) AS g FROM h GROUP BY ALL),

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Suffixes of two labels under which domains are registered; any other suffix is the last label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "com.br", "co.nz", "co.in", "co.za", "com.cn", "com.mx", "com.tr")
+#: Labels under a country's two letters that domains are registered below (as in co.uk); any other suffix is the last label.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+TWO_LABEL_SUFFIX, ADDRESS = rf"^({'|'.join(SECOND_LABELS)})\.[a-z]{{2}}$", r"^[0-9]+(\.[0-9]+){3}$"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,10 +22,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    """The registered domain and the suffix above it; a host of fewer labels is its own."""
+    """The registered domain and the suffix above it; a host of fewer labels is its own, and so is a numeric address, whose suffix is `ip`."""
     two = F.substring_index(host, ".", -2)
-    long = two.isin(*TWO_LABEL_SUFFIXES)
-    return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
+    long, address = two.rlike(TWO_LABEL_SUFFIX), host.rlike(ADDRESS)
+    domain = F.when(address, host).when(long, F.substring_index(host, ".", -3)).otherwise(two)
+    return domain, F.when(address, "ip").when(long, two).otherwise(F.substring_index(host, ".", -1))
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:

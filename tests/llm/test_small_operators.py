@@ -501,6 +501,13 @@ def test_urls(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id bigint, url string"), labels, URL_RULES).collect() == []
 
 
+def test_domains(spark):
+    hosts = {"a.b.co.kr": ("b.co.kr", "co.kr"), "1.2.3.4": ("1.2.3.4", "ip"), "x.example.com": ("example.com", "com"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.com.au": ("a.com.au", "com.au"), "shop.de": ("shop.de", "de")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    domain, suffix = urlfilter.domain_and_suffix(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
+
+
 def test_reputation_shrinks(spark):
     pages = [(k, "good.net") for k in range(200)] + [(200 + k, "bad.net") for k in range(200)] + [(900, "new.good.net"), (901, "new.bad.net")]
     df = spark.createDataFrame([(k, f"http://{h}/") for k, h in pages], "page_id bigint, url string")
