@@ -51,7 +51,7 @@ def error_rollup(matched: DataFrame) -> DataFrame:
 
 
 def blast_radius(events: DataFrame, matched: DataFrame) -> DataFrame:
-    """One row: distinct matched traces; users and services over all events of those traces, whatever their status or time; the ten services with most traces."""
+    """One row: distinct matched traces; users and services over all events of those traces, whatever their status or time; the ten services with most traces, ties by name. Users are null where none is known. No match: no requests, users or services, and null top_services."""
     traces = matched.select("trace_id").distinct()
     whole = events.join(traces, "trace_id", "left_semi")
     users = F.count_distinct("user_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +52,10 @@ def oversized(lines: DataFrame) -> DataFrame:
     return sizes.where((F.col("lines") > MOST_LINES) | (F.col("bytes") > MOST_BYTES))
 
 
-def read_log(spark: SparkSession, folder: str, since: str | None = None) -> DataFrame:
-    """Lines of the event log's files events-*.jsonl, without those last written before `since` and without lines of over a MiB; ordered by `file` and `line_id`."""
+def read_log(spark: SparkSession, folder: str, since: datetime | None = None, slack: timedelta = timedelta(minutes=5)) -> DataFrame:
+    """Lines of the event log's files events-*.jsonl, without those last written more than the slack before `since` and without lines of over a MiB; ordered by `file` and `line_id`."""
     reader = spark.read.option("pathGlobFilter", "events-*.jsonl")
-    reader = reader.option("modifiedAfter", since) if since else reader
+    reader = reader.option("modifiedAfter", (since - slack).strftime("%Y-%m-%dT%H:%M:%S")) if since else reader
     rows = reader.text(folder).select("value", "_metadata.file_modification_time", "_metadata.file_name")
     return rows.where(F.octet_length("value") <= MOST_BYTES).withColumn("line_id", F.monotonically_increasing_id())
 
