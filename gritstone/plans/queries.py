@@ -281,7 +281,11 @@ def runtime_match(spark, sf_dir):
 
 @query
 def alert_match(spark, sf_dir):
-    return correlate.alert_match(seeds(spark, sf_dir), signals(spark, sf_dir).where("type = 'alert'"), 360).select("incident_id", "signal_id", "strategy")
+    """Of the alerts a seventh names an incident, which then is the only one, and another seventh one that doesn't exist."""
+    n = F.substring("signal_id", 5, 20).cast("bigint") % 7
+    named = F.when(n == 0, F.concat_ws("|", "service", F.lit("step_0"), "alert_code", F.date_format("timestamp", "yyyyMMdd"))).when(n == 1, "none").otherwise("")
+    alerts = signals(spark, sf_dir).where("type = 'alert'").withColumn("alert_incident_id", named)
+    return correlate.alert_match(seeds(spark, sf_dir), alerts, 360).select("incident_id", "signal_id", "strategy")
 
 
 def _evidence_times(spark, sf_dir):
@@ -342,6 +346,14 @@ def dedup_first(spark, sf_dir):
     return filters.dedup_first(w, key="trace_id", order="event_id").select("trace_id", "event_id")
 
 
+@query
+def dedup_events(spark, sf_dir):
+    """Every third event came twice, and earlier with another status: the first one stays."""
+    w = wide_events(spark, sf_dir).select("event_id", "status", "k", (F.col("event_id") * 2).alias("seq"))
+    early = w.where("k % 3 = 0").withColumn("status", F.lit("early")).withColumn("seq", F.col("seq") - 1)
+    return filters.dedup_first(w.unionByName(early)).select("event_id", "status")
+
+
 @query
 def family_format(spark, sf_dir):
     w = wide_events(spark, sf_dir).where(filters.failed())

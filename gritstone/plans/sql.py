@@ -244,7 +244,9 @@ SELECT id, n_before, bad_before, n_after, bad_after, round(CASE WHEN n_before >=
     "deploy_match": W + "SELECT * FROM depm",
     "dependency_match": W + "SELECT * FROM dpm",
     "runtime_match": W + "SELECT * FROM rtm",
-    "alert_match": W + "SELECT s.incident_id, g.signal_id, 'family' AS strategy FROM seeds s JOIN sig g ON g.type = 'alert' AND g.service = s.service AND g.code = s.error_code AND g.at_ BETWEEN s.started_at - INTERVAL 360 MINUTE AND s.now",
+    "alert_match": W + """, a AS (SELECT *, CASE CAST(substr(signal_id, 5) AS BIGINT) % 7 WHEN 0 THEN service || '|step_0|' || code || '|' || strftime(at_, '%Y%m%d') WHEN 1 THEN 'none' ELSE '' END AS named FROM sig WHERE type = 'alert')
+SELECT s.incident_id, a.signal_id, 'incident_id' AS strategy FROM seeds s JOIN a ON a.named = s.incident_id AND a.at_ BETWEEN s.started_at - INTERVAL 360 MINUTE AND s.now
+UNION ALL SELECT s.incident_id, a.signal_id, 'family' FROM seeds s JOIN a ON a.named = '' AND a.service = s.service AND a.code = s.error_code AND a.at_ BETWEEN s.started_at - INTERVAL 360 MINUTE AND s.now""",
     "cause_classify": W + "SELECT incident_id, cause FROM causes",
     "onset_tiebreak": W + "SELECT incident_id, winner FROM judged",
     "evidence_cap": W + """, e AS (SELECT service AS incident_id, CASE WHEN k % 9 = 0 THEN 'runtime' WHEN k % 31 = 0 THEN 'deployment' ELSE 'event' END AS kind, 't' || (k % 13) AS title, date_trunc('hour', ts_start) AS at_, user_id AS signal_id, trace_id, event_id FROM w),
@@ -258,6 +260,7 @@ SELECT incident_id, kind, title, signal_id, trace_id, CAST(row_number() OVER (PA
 SELECT event_id, trace_id, status FROM w JOIN h USING (trace_id) WHERE failed OR duration_ms >= 400 OR h % 100 < 2""",
     "per_second_cap": W + ", c AS (SELECT event_id, status, failed, row_number() OVER (PARTITION BY date_trunc('day', ts_start), failed ORDER BY event_id) AS r FROM w) SELECT event_id, status FROM c WHERE failed OR r <= 3",
     "dedup_first": W + "SELECT trace_id, min(event_id) AS event_id FROM w GROUP BY trace_id",
+    "dedup_events": W + "SELECT event_id, CASE WHEN k % 3 = 0 THEN 'early' ELSE status END AS status FROM w",
     "family_format": W + "SELECT event_id, service || '\\:a:' || step || ':' || error_code AS family FROM w WHERE failed",
     "signal_query": W + "SELECT signal_id, type, severity, at_ AS timestamp FROM sig WHERE service = 'svc_1' AND type IN ('alert', 'runtime') ORDER BY at_ DESC, signal_id DESC LIMIT 200",
     "deploy_list": W + "SELECT id, service, first_seen FROM dep WHERE first_seen BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-25'",
