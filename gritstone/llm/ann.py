@@ -1,5 +1,7 @@
-"""Approximate nearest neighbours by learned partitions: a neighbour graph of a sample is cut into balanced parts, a small classifier learns the parts, every
-vector is indexed in its likeliest part, and a query is compared with all vectors of its few likeliest parts. Where there are more vectors than one classifier's parts hold,
+"""Approximate nearest neighbours by learned partitions: a neighbour graph of a sample is cut into balanced parts, a small classifier learns the
+parts, every
+vector is indexed in its likeliest part, and a query is compared with all vectors of its few likeliest parts. Where there are more vectors than one
+classifier's parts hold,
 each part is cut again in the same way, by a sample and a classifier of its own, which are fitted in tasks."""
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from .shared import drop, save
 
 #: Vectors that parts and classifier are fitted on, in all and in each part that is cut again, and neighbours of each in the graph.
 SAMPLE, INNER_SAMPLE, NEIGHBOURS = 8192, 2048, 10
-#: Vectors that a part should hold, and the most parts of the first cut and of each second one: classifiers, which go to every task, are bounded by these.
+#: Vectors that a part should hold, and the most parts of the first cut and of each second one: classifiers, which go to every task, are bounded by
+#: these.
 PART_ROWS, MOST_PARTS, MOST_INNER = 1000, 256, 64
 #: Recall on the sample's own queries that the number of parts to look into is chosen for.
 WANTED = 0.98
-#: About so many rows of a part, and so many queries of it, meet in a task, however many there are. A row goes out more than once only where a part has more queries.
+#: About so many rows of a part, and so many queries of it, meet in a task, however many there are. A row goes out more than once only where a part
+#: has more queries.
 BLOCK_ROWS, TURN_ROWS = 4096, 1 << 15
 
 
@@ -39,7 +43,8 @@ def _near(x: np.ndarray, y: np.ndarray, k: int, own: bool = False) -> np.ndarray
 
 
 def balanced_parts(graph: np.ndarray, parts: int, rounds: int = 12, slack: float = 1.1, seed: int = 3) -> np.ndarray:
-    """A part for each node of the graph (neighbour lists): parts grow from the graph's walk order as equal runs; then nodes move, the gainful ones first, to the part that most of their neighbours are in, while it has room."""
+    """A part for each node of the graph (neighbour lists): parts grow from the graph's walk order as equal runs; then nodes move, the gainful ones
+    first, to the part that most of their neighbours are in, while it has room."""
     n = len(graph)
     rng = np.random.default_rng(seed)
     sides = [list(row) for row in graph.tolist()]
@@ -103,7 +108,10 @@ class Router:
         mean = x.mean(0)
         scale = 1 / max(float((x - mean).std()), 1e-12)
         dim, parts = x.shape[1], share.shape[1]
-        p = [rng.standard_normal((dim, hidden)) / np.sqrt(dim), np.zeros(hidden), rng.standard_normal((hidden, parts)) / np.sqrt(hidden), np.zeros((dim, parts))]
+        p = [
+            rng.standard_normal((dim, hidden)) / np.sqrt(dim), np.zeros(hidden), rng.standard_normal((hidden, parts)) / np.sqrt(hidden),
+            np.zeros((dim, parts))
+        ]
         m, v, t = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], 0
         z = (x - mean) * scale
         for epoch in range(epochs):
@@ -129,7 +137,8 @@ class Router:
 
 
 def learn(sample: np.ndarray, parts: int, hidden: int = 64) -> Router:
-    """Fits parts and classifier, and chooses the number of probes at which the sample's own searches reach WANTED, and one more in eight for what the sample does not show."""
+    """Fits parts and classifier, and chooses the number of probes at which the sample's own searches reach WANTED, and one more in eight for what the
+    sample does not show."""
     k = min(NEIGHBOURS, len(sample) - 1)
     if parts < 2 or k < 1:
         dim = sample.shape[1]
@@ -169,7 +178,8 @@ def _vectors(table: pa.Table, dim: int) -> np.ndarray:
 
 
 def _routed(rows: DataFrame, dim: int, router: Router, inner: dict[int, Router]) -> DataFrame:
-    """rows with `parts`: the part a row is indexed in, and after it, for a query, the others to look into. A part that is cut again has MOST_INNER numbers for its own parts."""
+    """rows with `parts`: the part a row is indexed in, and after it, for a query, the others to look into. A part that is cut again has MOST_INNER
+    numbers for its own parts."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +194,9 @@ def _routed(rows: DataFrame, dim: int, router: Router, inner: dict[int, Router])
                     within = inner[part].route(x[here], inner[part].probes) if part in inner else np.zeros((len(here), 1), np.int64)
                     for k, found in zip(here.tolist(), (part * MOST_INNER + within).tolist(), strict=True):
                         lists[k] += found if asks[k] else found[:1]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("asks"), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "asks", "parts"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("v"), batch.column("asks"), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "asks", "parts"]
+            )
 
     return save(rows.select("id", "v", "asks").mapInArrow(assign, "id bigint, v array<double>, asks boolean, parts array<int>"), "routed")
 
@@ -205,11 +217,15 @@ def _inner_routers(routed: DataFrame, dim: int) -> dict[int, Router]:
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 10, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of vectors that `queries` holds for, its k nearest other rows found, by Euclidean distance in double precision.
-
-    Nearest first, equal distances by smaller id. Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id, nor those of
-    another length than most. Every other row is indexed, in one part. Rows with the same id and vector count once. A part of any size is dealt to blocks
-    by a hash of the id, and so are its queries; each meets each, and the best of the blocks are merged. Parts and classifier are fitted on SAMPLE rows
+    """query_id, rank, vec_id, score: for each row of vectors that `queries` holds for, its k nearest other rows found, by Euclidean distance in
+    double precision.
+
+    Nearest first, equal distances by smaller id. Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a
+    null id, nor those of
+    another length than most. Every other row is indexed, in one part. Rows with the same id and vector count once. A part of any size is dealt to
+    blocks
+    by a hash of the id, and so are its queries; each meets each, and the best of the blocks are merged. Parts and classifier are fitted on SAMPLE
+    rows
     chosen by a hash of the id; above PART_ROWS * MOST_PARTS rows each part is cut again, by INNER_SAMPLE rows of it. Other columns are not looked at.
     """
     rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.transform(column, lambda v: v.cast("double")).alias("v"), queries.alias("asks"))
@@ -257,6 +273,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_column: str = "v
         made = [np.concatenate(c) if c else np.zeros(0) for c in out]
         return pa.Table.from_arrays([pa.array(made[0].astype(np.int64)), pa.array(made[1].astype(np.int64)), pa.array(made[2])], names)
 
-    found = asked.groupBy("part", "block", "turn").cogroup(index.groupBy("part", "block", "turn")).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
+    found = asked.groupBy("part", "block", "turn").cogroup(index.groupBy("part", "block", "turn")).applyInArrow(
+        compare, "query_id bigint, vec_id bigint, score double"
+    )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

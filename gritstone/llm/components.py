@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import drop, save
 
-#: Edges up to which a round is one job: a hub's are then few enough for a task. With more, what is gathered of each node is a table of its own. The result is the same.
+#: Edges up to which a round is one job: a hub's are then few enough for a task. With more, what is gathered of each node is a table of its own. The
+#: result is the same.
 ONE_JOB = 1 << 20
 
 
@@ -15,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     """id and component (the least id reachable) for each id of edges (u, v: bigint), where the two differ.
 
     A round hangs every neighbour of a node on the least of them; rounds end when the edges are a forest of stars, after about the
-    logarithm of the longest path. The least neighbour of each node is a table of its own where there are many edges, so a hub is one row on that side of a
+    logarithm of the longest path. The least neighbour of each node is a table of its own where there are many edges, so a hub is one row on that side
+    of a
     join, and its neighbours on the other, which adaptive execution can split. No edges give no rows.
     """
     now = save(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct(), "edges")

@@ -1,4 +1,5 @@
-"""A gated recurrent language model in numpy: one-hot input, class-factored output softmax, truncated backpropagation, and state carried across windows."""
+"""A gated recurrent language model in numpy: one-hot input, class-factored output softmax, truncated backpropagation, and state carried across
+windows."""
 
 from __future__ import annotations
 
@@ -26,7 +27,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Parameters, all float32: `x` the gates' input by token, `u` their recurrence, `c` and `cb` the class logits, `w` and `wb` the logits within each class."""
+    """Parameters, all float32: `x` the gates' input by token, `u` their recurrence, `c` and `cb` the class logits, `w` and `wb` the logits within
+    each class."""
 
     x: np.ndarray
     u: np.ndarray
@@ -44,7 +46,10 @@ class Model:
         rng = np.random.default_rng(seed)
         p = (counts.reshape(CLASSES, MEMBERS) + 0.5) / (counts.sum() + 0.5 * VOCABULARY)
         draw = lambda shape, scale: (rng.standard_normal(shape) * scale).astype(F32)
-        model = cls(draw(cls.SHAPES[0], 0.3), draw(cls.SHAPES[1], 0.2), draw(cls.SHAPES[2], 0.05), np.log(p.sum(1)).astype(F32), draw(cls.SHAPES[4], 0.05), np.log(p / p.sum(1, keepdims=True)).astype(F32))
+        model = cls(
+            draw(cls.SHAPES[0], 0.3), draw(cls.SHAPES[1], 0.2), draw(cls.SHAPES[2], 0.05), np.log(p.sum(1)).astype(F32), draw(cls.SHAPES[4], 0.05),
+            np.log(p / p.sum(1, keepdims=True)).astype(F32)
+        )
         model.x[:, :HIDDEN] += 1.0  # remember at first
         return model
 
@@ -156,7 +161,8 @@ class Trainer:
 
 
 def train_on(trainer: Trainer, ids: np.ndarray, starts: np.ndarray, first: int, lanes: int = 64, steps: int = 24) -> None:
-    """Trains on documents laid end to end; starts marks each one's first token, before which `first` stands. The tokens are dealt to lanes as equal stretches, and every token is a target once; the first lanes have one more where the tokens don't go up evenly."""
+    """Trains on documents laid end to end; starts marks each one's first token, before which `first` stands. The tokens are dealt to lanes as equal
+    stretches, and every token is a target once; the first lanes have one more where the tokens don't go up evenly."""
     lanes = max(1, min(lanes, len(ids) // steps))
     n, rest = divmod(len(ids), lanes)
     before = np.concatenate([[first], ids[:-1]])
@@ -173,7 +179,8 @@ def train_on(trainer: Trainer, ids: np.ndarray, starts: np.ndarray, first: int,
 
 
 def score_documents(model: Model, ids: np.ndarray, bounds: np.ndarray, first: int, lanes: int = 256, steps: int = 32) -> np.ndarray:
-    """Natural log-probability of each whole document ids[bounds[d]:bounds[d + 1]]. Whole documents are dealt to lanes, the longest first to the emptiest; a lane's state is carried from window to window and cleared where a document starts."""
+    """Natural log-probability of each whole document ids[bounds[d]:bounds[d + 1]]. Whole documents are dealt to lanes, the longest first to the
+    emptiest; a lane's state is carried from window to window and cleared where a document starts."""
     length = np.diff(bounds)
     load = [(0, k) for k in range(max(1, min(lanes, int((length > 0).sum()))))]
     own: list[list[int]] = [[] for _ in load]

@@ -1,7 +1,9 @@
 """Document fingerprints by I-Match, in DataFrame functions alone.
 
-A document's terms are its distinct words; kept are those whose document frequency lies within a band, so neither the words of every text nor the rare ones that typing errors make. The
-kept terms, each a 60-bit number from its md5, are sorted and hashed, once as a whole and once for each of several random subsets of the lexicon: equal hashes say that two texts have the same kept terms of that subset.
+A document's terms are its distinct words; kept are those whose document frequency lies within a band, so neither the words of every text nor the rare
+ones that typing errors make. The
+kept terms, each a 60-bit number from its md5, are sorted and hashed, once as a whole and once for each of several random subsets of the lexicon:
+equal hashes say that two texts have the same kept terms of that subset.
 Large subsets tell copies apart, small ones are still equal after much of a text has changed.
 """
 
@@ -12,11 +14,13 @@ from pyspark.sql import functions as F
 
 from .shared import save
 
-#: A term is kept that at least and at most this share of the documents holds. The lower share bounds the lexicon: it has at most 1/share times the mean number of distinct words of a document.
+#: A term is kept that at least and at most this share of the documents holds. The lower share bounds the lexicon: it has at most 1/share times the
+#: mean number of distinct words of a document.
 BAND = (0.001, 0.05)
 #: The lexicon is broadcast while it has at most so many terms (16 bytes each); beyond it, terms are shuffled to it.
 TRAVELS = 1 << 20
-#: Random subsets of the lexicon, dealt by bits of a term's number: a term is in a list where `bits` bits from `at` on equal `value`, and in the subset of that list that the next `more` bits number.
+#: Random subsets of the lexicon, dealt by bits of a term's number: a term is in a list where `bits` bits from `at` on equal `value`, and in the
+#: subset of that list that the next `more` bits number.
 #: Lists: (at, bits, value, more). 16 subsets of a sixteenth each, in four lists, 16 of a sixty-fourth, 32 of a 256th.
 SUBSETS = ((0, 2, 0, 2), (0, 2, 1, 2), (0, 2, 2, 2), (0, 2, 3, 2), (4, 2, 0, 4), (10, 3, 0, 5))
 
@@ -37,7 +41,10 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
 
 def dealt_terms(kept: Column) -> dict[str, Column]:
     """The lists of SUBSETS, so that a subset looks at few terms only."""
-    return {f"_list{k}": F.filter(kept, lambda h: F.shiftright(h, at).bitwiseAND((1 << bits) - 1) == value) for k, (at, bits, value, _) in enumerate(SUBSETS)}  # noqa: B023
+    return {
+        f"_list{k}": F.filter(kept, lambda h: F.shiftright(h, at).bitwiseAND((1 << bits) - 1) == value) for k,
+        (at, bits, value, _) in enumerate(SUBSETS)
+    }  # noqa: B023
 
 
 def _hash(numbers: Column) -> Column:
@@ -45,7 +52,8 @@ def _hash(numbers: Column) -> Column:
 
 
 def signatures(kept: str, every: Column) -> Column:
-    """The hashes, joined by dots, of the sorted kept terms (where there are none, of all terms), and of those in each subset, from the columns of dealt_terms(); empty where a subset has none."""
+    """The hashes, joined by dots, of the sorted kept terms (where there are none, of all terms), and of those in each subset, from the columns of
+    dealt_terms(); empty where a subset has none."""
     rest = F.md5(F.array_join(F.sort_array(every), " "))
     whole = F.substring(F.when(F.size(kept) > 0, _hash(F.col(kept))).otherwise(rest), 1, 16)
 
@@ -128,14 +136,23 @@ def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Data
     edited = F.concat("head", F.substring("next_text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int"))).alias("edited")
     joined = heads.join(after, ["next_id", "next_version"]).select("next_id", "next_version", *key, "n_chars", edited)
     # Only one doc_id has this next_id, so its version tells its texts apart.
-    out = fingerprints(joined, ["next_id", "next_version"], "edited", words, "edited_fingerprint", within=key).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    out = fingerprints(
+        joined, ["next_id", "next_version"], "edited", words, "edited_fingerprint", within=key
+    ).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
     out = out.join(own.toDF("next_id", "next_version", "next_fingerprint"), ["next_id", "next_version"]).join(own, key)
 
     outside = save(base.where("doc_id is null").select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "outside")
     outside = outside.select("*", n.alias("n_chars"), head, F.lit("").alias("empty"))
-    outside = fingerprints(fingerprints(fingerprints(outside, ["row"], "text", words, "fingerprint"), ["row"], "head", words, "edited_fingerprint"), ["row"], "empty", words, "next_fingerprint")
+    outside = fingerprints(
+        fingerprints(fingerprints(outside, ["row"], "text", words, "fingerprint"), ["row"], "head", words, "edited_fingerprint"), ["row"], "empty",
+        words, "next_fingerprint"
+    )
     return _result(out).unionByName(_result(outside.withColumn("edited_sha256", F.sha2("head", 256))))
 
 
 def _result(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    return rows.select(
+        "doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next")
+    )

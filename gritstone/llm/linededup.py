@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from .shared import drop, save, slices
 
-#: A line of fewer characters, blanks at its ends apart, repeats by chance: it finds no partners, and goes only within a block that holds a longer line.
+#: A line of fewer characters, blanks at its ends apart, repeats by chance: it finds no partners, and goes only within a block that holds a longer
+#: line.
 LEAST_CHARS = 20
 
 
 def patience(a: Sequence[int | None], b: Sequence[int | None]) -> list[tuple[int, int]]:
     """Index pairs of aligned equal lines, rising in both; None equals nothing.
 
-    Equal heads and tails align first; between them the lines that are unique on both sides, by the longest rising run of their places; then each gap alike.
+    Equal heads and tails align first; between them the lines that are unique on both sides, by the longest rising run of their places; then each gap
+    alike.
     Where a gap has common lines but no unique ones, the first, second, ... occurrences of a line count as different lines.
     """
     out: list[tuple[int, int]] = []
@@ -80,7 +82,8 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(kept: Sequence[int], lines: Sequence[int]) -> list[int]:
-    """The places in `lines` of the aligned blocks, runs that follow each other in both documents, that hold a long line. A long line's number is even, a short one's odd."""
+    """The places in `lines` of the aligned blocks, runs that follow each other in both documents, that hold a long line. A long line's number is
+    even, a short one's odd."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -108,7 +111,10 @@ def _aligned(pairs: DataFrame, lines: DataFrame) -> DataFrame:
                 places = common_blocks(a, b)
                 gone.append(places)
                 covered.append(list({b[k] for k in places}))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(gone, pa.list_(pa.int32())), pa.array(covered, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("version"), pa.array(gone, pa.list_(pa.int32())), pa.array(covered, pa.list_(pa.int64()))],
+                names
+            )
 
     found = both.select("doc_id", "version", "kept", "lines").mapInArrow(align, "doc_id bigint, version bigint, deleted array<int>, covered array<bigint>")
     return save(found.where(F.size("deleted") > 0), "aligned")
@@ -117,10 +123,14 @@ def _aligned(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def deleted_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, version (xxhash64 of the text) and deleted, the indices of the lines to delete, for each document that loses any.
 
-    Partners come from the lines of least_chars characters or more that an earlier document holds, in three rounds. First a document is aligned with the
-    first holder (the one of least doc_id) of its rarest shared lines, so that one of a group of copies, of any size, meets one document. Then, for lines that no block
-    covers yet, with these lines' first holders. What still isn't covered stands in another order there: such lines are kept, and so a document is last
-    aligned with the first of the documents that kept one of its own. A document has at most a pair for each line and round. Only hashes of lines travel, the texts don't.
+    Partners come from the lines of least_chars characters or more that an earlier document holds, in three rounds. First a document is aligned with
+    the
+    first holder (the one of least doc_id) of its rarest shared lines, so that one of a group of copies, of any size, meets one document. Then, for
+    lines that no block
+    covers yet, with these lines' first holders. What still isn't covered stands in another order there: such lines are kept, and so a document is
+    last
+    aligned with the first of the documents that kept one of its own. A document has at most a pair for each line and round. Only hashes of lines
+    travel, the texts don't.
     """
     text = F.coalesce("text", F.lit(""))
     even = lambda x: F.shiftleft(F.xxhash64(F.trim(x)), 1)
@@ -155,15 +165,21 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
     The earlier of two documents is the one of smaller doc_id, and stays as it is before that pair; as each line is compared with
     originals, the first document that holds a line keeps it. Lines of under least_chars characters, blank ones too, find no partners and
-    go only with a block that holds a longer line. A null text stays null and has no line, an empty one has one line. A null doc_id is left alone. Rows with the same
+    go only with a block that holds a longer line. A null text stays null and has no line, an empty one has one line. A null doc_id is left alone.
+    Rows with the same
     doc_id are not compared with each other. Columns of docs named _lines or _deleted are replaced; others pass through.
     """
     names = [c for c in docs.columns if c not in ("_lines", "_deleted")]
     gone = deleted_lines(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), least_chars)
-    rows = docs.select(F.struct(*names).alias("row")).withColumn("doc_id", F.col("row.doc_id").cast("bigint")).withColumn("version", F.xxhash64(F.coalesce("row.text", F.lit(""))))
+    rows = docs.select(F.struct(*names).alias("row")).withColumn("doc_id", F.col("row.doc_id").cast("bigint")).withColumn(
+        "version", F.xxhash64(F.coalesce("row.text", F.lit("")))
+    )
     rows = rows.join(gone, ["doc_id", "version"], "left")
     lines = F.split("row.text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("deleted", k.cast("int"))), "\n")
     text = F.when(F.col("deleted").isNull() | F.col("row.text").isNull(), F.col("row.text")).otherwise(left)
     columns = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names]
-    return rows.select(*columns, F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).alias("_lines"), F.coalesce(F.size("deleted"), F.lit(0)).alias("_deleted"))
+    return rows.select(
+        *columns, F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).alias("_lines"),
+        F.coalesce(F.size("deleted"), F.lit(0)).alias("_deleted")
+    )

@@ -1,7 +1,9 @@
-"""LM scoring: corpus counts by shuffle, a gated recurrent model trained on shards of the corpus and averaged, round after round, and log-probabilities of whole documents.
+"""LM scoring: corpus counts by shuffle, a gated recurrent model trained on shards of the corpus and averaged, round after round, and
+log-probabilities of whole documents.
 
 Training documents are dealt to shards by a hash of their text. A round trains on twice as many shards as the one before, each from the
-mean of the round before it, so the rounds grow with the logarithm of the corpus and the model with all of it; and a shard's documents and their order follow from the texts
+mean of the round before it, so the rounds grow with the logarithm of the corpus and the model with all of it; and a shard's documents and their order
+follow from the texts
 alone, so the model does too.
 
 Words are 64-bit hashes. The most frequent ones are the network's vocabulary; all others share MEMBERS tail tokens by their last two bytes, and a
@@ -156,7 +158,8 @@ class Head:
 
 
 def _marked(docs: DataFrame, head: Head) -> DataFrame:
-    """From docs (doc_id, text, training, key): row, doc_id, training, key, n_tokens, known, base and inner (the log10 shares that frequent words have of the base and of their tail tokens), ids (the network's tokens, two bytes each), and the words and tails that aren't frequent."""
+    """From docs (doc_id, text, training, key): row, doc_id, training, key, n_tokens, known, base and inner (the log10 shares that frequent words have
+    of the base and of their tail tokens), ids (the network's tokens, two bytes each), and the words and tails that aren't frequent."""
     whole = float(head.n + head.v + 1)
     names = ["row", "doc_id", "training", "key", "n_tokens", "known", "base", "inner", "ids", "words", "tails"]
 
@@ -189,13 +192,19 @@ def _laid_out(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(tokens: DataFrame, head: Head, lanes: int = 512, steps: int = 12) -> Model:
-    """tokens: training, key and ids of documents. The mean of a round's models is weighted by their tokens; sums are made by block of parameters and in order of shards, so only one model reaches the driver, and always the same."""
+    """tokens: training, key and ids of documents. The mean of a round's models is weighted by their tokens; sums are made by block of parameters and
+    in order of shards, so only one model reaches the driver, and always the same."""
     start = Model.start(head.token_counts)
     size = len(start.flat())
     state = np.concatenate([start.flat(), np.full(size, 1e-3, np.float32)])
     shards = max(1, -(-head.n // SHARD_TOKENS))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-    lessons = save(tokens.where("training").select(F.floor(F.log2(shard + 1)).cast("int").alias("round"), shard.alias("shard"), "key", "ids").repartition("round", "shard"), "lessons")
+    lessons = save(
+        tokens.where("training").select(
+            F.floor(F.log2(shard + 1)).cast("int").alias("round"), shard.alias("shard"), "key", "ids"
+        ).repartition("round", "shard"),
+        "lessons"
+    )
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From documents in order of shards."""
@@ -213,7 +222,13 @@ def train(tokens: DataFrame, head: Head, lanes: int = 512, steps: int = 12) -> M
             flat = trainer.flat()
             blocks = [flat[a : a + BLOCK].tobytes() for a in range(0, len(flat), BLOCK)]
             every = lambda v, kind: pa.array(np.full(len(blocks), v), kind)
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), every(last % 64, pa.int32()), every(last, pa.int64()), every(n, pa.int64()), pa.array(blocks, pa.binary())], ["block", "salt", "shard", "n", "v"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(len(blocks), dtype=np.int32)), every(last % 64, pa.int32()), every(last, pa.int64()), every(n, pa.int64()),
+                    pa.array(blocks, pa.binary())
+                ],
+                ["block", "salt", "shard", "n", "v"]
+            )
 
         for batch in batches:
             for own, packed in zip(batch.column("shard").to_pylist(), batch.column("ids"), strict=True):
@@ -239,12 +254,22 @@ def train(tokens: DataFrame, head: Head, lanes: int = 512, steps: int = 12) -> M
                 held[0] += n
                 held[1] += x.astype(float) * n
         means = [(s[1] / max(1, s[0])).astype(np.float32).tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sums], pa.int32()), pa.array([x for _, x in sums], pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array(means, pa.binary())], ["block", "salt", "n", "v"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([b for b, _ in sums], pa.int32()), pa.array([x for _, x in sums], pa.int32()),
+                pa.array([s[0] for s in sums.values()], pa.int64()), pa.array(means, pa.binary())
+            ],
+            ["block", "salt", "n", "v"]
+        )
 
     means = "block int, salt int, n bigint, v binary"
     for turn in range(int(shards).bit_length()):
-        dealt = lessons.where(F.col("round") == turn).select("shard", "key", "ids").repartition(min(1 << turn, shards), "shard").sortWithinPartitions("shard", "key")
-        models = dealt.mapInArrow(fit, "block int, salt int, shard bigint, n bigint, v binary").repartition("block", "salt").sortWithinPartitions("block", "salt", "shard")
+        dealt = lessons.where(F.col("round") == turn).select("shard", "key", "ids").repartition(
+            min(1 << turn, shards), "shard"
+        ).sortWithinPartitions("shard", "key")
+        models = dealt.mapInArrow(
+            fit, "block int, salt int, shard bigint, n bigint, v binary"
+        ).repartition("block", "salt").sortWithinPartitions("block", "salt", "shard")
         few = models.mapInArrow(total, means).withColumn("part", F.col("salt")).withColumn("salt", F.lit(0)).repartition("block").sortWithinPartitions("block", "part")
         rows = sorted(few.select("block", "salt", "n", "v").mapInArrow(total, means).collect())  # one model
         if rows:
@@ -261,7 +286,10 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     token is unknown: the base is then log10(1 / 1) a token, and the network is the uniform start.
     Other columns are not looked at.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("training"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    docs = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("training"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    )
     counts = word_counts(docs.where("training"))
     head = Head.of(counts)
     tokens = _marked(docs, head)
@@ -275,13 +303,23 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
             net = score_documents(model, ids, bounds, head.first) * log10e + batch.column("inner").to_numpy()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(net)], names)
 
-    scored = tokens.select("row", "doc_id", "n_tokens", "known", "base", "inner", "ids").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, score double")
+    scored = tokens.select("row", "doc_id", "n_tokens", "known", "base", "inner", "ids").mapInArrow(
+        run, "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, score double"
+    )
     # What is not frequent: the words of a document with their counts, joined by word.
-    rest = tokens.select("row", F.explode(F.arrays_zip("words", "tails")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.tails").alias("tail"))
+    rest = tokens.select("row", F.explode(F.arrays_zip("words", "tails")).alias("w")).select(
+        "row", F.col("w.words").alias("word"), F.col("w.tails").alias("tail")
+    )
     table = F.array(*[F.lit(float(a + b + 1)) for a, b in zip(head.tail_n, head.tail_v, strict=True)])
     whole, c = F.lit(float(head.n + head.v + 1)), F.coalesce("c", F.lit(0))
     joined = rest.join(counts.select("word", "c"), "word", "left")
-    sums = joined.groupBy("row").agg(F.sum(F.when(c > 0, 1).otherwise(0)).alias("more"), F.sum(F.log10((c + 1) / whole)).alias("more_base"), F.sum(F.log10((c + 1) / F.element_at(table, F.col("tail") + 1))).alias("more_score"))
+    sums = joined.groupBy("row").agg(
+        F.sum(F.when(c > 0, 1).otherwise(0)).alias("more"), F.sum(F.log10((c + 1) / whole)).alias("more_base"),
+        F.sum(F.log10((c + 1) / F.element_at(table, F.col("tail") + 1))).alias("more_score")
+    )
     zero = lambda name, to: F.coalesce(name, F.lit(to))
     out = scored.join(sums, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("known") + zero("more", 0)).alias("n_known"), F.lit(head.n).cast("bigint").alias("train_tokens"), (F.col("base") + zero("more_base", 0.0)).alias("base_score"), (F.col("score") + zero("more_score", 0.0)).alias("score"))
+    return out.select(
+        "doc_id", "n_tokens", (F.col("known") + zero("more", 0)).alias("n_known"), F.lit(head.n).cast("bigint").alias("train_tokens"),
+        (F.col("base") + zero("more_base", 0.0)).alias("base_score"), (F.col("score") + zero("more_score", 0.0)).alias("score")
+    )

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .shared import save
 
-#: Where a mean rate is above this, the Poisson table would be long; the number is then the sum of independent draws of equal mean, which is Poisson too.
+#: Where a mean rate is above this, the Poisson table would be long; the number is then the sum of independent draws of equal mean, which is Poisson
+#: too.
 LARGEST_MEAN = 16.0
 #: Terms of the inverse: at a mean of 16 the chance beyond 64 is below 1e-17.
 TERMS = 64
@@ -52,8 +53,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tot
     """The columns of docs, and _copy (from 0) and _key (its place in the shuffled order), a row for each copy.
 
     A document's number of copies is Poisson with its source's mean, found by inverting the distribution at a hash of its
-    doc_id (above LARGEST_MEAN, by adding such draws, each at a hash of its own), so equal runs mix alike; rows with equal doc_id get as many copies. A null source counts as the source '', a null
-    doc_id as ''. Columns of docs named _copy or _key are replaced. The copies are shuffled globally: dealt out and sorted within each part by a hash of doc_id, copy and seed, so that part
+    doc_id (above LARGEST_MEAN, by adding such draws, each at a hash of its own), so equal runs mix alike; rows with equal doc_id get as many copies.
+    A null source counts as the source '', a null
+    doc_id as ''. Columns of docs named _copy or _key are replaced. The copies are shuffled globally: dealt out and sorted within each part by a hash
+    of doc_id, copy and seed, so that part
     after part is a random order; ties go by doc_id and copy. An empty table gives an empty mix.
 
     Rates are a written table, whose size Spark knows before it plans: while that is under its broadcast threshold no text moves by source; where

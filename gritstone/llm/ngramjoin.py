@@ -5,7 +5,8 @@ the set. In a fixed order of shingles, rare before frequent, a node of n shingle
 at least l tokens between its prefix of n - a + l and the partner's. Each node picks its own l: more prefix tokens
 cost more rows, but where its tokens are frequent a pair must then share more of them before it is verified. A pair is
 verified when it shares the smaller of its two l, which loses no pair, as the longer prefix holds the shorter. Three facts of a pair that must share o
-shingles cut down what is looked at. The smaller of the two needs only a prefix of n - ceil(2 t n / (1 + t)) + l, as o is at least that ceiling. A shared token at places i
+shingles cut down what is looked at. The smaller of the two needs only a prefix of n - ceil(2 t n / (1 + t)) + l, as o is at least that ceiling. A
+shared token at places i
 and j leaves at most min(i, j) before it and the shorter rest after it. What the two share outside both prefixes lies in the rest of the
 one whose prefix ends first, so they share o less the larger rest within the prefixes.
 """
@@ -28,7 +29,8 @@ LOG_SLOTS = 18
 CHOICES = (1, 2, 3, 4, 6, 8)
 #: Cost of verifying a candidate, in prefix tokens.
 VERIFY_COST = 2.0
-#: Bits of the filter of tokens that two or more nodes hold: 4 MB whatever the corpus. Where it fills up, it merely lets more rows through to the join.
+#: Bits of the filter of tokens that two or more nodes hold: 4 MB whatever the corpus. Where it fills up, it merely lets more rows through to the
+#: join.
 TOKEN_BITS = 25
 #: Rounds that try each node against the most central holder of its tokens, before the rest is joined in full.
 STAR_ROUNDS = 1
@@ -58,7 +60,9 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
             if sets:
                 every = np.concatenate(sets)
                 counts += np.bincount((every >> np.uint64(64 - LOG_SLOTS)).astype(np.int64), minlength=1 << LOG_SLOTS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(batch), np.int32)), batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), signed(nodes)], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(len(batch), np.int32)), batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), signed(nodes)], names
+            )
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(held), np.int32)), pa.array(held), pa.array(counts[held]), pa.array(held)], names)
 
@@ -88,7 +92,8 @@ def choose_prefix(excess: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def _postings(docs: DataFrame, size: int, percent: int, excess: np.ndarray, bits: np.ndarray | None = None) -> DataFrame:
-    """token, node and, in places and meta, n, pos, central and l for each prefix token of each node whose bit is set; a task gives a node once, however many copies it sees."""
+    """token, node and, in places and meta, n, pos, central and l for each prefix token of each node whose bit is set; a task gives a node once,
+    however many copies it sees."""
     levels = np.ceil(np.log2(excess + 1)).astype(np.uint64)
     names = ["token", "node", "places", "meta"]
 
@@ -110,7 +115,14 @@ def _postings(docs: DataFrame, size: int, percent: int, excess: np.ndarray, bits
                 at = np.arange(length)
                 if bits is not None:
                     at = at[in_bits(bits, x[:length] & np.uint64((1 << TOKEN_BITS) - 1))]
-                for column, values in zip(columns, (x[at], np.full(len(at), node, np.uint64), len(x) << 32 | at, np.full(len(at), min(int(level.mean() * 200), 0xFFF) << 4 | m, np.int32)), strict=True):
+                for column, values in zip(
+                    columns,
+                    (
+                        x[at], np.full(len(at), node, np.uint64), len(x) << 32 | at,
+                        np.full(len(at), min(int(level.mean() * 200), 0xFFF) << 4 | m, np.int32)
+                    ),
+                    strict=True
+                ):
                     column.append(values)
             token, node, places, meta = map(np.concatenate, columns)
             yield pa.RecordBatch.from_arrays([signed(token), signed(node), pa.array(places), pa.array(meta)], names)
@@ -121,19 +133,30 @@ def _postings(docs: DataFrame, size: int, percent: int, excess: np.ndarray, bits
 def _shared_postings(docs: DataFrame, size: int, percent: int, excess: np.ndarray) -> DataFrame:
     """The postings of tokens that two or more nodes hold.
 
-    Which these are is counted within tasks before the shuffle; then only their postings are shuffled, to a join with the table of these tokens, of which adaptive execution can split any token.
+    Which these are is counted within tasks before the shuffle; then only their postings are shuffled, to a join with the table of these tokens, of
+    which adaptive execution can split any token.
     """
     held = _postings(docs, size, percent, excess).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = save(held.where("low <> high").select("token"), "tokens")
     bits = bits_of(shared.select(F.col("token").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)).alias("s")), TOKEN_BITS)
     rows = _postings(docs, size, percent, excess, bits).join(shared, "token")
-    found = save(rows.select("token", "node", *[F.expr(f"cast({e} as int)").alias(c) for c, e in (("n", "places >> 32"), ("pos", "places & 4294967295"), ("central", "meta >> 4"), ("l", "meta & 15"))]).dropDuplicates(["token", "node"]), "postings")
+    found = save(
+        rows.select(
+            "token", "node",
+            *[
+                F.expr(f"cast({e} as int)").alias(c) for c,
+                e in (("n", "places >> 32"), ("pos", "places & 4294967295"), ("central", "meta >> 4"), ("l", "meta & 15"))
+            ]
+        ).dropDuplicates(["token", "node"]),
+        "postings"
+    )
     drop(shared)
     return found
 
 
 def _held_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node and its set as bytes for the wanted (node, rep). Texts of other documents stay where they are: a fixed-size filter of the representatives' ids goes to the tasks, and the join settles the rest."""
+    """node and its set as bytes for the wanted (node, rep). Texts of other documents stay where they are: a fixed-size filter of the representatives'
+    ids goes to the tasks, and the join settles the rest."""
     bits = id_bits(wanted, "rep")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +164,9 @@ def _held_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             batch = batch.filter(pa.array(in_bits(bits, batch.column("_slot").to_numpy(zero_copy_only=False))))
             for part in slices(iter([batch])):
                 sets, nodes = _sets(part, size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), signed(nodes), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "node", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), signed(nodes), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "node", "shingles"]
+                )
 
     held = with_slot(docs, "doc_id").mapInArrow(emit, "rep bigint, node bigint, shingles binary")
     return save(held.join(wanted, ["rep", "node"], "left_semi").dropDuplicates(["rep", "node"]).select("node", "shingles"), "sets")
@@ -171,7 +196,8 @@ def _enough(percent: int) -> str:
 
 
 def _open(postings: DataFrame, labels: DataFrame, *more) -> tuple[DataFrame, DataFrame]:
-    """The postings, with their nodes' components, of tokens that nodes of different components hold, and the table of these tokens with what `more` adds up. A token's sums are made within tasks first, and joined to its rows as a table of their own."""
+    """The postings, with their nodes' components, of tokens that nodes of different components hold, and the table of these tokens with what `more`
+    adds up. A token's sums are made within tasks first, and joined to its rows as a table of their own."""
     rows = postings.join(labels, "node")
     sums = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), *more).where("low <> high").drop("low", "high")
     sums = save(sums, "open-tokens")
@@ -179,13 +205,18 @@ def _open(postings: DataFrame, labels: DataFrame, *more) -> tuple[DataFrame, Dat
 
 
 def _star(postings: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """a, b: each node with the one it shares most of those tokens with whose most central holder is that one; and a table to drop. A guess at what falls together; nothing rests on it."""
+    """a, b: each node with the one it shares most of those tokens with whose most central holder is that one; and a table to drop. A guess at what
+    falls together; nothing rests on it."""
     fields = ("node", "n", "pos", "l", "component")
     rows, sums = _open(postings, labels, F.max(F.struct("central", *fields)).alias("top"))
     rows = rows.select(*[F.col(c).alias(f"{c}_a") for c in fields], *[F.col(f"top.{c}").alias(f"{c}_b") for c in fields])
-    pairs = rows.where("node_a <> node_b and component_a <> component_b").where(_may_link(percent)).groupBy("node_a", "n_a", "l_a", "node_b", "n_b", "l_b").agg(F.count(F.lit(1)).alias("shared")).where(_enough(percent))
+    pairs = rows.where(
+        "node_a <> node_b and component_a <> component_b"
+    ).where(_may_link(percent)).groupBy("node_a", "n_a", "l_a", "node_b", "n_b", "l_b").agg(F.count(F.lit(1)).alias("shared")).where(_enough(percent))
     best = F.row_number().over(Window.partitionBy("node_a").orderBy(F.desc("shared"), "node_b"))
-    return pairs.withColumn("best", best).where("best = 1").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), sums
+    return pairs.withColumn("best", best).where("best = 1").select(
+        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")
+    ).distinct(), sums
 
 
 def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -198,7 +229,9 @@ def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b and linked for each pair."""
-    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = pairs.select("a", "b").join(
+        sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a"
+    ).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "x"), "y"):
@@ -218,9 +251,11 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
     A text of fewer than `size` words is one shingle, its whole sequence; a null text or one without words has none, is linked
     with nothing and is its own component. Documents with equal sets are linked. Repeated rows each come back; rows with the
-    same doc_id and different texts put both into one component. A null doc_id has a null component_id and links nothing. Other columns are not looked at.
+    same doc_id and different texts put both into one component. A null doc_id has a null component_id and links nothing. Other columns are not looked
+    at.
 
-    Tokens are counted first, within tasks before the shuffle, and then only the rows of tokens that two or more nodes hold are shuffled. A first round tries each node against the most central
+    Tokens are counted first, within tasks before the shuffle, and then only the rows of tokens that two or more nodes hold are shuffled. A first
+    round tries each node against the most central
     holder of its tokens, so that a group of thousands of near copies falls together over as many pairs as it has members;
     pairs that are still in different components are then joined in full, so no link between components is lost.
     """
@@ -272,7 +307,8 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is the least of their group; of repeated rows with that doc_id, the one whose text has the least xxhash64. Texts without words and rows with a null doc_id all stay."""
+    """The rows of docs, with all columns, whose doc_id is the least of their group; of repeated rows with that doc_id, the one whose text has the
+    least xxhash64. Texts without words and rows with a null doc_id all stay."""
     groups = jaccard_groups(docs, size, percent)
     gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, docs.doc_id.cast("bigint") == gone["_gone"], "left_anti")

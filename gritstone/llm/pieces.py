@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The distinct stretches of a batch that no piece crosses are laid end to end and indexed by a suffix array; every piece of the vocabulary is binary-searched
+The distinct stretches of a batch that no piece crosses are laid end to end and indexed by a suffix array; every piece of the vocabulary is
+binary-searched
 for the range of its occurrences; the resulting edges are sorted by where they end and relaxed from left to right. For
 a byte-pair model the relaxation keeps, at each place, the one piece with which the merges would end there: pieces may follow
 each other if merging the two alone gives back the two. For a unigram model it keeps the best sum of scores.
@@ -57,7 +58,10 @@ class Pieces:
         self.byte = {int(p[3:5], 16): k for k, p in enumerate(pieces) if kinds[k] == "byte"}
         self.unknown = kinds.index("unknown") if "unknown" in kinds else 0
         raw = {self.byte[b]: bytes([b]) for b in self.byte}
-        self.raw = [raw.get(k, b"" if kinds[k] == "control" else " ⁇ ".encode() if kinds[k] == "unknown" else p.replace(SPACE, " ").encode()) for k, p in enumerate(pieces)]
+        self.raw = [
+            raw.get(k, b"" if kinds[k] == "control" else " ⁇ ".encode() if kinds[k] == "unknown" else p.replace(SPACE, " ").encode()) for k,
+            p in enumerate(pieces)
+        ]
         known = {c for p in self.id for c in p} - {SPACE}
         inside = "".join(map(re.escape, sorted(known)))
         #: Stretches that no piece crosses: a piece has SPACE in front or not at all, and a character outside the vocabulary is alone.
@@ -75,7 +79,8 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str) -> Pieces:
-        """A model file of the SentencePiece library. Its normaliser must leave texts as they are; a model whose normaliser doesn't is an error, as its ids would be others."""
+        """A model file of the SentencePiece library. Its normaliser must leave texts as they are; a model whose normaliser doesn't is an error, as
+        its ids would be others."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -121,7 +126,11 @@ class Pieces:
             best: list[tuple[float, list[int]]] = [(0.0, [])]
             worst = float(self.scores[list(self.id.values())].min()) - 10
             for end in range(1, len(text) + 1):
-                ways = [(best[at][0] + self.score[text[at:end]], best[at][1] + [self.id[text[at:end]]]) for at in range(max(0, end - self.longest), end) if text[at:end] in self.id]
+                ways = [
+                    (
+                        best[at][0] + self.score[text[at:end]], best[at][1] + [self.id[text[at:end]]]
+                    ) for at in range(max(0, end - self.longest), end) if text[at:end] in self.id
+                ]
                 best.append(max([*ways, (best[-1][0] + worst, best[-1][1] + self._strange(text[end - 1]))], key=lambda w: w[0]))
             return best[-1][1]
         return [k for p in self.merged(text) for k in ([self.id[p]] if p in self.id else self._strange(p))]
@@ -232,7 +241,8 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The text: bytes joined, SPACE as a blank, less the blank that encoding put first. An id outside the vocabulary, or null, reads as the unknown piece."""
+        """The text: bytes joined, SPACE as a blank, less the blank that encoding put first. An id outside the vocabulary, or null, reads as the
+        unknown piece."""
         raw, n = self.raw, len(self.raw)
         text = b"".join([raw[k] if k is not None and 0 <= k < n else " ⁇ ".encode() for k in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
@@ -316,7 +326,8 @@ def encode(docs: DataFrame, pieces: Pieces, column: str = "text", check: bool =
 
 
 def decode(docs: DataFrame, pieces: Pieces, column: str = "_ids", to: str = "text") -> DataFrame:
-    """The columns of docs and the text of its ids. A null list has a null text, an empty one an empty text; ids outside the vocabulary, and null ones, read as the unknown piece."""
+    """The columns of docs and the text of its ids. A null list has a null text, an empty one an empty text; ids outside the vocabulary, and null
+    ones, read as the unknown piece."""
     names = [c for c in docs.columns if c != to]
     docs = docs.select(*names)
     schema = docs.select("*", F.lit(None).cast("string").alias(to)).schema

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from .shared import LOWER, SPACE, hash_words, save, slices, text_bytes
 
-STATISTICS = ("word_length", "capitals", "digits", "symbols", "bars", "accents", "distinct_words", "repeated_next", "top_word", "distinct_lines", "line_words", "stops")
+STATISTICS = (
+    "word_length", "capitals", "digits", "symbols", "bars", "accents", "distinct_words", "repeated_next", "top_word", "distinct_lines", "line_words",
+    "stops"
+)
 
 _KIND = {name: np.zeros(256, bool) for name in ("capitals", "digits", "symbols", "bars", "accents", "stops")}
 _KIND["capitals"][65:91] = True
@@ -24,7 +27,8 @@ _KIND["stops"][[ord(c) for c in ".,;:?"]] = True
 
 
 def statistics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A row of STATISTICS for each text, and its number of words: rates go through a shifted logarithm, sizes through log1p, so that each is nearer to a normal."""
+    """A row of STATISTICS for each text, and its number of words: rates go through a shifted logarithm, sizes through log1p, so that each is nearer
+    to a normal."""
     raw, bounds = text_bytes(texts)
     words, at = hash_words(texts)
     chars, n = np.diff(bounds).astype(float), np.diff(at).astype(float)
@@ -69,7 +73,8 @@ def statistics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Discriminant:
-    """Means, inverses of the Cholesky factors and logs of their determinants (made once, at fitting), and log weights of both classes; None of them where a class has too few labels.
+    """Means, inverses of the Cholesky factors and logs of their determinants (made once, at fitting), and log weights of both classes; None of them
+    where a class has too few labels.
 
     centre: the statistics of a few words say little, so they are drawn to it as if some words of that kind had been seen (see drawn()).
     """
@@ -81,7 +86,9 @@ class Discriminant:
     log_weight: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, centre: np.ndarray, count: np.ndarray, total: np.ndarray, outer: np.ndarray, shrink_to_pooled: float, shrink_to_diagonal: float) -> Discriminant:
+    def fit(
+        cls, centre: np.ndarray, count: np.ndarray, total: np.ndarray, outer: np.ndarray, shrink_to_pooled: float, shrink_to_diagonal: float
+    ) -> Discriminant:
         """From each class's count, sums and sums of outer products: no row of data is needed again."""
         if count.min() < 2:
             return cls()
@@ -167,7 +174,8 @@ def fit(stats: DataFrame, labels: DataFrame, shrink_to_pooled: float = 0.1, shri
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score (0 to 1, higher: label 1 likelier), predicted (1 where score >= threshold), learned (whether there was a model) for every row of docs.
+    """doc_id, score (0 to 1, higher: label 1 likelier), predicted (1 where score >= threshold), learned (whether there was a model) for every row of
+    docs.
 
     Inputs of a score are the text's statistics alone. A null or empty text is scored as one without words, which is the
     centre's score. Repeated rows are scored one by one. A null doc_id is scored and never learned from. Without two labels of
@@ -180,13 +188,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
         for batch in batches:
             x = _matrix(batch.column("statistics"))
             p = model.score(x if model.mean is None else drawn(x, batch.column("words").to_numpy(), model.centre))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(np.full(len(p), model.mean is not None))], ["doc_id", "score", "predicted", "learned"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(np.full(len(p), model.mean is not None))],
+                ["doc_id", "score", "predicted", "learned"]
+            )
 
     return stats.mapInArrow(score, "doc_id bigint, score double, predicted int, learned boolean")
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all columns, that score at least threshold; all of them where nothing could be learned. Texts are read twice and never shuffled."""
+    """The rows of docs, with all columns, that score at least threshold; all of them where nothing could be learned. Texts are read twice and never
+    shuffled."""
     model = fit(save(with_statistics(docs), "quality"), labels)
     if model.mean is None:
         return docs

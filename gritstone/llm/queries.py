@@ -44,7 +44,9 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"))
+    return linededup.dedup_lines(read(spark, sf_dir, "documents")).select(
+        "doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted")
+    )
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "source", "text", F.col("_copy").alias("copy"), F.col("_key").alias("order_key"))
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "text", F.col("_copy").alias("copy"), F.col("_key").alias("order_key")
+    )
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

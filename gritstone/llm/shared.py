@@ -27,7 +27,8 @@ LOWER[65:91] += 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where that is unset: a temporary folder of our own if the session is local, so that all tasks share its disk, else a folder in the warehouse."""
+    """spark.checkpoint.dir of the session. Where that is unset: a temporary folder of our own if the session is local, so that all tasks share its
+    disk, else a folder in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         folder = f"file://{tempfile.mkdtemp(prefix='gritstone-')}"
@@ -42,7 +43,8 @@ _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: a lineage cut that outlives any executor. The table goes with drop(), or when the driver ends."""
+    """Writes df to the shared folder and reads it again: a lineage cut that outlives any executor. The table goes with drop(), or when the driver
+    ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -99,7 +101,9 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if texts.null_count:
         texts = texts.fill_null("")
     wide = pa.types.is_large_string(texts.type)
-    bounds = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32, len(texts) + 1, texts.offset * (8 if wide else 4)).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    bounds = np.frombuffer(
+        texts.buffers()[1], np.int64 if wide else np.int32, len(texts) + 1, texts.offset * (8 if wide else 4)
+    ).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     data = texts.buffers()[2] if len(texts) else None
     raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
     return raw, bounds - bounds[0]
@@ -152,7 +156,8 @@ def shingles(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows of about `most` bytes in that column (strings, binaries or lists), so that what is made of a run follows no batch size setting. Nulls stay null and count as empty."""
+    """The batches cut into runs of rows of about `most` bytes in that column (strings, binaries or lists), so that what is made of a run follows no
+    batch size setting. Nulls stay null and count as empty."""
     for batch in batches:
         bounds = _bounds(batch.column(column))
         at = 0

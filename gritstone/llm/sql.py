@@ -11,7 +11,8 @@ split AS (
   FROM after),
 named AS (SELECT *, string_split(host, '.') AS parts FROM split),
 two AS (SELECT *, array_to_string(parts[-2:], '.') AS last_two FROM named),
-sorts AS (SELECT *, regexp_matches(host, '^[0-9]+(\.[0-9]+){3}$') AS address, regexp_matches(last_two, '^(ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z]{2}$') AS long FROM two),
+sorts AS (SELECT *, regexp_matches(host, '^[0-9]+(\.[0-9]+){3}$') AS address, regexp_matches(last_two,
+  '^(ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z]{2}$') AS long FROM two),
 levels AS (
   SELECT page_id, host, path, CASE WHEN address THEN host WHEN long THEN array_to_string(parts[-3:], '.') ELSE last_two END AS domain,
     CASE WHEN address THEN 'ip' WHEN long THEN last_two ELSE parts[-1] END AS suffix
@@ -34,7 +35,8 @@ ruled AS (
          WHEN (l.host = 'org' OR l.host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM levels l JOIN bound USING (host))
 SELECT page_id, host, path, rule,
-  CASE rule WHEN 'org/' THEN 'allow' WHEN 'com/fr/' THEN 'allow' WHEN 'example.org/es/' THEN 'block' WHEN 'example.org/en/1' THEN 'block' WHEN 'com/de/' THEN 'block'
+  CASE rule WHEN 'org/' THEN 'allow' WHEN 'com/fr/' THEN 'allow' WHEN 'example.org/es/' THEN 'block' WHEN 'example.org/en/1' THEN 'block' WHEN
+    'com/de/' THEN 'block'
        ELSE CASE WHEN bound >= 0.85 THEN 'allow' ELSE 'block' END END AS verdict,
   round(bound, 9) AS bound
 FROM ruled
@@ -45,12 +47,14 @@ OP9 = r"""
 WITH counts AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
 means AS (SELECT source, (SELECT count(*) FROM documents)::DOUBLE * 1.0::DOUBLE / (SELECT count(*) FROM counts)::DOUBLE / n AS mean FROM counts),
 split AS (SELECT source, greatest(1, ceil(mean / 16.0::DOUBLE))::BIGINT AS draws, mean / greatest(1, ceil(mean / 16.0::DOUBLE)) AS mean FROM means),
-terms AS (SELECT source, k, exp(-mean) * pow(mean, k) / CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE list_product(range(1, k + 1)::DOUBLE[]) END AS p FROM split, range(0, 64) r(k)),
+terms AS (SELECT source, k, exp(-mean) * pow(mean, k) / CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE list_product(range(1, k + 1)::DOUBLE[]) END AS p
+  FROM split, range(0, 64) r(k)),
 cdf AS (SELECT source, list(c ORDER BY k) AS c FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source),
 keyed AS (
   SELECT d.doc_id, d.source, d.text, coalesce(CAST(d.doc_id AS VARCHAR), '') AS key, c, unnest(range(1, draws + 1)) AS draw
   FROM documents d JOIN split s ON s.source = coalesce(d.source, '') JOIN cdf ON cdf.source = s.source),
-drawn AS (SELECT *, (('0x' || substr(md5(CASE WHEN draw = 1 THEN '17|' || key ELSE '17|draw|' || draw || '|' || key END), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM keyed),
+drawn AS (SELECT *, (('0x' || substr(md5(CASE WHEN draw = 1 THEN '17|' || key ELSE '17|draw|' || draw || '|' || key END), 1, 12))::BIGINT +
+  0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM keyed),
 counted AS (SELECT doc_id, source, text, key, sum(len(list_filter(c, lambda x: x < u)))::INTEGER AS n FROM drawn GROUP BY doc_id, source, text, key)
 SELECT doc_id, source, text, copy::INTEGER AS copy, md5('order 17|' || key || '|' || copy) AS order_key
 FROM (SELECT doc_id, source, text, key, unnest(range(0, n)) AS copy FROM counted WHERE n > 0)
@@ -70,7 +74,8 @@ terms AS (
     regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS t
   FROM texts),
 df AS (SELECT t, count(*) AS df FROM terms WHERE k = 0 GROUP BY t),
-lex AS (SELECT t FROM df WHERE df >= greatest(1, 0.001::DOUBLE * (SELECT count(*) FROM documents)) AND df <= greatest(1, 0.05::DOUBLE * (SELECT count(*) FROM documents))),
+lex AS (SELECT t FROM df WHERE df >= greatest(1, 0.001::DOUBLE * (SELECT count(*) FROM documents)) AND df <= greatest(1, 0.05::DOUBLE * (SELECT
+  count(*) FROM documents))),
 kept AS (SELECT doc_id, k, ('0x' || substr(md5(t), 1, 15))::BIGINT AS h FROM terms JOIN lex USING (t)),
 whole AS (SELECT doc_id, k, substr(md5(string_agg(h::VARCHAR, ' ' ORDER BY h)), 1, 16) AS h FROM kept GROUP BY ALL),
 all_terms AS (SELECT doc_id, k, substr(md5(string_agg(t, ' ' ORDER BY t)), 1, 16) AS h FROM terms GROUP BY ALL),
@@ -88,10 +93,13 @@ prints AS (
   FROM grid g LEFT JOIN whole w ON w.doc_id = g.doc_id AND w.k = g.k LEFT JOIN all_terms z ON z.doc_id = g.doc_id AND z.k = g.k),
 pairs AS (
   SELECT e.doc_id, e.n, e.edited, o.f AS f, d.f AS g, x.f AS h
-  FROM edit e JOIN prints o ON o.doc_id = e.doc_id AND o.k = 0 JOIN prints d ON d.doc_id = e.doc_id AND d.k = 1 JOIN prints x ON x.doc_id = e.next_id AND x.k = 0)
+  FROM edit e JOIN prints o ON o.doc_id = e.doc_id AND o.k = 0 JOIN prints d ON d.doc_id = e.doc_id AND d.k = 1 JOIN prints x ON x.doc_id =
+    e.next_id AND x.k = 0)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(f, '.') AS fingerprint, array_to_string(g, '.') AS edited_fingerprint,
-  len(list_filter(list_zip(f, g), lambda p: p[1] = p[2] AND p[1] <> ''))::DOUBLE / len(list_filter(list_zip(f, g), lambda p: p[1] <> '' OR p[2] <> '')) AS near_edited,
-  len(list_filter(list_zip(f, h), lambda p: p[1] = p[2] AND p[1] <> ''))::DOUBLE / len(list_filter(list_zip(f, h), lambda p: p[1] <> '' OR p[2] <> '')) AS near_next
+  len(list_filter(list_zip(f, g), lambda p: p[1] = p[2] AND p[1] <> ''))::DOUBLE / len(list_filter(list_zip(f, g), lambda p: p[1] <> '' OR p[2] <>
+    '')) AS near_edited,
+  len(list_filter(list_zip(f, h), lambda p: p[1] = p[2] AND p[1] <> ''))::DOUBLE / len(list_filter(list_zip(f, h), lambda p: p[1] <> '' OR p[2] <>
+    '')) AS near_next
 FROM pairs
 """
 

@@ -30,7 +30,8 @@ def domain_and_suffix(host: Column) -> tuple[Column, Column]:
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
-    """The rule (host and path in one string) and verdict of the longest rule that fits, else null: a rule fits its host and all hosts below it where the path starts with the rule's."""
+    """The rule (host and path in one string) and verdict of the longest rule that fits, else null: a rule fits its host and all hosts below it where
+    the path starts with the rule's."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for text, says in sorted(rules, key=lambda r: (len(r[0]), r[0])):  # the longest is tested first
         at, slash, rest = text.partition("/")
@@ -50,7 +51,9 @@ def reputation(pages: DataFrame, outcomes: DataFrame, prior_share: float = 0.5,
     """
     good = F.when(F.col("good") == 1, 1).otherwise(0)
     known = outcomes.where(F.col("good").isin(0, 1)).select("page_id", good.alias("good"))
-    host = pages.join(known, "page_id", "left").groupBy("host", "domain", "suffix").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"))
+    host = pages.join(known, "page_id", "left").groupBy("host", "domain", "suffix").agg(
+        F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("g")
+    )
     domain = host.groupBy("domain", "suffix").agg(F.sum("n").alias("n_domain"), F.sum("g").alias("g_domain"))
     suffix = domain.groupBy("suffix").agg(F.sum("n_domain").alias("n_suffix"), F.sum("g_domain").alias("g_suffix"))
     n, g = suffix.agg(F.coalesce(F.sum("n_suffix"), F.lit(0)), F.coalesce(F.sum("g_suffix"), F.lit(0))).first()
@@ -65,7 +68,10 @@ def reputation(pages: DataFrame, outcomes: DataFrame, prior_share: float = 0.5,
     return host.select("host", (a / (a + b) - F.lit(z) * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], least: float = 0.7, prior_share: float = 0.5, strength: float = 20.0, z: float = 1.645) -> DataFrame:
+def judge(
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], least: float = 0.7, prior_share: float = 0.5, strength: float = 20.0,
+    z: float = 1.645
+) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), bound for every row of pages (page_id, url).
 
     Where a rule fits, the longest one says the verdict; else a host is allowed where the lower posterior bound of its share
@@ -78,4 +84,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     bounds = reputation(pages.select("page_id", "host", domain.alias("domain"), suffix.alias("suffix")), outcomes, prior_share, strength, z)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     out = pages.join(bounds, "host").withColumn("rule", rule)
-    return out.select("page_id", "host", "path", "rule", F.coalesce(verdict, F.when(F.col("bound") >= least, "allow").otherwise("block")).alias("verdict"), F.round("bound", 9).alias("bound"))
+    return out.select(
+        "page_id", "host", "path", "rule", F.coalesce(verdict, F.when(F.col("bound") >= least, "allow").otherwise("block")).alias("verdict"),
+        F.round("bound", 9).alias("bound")
+    )

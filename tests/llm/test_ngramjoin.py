@@ -69,8 +69,13 @@ def test_as_brute_force(spark, size, percent):
 
 
 def test_edges(spark):
-    rows = [(1, None), (2, ""), (3, " \t "), (4, "one two"), (9, "ONE two"), (5, "one two three"), (6, "x " * 500), (7, "x " * 400), (8, "A b c d e f"), (8, "a b c d e f"), (10, "a b c d e f")]
-    assert result(spark, rows, 4, 85) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 5), (6, 1, 6), (7, 1, 6), (8, 3, 8), (8, 3, 8), (9, 1, 4), (10, 3, 8)]
+    rows = [
+        (1, None), (2, ""), (3, " \t "), (4, "one two"), (9, "ONE two"), (5, "one two three"), (6, "x " * 500), (7, "x " * 400), (8, "A b c d e f"),
+        (8, "a b c d e f"), (10, "a b c d e f")
+    ]
+    assert result(spark, rows, 4, 85) == [
+        (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 5), (6, 1, 6), (7, 1, 6), (8, 3, 8), (8, 3, 8), (9, 1, 4), (10, 3, 8)
+    ]
     assert result(spark, [], 4, 85) == []
     df = spark.createDataFrame([(None, "a b c d", "u"), (3, "a b c d", "v")], "doc_id bigint, text string, node string")
     assert sorted(tuple(r) for r in ngramjoin.jaccard_groups(df, 4, 85).collect() if r.doc_id) == [(3, 1, 3)]

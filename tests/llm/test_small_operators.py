@@ -162,16 +162,24 @@ def plain_scores(rows, labels):
 def test_quality_as_brute_force(spark):
     rng = random.Random(12)
     junk = lambda: " ".join(rng.choice(["BUY!!", "NOW!!", "$$$", "|", "X9%%", "éà"]) for _ in range(rng.randrange(5, 60)))
-    rows = [(k, prose(rng, rng.randrange(5, 60)) + "\n" * (k % 4) + prose(rng, 9) if k % 3 else junk()) for k in range(90)] + [(200 + k, t) for k, t in enumerate(ODD)]
+    rows = [
+        (k, prose(rng, rng.randrange(5, 60)) + "\n" * (k % 4) + prose(rng, 9) if k % 3 else junk()) for k in range(90)
+    ] + [(200 + k, t) for k, t in enumerate(ODD)]
     x, n = quality.statistics(pa.array([t for _, t in rows], pa.string()))
     assert np.allclose(x, [plain_statistics(t)[0] for _, t in rows], atol=1e-9) and n.tolist() == [plain_statistics(t)[1] for _, t in rows]
     labels = {k: int(k % 3 > 0) if k % 10 else 1 for k in range(90)} | {3: None, 6: 7}
-    got = {r.doc_id: r.score for r in quality.classify(frame(spark, [(d, t, None, None, None) for d, t in rows]), spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int")).collect()}
+    got = {
+        r.doc_id: r.score for r in quality.classify(
+            frame(spark, [(d, t, None, None, None) for d, t in rows]), spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int")
+        ).collect()
+    }
     assert np.allclose([got[d] for d, _ in rows], plain_scores(rows, labels), atol=1e-7)
 
 
 def test_nulls_stay_null(spark):
-    rows = [(k, prose(random.Random(k), 40) if k % 2 else "X! $$ " * 20, "en", "s", 1) for k in range(40)] + [(100, None, None, None, None), (101, "", None, None, None)]
+    rows = [
+        (k, prose(random.Random(k), 40) if k % 2 else "X! $$ " * 20, "en", "s", 1) for k in range(40)
+    ] + [(100, None, None, None, None), (101, "", None, None, None)]
     df = frame(spark, rows)
     assert {r.doc_id: r.text for r in pieces.encode(df, pieces.Pieces.load(PIECE_MODEL)).where("doc_id > 99").collect()} == {100: None, 101: ""}
     kept = quality.without_rejected(df, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int"), threshold=0.0).collect()
@@ -212,7 +220,11 @@ def test_imatch_as_brute_force(spark):
     rng = random.Random(13)
     rows = [(k, prose(rng, rng.randrange(3, 90)) + f" own{k} Pair{k // 2}") for k in range(60)] + [(100 + k, t) for k, t in enumerate(ODD)]
     for band in ((0.001, 0.05), (0.02, 0.5)):
-        got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in imatch.fingerprint_edits(frame(spark, [(d, t, None, None, None) for d, t in rows]), band).collect()}
+        got = {
+            r.doc_id: (
+                r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)
+            ) for r in imatch.fingerprint_edits(frame(spark, [(d, t, None, None, None) for d, t in rows]), band).collect()
+        }
         assert got == plain_imatch(rows, band)
 
 
@@ -234,14 +246,18 @@ def test_texts_longer_than_a_slice(spark):
     assert {r.doc_id: r.n_tokens for r in lm.score(df, F.lit(True)).collect()} == {1: len(long.split()) + 1, 2: len(long.split()) + 1, 3: 8, 4: 1}
     assert quality.classify(df, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")).count() == 4
     assert {len(r.text or "") for r in mixing.mix_sources(df, total=40.0).collect()} <= {len(long), len(rows[2][1]), 0}
-    assert urlfilter.judge(spark.createDataFrame([(1, "http://a.org/" + long), (2, "x" * (2 << 20))], "page_id bigint, url string"), spark.createDataFrame([], "page_id bigint, good int"), URL_RULES).count() == 2
+    assert urlfilter.judge(
+        spark.createDataFrame([(1, "http://a.org/" + long), (2, "x" * (2 << 20))], "page_id bigint, url string"),
+        spark.createDataFrame([], "page_id bigint, good int"), URL_RULES
+    ).count() == 2
 
 
 # line dedup
 
 
 def plain_patience(a, b, i=0, j=0):
-    """Patience alignment by recursion, the longest rising run by the square of its length; of equal runs the one that ends with the last pair, and goes back by the last ones."""
+    """Patience alignment by recursion, the longest rising run by the square of its length; of equal runs the one that ends with the last pair, and
+    goes back by the last ones."""
     if not a or not b:
         return []
     if a[0] == b[0]:
@@ -316,7 +332,11 @@ def brute_lines(rows, least=20):
 def test_line_dedup_as_brute_force(spark):
     rng = random.Random(4)
     pool = [f"line number {k} of the pool of lines" for k in range(40)]
-    rows = [(k, "\n".join(rng.choice([rng.choice(pool), f"own line {rng.random()} of a document", "short", ""]) for _ in range(rng.randrange(1, 9)))) for k in range(80)]
+    rows = [
+        (
+            k, "\n".join(rng.choice([rng.choice(pool), f"own line {rng.random()} of a document", "short", ""]) for _ in range(rng.randrange(1, 9)))
+        ) for k in range(80)
+    ]
     rows += [(100 + k, rows[5][1]) for k in range(150)]
     data = frame(spark, [(d, t, None, None, None) for d, t in rows])
     got = {r.doc_id: r.text for r in linededup.dedup_lines(data).collect()}
@@ -326,11 +346,15 @@ def test_line_dedup_as_brute_force(spark):
 
 
 def test_line_dedup_frequent_and_moved_lines(spark):
-    """A passage that a third of the documents hold goes from those that also share a rarer line, and a block goes whose lines stand in another order in their first document."""
+    """A passage that a third of the documents hold goes from those that also share a rarer line, and a block goes whose lines stand in another order
+    in their first document."""
     hot, rare = "a line that a third of all documents hold", "a line that only two documents hold"
     a, b = "the first line of a moved block", "the second line of a moved block"
     rows = [(k, f"{hot}\nown line {k} of a document" if k % 3 == 0 else f"own line {k} of a document") for k in range(30)]
-    rows += [(40, f"{rare}\nxyz"), (41, f"{rare}\n{hot}\nabc"), (50, f"{b}\n{a}"), (51, f"{a}\n{b}\nkept line of the second document"), (52, f"{a}\n{b}\nkept line of the third document")]
+    rows += [
+        (40, f"{rare}\nxyz"), (41, f"{rare}\n{hot}\nabc"), (50, f"{b}\n{a}"), (51, f"{a}\n{b}\nkept line of the second document"),
+        (52, f"{a}\n{b}\nkept line of the third document")
+    ]
     got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, [(d, t, None, None, None) for d, t in rows])).collect()}
     assert got[41] == "abc" and got[3] == "own line 3 of a document" and got[0] == rows[0][1]
     assert got[52] == "kept line of the third document" and got == brute_lines(rows)
@@ -352,7 +376,9 @@ def test_ann_recall_and_edges(spark):
     centres = rng.standard_normal((40, 16))
     x = (centres[rng.integers(0, 40, 4000)] + 0.2 * rng.standard_normal((4000, 16))).astype(np.float32)
     x[100:400] = x[100]  # one vector many times
-    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (5300, [1.0, None] + [1.0] * 14), (5400, [1.0]), (None, [1.0] * 16)]
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [
+        (5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (5300, [1.0, None] + [1.0] * 14), (5400, [1.0]), (None, [1.0] * 16)
+    ]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("part", F.lit(1))
     got = {}
     for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
@@ -440,7 +466,13 @@ def test_lm_base_as_brute_force(spark):
     words = lambda t: (t or "").encode().lower().split() + [b" "]
     counts = Counter(w for d, t, *_ in rows if not held(d) for w in words(t))
     n, v = sum(counts.values()), len(counts)
-    want = sorted(((-1 if d is None else d), len(words(t)), sum(counts[w] > 0 for w in words(t)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words(t)), 6)) for d, t, *_ in rows)
+    want = sorted(
+        (
+            (-1 if d is None else d), len(words(t)), sum(counts[w] > 0 for w in words(t)), n,
+            round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words(t)), 6)
+        ) for d,
+        t, *_ in rows
+    )
     assert sorted(((-1 if r.doc_id is None else r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert lm.score(df.where("false"), training).collect() == []
@@ -456,7 +488,8 @@ def test_lm_is_the_same_from_any_layout(spark, monkeypatch):
 
 
 def test_gru_gradients_are_finite_differences():
-    """A step of gradient descent, told from Adagrad's by its sums of squares, against the loss's differences. State goes in from before the window and is cut where a document starts."""
+    """A step of gradient descent, told from Adagrad's by its sums of squares, against the loss's differences. State goes in from before the window
+    and is cut where a document starts."""
     rng = np.random.default_rng(3)
     steps, lanes = 4, 3
     model = gru.Model(*[(rng.standard_normal(shape) * 0.3).astype(np.float32) for shape in gru.Model.SHAPES])
@@ -489,7 +522,10 @@ def test_gru_gradients_are_finite_differences():
 
 
 def test_urls(spark):
-    rows = [(1, "https://A.Example.ORG/es/x?q"), (2, "http://example.org/en/12"), (3, "http://x.org"), (4, "http://b.com/fr/a"), (5, "http://b.com/de/"), (6, "http://b.net/#f"), (7, None), (8, "no scheme"), (9, "http://example.org/en/2"), (9, "http://example.org/en/2"), (10, "a://b.co.uk/://c")]
+    rows = [
+        (1, "https://A.Example.ORG/es/x?q"), (2, "http://example.org/en/12"), (3, "http://x.org"), (4, "http://b.com/fr/a"), (5, "http://b.com/de/"),
+        (6, "http://b.net/#f"), (7, None), (8, "no scheme"), (9, "http://example.org/en/2"), (9, "http://example.org/en/2"), (10, "a://b.co.uk/://c")
+    ]
     labels = spark.createDataFrame([(6, 1), (6, 0), (None, 1), (3, None)], "page_id bigint, good int")
     got = urlfilter.judge(spark.createDataFrame(rows, "page_id bigint, url string").withColumn("host", F.lit("z")), labels, URL_RULES).collect()
     assert len(got) == len(rows)
@@ -502,7 +538,10 @@ def test_urls(spark):
 
 
 def test_domains(spark):
-    hosts = {"a.b.co.kr": ("b.co.kr", "co.kr"), "1.2.3.4": ("1.2.3.4", "ip"), "x.example.com": ("example.com", "com"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.com.au": ("a.com.au", "com.au"), "shop.de": ("shop.de", "de")}
+    hosts = {
+        "a.b.co.kr": ("b.co.kr", "co.kr"), "1.2.3.4": ("1.2.3.4", "ip"), "x.example.com": ("example.com", "com"), "co.uk": ("co.uk", "co.uk"),
+        "localhost": ("localhost", "localhost"), "": ("", ""), "a.com.au": ("a.com.au", "com.au"), "shop.de": ("shop.de", "de")
+    }
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
     domain, suffix = urlfilter.domain_and_suffix(F.col("host"))
     assert {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
