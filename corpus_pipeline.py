@@ -16,7 +16,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has in an aligned block go, and with them documents of which nothing but blanks is left; n_chars follows the text."""
+    """Lines that an earlier document has in an aligned block go, and with them documents of which nothing but blanks is left; n_chars follows the
+    text."""
     cut = linededup.dedup_lines(docs)
     emptied = (F.col("_deleted") > 0) & F.col("text").rlike(r"^\s*$")
     n_chars = F.when(F.col("_deleted") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))

@@ -57,7 +57,9 @@ class Params:
     suppressed: bool = False
 
     @classmethod
-    def parse(cls, query: Mapping[str, str], now: datetime, usual: timedelta = timedelta(hours=1), most: timedelta | None = None, extra: Iterable[str] = ()) -> Params:
+    def parse(
+        cls, query: Mapping[str, str], now: datetime, usual: timedelta = timedelta(hours=1), most: timedelta | None = None, extra: Iterable[str] = ()
+    ) -> Params:
         """since, until, window, limit, status and include_suppressed, and what `extra` names; a name that is none of these is an error."""
         if unknown := sorted(set(query) - {"since", "until", "window", "limit", "status", "include_suppressed", *extra}):
             raise QueryError("bad_request", f"unknown query parameter: {unknown[0]}")

@@ -26,7 +26,10 @@ def event_uuid(trace_id: Column, span_id: Column) -> Column:
     """A version-5-shaped id that is always the same for a span."""
     h = F.sha2(F.concat(trace_id, F.lit(":"), span_id), 256)
     variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return F.concat_ws(
+        "-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)),
+        F.substring(h, 21, 12)
+    )
 
 
 def short_ref(text: Column) -> Column:

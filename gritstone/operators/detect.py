@@ -15,7 +15,8 @@ from .reads import FAMILY, nearest_rank
 
 @dataclass(frozen=True)
 class Windows:
-    """For each tick the current window (w 0) and the three before it (w 1 to 3), all of one length. A window ends where the one after it starts, and both ends count, so an event at a boundary is in two."""
+    """For each tick the current window (w 0) and the three before it (w 1 to 3), all of one length. A window ends where the one after it starts, and
+    both ends count, so an event at a boundary is in two."""
 
     ticks: tuple[datetime, ...]
     length: timedelta
@@ -57,8 +58,11 @@ def _per_window(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.groupBy("tick", *by).agg(*counts).withColumn("baseline", median3(F.col("n1"), F.col("n2"), F.col("n3")))
 
 
-def error_spikes(events: DataFrame, table: Windows, min_count: int = 5, min_lift: float = 3.0, min_rate: float = 0.0, minutes: float = 10.0, most: int = 200) -> DataFrame:
-    """Families whose current window has min_count errors and min_lift times the median of the three before; with no errors before, the lift is the count. Each window is read as its `most` largest families."""
+def error_spikes(
+    events: DataFrame, table: Windows, min_count: int = 5, min_lift: float = 3.0, min_rate: float = 0.0, minutes: float = 10.0, most: int = 200
+) -> DataFrame:
+    """Families whose current window has min_count errors and min_lift times the median of the three before; with no errors before, the lift is the
+    count. Each window is read as its `most` largest families."""
     rows = in_windows(events.where(failed() & F.col("error_code").isNotNull()), table)
     sizes = rows.groupBy("tick", "w", *FAMILY).agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("tick", "w").orderBy(F.desc("n"), *FAMILY))
@@ -71,23 +75,32 @@ def error_spikes(events: DataFrame, table: Windows, min_count: int = 5, min_lift
 
 
 def traffic(events: DataFrame, table: Windows, min_volume: int = 20, drop: float = 0.5, surge: float = 3.0) -> DataFrame:
-    """tick, service, n0, baseline and direction (drop, surge or null) of services with enough traffic before; a service absent from a window has none there."""
+    """tick, service, n0, baseline and direction (drop, surge or null) of services with enough traffic before; a service absent from a window has none
+    there."""
     wide = _per_window(in_windows(events, table), ("service",)).where(F.col("baseline") >= min_volume)
     direction = F.when(F.col("n0") <= drop * F.col("baseline"), "drop").when((F.lit(surge) > 0) & (F.col("n0") >= surge * F.col("baseline")), "surge")
     return wide.withColumn("direction", direction)
 
 
 def latency(events: DataFrame, table: Windows, percent: int = 95, min_requests: int = 50, factor: float = 2.0, min_ms: int = 0) -> DataFrame:
-    """tick, service, latency_ms, baseline_ms, anomalous: the current percentile against the lower median of the windows before that have enough requests, of which there must be two."""
+    """tick, service, latency_ms, baseline_ms, anomalous: the current percentile against the lower median of the windows before that have enough
+    requests, of which there must be two."""
     stats = nearest_rank(in_windows(events, table), ("tick", "w", "service"), "duration_ms", percent).where(F.col("count") >= min_requests)
-    wide = stats.groupBy("tick", "service").agg(F.max(F.when(F.col("w") == 0, F.col("latency_ms"))).alias("latency_ms"), F.sort_array(F.collect_list(F.when(F.col("w") > 0, F.col("latency_ms")))).alias("before"))
+    wide = stats.groupBy("tick", "service").agg(
+        F.max(F.when(F.col("w") == 0, F.col("latency_ms"))).alias("latency_ms"),
+        F.sort_array(F.collect_list(F.when(F.col("w") > 0, F.col("latency_ms")))).alias("before")
+    )
     wide = wide.where(F.col("latency_ms").isNotNull() & (F.size("before") >= 2))
     base = F.get("before", ((F.size("before") - 1) / 2).cast("int"))
-    return wide.select("tick", "service", "latency_ms", base.alias("baseline_ms"), ((base > 0) & (F.col("latency_ms") >= factor * base) & (F.col("latency_ms") >= min_ms)).alias("anomalous"))
+    return wide.select(
+        "tick", "service", "latency_ms", base.alias("baseline_ms"),
+        ((base > 0) & (F.col("latency_ms") >= factor * base) & (F.col("latency_ms") >= min_ms)).alias("anomalous")
+    )
 
 
 def sustained(ticks: DataFrame, by: Sequence[str], state: str, need: int = 2, order: str = "tick_no") -> DataFrame:
-    """The rows whose state is the need-th or later of its run: equal states at consecutive tick numbers. A null state, or a tick without a row, ends a run."""
+    """The rows whose state is the need-th or later of its run: equal states at consecutive tick numbers. A null state, or a tick without a row, ends
+    a run."""
     group = Window.partitionBy(*by, state).orderBy(order)
     runs = ticks.where(F.col(state).isNotNull()).withColumn("_run", F.col(order) - F.row_number().over(group))
     place = F.row_number().over(Window.partitionBy(*by, state, "_run").orderBy(order))

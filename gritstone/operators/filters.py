@@ -24,7 +24,10 @@ def in_window(since=None, until=None, column: str = "ts_start") -> Column:
     return keep
 
 
-def event_filter(service: str | None = None, trace_id: str | None = None, error_code: str | None = None, statuses: Iterable[str] = (), suppressed: bool = False, since=None, until=None) -> Column:
+def event_filter(
+    service: str | None = None, trace_id: str | None = None, error_code: str | None = None, statuses: Iterable[str] = (), suppressed: bool = False,
+    since=None, until=None
+) -> Column:
     """Suppressed events are left out unless asked for, by flag or by status."""
     keep = in_window(since, until)
     for column, value in (("service", service), ("trace_id", trace_id), ("error_code", error_code)):
@@ -82,7 +85,9 @@ def cap_per_second(events: DataFrame, most: int, priority: Column, order: str =
     return events.withColumn("_place", F.row_number().over(second)).where(priority | (F.col("_place") <= most)).drop("_place")
 
 
-def cold_search(events: DataFrame, trace_id=None, user_id=None, service=None, error_code=None, since=None, until=None, before_id=None, limit: int = 50) -> DataFrame:
+def cold_search(
+    events: DataFrame, trace_id=None, user_id=None, service=None, error_code=None, since=None, until=None, before_id=None, limit: int = 50
+) -> DataFrame:
     """Newest ids first, with the number of all matches."""
     keep = in_window(since, until)
     for column, value in (("trace_id", trace_id), ("user_id", user_id), ("service", service), ("error_code", error_code)):
@@ -93,7 +98,9 @@ def cold_search(events: DataFrame, trace_id=None, user_id=None, service=None, er
     return page.orderBy(F.desc("event_id")).limit(limit).crossJoin(F.broadcast(matched.agg(F.count(F.lit(1)).alias("total"))))  # one row
 
 
-def signal_query(signals: DataFrame, service=None, env=None, source=None, reason=None, types: Iterable[str] = (), since=None, until=None, limit: int = 200) -> DataFrame:
+def signal_query(
+    signals: DataFrame, service=None, env=None, source=None, reason=None, types: Iterable[str] = (), since=None, until=None, limit: int = 200
+) -> DataFrame:
     """Newest first, then larger ids; at most 200."""
     keep = in_window(since, until, "timestamp")
     for column, value in (("service", service), ("env", env), ("source", source), ("reason", reason)):

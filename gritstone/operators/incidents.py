@@ -13,7 +13,8 @@ def family(service: Column | str, step: Column | str, code: Column | str) -> Col
 
 
 def incident_id(env: str = "env", service: str = "service", family_: str = "family", started: str = "started_at", minutes: int = 5) -> Column:
-    """inc_ and 16 hex digits of a hash of environment, service, family and start, cut to five minutes, so that an incident keeps its id while its start moves a little."""
+    """inc_ and 16 hex digits of a hash of environment, service, family and start, cut to five minutes, so that an incident keeps its id while its
+    start moves a little."""
     cut = F.timestamp_seconds(F.floor(F.unix_seconds(F.col(started).cast("timestamp")) / (60 * minutes)) * (60 * minutes))
     text = F.concat_ws("|", env, service, family_, F.date_format(cut, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     return F.concat(F.lit("inc_"), F.substring(F.sha2(text, 256), 1, 16))
@@ -24,11 +25,14 @@ def severity(count: Column, services: Column, lift: Column) -> Column:
 
 
 def onset_tiebreak(dependency_at: str, deploy_at: str, onset: str) -> Column:
-    """Which of a dependency signal and a deployment is the likelier cause: one at or before the onset beats one after it, else the closer one; an exact tie goes to the dependency, and one without a time loses."""
+    """Which of a dependency signal and a deployment is the likelier cause: one at or before the onset beats one after it, else the closer one; an
+    exact tie goes to the dependency, and one without a time loses."""
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     gap = lambda c: F.abs(at(c) - at(onset))
     early = lambda c: F.col(c) <= F.col(onset)
-    deploy_wins = F.when(F.col(deploy_at).isNull(), False).when(F.col(dependency_at).isNull(), True).when(early(dependency_at) != early(deploy_at), early(deploy_at)).otherwise(gap(deploy_at) < gap(dependency_at))
+    deploy_wins = F.when(F.col(deploy_at).isNull(), False).when(F.col(dependency_at).isNull(), True).when(
+        early(dependency_at) != early(deploy_at), early(deploy_at)
+    ).otherwise(gap(deploy_at) < gap(dependency_at))
     return F.when(deploy_wins, "deploy").otherwise("dependency")
 
 
@@ -47,32 +51,48 @@ def cause(dependency_at: str, deploy_at: str, downstream: str, runtime: str, eve
 
 
 def cap_evidence(evidence: DataFrame, most: int = 12) -> DataFrame:
-    """Each incident's evidence by time, kind and title, once for each kind, title, signal, deployment and trace. Runtime and deployment rows all stay; the earliest others fill what is left of the cap. Nulls in the five are a value like others.
+    """Each incident's evidence by time, kind and title, once for each kind, title, signal, deployment and trace. Runtime and deployment rows all
+    stay; the earliest others fill what is left of the cap. Nulls in the five are a value like others.
 
     Copies go within tasks first, and of an incident's other rows no more than the cap are put in order in one place.
     """
     order, same = ["occurred_at", "kind", "title", "seq"], ["incident_id", "kind", "title", "signal_id", "deploy_id", "trace_id"]
     rest = [c for c in evidence.columns if c not in same]
-    rows = evidence.groupBy(*same).agg(F.min_by(F.struct(*rest), F.struct("occurred_at", "seq")).alias("_rest")).select(*same, "_rest.*").select(*evidence.columns)
+    rows = evidence.groupBy(*same).agg(
+        F.min_by(F.struct(*rest), F.struct("occurred_at", "seq")).alias("_rest")
+    ).select(*same, "_rest.*").select(*evidence.columns)
     kept = F.coalesce(F.col("kind").isin("runtime", "deployment"), F.lit(False))
     must = rows.where(kept)
     sizes = rows.groupBy("incident_id").agg(F.count_if(kept).alias("_must"))
     own = Window.partitionBy("incident_id").orderBy(*order)
-    others = rows.where(~kept).withColumn("_place", F.row_number().over(own)).where(F.col("_place") <= most).join(sizes, "incident_id").where(F.col("_place") <= most - F.col("_must")).drop("_place", "_must")
+    others = rows.where(~kept).withColumn("_place", F.row_number().over(own)).where(F.col("_place") <= most).join(sizes, "incident_id").where(
+        F.col("_place") <= most - F.col("_must")
+    ).drop("_place", "_must")
     return must.unionByName(others).withColumn("place", F.row_number().over(own))
 
 
 def lifecycle(state: DataFrame, seen: DataFrame, now: Column, minutes: int = 2) -> DataFrame:
-    """The next state of the incidents. Those seen are active, with their first start kept, and their suspected deployment where none is named anew. Of those unseen, active ones recover, and recovering
-    ones are resolved when they were last seen some minutes ago or more; resolved ones stay so. transition: opened, resolved or null. The next state is read back as `state`, less its transition.
+    """The next state of the incidents. Those seen are active, with their first start kept, and their suspected deployment where none is named anew.
+    Of those unseen, active ones recover, and recovering
+    ones are resolved when they were last seen some minutes ago or more; resolved ones stay so. transition: opened, resolved or null. The next state
+    is read back as `state`, less its transition.
     """
     old = state.select("incident_id", *[F.col(c).alias(f"old_{c}") for c in ("status", "started_at", "last_seen", "suspect_deploy_id")])
     rows = old.join(seen.withColumn("_seen", F.lit(True)), "incident_id", "full_outer")
     quiet = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("old_last_seen").cast("timestamp")) >= minutes * 60_000_000
-    status = F.when(F.col("_seen"), "active").when(F.col("old_status") == "active", "recovering").when((F.col("old_status") == "recovering") & quiet, "resolved").otherwise(F.col("old_status"))
+    status = F.when(F.col("_seen"), "active").when(F.col("old_status") == "active", "recovering").when(
+        (F.col("old_status") == "recovering") & quiet, "resolved"
+    ).otherwise(F.col("old_status"))
     rows = rows.withColumn("status", status)
-    transition = F.when(F.col("_seen") & (F.col("old_status").isNull() | (F.col("old_status") == "resolved")), "opened").when((F.col("status") == "resolved") & (F.col("old_status") != "resolved"), "resolved")
-    return rows.select("incident_id", "status", F.coalesce("old_started_at", "started_at").alias("started_at"), F.coalesce("last_seen", "old_last_seen").alias("last_seen"), F.coalesce(F.nullif(F.col("suspect_deploy_id"), F.lit("")), F.col("old_suspect_deploy_id")).alias("suspect_deploy_id"), transition.alias("transition"))
+    transition = F.when(
+        F.col("_seen") & (F.col("old_status").isNull() | (F.col("old_status") == "resolved")), "opened"
+    ).when((F.col("status") == "resolved") & (F.col("old_status") != "resolved"), "resolved")
+    return rows.select(
+        "incident_id", "status", F.coalesce("old_started_at", "started_at").alias("started_at"),
+        F.coalesce("last_seen", "old_last_seen").alias("last_seen"),
+        F.coalesce(F.nullif(F.col("suspect_deploy_id"), F.lit("")), F.col("old_suspect_deploy_id")).alias("suspect_deploy_id"),
+        transition.alias("transition")
+    )
 
 
 def retained(incidents: DataFrame, now: Column, hours: int = 168) -> DataFrame:
@@ -83,7 +103,9 @@ def retained(incidents: DataFrame, now: Column, hours: int = 168) -> DataFrame:
 def impact_queue(incidents: DataFrame, limit: int = 50) -> DataFrame:
     """Active incidents by users, requests and services; needs_judgment where the cause is unknown, confidence low, or no deployment suspected."""
     judge = (F.col("cause") == "unknown") | (F.col("confidence") == "low") | (F.coalesce(F.col("suspect_deploy_id"), F.lit("")) == "")
-    return incidents.where("status in ('active', 'recovering')").withColumn("needs_judgment", judge).orderBy(F.desc("users"), F.desc("requests"), F.desc("services"), "incident_id").limit(limit)
+    return incidents.where("status in ('active', 'recovering')").withColumn("needs_judgment", judge).orderBy(
+        F.desc("users"), F.desc("requests"), F.desc("services"), "incident_id"
+    ).limit(limit)
 
 
 def insight(incidents: DataFrame) -> DataFrame:
@@ -100,5 +122,9 @@ def evidence_fingerprint(evidence: DataFrame, by: str = "incident_id") -> DataFr
 
 def warnings(incidents: DataFrame) -> DataFrame:
     """Sorted instrumentation warnings of each incident."""
-    found = F.array(F.when(F.coalesce(F.col("version"), F.lit("")) == "", "missing_service_version"), F.when(F.col("has_downstream") & ~F.col("has_dependency_signal"), "missing_dependency_signal"), F.when(F.col("linkage") == "timestamp_fallback", "partial_trace"))
+    found = F.array(
+        F.when(F.coalesce(F.col("version"), F.lit("")) == "", "missing_service_version"),
+        F.when(F.col("has_downstream") & ~F.col("has_dependency_signal"), "missing_dependency_signal"),
+        F.when(F.col("linkage") == "timestamp_fallback", "partial_trace")
+    )
     return incidents.withColumn("warnings", F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))))

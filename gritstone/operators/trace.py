@@ -19,7 +19,8 @@ def _identity(e: dict) -> tuple:
 
 
 class Graph:
-    """Parents and children of a trace's events through the spans of their steps. One parent that no step owns, or that is the event itself, makes the whole graph unusable, and so does the lack of edges."""
+    """Parents and children of a trace's events through the spans of their steps. One parent that no step owns, or that is the event itself, makes the
+    whole graph unusable, and so does the lack of edges."""
 
     def __init__(self, events: list[dict]):
         owner = {span: e["event_id"] for e in events for span in e["spans"] or () if span}
@@ -84,7 +85,8 @@ def ordered(events: list[dict]) -> tuple[list[dict], str]:
 
 
 def anchor(events: list[dict], exclude_suppressed: bool = True) -> tuple[dict | None, str]:
-    """The deepest failed event with no failed event below it, where the graph is usable and touches a failed event; else the earliest failed one. With none failed, the trace's root."""
+    """The deepest failed event with no failed event below it, where the graph is usable and touches a failed event; else the earliest failed one.
+    With none failed, the trace's root."""
     may = [e for e in events if not (exclude_suppressed and e["status"] == "suppressed")]
     bad = [e for e in may if e["status"] in FAILED]
     graph = Graph(events)
@@ -106,12 +108,16 @@ def anchor(events: list[dict], exclude_suppressed: bool = True) -> tuple[dict |
 def _grouped(events: DataFrame) -> DataFrame:
     """A row a trace: its events in order of seq. Nulls in status, service or start are values like others."""
     blank = lambda c: F.coalesce(c, F.lit(""))
-    row = F.struct("seq", "ts_start", "service", F.col("event_id").cast("string").alias("event_id"), blank("parent_span_id").alias("parent_span_id"), "status", F.transform("steps", lambda s: s["span_id"]).alias("spans"), "step", "error_code")
+    row = F.struct(
+        "seq", "ts_start", "service", F.col("event_id").cast("string").alias("event_id"), blank("parent_span_id").alias("parent_span_id"), "status",
+        F.transform("steps", lambda s: s["span_id"]).alias("spans"), "step", "error_code"
+    )
     return events.where("trace_id is not null").groupBy("trace_id").agg(F.array_sort(F.collect_list(row)).alias("events"))
 
 
 def order_traces(events: DataFrame) -> DataFrame:
-    """trace_id, event_id, place (from 1), linkage. Events without a trace_id have no row; repeated rows of an event have one each only where the order is by time."""
+    """trace_id, event_id, place (from 1), linkage. Events without a trace_id have no row; repeated rows of an event have one each only where the
+    order is by time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +126,10 @@ def order_traces(events: DataFrame) -> DataFrame:
                 out, linkage = ordered(own)
                 rows += [(trace, e["event_id"], k + 1, linkage) for k, e in enumerate(out)]
             columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["trace_id", "event_id", "place", "linkage"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)],
+                ["trace_id", "event_id", "place", "linkage"]
+            )
 
     return _grouped(events).mapInArrow(run, "trace_id string, event_id string, place int, linkage string")
 
@@ -131,13 +140,20 @@ def anchors(events: DataFrame, exclude_suppressed: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [anchor(own, exclude_suppressed) for own in batch.column("events").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("trace_id"), pa.array([e and e["event_id"] for e, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], ["trace_id", "event_id", "linkage"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("trace_id"), pa.array([e and e["event_id"] for e, _ in found], pa.string()),
+                    pa.array([x for _, x in found], pa.string())
+                ],
+                ["trace_id", "event_id", "linkage"]
+            )
 
     return _grouped(events).mapInArrow(run, "trace_id string, event_id string, linkage string")
 
 
 def trace_facts(events: DataFrame, exclude_suppressed: bool = True) -> DataFrame:
-    """trace_id, services (in order of first use, '' and null left out), and of the anchor event event_id, linkage, status and anchor, its family (null where it has no error code)."""
+    """trace_id, services (in order of first use, '' and null left out), and of the anchor event event_id, linkage, status and anchor, its family
+    (null where it has no error code)."""
 
     def family(e: dict | None) -> str | None:
         return None if not e or not e["error_code"] else ":".join((e[n] or "").replace(":", "\\:") for n in ("service", "step", "error_code"))
@@ -179,9 +195,11 @@ def story_logs(logs: Column, path: Column, until: Column) -> Column:
 
 
 def stories(events: DataFrame) -> DataFrame:
-    """Each event with path, loud (its logs), downstream (step, service and endpoint of each call of the path) and anchored (whether its anchor's step was found).
+    """Each event with path, loud (its logs), downstream (step, service and endpoint of each call of the path) and anchored (whether its anchor's step
+    was found).
 
-    events: with steps, logs and anchor (step, error_code). A suppressed event has its header only: the three are empty. Null steps or logs count as none; a step without start or duration is in no path that ends at an anchor.
+    events: with steps, logs and anchor (step, error_code). A suppressed event has its header only: the three are empty. Null steps or logs count as
+    none; a step without start or duration is in no path that ends at an anchor.
     """
     shown = F.col("status") != "suppressed"
     none = lambda name: F.filter(name, lambda x: F.lit(False))
@@ -191,7 +209,9 @@ def stories(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("path", F.when(shown, contributing_steps(F.col("steps"), until)).otherwise(none("steps")))
     rows = rows.withColumn("loud", F.when(shown, story_logs(F.col("logs"), F.col("path"), until)).otherwise(none("logs")))
     calls = F.filter("path", lambda s: s["downstream"].isNotNull())
-    calls = F.transform(calls, lambda s: F.struct(s["name"].alias("step"), s["downstream"]["service"].alias("service"), s["downstream"]["endpoint"].alias("endpoint")))
+    calls = F.transform(
+        calls, lambda s: F.struct(s["name"].alias("step"), s["downstream"]["service"].alias("service"), s["downstream"]["endpoint"].alias("endpoint"))
+    )
     return rows.withColumn("downstream", calls).withColumn("anchored", F.col("_at").isNotNull()).drop("_at")
 
 

@@ -76,7 +76,12 @@ def bad_step(s: Value) -> Column:
 
 
 def bad_log(x: Value) -> Column:
-    return any_of([x.not_object(), x.at("ts_offset_ms").not_count(), x.at("level").not_among(*LOG_LEVELS), x.at("msg").not_text(), x.unless_absent("fields", Value.not_object)])
+    return any_of(
+        [
+            x.not_object(), x.at("ts_offset_ms").not_count(), x.at("level").not_among(*LOG_LEVELS), x.at("msg").not_text(),
+            x.unless_absent("fields", Value.not_object)
+        ]
+    )
 
 
 def breaks_schema(e: Value) -> Column:
@@ -95,8 +100,11 @@ def breaks_schema(e: Value) -> Column:
 
 
 def reject_reason(value: Column, event: Column) -> Column:
-    """Why an event is refused, or null. value: its JSON text as a VARIANT (null where malformed); event: it, parsed with the schema of events, whose times must be real ones."""
+    """Why an event is refused, or null. value: its JSON text as a VARIANT (null where malformed); event: it, parsed with the schema of events, whose
+    times must be real ones."""
     e = Value(value)
     undated = event.getField("ts_start").isNull() | event.getField("ts_end").isNull()
     version = F.coalesce(e.at("schema_version").text(), F.lit(""))
-    return F.when(value.isNull(), "invalid_json").when(version.startswith("1."), "bridge_not_implemented").when(breaks_schema(e) | F.coalesce(undated, F.lit(True)), "schema_validation_failed")
+    return F.when(value.isNull(), "invalid_json").when(version.startswith("1."), "bridge_not_implemented").when(
+        breaks_schema(e) | F.coalesce(undated, F.lit(True)), "schema_validation_failed"
+    )

@@ -175,7 +175,10 @@ _CALLS = lambda calls: F.array_join(F.transform(calls, lambda c: F.concat_ws("|"
 def _story(rows):
     path = F.array_join(F.transform("path", lambda s: F.concat_ws("@", s["name"], s["start_ms"].cast("string"))), ",")
     loud = F.array_join(F.transform("loud", lambda x: F.concat_ws("@", x["msg"], x["ts_offset_ms"].cast("string"))), ",")
-    return rows.select("trace_id", F.col("event_id").cast("string").alias("event_id"), "service", "status", path.alias("path"), loud.alias("logs"), _CALLS("downstream").alias("downstream"), *[c for c in ("linkage",) if c in rows.columns])
+    return rows.select(
+        "trace_id", F.col("event_id").cast("string").alias("event_id"), "service", "status", path.alias("path"), loud.alias("logs"),
+        _CALLS("downstream").alias("downstream"), *[c for c in ("linkage",) if c in rows.columns]
+    )
 
 
 @query
@@ -218,7 +221,9 @@ def sustained_gate(spark, sf_dir):
     ticks = [NOW - k * timedelta(hours=12) for k in range(8)]
     found = detect.traffic(wide_events(spark, sf_dir), detect.windows(ticks, timedelta(days=3)), min_volume=5, drop=0.95, surge=1.05)
     numbered = found.withColumn("tick_no", F.floor(F.unix_seconds(F.col("tick").cast("timestamp")) / 43200).cast("int"))
-    return detect.sustained(numbered, ("service",), "direction", need=2).select("service", "tick_no", "direction", F.col("run_length").cast("int").alias("run_length"))
+    return detect.sustained(numbered, ("service",), "direction", need=2).select(
+        "service", "tick_no", "direction", F.col("run_length").cast("int").alias("run_length")
+    )
 
 
 @query
@@ -235,7 +240,10 @@ def severity_score(spark, sf_dir):
 @query
 def incident_lifecycle(spark, sf_dir):
     """Three ticks, at the ends of three days, over the incidents of four days."""
-    rows = seeds(spark, sf_dir).select(F.concat_ws("|", "service", "step", "error_code").alias("incident_id"), "day", "started_at", F.col("now").alias("last_seen"), F.concat_ws("-", F.lit("d"), "day").alias("suspect_deploy_id"))
+    rows = seeds(spark, sf_dir).select(
+        F.concat_ws("|", "service", "step", "error_code").alias("incident_id"), "day", "started_at", F.col("now").alias("last_seen"),
+        F.concat_ws("-", F.lit("d"), "day").alias("suspect_deploy_id")
+    )
     state = rows.where("day = '20240110'").drop("day").withColumn("status", F.lit("active"))
     for day in (11, 12, 13):
         state = incidents.lifecycle(state, rows.where(F.col("day") == f"202401{day}").drop("day"), F.lit(f"2024-01-{day} 23:59:59").cast("timestamp_ntz"))
@@ -254,7 +262,11 @@ def deploy_detect(spark, sf_dir):
 @query
 def deploy_upsert(spark, sf_dir):
     w = wide_events(spark, sf_dir)
-    rows = w.select(F.concat_ws(":", "service", "version").alias("id"), "service", "env", F.when(F.col("k") % 2 == 0, F.col("version")).otherwise("").alias("version"), F.col("ts_start").alias("first_seen"), F.col("ts_end").alias("last_seen"), "seq")
+    rows = w.select(
+        F.concat_ws(":", "service", "version").alias("id"), "service", "env",
+        F.when(F.col("k") % 2 == 0, F.col("version")).otherwise("").alias("version"), F.col("ts_start").alias("first_seen"),
+        F.col("ts_end").alias("last_seen"), "seq"
+    )
     return correlate.upsert_deploys(rows)
 
 
@@ -276,14 +288,18 @@ def dependency_match(spark, sf_dir):
 
 @query
 def runtime_match(spark, sf_dir):
-    return correlate.runtime_match(seeds(spark, sf_dir), signals(spark, sf_dir), 120).select("incident_id", "signal_id", F.col("place").cast("int").alias("place"))
+    return correlate.runtime_match(seeds(spark, sf_dir), signals(spark, sf_dir), 120).select(
+        "incident_id", "signal_id", F.col("place").cast("int").alias("place")
+    )
 
 
 @query
 def alert_match(spark, sf_dir):
     """Of the alerts a seventh names an incident, which then is the only one, and another seventh one that doesn't exist."""
     n = F.substring("signal_id", 5, 20).cast("bigint") % 7
-    named = F.when(n == 0, F.concat_ws("|", "service", F.lit("step_0"), "alert_code", F.date_format("timestamp", "yyyyMMdd"))).when(n == 1, "none").otherwise("")
+    named = F.when(
+        n == 0, F.concat_ws("|", "service", F.lit("step_0"), "alert_code", F.date_format("timestamp", "yyyyMMdd"))
+    ).when(n == 1, "none").otherwise("")
     alerts = signals(spark, sf_dir).where("type = 'alert'").withColumn("alert_incident_id", named)
     return correlate.alert_match(seeds(spark, sf_dir), alerts, 360).select("incident_id", "signal_id", "strategy")
 
@@ -300,7 +316,9 @@ def _evidence_times(spark, sf_dir):
 @query
 def cause_classify(spark, sf_dir):
     rows = _evidence_times(spark, sf_dir)
-    return rows.select("incident_id", incidents.cause("dependency_at", "deploy_at", "has_downstream", "has_runtime", "events", "step", "started_at").alias("cause"))
+    return rows.select(
+        "incident_id", incidents.cause("dependency_at", "deploy_at", "has_downstream", "has_runtime", "events", "step", "started_at").alias("cause")
+    )
 
 
 @query
@@ -312,14 +330,22 @@ def onset_tiebreak(spark, sf_dir):
 def evidence_cap(spark, sf_dir):
     w = wide_events(spark, sf_dir)
     kind = F.when(F.col("k") % 9 == 0, "runtime").when(F.col("k") % 31 == 0, "deployment").otherwise("event")
-    rows = w.select(F.col("service").alias("incident_id"), kind.alias("kind"), F.concat(F.lit("t"), F.col("k") % 13).alias("title"), F.date_trunc("hour", "ts_start").cast("timestamp_ntz").alias("occurred_at"), F.col("user_id").alias("signal_id"), F.lit("").alias("deploy_id"), "trace_id", "seq")
+    rows = w.select(
+        F.col("service").alias("incident_id"), kind.alias("kind"), F.concat(F.lit("t"), F.col("k") % 13).alias("title"),
+        F.date_trunc("hour", "ts_start").cast("timestamp_ntz").alias("occurred_at"), F.col("user_id").alias("signal_id"),
+        F.lit("").alias("deploy_id"), "trace_id", "seq"
+    )
     return incidents.cap_evidence(rows, 12).select("incident_id", "kind", "title", "signal_id", "trace_id", F.col("place").cast("int").alias("place"))
 
 
 @query
 def impact_queue(spark, sf_dir):
-    rows = _evidence_times(spark, sf_dir).withColumn("c", F.split(incidents.cause("dependency_at", "deploy_at", "has_downstream", "has_runtime", "events", "step", "started_at"), "/"))
-    rows = rows.withColumn("cause", F.get("c", 0)).withColumn("confidence", F.get("c", 1)).withColumn("status", F.when(F.col("events") % 5 == 4, "resolved").otherwise("active")).withColumn("services", F.lit(1)).withColumn("suspect_deploy_id", F.when(F.col("deploy_at").isNotNull(), F.col("service")))
+    rows = _evidence_times(spark, sf_dir).withColumn(
+        "c", F.split(incidents.cause("dependency_at", "deploy_at", "has_downstream", "has_runtime", "events", "step", "started_at"), "/")
+    )
+    rows = rows.withColumn("cause", F.get("c", 0)).withColumn("confidence", F.get("c", 1)).withColumn("status", F.when(F.col("events") % 5 == 4, "resolved").otherwise("active")).withColumn("services", F.lit(1)).withColumn(
+        "suspect_deploy_id", F.when(F.col("deploy_at").isNotNull(), F.col("service"))
+    )
     return incidents.impact_queue(rows).select("incident_id", "users", "requests", "cause", "needs_judgment")
 
 
@@ -375,8 +401,12 @@ def naive_rollup(spark, sf_dir):
     """The naive count beside the root-cause one: events times affected services, for each family."""
     w = wide_events(spark, sf_dir)
     rows = w.where(filters.rollup_filter(statuses=FAILED))
-    per = rows.select("trace_id", F.col("error_code").alias("code")).distinct().join(w.select("trace_id", "service"), "trace_id").groupBy("code").agg(F.count_distinct("service").alias("services"))
-    return rows.groupBy(F.col("error_code").alias("code")).agg(F.count(F.lit(1)).alias("events")).join(per, "code").withColumn("naive", F.col("events") * F.col("services"))
+    per = rows.select(
+        "trace_id", F.col("error_code").alias("code")
+    ).distinct().join(w.select("trace_id", "service"), "trace_id").groupBy("code").agg(F.count_distinct("service").alias("services"))
+    return rows.groupBy(F.col("error_code").alias("code")).agg(F.count(F.lit(1)).alias("events")).join(per, "code").withColumn(
+        "naive", F.col("events") * F.col("services")
+    )
 
 
 @query
@@ -438,22 +468,41 @@ def schema_rules(spark, sf_dir):
 def otlp_events(spark, sf_dir):
     """Each event as an exported span, of several kinds and with or without exceptions, and the event that is made of it."""
     w = wide_events(spark, sf_dir)
-    attribute = lambda key, value, kind="stringValue": F.struct(F.lit(key).alias("key"), F.struct(*[(value if kind == k else F.lit(None)).cast("string").alias(k) for k in ("stringValue", "intValue")]).alias("value"))
+    attribute = lambda key, value, kind="stringValue": F.struct(
+        F.lit(key).alias("key"),
+        F.struct(*[(value if kind == k else F.lit(None)).cast("string").alias(k) for k in ("stringValue", "intValue")]).alias("value")
+    )
     given = lambda when, what: F.when(when, what)
     k = F.col("k")
     attributes = F.array_compact(F.array(
         given(k % 3 == 0, attribute("http.response.status_code", F.when(k % 2 == 0, "200").otherwise("503"), "intValue")), given(k % 3 == 1, attribute("http.request.method", F.lit("GET"))),
         given(k % 4 == 1, attribute("http.route", F.concat(F.lit("/r"), k % 7))), given(k % 5 != 0, attribute("server.address", F.concat(F.lit("https://db"), k % 3, F.lit(":5432")))),
     ))
-    thrown = F.when(k % 7 == 0, F.array(F.struct(F.lit("exception").alias("name"), F.array(attribute("exception.type", F.lit("Boom")), attribute("exception.message", F.concat(F.lit("m"), k))).alias("attributes"))))
+    thrown = F.when(
+        k % 7 == 0,
+        F.array(
+            F.struct(
+                F.lit("exception").alias("name"),
+                F.array(attribute("exception.type", F.lit("Boom")), attribute("exception.message", F.concat(F.lit("m"), k))).alias("attributes")
+            )
+        )
+    )
     start = F.unix_micros(F.col("ts_start").cast("timestamp"))
     span = F.struct(
         F.md5("trace_id").alias("traceId"), F.substring(F.md5(F.col("event_id").cast("string")), 1, 16).alias("spanId"), F.when(k % 6 == 0, F.lit("0" * 16)).otherwise("").alias("parentSpanId"), F.lit("GET /").alias("name"), (k % 6).cast("int").alias("kind"),
         F.concat(start.cast("string"), F.lit("000")).alias("startTimeUnixNano"), F.concat((start + F.col("duration_ms") * 1000).cast("string"), F.lit("999")).alias("endTimeUnixNano"), attributes.alias("attributes"), thrown.alias("events"),
         F.struct(F.when(k % 11 == 0, 2).otherwise(0).alias("code"), F.when(k % 22 == 0, "bad").otherwise("").alias("message")).alias("status"),
     )
-    resource = F.struct(F.array_compact(F.array(given(k % 13 != 0, attribute("service.name", F.col("service"))), attribute("service.version", F.col("version")))).alias("attributes"))
-    body = F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))
+    resource = F.struct(
+        F.array_compact(
+            F.array(given(k % 13 != 0, attribute("service.name", F.col("service"))), attribute("service.version", F.col("version")))
+        ).alias("attributes")
+    )
+    body = F.to_json(
+        F.struct(
+            F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")
+        )
+    )
     made = otlp.spans_to_events(w.select(body.alias("body")), datetime(2024, 1, 25))
     step = F.get("steps", 0)
     return made.select(
@@ -466,14 +515,21 @@ def _alerts(spark, sf_dir):
     """Alerts of which some name an incident, that may not exist, some a trace, and some leave their environment or time open."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'")
-    named = F.when(k % 7 == 0, F.concat_ws("|", F.concat(F.lit("svc_"), k % 5), F.concat(F.lit("step_"), k % 3), F.concat(F.lit("E"), k % 4), F.date_format("ts", "yyyyMMdd"))).when(k % 7 == 1, "none").otherwise("")
+    named = F.when(
+        k % 7 == 0,
+        F.concat_ws(
+            "|", F.concat(F.lit("svc_"), k % 5), F.concat(F.lit("step_"), k % 3), F.concat(F.lit("E"), k % 4), F.date_format("ts", "yyyyMMdd")
+        )
+    ).when(k % 7 == 1, "none").otherwise("")
     return e.select(F.concat(F.lit("sig_"), "event_id").alias("signal_id"), F.concat(F.lit("svc_"), k % 5).alias("service"), F.when(k % 4 == 0, "").when(k % 4 == 1, "test").otherwise("prod").alias("env"), F.when(k % 17 != 0, F.col("ts")).alias("timestamp"),
                     F.when(k % 3 == 0, F.concat_ws("_", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))).alias("trace_id"), named.alias("alert_incident_id"), F.when(k % 5 != 4, F.concat(F.lit("E"), k % 4)).otherwise("").alias("alert_code"))
 
 
 def _incidents(spark, sf_dir):
     s = seeds(spark, sf_dir)
-    return s.withColumn("status", F.when(F.col("events") % 3 == 0, "resolved").otherwise("active")).withColumn("severity", F.col("events").cast("int")).withColumn("updated_at", F.col("now"))
+    return s.withColumn(
+        "status", F.when(F.col("events") % 3 == 0, "resolved").otherwise("active")
+    ).withColumn("severity", F.col("events").cast("int")).withColumn("updated_at", F.col("now"))
 
 
 @query
@@ -517,7 +573,10 @@ def anomaly_incidents(spark, sf_dir):
     w = wide_events(spark, sf_dir)
     traffic = detect.traffic(w, _windows(), min_volume=20, drop=0.98, surge=1.02)
     latency = detect.latency(w, _windows(), min_requests=20, factor=1.01)
-    open_ = seeds(spark, sf_dir).select(F.lit("open").alias("incident_id"), "env", "service", F.lit(state.LATENCY_STEP).alias("step"), F.lit(state.LATENCY_CODE).alias("error_code"), F.lit(SINCE).cast("timestamp_ntz").alias("started_at")).where("service = 'svc_1'").distinct()
+    open_ = seeds(spark, sf_dir).select(
+        F.lit("open").alias("incident_id"), "env", "service", F.lit(state.LATENCY_STEP).alias("step"), F.lit(state.LATENCY_CODE).alias("error_code"),
+        F.lit(SINCE).cast("timestamp_ntz").alias("started_at")
+    ).where("service = 'svc_1'").distinct()
     found = state.anomaly_incidents(traffic, latency, open_, "prod", F.lit(NOW).cast("timestamp_ntz"))
     return found.select("incident_id", "service", "step", "error_code", "severity", "started_at", F.round("lift", 6).alias("lift"))
 
@@ -525,7 +584,11 @@ def anomaly_incidents(spark, sf_dir):
 @query
 def rebuild_store(spark, sf_dir):
     """A store of one day's incidents, of which some are resolved, replaced by the next day's."""
-    rows = seeds(spark, sf_dir).select(F.concat_ws("|", "service", "step", "error_code").alias("incident_id"), "env", "service", "step", "error_code", F.when(F.col("events") % 2 == 0, "resolved").otherwise("active").alias("status"), F.col("events").alias("severity"), "started_at", F.when(F.col("events") % 3 == 0, F.col("day")).otherwise("").alias("suspect_deploy_id"), "day")
+    rows = seeds(spark, sf_dir).select(
+        F.concat_ws("|", "service", "step", "error_code").alias("incident_id"), "env", "service", "step", "error_code",
+        F.when(F.col("events") % 2 == 0, "resolved").otherwise("active").alias("status"), F.col("events").alias("severity"), "started_at",
+        F.when(F.col("events") % 3 == 0, F.col("day")).otherwise("").alias("suspect_deploy_id"), "day"
+    )
     day = lambda d: rows.where(F.col("day") == d).drop("day")
     return state.replace_unresolved(day("20240110"), day("20240111").withColumn("status", F.lit("active")))
 
@@ -539,14 +602,18 @@ def report_signals(spark, sf_dir):
 @query
 def top_families(spark, sf_dir):
     s = seeds(spark, sf_dir).withColumn("until", F.col("now"))
-    return state.top_families(s, wide_events(spark, sf_dir), 60 * 48).select("incident_id", "step", "error_code", "count", F.col("place").cast("int").alias("place"))
+    return state.top_families(s, wide_events(spark, sf_dir), 60 * 48).select(
+        "incident_id", "step", "error_code", "count", F.col("place").cast("int").alias("place")
+    )
 
 
 @query
 def retention(spark, sf_dir):
     """What is left of incidents and signals at an instant."""
     now = F.lit(UNTIL).cast("timestamp_ntz")
-    old = seeds(spark, sf_dir).select("incident_id", F.when(F.col("events") % 2 == 0, "resolved").otherwise("active").alias("status"), F.col("now").alias("last_seen"))
+    old = seeds(spark, sf_dir).select(
+        "incident_id", F.when(F.col("events") % 2 == 0, "resolved").otherwise("active").alias("status"), F.col("now").alias("last_seen")
+    )
     left = incidents.retained(old, now).select(F.col("incident_id").alias("id"))
     return left.unionByName(state.signals_retained(signals(spark, sf_dir), now).select(F.col("signal_id").alias("id")))
 
@@ -554,13 +621,20 @@ def retention(spark, sf_dir):
 @query
 def instrumentation_warnings(spark, sf_dir):
     w = wide_events(spark, sf_dir)
-    rows = w.select("event_id", F.when(F.col("k") % 4 == 0, "").otherwise(F.col("version")).alias("version"), (F.col("k") % 2 == 0).alias("has_downstream"), (F.col("k") % 3 == 0).alias("has_dependency_signal"), F.when(F.col("k") % 5 == 0, "timestamp_fallback").otherwise("causal").alias("linkage"))
+    rows = w.select(
+        "event_id", F.when(F.col("k") % 4 == 0, "").otherwise(F.col("version")).alias("version"), (F.col("k") % 2 == 0).alias("has_downstream"),
+        (F.col("k") % 3 == 0).alias("has_dependency_signal"), F.when(F.col("k") % 5 == 0, "timestamp_fallback").otherwise("causal").alias("linkage")
+    )
     return incidents.warnings(rows).select("event_id", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query
 def top_insight(spark, sf_dir):
-    rows = seeds(spark, sf_dir).select("incident_id", "started_at", F.col("events").cast("int").alias("severity"), F.when(F.col("events") % 7 == 0, "resolved").otherwise("active").alias("status"), F.when(F.col("users") % 3 == 0, "high").when(F.col("users") % 3 == 1, "medium").otherwise("low").alias("confidence"))
+    rows = seeds(spark, sf_dir).select(
+        "incident_id", "started_at", F.col("events").cast("int").alias("severity"),
+        F.when(F.col("events") % 7 == 0, "resolved").otherwise("active").alias("status"),
+        F.when(F.col("users") % 3 == 0, "high").when(F.col("users") % 3 == 1, "medium").otherwise("low").alias("confidence")
+    )
     return incidents.insight(rows).select("incident_id", "confidence", "confidence_value")
 
 

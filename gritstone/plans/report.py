@@ -56,7 +56,9 @@ def report_hash(report: dict) -> str:
 def fingerprint(report: dict) -> str:
     """Of the sorted distinct kind:id lines of what the report rests on."""
     ids = [("incident", report["incident_ref"]["id"]), ("deploy", (report.get("suspect_change") or {}).get("deploy_id"))]
-    for name, kind, key in (("signals", "signal", "id"), ("alerts", "alert", "signal_id"), ("runtime", "runtime", "signal_id"), ("sample_traces", "trace", "trace_id")):
+    for name, kind, key in (
+        ("signals", "signal", "id"), ("alerts", "alert", "signal_id"), ("runtime", "runtime", "signal_id"), ("sample_traces", "trace", "trace_id")
+    ):
         ids += [(kind, x.get(key)) for x in report.get(name) or ()]
     return "sha256:" + hashlib.sha256("\n".join(sorted({f"{k}:{i}" for k, i in ids if i})).encode()).hexdigest()
 
@@ -74,7 +76,11 @@ def problems(report: dict) -> list[str]:
 
 def build(incident: dict, blast: dict, families: list[dict], generated_at: str, **parts) -> dict:
     """parts: first_failure, suspect_change, sample_traces, signals, alerts, runtime, next_checks, plan_run_id."""
-    report = {"schema_version": VERSION, "incident_ref": {"id": incident["incident_id"], "window": incident["window"]}, "blast_snapshot": {k: blast.get(k) or 0 for k in ("requests", "users", "services")} | {"top_error_families": families[:5] or None}, "confidence": incident["confidence"], "generated_at": generated_at} | {k: v for k, v in parts.items() if v}
+    report = {
+        "schema_version": VERSION, "incident_ref": {"id": incident["incident_id"], "window": incident["window"]},
+        "blast_snapshot": {k: blast.get(k) or 0 for k in ("requests", "users", "services")} | {"top_error_families": families[:5] or None},
+        "confidence": incident["confidence"], "generated_at": generated_at
+    } | {k: v for k, v in parts.items() if v}
     report["report_hash"] = report_hash(report)
     report["evidence_fingerprint"] = fingerprint(report)
     if bad := problems(report):
@@ -82,11 +88,16 @@ def build(incident: dict, blast: dict, families: list[dict], generated_at: str,
     return report
 
 
-def from_frames(incident: DataFrame, blast: DataFrame, families: DataFrame, samples: DataFrame, story: DataFrame, signals: DataFrame, alerts: DataFrame, change: DataFrame, generated_at: str, window: str = "15m") -> dict:
+def from_frames(
+    incident: DataFrame, blast: DataFrame, families: DataFrame, samples: DataFrame, story: DataFrame, signals: DataFrame, alerts: DataFrame,
+    change: DataFrame, generated_at: str, window: str = "15m"
+) -> dict:
     """The report of one incident from DataFrames, each of at most a few hundred rows.
 
-    incident: one row (incident_id, service, cause, confidence, and downstream_service and warnings where known). blast: requests, users, services. families: of state.top_families(). samples: samples, of
-    state.stable_samples(). story: of trace.trace_stories(), the first sample's. signals: of state.report_signals(). alerts: signal_id, severity. change: of correlate.suspect_change(). Empty frames leave their part out.
+    incident: one row (incident_id, service, cause, confidence, and downstream_service and warnings where known). blast: requests, users, services.
+    families: of state.top_families(). samples: samples, of
+    state.stable_samples(). story: of trace.trace_stories(), the first sample's. signals: of state.report_signals(). alerts: signal_id, severity.
+    change: of correlate.suspect_change(). Empty frames leave their part out.
     """
     one = lambda df: (rows := df.limit(1).collect()) and rows[0].asDict(True) or {}
     i, b, told, moved, held = one(incident), one(blast), one(story), one(change), one(samples).get("samples") or []
@@ -96,7 +107,10 @@ def from_frames(incident: DataFrame, blast: DataFrame, families: DataFrame, samp
     if told:
         wrong = next((s for s in told["path"] if s["status"] == "error"), {})
         anchor = told.get("anchor") or {}
-        first = {"origin_service": told["service"], "origin_step": anchor.get("step") or "", "first_failing_step": wrong.get("name"), "error_code": anchor.get("error_code"), "sample_trace_id": told["trace_id"]}
+        first = {
+            "origin_service": told["service"], "origin_step": anchor.get("step") or "", "first_failing_step": wrong.get("name"),
+            "error_code": anchor.get("error_code"), "sample_trace_id": told["trace_id"]
+        }
         first = {k: v for k, v in first.items() if v or k in ("origin_service", "origin_step")}
     last = told["path"][-1]["name"] if told and told["path"] else ""
     summary = f"{first['origin_service']}/{first['origin_step']} → {last}" if last else ""
@@ -116,7 +130,10 @@ def from_frames(incident: DataFrame, blast: DataFrame, families: DataFrame, samp
 def markdown(report: dict) -> str:
     """The report for a person on call."""
     b = report["blast_snapshot"]
-    lines = [f"# Incident {report['incident_ref']['id']}", "", f"Window {report['incident_ref']['window']}, confidence {report['confidence']}.", "", f"{b['requests']} requests, {b['users']} users, {b['services']} services."]
+    lines = [
+        f"# Incident {report['incident_ref']['id']}", "", f"Window {report['incident_ref']['window']}, confidence {report['confidence']}.", "",
+        f"{b['requests']} requests, {b['users']} users, {b['services']} services."
+    ]
     lines += [f"- {f['service']} / {f['step']} / {f['error_code']}: {f['count']}" for f in b["top_error_families"] or ()]
     if change := report.get("suspect_change"):
         lines += ["", f"Suspect change: {change['deploy_id']} of {change['service']}"]
@@ -125,12 +142,21 @@ def markdown(report: dict) -> str:
 
 
 def slack_blocks(report: dict) -> list[dict]:
-    return [{"type": "header", "text": {"type": "plain_text", "text": f"Incident {report['incident_ref']['id']}"}}, {"type": "section", "text": {"type": "mrkdwn", "text": markdown(report)}}]
+    return [
+        {"type": "header", "text": {"type": "plain_text", "text": f"Incident {report['incident_ref']['id']}"}},
+        {"type": "section", "text": {"type": "mrkdwn", "text": markdown(report)}}
+    ]
 
 
 def pagerduty_event(report: dict, key: str) -> dict:
     b = report["blast_snapshot"]
-    return {"routing_key": key, "event_action": "trigger", "dedup_key": report["incident_ref"]["id"], "payload": {"summary": f"{report['incident_ref']['id']}: {b['requests']} requests, {b['users']} users", "severity": "critical" if report["confidence"] == "high" else "warning", "source": "gritstone", "custom_details": report}}
+    return {
+        "routing_key": key, "event_action": "trigger", "dedup_key": report["incident_ref"]["id"],
+        "payload": {
+            "summary": f"{report['incident_ref']['id']}: {b['requests']} requests, {b['users']} users",
+            "severity": "critical" if report["confidence"] == "high" else "warning", "source": "gritstone", "custom_details": report
+        }
+    }
 
 
 def next_checks(cause: str, service: str, downstream: str | None, deploy_id: str | None, warnings: list[str]) -> list[dict]:
@@ -142,5 +168,8 @@ def next_checks(cause: str, service: str, downstream: str | None, deploy_id: str
         "app": ("failing-step", f"Read the failing step of {service} in a sample trace."),
     }
     found = [prompts.get(cause, ("widen", f"Widen the window around {service}; nothing explains the failures yet."))]
-    gaps = {"missing_service_version": "Record the version of each service.", "missing_dependency_signal": "Send dependency signals for called services.", "partial_trace": "Pass the parent span on, so that traces link up."}
+    gaps = {
+        "missing_service_version": "Record the version of each service.", "missing_dependency_signal": "Send dependency signals for called services.",
+        "partial_trace": "Pass the parent span on, so that traces link up."
+    }
     return [{"id": i, "prompt": p} for i, p in [*found, *[(w, gaps[w]) for w in sorted(set(warnings)) if w in gaps]]]

@@ -25,7 +25,9 @@ EVENT = _struct(
     anchor=_struct(step=S, error_code=S, kind=S), steps=T.ArrayType(STEP), logs=T.ArrayType(LOG), fields=S, errors=T.ArrayType(_struct(code=S, reason=S)),
 )
 
-SIGNAL = _struct(signal_id=S, type=S, source=S, service=S, env=S, severity=S, reason=S, message=S, resource=S, metadata=S, timestamp=TS, received_at=TS, extra=S)
+SIGNAL = _struct(
+    signal_id=S, type=S, source=S, service=S, env=S, severity=S, reason=S, message=S, resource=S, metadata=S, timestamp=TS, received_at=TS, extra=S
+)
 SIGNAL_TYPES = ("deploy", "runtime", "healthcheck", "dependency", "config", "alert")
 SEVERITIES = ("info", "warning", "critical")
 

@@ -12,7 +12,8 @@ from ..schema import SEVERITIES, SIGNAL_TYPES
 def normalize(payloads: DataFrame, now, own_name: str = "engine") -> DataFrame:
     """payloads: body (JSON text). Adds provider, the signal's columns, and error: invalid_json, unsupported_alert, missing_fields or null.
 
-    own_name: what the native form calls its source where it names none. A source of another name is the native form; then a Grafana body, known by its rule ids, organisation or links; the native form again; Alertmanager's list with a receiver or
+    own_name: what the native form calls its source where it names none. A source of another name is the native form; then a Grafana body, known by
+    its rule ids, organisation or links; the native form again; Alertmanager's list with a receiver or
     common labels; PagerDuty's messages or event. Each field is the first of its places that is not blank.
     """
     at = lambda path: F.get_json_object("body", path)
@@ -20,7 +21,10 @@ def normalize(payloads: DataFrame, now, own_name: str = "engine") -> DataFrame:
     label, note, alert = (lambda n: at(f"$.alerts[0].labels.{n}")), (lambda n: at(f"$.alerts[0].annotations.{n}")), (lambda n: at(f"$.alerts[0].{n}"))
     data = lambda n: F.coalesce(at(f"$.messages[0].event.data.{n}"), at(f"$.incident.{n}"))
     own_source = first_text(at("$.source"))
-    folder = has("orgId", "orgID", "alerts[0].dashboardURL", "alerts[0].panelURL", "alerts[0].ruleURL", "alerts[0].labels.grafana_folder", "alerts[0].annotations.__dashboardUid__", "alerts[0].annotations.__panelId__")
+    folder = has(
+        "orgId", "orgID", "alerts[0].dashboardURL", "alerts[0].panelURL", "alerts[0].ruleURL", "alerts[0].labels.grafana_folder",
+        "alerts[0].annotations.__dashboardUid__", "alerts[0].annotations.__panelId__"
+    )
     provider = (
         F.when((own_source != "") & (own_source != own_name), "native")
         .when(has("ruleId", "ruleUID", "evalMatches") | folder, "grafana")
@@ -60,4 +64,6 @@ def signal_error(now) -> Column:
     for name in ("type", "source", "service", "env", "severity", "reason"):
         blank = blank | (F.coalesce(F.col(name), F.lit("")) == "")
     late = F.unix_micros(F.col("timestamp").cast("timestamp")) > F.unix_micros(F.lit(now).cast("timestamp")) + 5 * 60 * 1_000_000
-    return F.when(blank | F.col("timestamp").isNull(), "missing_field").when(~F.col("type").isin(*SIGNAL_TYPES) | ~F.col("severity").isin(*SEVERITIES), "invalid_enum").when(late, "future_timestamp")
+    return F.when(blank | F.col("timestamp").isNull(), "missing_field").when(
+        ~F.col("type").isin(*SIGNAL_TYPES) | ~F.col("severity").isin(*SEVERITIES), "invalid_enum"
+    ).when(late, "future_timestamp")

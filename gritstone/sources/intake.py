@@ -19,7 +19,9 @@ def parse(lines: DataFrame) -> DataFrame:
     """value and event (parsed; null where malformed) and reason (null where valid) of each line that is not blank."""
     names = [c for c in lines.columns if c not in ("event", "reason")]
     # In brackets, since what follows a whole value is passed over. A row for a row: what is parsed here isn't parsed again for every rule.
-    made = F.struct(F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("event"), F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).alias("list"))
+    made = F.struct(
+        F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("event"), F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).alias("list")
+    )
     rows = lines.where(F.trim("value") != "").select(*names, F.inline(F.array(made)))
     item = lambda k: F.try_variant_get("list", f"$[{k}]", "variant")
     rows = rows.select(*names, "event", F.inline(F.array(F.struct(F.when(item(1).isNull(), item(0)).alias("json")))))
@@ -43,7 +45,9 @@ def envelope(parsed: DataFrame, known_ids: DataFrame | None = None) -> DataFrame
         rows = rows.withColumn("known", F.lit(False))
     fresh = F.coalesce("first", F.lit(False)) & ~F.coalesce("known", F.lit(False))
     rejected = F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("line", "reason"))))
-    return rows.groupBy("batch").agg(F.count_if(fresh).alias("accepted"), F.count_if(F.col("event_id").isNotNull() & ~fresh).alias("duplicate"), rejected.alias("rejected"))
+    return rows.groupBy("batch").agg(
+        F.count_if(fresh).alias("accepted"), F.count_if(F.col("event_id").isNotNull() & ~fresh).alias("duplicate"), rejected.alias("rejected")
+    )
 
 
 def oversized(lines: DataFrame) -> DataFrame:
@@ -53,7 +57,8 @@ def oversized(lines: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, folder: str, since: datetime | None = None, slack: timedelta = timedelta(minutes=5)) -> DataFrame:
-    """Lines of the event log's files events-*.jsonl, without those last written more than the slack before `since` and without lines of over a MiB; ordered by `file` and `line_id`."""
+    """Lines of the event log's files events-*.jsonl, without those last written more than the slack before `since` and without lines of over a MiB;
+    ordered by `file` and `line_id`."""
     reader = spark.read.option("pathGlobFilter", "events-*.jsonl")
     reader = reader.option("modifiedAfter", (since - slack).strftime("%Y-%m-%dT%H:%M:%S")) if since else reader
     rows = reader.text(folder).select("value", "_metadata.file_modification_time", "_metadata.file_name")
@@ -63,7 +68,9 @@ def read_log(spark: SparkSession, folder: str, since: datetime | None = None, sl
 def replay(lines: DataFrame, since) -> tuple[DataFrame, DataFrame]:
     """The log's events that ended since then, the first of each id; and the skipped lines by reason: malformed_json, schema_invalid, stale."""
     rows = parse(lines)
-    reason = F.when(F.col("reason") == "invalid_json", "malformed_json").when(F.col("reason").isNotNull(), "schema_invalid").when(F.col("event.ts_end") < since, "stale")
+    reason = F.when(
+        F.col("reason") == "invalid_json", "malformed_json"
+    ).when(F.col("reason").isNotNull(), "schema_invalid").when(F.col("event.ts_end") < since, "stale")
     rows = rows.withColumn("skip", reason)
     events = rows.where("skip is null").select("event.*", F.struct("file_modification_time", "file_name", "line_id").alias("seq"))
     return dedup_first(events), rows.where("skip is not null").groupBy("skip").agg(F.count(F.lit(1)).alias("lines"))
@@ -79,4 +86,6 @@ def legacy_entries(lines: DataFrame, schema) -> DataFrame:
     entry = F.from_json("value", f"logged_at timestamp, event {schema.simpleString()}")
     rows = lines.withColumn("entry", entry).withColumn("bare", F.from_json("value", schema))
     event = F.when(F.col("entry.event").isNotNull(), F.col("entry.event")).otherwise(F.col("bare"))
-    return rows.select(event.alias("event"), F.coalesce("entry.logged_at", event.getField("timestamp").cast("timestamp")).alias("logged_at")).where("event is not null")
+    return rows.select(
+        event.alias("event"), F.coalesce("entry.logged_at", event.getField("timestamp").cast("timestamp")).alias("logged_at")
+    ).where("event is not null")

@@ -18,7 +18,8 @@ EVENT_V1 = (
 
 
 def problems(event: Column, without_user: bool = False) -> Column:
-    """The sorted names of the fields that are missing or wrong; empty for a valid event, and null for a null one. without_user: events that came as spans may lack a user."""
+    """The sorted names of the fields that are missing or wrong; empty for a valid event, and null for a null one. without_user: events that came as
+    spans may lack a user."""
     at = lambda path: _at(event, path)
     blank = lambda path: F.coalesce(at(path), F.lit("")) == ""
     says = lambda test, name: F.when(F.coalesce(test, F.lit(False)), name)
@@ -41,7 +42,8 @@ def _at(event: Column, path: str) -> Column:
 
 
 def search(entries: DataFrame, trace_id=None, user_id=None, service=None, error_code=None, since=None, until=None, limit: int = 50) -> DataFrame:
-    """entries: event, of intake.legacy_entries(). Those that fit all that is asked for, newest first; 50 where no limit is given, and never over 200."""
+    """entries: event, of intake.legacy_entries(). Those that fit all that is asked for, newest first; 50 where no limit is given, and never over
+    200."""
     keep = F.lit(True)
     for path, value in (("request.trace_id", trace_id), ("user.id", user_id), ("system.service", service), ("error.code", error_code)):
         if value:
@@ -76,7 +78,8 @@ def time_of(cursor: str) -> tuple[datetime | None, str]:
 
 
 def expired_logs(names: DataFrame, before: datetime, active: str | None = None) -> DataFrame:
-    """name of the log files events-YYYYMMDD-HHMMSS[-N].jsonl whose time is before that; the active file and names of another form are never among them."""
+    """name of the log files events-YYYYMMDD-HHMMSS[-N].jsonl whose time is before that; the active file and names of another form are never among
+    them."""
     stamp = F.regexp_extract("name", r"^events-(\d{8}-\d{6})(-[^-]*)?\.jsonl$", 1)
     old = F.try_to_timestamp(stamp, F.lit("yyyyMMdd-HHmmss")) < F.lit(before)
     return names.where(F.coalesce(old, F.lit(False)) & (F.col("name") != F.lit(active or ""))).select("name")

@@ -26,11 +26,15 @@ def _text(attributes: Column | str, *names: str) -> Column:
 
 
 def spans_to_events(exports: DataFrame, now=None, step_attribute: str = "event.step", code_attribute: str = "event.error_code") -> DataFrame:
-    """exports: body, a JSON export request. A row for each span: the event's columns, and drop, the reason that it makes none (missing_service, missing_trace_id, invalid_span, unsupported_kind: it isn't of HTTP; future_timestamp) or null.
+    """exports: body, a JSON export request. A row for each span: the event's columns, and drop, the reason that it makes none (missing_service,
+    missing_trace_id, invalid_span, unsupported_kind: it isn't of HTTP; future_timestamp) or null.
 
-    step_attribute, code_attribute: attributes by which a span names its step and error code itself. Malformed bodies and those without spans make no row. A span without start or end has null times and length.
+    step_attribute, code_attribute: attributes by which a span names its step and error code itself. Malformed bodies and those without spans make no
+    row. A span without start or end has null times and length.
     """
-    rows = exports.select(F.from_json("body", EXPORT).alias("x")).select(F.explode("x.resourceSpans").alias("r")).select("r.resource.attributes", F.explode("r.scopeSpans").alias("s")).select("attributes", F.explode("s.spans").alias("s"))
+    rows = exports.select(F.from_json("body", EXPORT).alias("x")).select(F.explode("x.resourceSpans").alias("r")).select(
+        "r.resource.attributes", F.explode("r.scopeSpans").alias("s")
+    ).select("attributes", F.explode("s.spans").alias("s"))
     rows = rows.select(F.col("attributes").alias("resource"), "s.*")
     zero = lambda c: F.coalesce(F.col(c), F.lit("")).rlike("^0*$")
     micros = lambda c: F.expr(f"cast({c} as bigint) div 1000")  # noqa: E731  nanoseconds are beyond a double
@@ -57,11 +61,15 @@ def spans_to_events(exports: DataFrame, now=None, step_attribute: str = "event.s
 
     service = _text("resource", "service.name")
     start_at = F.timestamp_micros(micros("startTimeUnixNano"))
-    drop = F.when(service == "", "missing_service").when(zero("traceId"), "missing_trace_id").when(zero("spanId"), "invalid_span").when(~F.col("is_http"), "unsupported_kind")
+    drop = F.when(service == "", "missing_service").when(zero("traceId"), "missing_trace_id").when(zero("spanId"), "invalid_span").when(
+        ~F.col("is_http"), "unsupported_kind"
+    )
     if now is not None:
         drop = F.coalesce(drop, F.when(F.unix_micros(start_at) > F.unix_micros(F.lit(now).cast("timestamp")) + 300_000_000, "future_timestamp"))
     nanos = lambda c: F.col(c).cast("decimal(20,0)")
-    length = F.when(nanos("endTimeUnixNano") < nanos("startTimeUnixNano"), 0).otherwise(F.floor((nanos("endTimeUnixNano") - nanos("startTimeUnixNano")) / 1_000_000)).cast("bigint")
+    length = F.when(nanos("endTimeUnixNano") < nanos("startTimeUnixNano"), 0).otherwise(
+        F.floor((nanos("endTimeUnixNano") - nanos("startTimeUnixNano")) / 1_000_000)
+    ).cast("bigint")
     end = F.greatest(micros("startTimeUnixNano"), micros("endTimeUnixNano"))
     peer = host_of(_text("attributes", "peer.service", "server.address", "net.peer.name"))
     downstream = F.struct(peer.alias("service"), _text("attributes", "http.route", "url.path", "http.target").alias("endpoint"), F.lit("http").alias("kind"))
@@ -72,7 +80,11 @@ def spans_to_events(exports: DataFrame, now=None, step_attribute: str = "event.s
         F.struct(F.col("status_code").alias("status"), own(_text("attributes", "http.request.method")).alias("method"), own(_text("attributes", "http.route")).alias("route")).alias("http"),
         F.struct(F.coalesce("name", F.lit("")).alias("span_name"), F.coalesce(F.get(F.array(*[F.lit(k) for k in KINDS]), F.coalesce("kind", F.lit(0))), F.col("kind").cast("string")).alias("span_kind")).alias("otel"),
     ))
-    log = F.struct(F.lit(0).cast("bigint").alias("ts_offset_ms"), F.lit("error").alias("level"), F.when(F.col("reason") == "", F.col("code")).otherwise(F.col("reason")).alias("msg"), F.to_json(F.struct(F.col("code").alias("error_code"))).alias("fields"))
+    log = F.struct(
+        F.lit(0).cast("bigint").alias("ts_offset_ms"), F.lit("error").alias("level"),
+        F.when(F.col("reason") == "", F.col("code")).otherwise(F.col("reason")).alias("msg"),
+        F.to_json(F.struct(F.col("code").alias("error_code"))).alias("fields")
+    )
     return rows.select(
         event_uuid(F.lower("traceId"), F.lower("spanId")).alias("event_id"), start_at.alias("ts_start"), F.timestamp_micros(end).alias("ts_end"), length.alias("duration_ms"), service.alias("service"),
         F.coalesce(own(_text("resource", "deployment.environment.name", "deployment.environment")), F.lit("unknown")).alias("env"), _text("resource", "service.version").alias("version"),

@@ -25,7 +25,9 @@ def ingest(lines: DataFrame, out: str, refused: str, checkpoint: str, late: str
     valid, bad = split(parse(lines))
     valid = valid.withWatermark("ts_end", late).dropDuplicatesWithinWatermark(["event_id"])
     trigger = {"availableNow": True} if once else {"processingTime": "5 seconds"}
-    start = lambda df, path, name: df.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{name}").trigger(**trigger).start(path)
+    start = lambda df, path, name: df.writeStream.format("parquet").option(
+        "checkpointLocation", f"{checkpoint}/{name}"
+    ).trigger(**trigger).start(path)
     return [start(valid, out, "events"), start(bad, refused, "refused")]
 
 
@@ -37,11 +39,17 @@ def minute_counters(events: DataFrame, late: str = "24 hours") -> DataFrame:
 
 def service_counters(events: DataFrame, late: str = "24 hours") -> DataFrame:
     windows = events.withWatermark("ts_start", late).groupBy(F.window("ts_start", "1 minute"), "service")
-    return windows.agg(F.count(F.lit(1)).alias("total"), F.count_if(failed()).alias("errors")).select(F.col("window.start").alias("minute"), "service", "total", "errors")
+    return windows.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(failed()).alias("errors")
+    ).select(F.col("window.start").alias("minute"), "service", "total", "errors")
 
 
-def detector(events: DataFrame, history: Callable[[SparkSession], DataFrame], report: Callable[[DataFrame, datetime], None], checkpoint: str, now: Callable[[], datetime], length: timedelta = timedelta(minutes=10), every: str = "30 seconds", once: bool = False, **thresholds) -> StreamingQuery:
-    """At each trigger, error spikes over the last four windows go to `report`. history: reads the stored events, of which the windows' bounds choose the files; the stream only says that there are new ones."""
+def detector(
+    events: DataFrame, history: Callable[[SparkSession], DataFrame], report: Callable[[DataFrame, datetime], None], checkpoint: str,
+    now: Callable[[], datetime], length: timedelta = timedelta(minutes=10), every: str = "30 seconds", once: bool = False, **thresholds
+) -> StreamingQuery:
+    """At each trigger, error spikes over the last four windows go to `report`. history: reads the stored events, of which the windows' bounds choose
+    the files; the stream only says that there are new ones."""
 
     def tick(batch: DataFrame, _: int) -> None:
         at = now()
@@ -53,7 +61,8 @@ def detector(events: DataFrame, history: Callable[[SparkSession], DataFrame], re
 
 
 def notify(transitions: DataFrame, send: Callable[[list[dict]], None], at_once: int = 1000) -> None:
-    """Hands all opened and resolved incidents to a sender, in lists of at most so many; a list that it fails on is left out and the others still go. Rows come to the driver part by part."""
+    """Hands all opened and resolved incidents to a sender, in lists of at most so many; a list that it fails on is left out and the others still go.
+    Rows come to the driver part by part."""
     part: list[dict] = []
 
     def hand(rows: list[dict]) -> None:

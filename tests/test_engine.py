@@ -22,7 +22,11 @@ def frame(spark, rows):
 
 
 def as_dicts(*rows):
-    return [{"event_id": f"e{r[13]}", "ts_start": r[1], "service": r[4], "parent_span_id": r[8], "status": r[9], "spans": [f"s{r[13]}"], "seq": r[13]} for r in rows]
+    return [
+        {
+            "event_id": f"e{r[13]}", "ts_start": r[1], "service": r[4], "parent_span_id": r[8], "status": r[9], "spans": [f"s{r[13]}"], "seq": r[13]
+        } for r in rows
+    ]
 
 
 def test_causal_order():
@@ -60,7 +64,10 @@ def test_story_window(spark):
     step = lambda name, a, b, status="ok", call=None: (name, "", a, b - a, status, call)
     steps = [step("prepare", 0, 5), step("pay", 10, 15, "error", ("db", "/q")), step("pay", 20, 25, "error", ("db", "/q")), step("cleanup", 30, 35)]
     logs = [(4, "warn", "a"), (24, "error", "b"), (31, "warn", "c"), (12, "info", "d")]
-    rows = [("e", "error", ("pay", "X"), steps, logs), ("n", "ok", None, [step("b", 9, 10), step("a", 1, 2)], logs), ("o", "error", ("gone", "X"), steps[::-1], logs), ("q", "suppressed", None, steps, logs), ("r", "ok", None, None, None)]
+    rows = [
+        ("e", "error", ("pay", "X"), steps, logs), ("n", "ok", None, [step("b", 9, 10), step("a", 1, 2)], logs),
+        ("o", "error", ("gone", "X"), steps[::-1], logs), ("q", "suppressed", None, steps, logs), ("r", "ok", None, None, None)
+    ]
     e, n, o, q, r = trace.stories(spark.createDataFrame(rows, STORY)).orderBy("event_id").collect()
     assert [s.name for s in e.path] == ["prepare", "pay", "pay"] and [x.ts_offset_ms for x in e.loud] == [4, 24]
     assert [tuple(c) for c in e.downstream] == [("pay", "db", "/q")] * 2  # one for each step
@@ -71,9 +78,14 @@ def test_story_window(spark):
 
 def test_story_of_a_trace(spark):
     base = frame(spark, [event(1, 0), event(2, 10, parent="s1", status="error", code="X", step="pay")])
-    step = F.struct(F.lit("pay").alias("name"), F.concat(F.lit("s"), F.substring("event_id", 2, 1)).alias("span_id"), F.lit(0).alias("start_ms"), F.lit(5).alias("duration_ms"), F.lit("error").alias("status"), F.lit(None).cast("struct<service:string,endpoint:string>").alias("downstream"))
+    step = F.struct(
+        F.lit("pay").alias("name"), F.concat(F.lit("s"), F.substring("event_id", 2, 1)).alias("span_id"), F.lit(0).alias("start_ms"),
+        F.lit(5).alias("duration_ms"), F.lit("error").alias("status"), F.lit(None).cast("struct<service:string,endpoint:string>").alias("downstream")
+    )
     steps = F.array(step)
-    rows = base.withColumn("steps", steps).withColumn("logs", F.lit(None).cast("array<struct<ts_offset_ms:bigint,level:string,msg:string>>")).withColumn("anchor", F.struct("step", "error_code"))
+    rows = base.withColumn("steps", steps).withColumn(
+        "logs", F.lit(None).cast("array<struct<ts_offset_ms:bigint,level:string,msg:string>>")
+    ).withColumn("anchor", F.struct("step", "error_code"))
     got = trace.trace_stories(rows).collect()
     assert [(r.event_id, r.linkage) for r in got] == [("e2", "causal")]
 
@@ -92,7 +104,11 @@ def test_nearest_rank_rule(n, percent):
 
 
 def test_error_rows_and_pages(spark):
-    rows = [event(1, 1, status="error", step="charge", code="PMT_502", user="u1", trace_id="trace-a"), event(2, 0, status="error", step="charge", code="PMT_502", user="u2", trace_id="trace-b"), event(3, 2, status="error", step="reserve", code="INV_409", trace_id="trace-c"), event(4, 2)]
+    rows = [
+        event(1, 1, status="error", step="charge", code="PMT_502", user="u1", trace_id="trace-a"),
+        event(2, 0, status="error", step="charge", code="PMT_502", user="u2", trace_id="trace-b"),
+        event(3, 2, status="error", step="reserve", code="INV_409", trace_id="trace-c"), event(4, 2)
+    ]
     rolled = reads.error_rollup(frame(spark, rows).where(filters.rollup_filter()))
     first = reads.page(rolled, reads.ERROR_ORDER, 1).collect()[0]
     assert (first.events, first.users, first.samples, first._more) == (2, 2, "trace-a,trace-b", True)
@@ -101,7 +117,10 @@ def test_error_rows_and_pages(spark):
 
 
 def test_blast(spark):
-    rows = [event(1, 0, status="error", step="charge", code="PMT_502", user="u1", trace_id="a"), event(2, 1, service="cart", trace_id="a", user="u1"), event(3, 2, service="payment", status="error", step="charge", code="PMT_502", user="u2", trace_id="b")]
+    rows = [
+        event(1, 0, status="error", step="charge", code="PMT_502", user="u1", trace_id="a"), event(2, 1, service="cart", trace_id="a", user="u1"),
+        event(3, 2, service="payment", status="error", step="charge", code="PMT_502", user="u2", trace_id="b")
+    ]
     df = frame(spark, rows)
     one = reads.blast_radius(df, df.where(filters.blast_filter("PMT_502", "checkout", "charge"))).collect()[0]
     assert (one.requests, one.users, one.services, one.top_services) == (1, 1, 2, "cart:1,checkout:1")
@@ -155,12 +174,18 @@ def test_boundary_is_in_two_windows(spark):
 def test_stable_id(spark):
     at = datetime(2024, 1, 1, 12, 3)
     rows = [("prod", "s", "s:a:C", at + timedelta(seconds=s)) for s in (0, 90, 180)]
-    ids = [r[0] for r in spark.createDataFrame(rows, "env string, service string, family string, started_at timestamp_ntz").select(incidents.incident_id()).collect()]
+    ids = [
+        r[0] for r in spark.createDataFrame(
+            rows, "env string, service string, family string, started_at timestamp_ntz"
+        ).select(incidents.incident_id()).collect()
+    ]
     assert ids[0] == ids[1] != ids[2] and len(ids[0]) == 20
 
 
 def test_severity(spark):
-    got = spark.createDataFrame([(12, 2, 4.0), (100, 5, 20.0), (0, 0, 0.0)], "c bigint, s bigint, l double").select(incidents.severity(F.col("c"), F.col("s"), F.col("l"))).collect()
+    got = spark.createDataFrame(
+        [(12, 2, 4.0), (100, 5, 20.0), (0, 0, 0.0)], "c bigint, s bigint, l double"
+    ).select(incidents.severity(F.col("c"), F.col("s"), F.col("l"))).collect()
     assert [r[0] for r in got] == [7, 10, 1]
 
 
@@ -172,7 +197,10 @@ def test_tiebreak(spark, dependency, deploy, winner):
 
 
 def test_causes(spark):
-    rows = [(T0, None, False, False, 1, "s"), (None, None, True, False, 1, "s"), (None, T0, False, False, 1, "s"), (None, None, False, False, 1, "s"), (None, None, False, False, 0, ""), (None, None, False, True, 1, "s")]
+    rows = [
+        (T0, None, False, False, 1, "s"), (None, None, True, False, 1, "s"), (None, T0, False, False, 1, "s"), (None, None, False, False, 1, "s"),
+        (None, None, False, False, 0, ""), (None, None, False, True, 1, "s")
+    ]
     df = spark.createDataFrame([(*r, T0) for r in rows], "a timestamp_ntz, b timestamp_ntz, d boolean, r boolean, e int, s string, o timestamp_ntz")
     got = [r[0] for r in df.select(incidents.cause("a", "b", "d", "r", "e", "s", "o")).collect()]
     assert got == ["dependency/high", "dependency/medium", "deploy/high", "app/medium", "unknown/low", "runtime/high"]
@@ -180,20 +208,41 @@ def test_causes(spark):
 
 def test_evidence_cap_keeps_runtime(spark):
     rows = [("i", "runtime" if k % 2 else "event", f"t{k}", T0 + timedelta(seconds=k), "", "", "", k) for k in range(30)]
-    got = incidents.cap_evidence(spark.createDataFrame(rows, "incident_id string, kind string, title string, occurred_at timestamp_ntz, signal_id string, deploy_id string, trace_id string, seq bigint"), 12).collect()
+    got = incidents.cap_evidence(
+        spark.createDataFrame(
+            rows,
+            "incident_id string, kind string, title string, occurred_at timestamp_ntz, signal_id string, deploy_id string, trace_id string, seq bigint"
+        ),
+        12
+    ).collect()
     assert [r.kind for r in got].count("runtime") == 15 and len(got) == 15
 
 
 def test_lifecycle(spark):
-    old = spark.createDataFrame([("a", "active", T0, T0, "d"), ("b", "active", T0, T0, None), ("c", "active", T0, T0 - timedelta(minutes=3), None), ("d", "recovering", T0, T0 - timedelta(minutes=1), None), ("e", "recovering", T0, T0, None)], "incident_id string, status string, started_at timestamp_ntz, last_seen timestamp_ntz, suspect_deploy_id string")
+    old = spark.createDataFrame(
+        [
+            ("a", "active", T0, T0, "d"), ("b", "active", T0, T0, None), ("c", "active", T0, T0 - timedelta(minutes=3), None),
+            ("d", "recovering", T0, T0 - timedelta(minutes=1), None), ("e", "recovering", T0, T0, None)
+        ],
+        "incident_id string, status string, started_at timestamp_ntz, last_seen timestamp_ntz, suspect_deploy_id string"
+    )
     now = T0 + timedelta(minutes=1)
-    seen = spark.createDataFrame([("a", now, now, "x"), ("n", now, now, None)], "incident_id string, started_at timestamp_ntz, last_seen timestamp_ntz, suspect_deploy_id string")
+    seen = spark.createDataFrame(
+        [("a", now, now, "x"), ("n", now, now, None)],
+        "incident_id string, started_at timestamp_ntz, last_seen timestamp_ntz, suspect_deploy_id string"
+    )
     state = incidents.lifecycle(old, seen, F.lit(now))
     got = {r.incident_id: r for r in state.collect()}
-    assert {k: (r.status, r.transition) for k, r in got.items()} == {"a": ("active", None), "b": ("recovering", None), "c": ("recovering", None), "d": ("resolved", "resolved"), "e": ("recovering", None), "n": ("active", "opened")}
+    assert {k: (r.status, r.transition) for k, r in got.items()} == {
+        "a": ("active", None), "b": ("recovering", None), "c": ("recovering", None), "d": ("resolved", "resolved"), "e": ("recovering", None),
+        "n": ("active", "opened")
+    }
     assert got["a"].started_at == T0 and got["a"].suspect_deploy_id == "x"
     state = incidents.lifecycle(state, seen.where("incident_id = 'c'"), F.lit(T0 + timedelta(minutes=3)))
-    assert {r.incident_id: (r.status, r.transition) for r in state.collect()} == {"a": ("recovering", None), "b": ("resolved", "resolved"), "c": ("resolved", "resolved"), "d": ("resolved", None), "e": ("resolved", "resolved"), "n": ("recovering", None)}
+    assert {r.incident_id: (r.status, r.transition) for r in state.collect()} == {
+        "a": ("recovering", None), "b": ("resolved", "resolved"), "c": ("resolved", "resolved"), "d": ("resolved", None),
+        "e": ("resolved", "resolved"), "n": ("recovering", None)
+    }
     back = spark.createDataFrame([("d", now, now, None)], seen.schema)
     assert incidents.lifecycle(state, back, F.lit(now)).where("incident_id = 'd'").first().transition == "opened"
 
@@ -210,9 +259,18 @@ def test_deploys(spark):
 
 
 def test_alerts(spark):
-    i = spark.createDataFrame([("i1", "prod", "s", "a", "C", T0, T0 + timedelta(minutes=1))], "incident_id string, env string, service string, step string, error_code string, started_at timestamp_ntz, now timestamp_ntz")
-    rows = [("x", "info", "s", "prod", T0, "i1", "OTHER", ""), ("y", "info", "s", "prod", T0, "", "C", ""), ("z", "info", "s", "prod", T0 + timedelta(hours=2), "", "C", ""), ("w", "info", "s", "prod", T0, "other", "C", "")]
-    a = spark.createDataFrame(rows, "signal_id string, severity string, service string, env string, timestamp timestamp_ntz, alert_incident_id string, alert_code string, alert_step string")
+    i = spark.createDataFrame(
+        [("i1", "prod", "s", "a", "C", T0, T0 + timedelta(minutes=1))],
+        "incident_id string, env string, service string, step string, error_code string, started_at timestamp_ntz, now timestamp_ntz"
+    )
+    rows = [
+        ("x", "info", "s", "prod", T0, "i1", "OTHER", ""), ("y", "info", "s", "prod", T0, "", "C", ""),
+        ("z", "info", "s", "prod", T0 + timedelta(hours=2), "", "C", ""), ("w", "info", "s", "prod", T0, "other", "C", "")
+    ]
+    a = spark.createDataFrame(
+        rows,
+        "signal_id string, severity string, service string, env string, timestamp timestamp_ntz, alert_incident_id string, alert_code string, alert_step string"
+    )
     assert sorted((r.signal_id, r.strategy) for r in correlate.alert_match(i, a).collect()) == [("x", "incident_id"), ("y", "family")]
 
 
@@ -236,20 +294,29 @@ def test_sampler_and_dedup(spark):
 def test_samples_stay(spark):
     old = spark.createDataFrame([("a", ["t9"]), ("b", []), ("c", None), ("d", list("123456"))], "incident_id string, samples array<string>")
     rows = [(i, f"e{k}", t, T0 + timedelta(seconds=k)) for i in "abd" for k, t in enumerate(("t1", "t2", "t2", "t9", "", "t3", "t4", "t5"))]
-    got = {r.incident_id: r.samples for r in state.stable_samples(old, spark.createDataFrame(rows, "incident_id string, event_id string, trace_id string, ts_start timestamp_ntz")).collect()}
+    got = {
+        r.incident_id: r.samples for r in state.stable_samples(
+            old, spark.createDataFrame(rows, "incident_id string, event_id string, trace_id string, ts_start timestamp_ntz")
+        ).collect()
+    }
     assert got == {"a": ["t9", "t5", "t4", "t3", "t2"], "b": ["t1", "t5", "t4", "t3", "t9"], "c": [], "d": list("12345")}
 
 
 def test_family_samples_limit_before_the_step(spark):
     events = frame(spark, [event(k, k, status="error", step="a" if k < 3 else "b", code="X") for k in range(6)])
-    asked = spark.createDataFrame([("i", "checkout", "a", "X", T0, T0 + timedelta(minutes=5))], "incident_id string, service string, step string, error_code string, since timestamp_ntz, until timestamp_ntz")
+    asked = spark.createDataFrame(
+        [("i", "checkout", "a", "X", T0, T0 + timedelta(minutes=5))],
+        "incident_id string, service string, step string, error_code string, since timestamp_ntz, until timestamp_ntz"
+    )
     assert {r.event_id for r in state.family_samples(asked, events, most=4).collect()} == {"e2"}
     assert {r.event_id for r in state.family_samples(asked, events).collect()} == {"e0", "e1", "e2"}
 
 
 def test_snapshots(spark):
     kind = "struct<n:int,capture_status:string>"
-    prior = spark.createDataFrame([("a", (1, "ok"), (1, "ok")), ("b", None, (1, "missing")), ("c", (1, "ok"), (1, "ok"))], f"incident_id string, opening {kind}, latest {kind}")
+    prior = spark.createDataFrame(
+        [("a", (1, "ok"), (1, "ok")), ("b", None, (1, "missing")), ("c", (1, "ok"), (1, "ok"))], f"incident_id string, opening {kind}, latest {kind}"
+    )
     fresh = spark.createDataFrame([("a", (2, "missing")), ("b", (2, "ok")), ("n", (2, "partial"))], f"incident_id string, evidence {kind}")
     got = {r.incident_id: (r.opening and r.opening.n, r.latest.n) for r in state.update_snapshots(prior, fresh).collect()}
     assert got == {"a": (1, 2), "b": (2, 2), "c": (1, 1), "n": (None, 2)}
@@ -259,41 +326,79 @@ def test_rebuild_keeps_resolved(spark):
     kind = "incident_id string, env string, service string, step string, error_code string, status string, severity int, started_at timestamp_ntz, suspect_deploy_id string"
     row = lambda i, status, severity, at, deploy=None: (i, "prod", "s", "a", "X", status, severity, T0 + timedelta(minutes=at), deploy)
     store = spark.createDataFrame([row("open", "active", 1, 0), row("old", "resolved", 2, 0, "d"), row("kept", "resolved", 3, 0)], kind)
-    got = {r.incident_id: r for r in state.replace_unresolved(store, spark.createDataFrame([row("old", "active", 9, 5, ""), row("new", "active", 4, 5)], kind)).collect()}
-    assert set(got) == {"old", "kept", "new"} and (got["old"].status, got["old"].severity, got["old"].started_at, got["old"].suspect_deploy_id) == ("active", 9, T0, "d")
+    got = {
+        r.incident_id: r for r in state.replace_unresolved(
+            store, spark.createDataFrame([row("old", "active", 9, 5, ""), row("new", "active", 4, 5)], kind)
+        ).collect()
+    }
+    assert set(got) == {"old", "kept", "new"} and (
+        got["old"].status, got["old"].severity, got["old"].started_at, got["old"].suspect_deploy_id
+    ) == ("active", 9, T0, "d")
 
 
 def test_anomaly_incidents(spark):
-    traffic = spark.createDataFrame([("s", 10, 100, "drop"), ("u", 400, 100, "surge"), ("v", 5, 5, None)], "service string, n0 bigint, baseline bigint, direction string")
+    traffic = spark.createDataFrame(
+        [("s", 10, 100, "drop"), ("u", 400, 100, "surge"), ("v", 5, 5, None)], "service string, n0 bigint, baseline bigint, direction string"
+    )
     latency = spark.createDataFrame([("s", 300, 100, True), ("u", 9, 3, False)], "service string, latency_ms bigint, baseline_ms bigint, anomalous boolean")
-    open_ = spark.createDataFrame([("mine", "prod", "s", "<latency>", "LATENCY_SPIKE", T0)], "incident_id string, env string, service string, step string, error_code string, started_at timestamp_ntz")
+    open_ = spark.createDataFrame(
+        [("mine", "prod", "s", "<latency>", "LATENCY_SPIKE", T0)],
+        "incident_id string, env string, service string, step string, error_code string, started_at timestamp_ntz"
+    )
     now = F.lit(T0 + timedelta(minutes=30)).cast("timestamp_ntz")
     got = {(r.service, r.error_code): r for r in state.anomaly_incidents(traffic, latency, open_, "prod", now).collect()}
-    assert {k: (r.lift, r.severity) for k, r in got.items()} == {("s", "TRAFFIC_DROP"): (10.0, 10), ("u", "TRAFFIC_SURGE"): (4.0, 10), ("s", "LATENCY_SPIKE"): (3.0, 10)}
+    assert {k: (r.lift, r.severity) for k, r in got.items()} == {
+        ("s", "TRAFFIC_DROP"): (10.0, 10), ("u", "TRAFFIC_SURGE"): (4.0, 10), ("s", "LATENCY_SPIKE"): (3.0, 10)
+    }
     assert got["s", "LATENCY_SPIKE"].incident_id == "mine" and got["s", "LATENCY_SPIKE"].started_at == T0 and got["s", "TRAFFIC_DROP"].incident_id.startswith("inc_")
 
 
 def test_deep_traces_are_linear():
-    rows = [{"event_id": f"e{k}", "ts_start": T0, "service": "s", "parent_span_id": f"s{k - 1}" if k else "", "status": "error" if k % 2 else "ok", "spans": [f"s{k}"], "seq": k} for k in range(4000)]
+    rows = [
+        {
+            "event_id": f"e{k}", "ts_start": T0, "service": "s", "parent_span_id": f"s{k - 1}" if k else "", "status": "error" if k % 2 else "ok",
+            "spans": [f"s{k}"], "seq": k
+        } for k in range(4000)
+    ]
     assert trace.anchor(rows)[0]["event_id"] == "e3999" and len(trace.ordered(rows)[0]) == 4000
     assert trace.ordered([{**rows[0], "service": None}, rows[1]])[1] == "causal"
 
 
 def test_report_from_frames(spark):
-    rows = [event(1, 0, status="error", step="pay", code="X", user="u1"), event(2, 5, status="error", step="pay", code="X", user="u2", trace_id="t2"), event(3, 6, status="error", step="other", code="Y", trace_id="t3")]
+    rows = [
+        event(1, 0, status="error", step="pay", code="X", user="u1"), event(2, 5, status="error", step="pay", code="X", user="u2", trace_id="t2"),
+        event(3, 6, status="error", step="other", code="Y", trace_id="t3")
+    ]
     events, until = frame(spark, rows), T0 + timedelta(minutes=10)
-    asked = spark.createDataFrame([("i1", "prod", "checkout", "pay", "X", T0, until, "deploy", "high", "d1")], "incident_id string, env string, service string, step string, error_code string, since timestamp_ntz, until timestamp_ntz, cause string, confidence string, suspect_deploy_id string")
+    asked = spark.createDataFrame(
+        [("i1", "prod", "checkout", "pay", "X", T0, until, "deploy", "high", "d1")],
+        "incident_id string, env string, service string, step string, error_code string, since timestamp_ntz, until timestamp_ntz, cause string, confidence string, suspect_deploy_id string"
+    )
     samples = state.stable_samples(asked.select("incident_id", F.lit(None).cast("array<string>").alias("samples")), state.family_samples(asked, events))
-    story = spark.createDataFrame([("t", "e1", "checkout", "error", ("pay", "X"), [("pay", "s1", 0, 5, "error", None)], None)], "trace_id string, " + STORY.replace("event_id string, status", "event_id string, service string, status"))
-    signals = spark.createDataFrame([("sig1", "alert", "warning", "checkout", "prod", T0 + timedelta(minutes=1))], "signal_id string, type string, severity string, service string, env string, timestamp timestamp_ntz")
+    story = spark.createDataFrame(
+        [("t", "e1", "checkout", "error", ("pay", "X"), [("pay", "s1", 0, 5, "error", None)], None)],
+        "trace_id string, " + STORY.replace("event_id string, status", "event_id string, service string, status")
+    )
+    signals = spark.createDataFrame(
+        [("sig1", "alert", "warning", "checkout", "prod", T0 + timedelta(minutes=1))],
+        "signal_id string, type string, severity string, service string, env string, timestamp timestamp_ntz"
+    )
     deploys = spark.createDataFrame([("d1", "checkout", "v2", T0)], "id string, service string, version string, first_seen timestamp_ntz")
     change = correlate.suspect_change(asked, deploys, correlate.deploy_rate_delta(deploys, events))
     alerts = correlate.alert_evidence(asked.withColumnsRenamed({"since": "started_at", "until": "now"}), signals)
-    made = report.from_frames(asked, reads.blast_radius(events, events.where(filters.blast_filter("X"))), state.top_families(asked, events), samples, trace.stories(story), state.report_signals(asked, signals), alerts, change, "2024-01-01T00:00:00Z")
+    made = report.from_frames(
+        asked, reads.blast_radius(events, events.where(filters.blast_filter("X"))), state.top_families(asked, events), samples, trace.stories(story),
+        state.report_signals(asked, signals), alerts, change, "2024-01-01T00:00:00Z"
+    )
     assert (made["blast_snapshot"]["requests"], made["blast_snapshot"]["users"]) == (2, 2)
     assert [(f["step"], f["count"]) for f in made["blast_snapshot"]["top_error_families"]] == [("pay", 2), ("other", 1)]
     assert [s["trace_id"] for s in made["sample_traces"]] == ["t", "t2"] and made["sample_traces"][0]["summary"] == "checkout/pay → pay"
     assert made["first_failure"]["first_failing_step"] == "pay" and made["suspect_change"]["deploy_id"] == "d1" and made["signals"][0]["id"] == "sig1" and made["alerts"][0]["signal_id"] == "sig1"
-    again = report.from_frames(asked, reads.blast_radius(events, events.where(filters.blast_filter("X"))), state.top_families(asked, events), samples, trace.stories(story), state.report_signals(asked, signals), alerts, change, "2025-01-01T00:00:00Z")
+    again = report.from_frames(
+        asked, reads.blast_radius(events, events.where(filters.blast_filter("X"))), state.top_families(asked, events), samples, trace.stories(story),
+        state.report_signals(asked, signals), alerts, change, "2025-01-01T00:00:00Z"
+    )
     assert again["report_hash"] == made["report_hash"] and not report.problems(made)
-    assert state.snapshot_text(asked.withColumns({"status": F.lit("active"), "severity": F.lit(3), "requests": F.lit(2), "users": F.lit(None)})).first().text.splitlines()[0] == "i1 active severity 3"
+    assert state.snapshot_text(
+        asked.withColumns({"status": F.lit("active"), "severity": F.lit(3), "requests": F.lit(2), "users": F.lit(None)})
+    ).first().text.splitlines()[0] == "i1 active severity 3"
