@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import dedup_first
-from ..operators.validation import reject_reason
+from ..operators.validation import EVENT as FIELDS
+from ..operators.validation import fields, reject_reason
 from ..schema import EVENT
 
 #: Lines of a batch, and bytes of a line or body, that are taken.
@@ -18,14 +19,14 @@ MOST_LINES, MOST_BYTES = 256, 1 << 20
 def parse(lines: DataFrame) -> DataFrame:
     """value and event (parsed; null where malformed) and reason (null where valid) of each line that is not blank."""
     names = [c for c in lines.columns if c not in ("event", "reason")]
-    # In brackets, since what follows a whole value is passed over. A row for a row: what is parsed here isn't parsed again for every rule.
-    made = F.struct(
-        F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("event"), F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).alias("list")
-    )
-    rows = lines.where(F.trim("value") != "").select(*names, F.inline(F.array(made)))
+    # In brackets, since what follows a whole value is passed over. A row for a row, twice: what is parsed here isn't parsed again for every rule.
+    listed = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).alias("list")
+    rows = lines.where(F.trim("value") != "").select(*names, F.inline(F.array(F.struct(listed))))
     item = lambda k: F.try_variant_get("list", f"$[{k}]", "variant")
-    rows = rows.select(*names, "event", F.inline(F.array(F.struct(F.when(item(1).isNull(), item(0)).alias("json")))))
-    return rows.select(*names, "event", reject_reason(F.col("json"), F.col("event")).alias("reason"))
+    one = item(0).isNotNull() & item(1).isNull()
+    made = F.struct(F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("event"), one.alias("fine"), fields(item(0), FIELDS).alias("own"))
+    rows = rows.select(*names, F.inline(F.array(made)))
+    return rows.select(*names, "event", reject_reason(F.col("fine"), F.col("own"), F.col("event")).alias("reason"))
 
 
 def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
