@@ -1,5 +1,6 @@
 """Golden cases of the operators, on hand-built events."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -402,3 +403,38 @@ def test_report_from_frames(spark):
     assert state.snapshot_text(
         asked.withColumns({"status": F.lit("active"), "severity": F.lit(3), "requests": F.lit(2), "users": F.lit(None)})
     ).first().text.splitlines()[0] == "i1 active severity 3"
+
+
+def test_near_in_time_as_brute_force(spark):
+    rng = random.Random(1)
+    at = lambda: T0 + timedelta(seconds=rng.randrange(-7200, 7200))
+    points = [(k, rng.choice("ab"), at()) for k in range(80)] + [(90, "a", None), (91, None, T0)]
+    spans = [(k, rng.choice("ab"), *sorted((at(), at()))) for k in range(40)] + [(50, "a", T0 + timedelta(hours=1), T0), (51, "b", None, T0), (52, "a", points[0][2], points[0][2])]
+    p = spark.createDataFrame(points, "p int, key string, t timestamp_ntz")
+    q = spark.createDataFrame(spans, "s int, key string, since timestamp_ntz, until timestamp_ntz")
+    got = sorted((r.p, r.s) for r in correlate.near_in_time(p, q, ["key"], F.col("t"), F.col("since"), F.col("until"), 15).collect())
+    assert got == sorted((a, b) for a, k, t in points if t and k for b, j, x, y in spans if j == k and x and x <= t <= y)
+
+
+def test_windows_as_brute_force(spark):
+    rng = random.Random(2)
+    length, ticks = timedelta(minutes=10), [T0, T0 - timedelta(minutes=10), T0 - timedelta(minutes=25)]
+    rows = [event(k, rng.choice((rng.randrange(-5000, 600), 600 * rng.randrange(-8, 1)))) for k in range(120)]
+    got = sorted((r.event_id, r.tick, r.w) for r in detect.in_windows(frame(spark, rows), detect.windows(ticks, length)).collect())
+    assert got == sorted((r[0], t, w) for r in rows for t in ticks for w in range(4) if t - (w + 1) * length <= r[1] <= t - w * length)
+    assert detect.in_windows(frame(spark, rows), detect.windows([], length)).count() == 0
+
+
+@pytest.mark.parametrize("slot", [None, "day"])
+def test_deploy_slots(spark, slot):
+    """Versions compared within slots and over their borders are as those of the whole history."""
+    rng = random.Random(3)
+    rows = [event(k, 3600 * k, service=rng.choice("st"), version=rng.choice(("v1", "v1", "v2", ""))) for k in range(120)]
+    last, want = {}, []
+    for r in rows:
+        if r[6]:
+            if last.get(r[4], r[6]) != r[6]:
+                want.append(r[13])
+            last[r[4]] = r[6]
+    got = correlate.deploy_events(frame(spark, rows), None if slot is None else F.date_trunc(slot, F.col("ts_start"))).collect()
+    assert sorted(r.seq for r in got) == want
