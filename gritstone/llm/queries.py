@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, imatch, linededup, lm, mixing, ngramjoin, passages, pieces, quality, urlfilter
+from . import align, ann, bpe, imatch, linededup, lm, mixing, ngramjoin, passages, pieces, quality, treaps, urlfilter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,30 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(read(spark, sf_dir, "documents"))
 
 
+def op11_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+WORD_MERGES, BYTE_MERGES = "/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, bpe.Bpe.load(WORD_MERGES), ids=False, packed=True, decoded=True)
+    return encoded.select(
+        "doc_id", (F.octet_length("_packed") / 4).cast("bigint").alias("n_tokens"), F.sha2("_packed", 256).alias("ids_sha256"),
+        F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = align.align(docs, bpe.Bpe.load(BYTE_MERGES, special=False), pieces.Pieces.load(PIECE_MODEL))
+    digest = F.when(F.col("_groups") == "", "").otherwise(F.sha2(F.col("_groups").cast("binary"), 256))
+    counts = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    return aligned.select("doc_id", *[F.col(f"_{c}").alias(c) for c in counts], digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_imatch": op1_imatch,
     "op2_quality": op2_quality,
@@ -85,4 +109,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_passages": op10_passages,
+    "op11_treaps": op11_treaps,
+    "op12_bpe": op12_bpe,
+    "op13_align": op13_align,
 }

@@ -109,14 +109,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
-def hash_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, A-Z lower-cased, end to end; and len + 1 bounds."""
+def hash_words(texts: pa.Array, ends: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z lower-cased, end to end; and len + 1 bounds. ends: which bytes end a word."""
     raw, bounds = text_bytes(texts)
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     low = LOWER[raw]
-    space = SPACE[low]
+    space = ends[low]
     first = np.empty(n, bool)  # no word crosses from a text to the next
     first[0] = True
     first[1:] = space[:-1]
@@ -127,11 +127,11 @@ def hash_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last[:-1] = space[1:]
     ends_at = bounds[1:] - 1
     last[ends_at[ends_at >= 0]] = True
-    ends = np.flatnonzero(last & ~space) + 1
+    stops = np.flatnonzero(last & ~space) + 1
     up, down = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[low] * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
     return hashes, np.searchsorted(starts, bounds)
 
 

@@ -103,4 +103,24 @@ SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_s
 FROM pairs
 """
 
-ORACLES: dict[str, str] = {"op1_imatch": OP1, "op8_url_filter": OP8, "op9_mixing": OP9}
+#: Every document scored for every item that shares a term with it.
+OP11 = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents WHERE doc_id IS NOT NULL),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM lengths),
+held AS (SELECT doc_id, t, count(*) AS tf FROM words GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, whole GROUP BY t, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+adds AS (
+  SELECT h.doc_id, h.t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))) AS part
+  FROM held h JOIN lengths USING (doc_id) JOIN weights USING (t), whole WHERE t IN (SELECT t FROM asked)),
+scored AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM asked JOIN adds USING (t) GROUP BY ALL HAVING sum(part) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_imatch": OP1, "op8_url_filter": OP8, "op9_mixing": OP9, "op11_treaps": OP11}
