@@ -62,12 +62,13 @@ def error_spikes(
     events: DataFrame, table: Windows, min_count: int = 5, min_lift: float = 3.0, min_rate: float = 0.0, minutes: float = 10.0, most: int = 200
 ) -> DataFrame:
     """Families whose current window has min_count errors and min_lift times the median of the three before; with no errors before, the lift is the
-    count. Each window is read as its `most` largest families."""
+    count. started_at: the earliest of the current window's errors. Each window is read as its `most` largest families."""
     rows = in_windows(events.where(failed() & F.col("error_code").isNotNull()), table)
-    sizes = rows.groupBy("tick", "w", *FAMILY).agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy("tick", "w", *FAMILY).agg(F.count(F.lit(1)).alias("n"), F.min("ts_start").alias("first_at"))
     rank = F.row_number().over(Window.partitionBy("tick", "w").orderBy(F.desc("n"), *FAMILY))
     sizes = sizes.withColumn("rank", rank).where(F.col("rank") <= most)
-    wide = sizes.groupBy("tick", *FAMILY).agg(*[F.coalesce(F.sum(F.when(F.col("w") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(4)])
+    counts = [F.coalesce(F.sum(F.when(F.col("w") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(4)]
+    wide = sizes.groupBy("tick", *FAMILY).agg(*counts, F.min(F.when(F.col("w") == 0, F.col("first_at"))).alias("started_at"))
     wide = wide.withColumn("baseline", median3(F.col("n1"), F.col("n2"), F.col("n3")))
     lift = F.when(F.col("baseline") > 0, F.col("n0") / F.col("baseline")).otherwise(F.col("n0").cast("double"))
     spike = (F.col("n0") >= min_count) & (F.col("n0") / F.lit(float(minutes)) >= min_rate) & ((F.col("baseline") == 0) | (lift >= min_lift))

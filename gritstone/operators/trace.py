@@ -57,11 +57,11 @@ class Graph:
         return out
 
     def above(self, ids: set[str]) -> set[str]:
-        """The events that another of ids is below. Each event is climbed through once."""
+        """The events that one of ids is below; in a cycle an event is below itself. Each event is climbed through once, as all above it is found then."""
         found: set[str] = set()
         for start in ids:
             at = self.parent.get(start)
-            while at is not None and at != start and at not in found:
+            while at is not None and at not in found:
                 found.add(at)
                 at = self.parent.get(at)
         return found

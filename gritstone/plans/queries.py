@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import correlate, detect, filters, incidents, reads, state, trace
+from ..operators import correlate, detect, filters, fold, incidents, reads, state, trace
 from ..schema import FAILED
 from ..sources import alerts, intake, legacy, otlp
 from .views import long_events, seeds, signals, wide_events
@@ -593,6 +593,26 @@ def rebuild_store(spark, sf_dir):
     return state.replace_unresolved(day("20240110"), day("20240111").withColumn("status", F.lit("active")))
 
 
+DAY, FIRST_DAY = timedelta(days=1), datetime(2024, 1, 3)
+
+
+def _daily_sightings(spark, sf_dir):
+    found = detect.error_spikes(wide_events(spark, sf_dir), detect.windows([FIRST_DAY + k * DAY for k in range(28)], DAY), min_count=2, min_lift=1.5)
+    return fold.sightings(found, "prod")
+
+
+@query
+def incident_fold(spark, sf_dir):
+    """The store after 28 daily ticks."""
+    return fold.folded(_daily_sightings(spark, sf_dir), FIRST_DAY, DAY, 28, 2.5 * DAY).drop("env", "service")
+
+
+@query
+def incident_transitions(spark, sf_dir):
+    """What each of 28 daily ticks changed."""
+    return fold.transitions(_daily_sightings(spark, sf_dir), FIRST_DAY, DAY, 28, 2.5 * DAY).drop("env", "service")
+
+
 @query
 def report_signals(spark, sf_dir):
     s = seeds(spark, sf_dir).withColumn("until", F.col("now"))

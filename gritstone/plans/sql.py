@@ -219,6 +219,33 @@ told AS (
   FROM outcome)
 """
 
+#: 28 daily ticks one after another: the state of every family follows from its state at the tick before.
+_STEPS = """, ticks AS (SELECT k AS no, TIMESTAMP '2024-01-03' + k * INTERVAL 1 DAY AS tick FROM range(0, 28) r(k)),
+spans AS (SELECT no, tick, j AS win, tick - (j + 1) * INTERVAL 1 DAY AS since, tick - j * INTERVAL 1 DAY AS until FROM ticks, range(0, 4) r(j)),
+sums AS (
+  SELECT no, service, service || ':' || step || ':' || error_code AS family, count(*) FILTER (win = 0) AS n0, min(ts_start) FILTER (win = 0) AS started,
+    list_sort([count(*) FILTER (win = 1), count(*) FILTER (win = 2), count(*) FILTER (win = 3)])[2] AS base
+  FROM w JOIN spans ON ts_start BETWEEN since AND until WHERE failed GROUP BY no, service, step, error_code),
+spike AS (SELECT no, family, service, started FROM sums WHERE n0 >= 2 AND (base = 0 OR n0 / base >= 1.5::DOUBLE)),
+step AS (
+  SELECT -1::BIGINT AS no, family, service, NULL::VARCHAR AS status, NULL::VARCHAR AS transition, NULL::TIMESTAMP AS started_at, NULL::TIMESTAMP AS last_seen, false AS changed
+  FROM (SELECT DISTINCT family, service FROM spike)
+  UNION ALL
+  SELECT s.no + 1, s.family, s.service,
+    CASE WHEN p.family IS NOT NULL THEN 'active' WHEN s.status = 'active' THEN 'recovering' WHEN s.status = 'recovering' AND t.tick - s.last_seen >=
+      INTERVAL 60 HOUR THEN 'resolved' WHEN s.status = 'recovering' THEN 'recovering' END,
+    CASE WHEN p.family IS NOT NULL AND (s.status IS NULL OR s.status = 'resolved') THEN 'opened' WHEN p.family IS NULL AND s.status = 'recovering' AND
+      t.tick - s.last_seen >= INTERVAL 60 HOUR THEN 'resolved' END,
+    CASE WHEN p.family IS NOT NULL AND (s.status IS NULL OR s.status = 'resolved') THEN p.started WHEN s.status = 'resolved' THEN NULL ELSE s.started_at END,
+    CASE WHEN p.family IS NOT NULL THEN t.tick WHEN s.status = 'resolved' THEN NULL ELSE s.last_seen END,
+    p.family IS NOT NULL OR s.status = 'active' OR (s.status = 'recovering' AND t.tick - s.last_seen >= INTERVAL 60 HOUR)
+  FROM step s JOIN ticks t ON t.no = s.no + 1 LEFT JOIN spike p ON p.no = s.no + 1 AND p.family = s.family),
+told AS (
+  SELECT family, 'inc_' || substr(sha256('prod|' || service || '|' || family || '|' || strftime(time_bucket(INTERVAL 5 MINUTE, started_at),
+    '%Y-%m-%dT%H:%M:%SZ')), 1, 16) AS incident_id, tick, status, transition, started_at, last_seen FROM step JOIN ticks USING (no) WHERE changed)
+"""
+
+
 ORACLES: dict[str, str] = {
     "event_search": W + ", r AS (" + _RANKED + ") SELECT event_id, ts_start, service, status, trace_id, n > 50 AS more FROM r WHERE r <= 50",
     "event_search_page2": W + ", r AS (" + _RANKED + ") SELECT event_id, ts_start, service, status, trace_id, n > 100 AS more FROM r WHERE r BETWEEN 51 AND 100",
@@ -287,6 +314,10 @@ p AS (SELECT win, service, any_value(n) AS n, max(CASE WHEN r = (95 * n + 99) //
   HAVING any_value(n) >= 20),
 g AS (SELECT service, max(ms) FILTER (win = 0) AS latency_ms, list(ms ORDER BY ms) FILTER (win > 0) AS before FROM p GROUP BY service)
 SELECT service, latency_ms, before[(len(before) - 1) // 2 + 1] AS baseline_ms, before[(len(before) - 1) // 2 + 1] > 0 AND latency_ms >= 1.01::DOUBLE * before[(len(before) - 1) // 2 + 1] AS anomalous FROM g WHERE latency_ms IS NOT NULL AND len(before) >= 2""",
+    "incident_fold": W.replace("WITH", "WITH RECURSIVE", 1) + _STEPS + """
+SELECT family, incident_id, last(status ORDER BY tick) AS status, last(started_at ORDER BY tick) AS started_at, last(last_seen ORDER BY tick) AS last_seen, count(*) FILTER (status = 'active') AS ticks,
+  max(tick) FILTER (status = 'recovering') AS recovering_at, max(tick) FILTER (status = 'resolved') AS resolved_at FROM told GROUP BY family, incident_id""",
+    "incident_transitions": W.replace("WITH", "WITH RECURSIVE", 1) + _STEPS + "SELECT * FROM told",
     "sustained_gate": W + """, tick AS (SELECT TIMESTAMP '2024-01-29' - k * INTERVAL 12 HOUR AS tick FROM range(0, 8) r(k)),
 win AS (SELECT tick, k AS win, tick - (k + 1) * INTERVAL 3 DAY AS since, tick - k * INTERVAL 3 DAY AS until FROM tick, range(0, 4) r(k)),
 c AS (SELECT tick, service, count(*) FILTER (win = 0) AS n0, list_sort([count(*) FILTER (win = 1), count(*) FILTER (win = 2), count(*) FILTER (win
