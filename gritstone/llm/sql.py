@@ -9,23 +9,30 @@ split AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM after),
-named AS (SELECT *, string_split(host, '.') AS parts FROM split),
-two AS (SELECT *, array_to_string(parts[-2:], '.') AS last_two FROM named),
-sorts AS (SELECT *, regexp_matches(host, '^[0-9]+(\.[0-9]+){3}$') AS address, regexp_matches(last_two,
+named AS (SELECT *, string_split(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', ''), '.') AS parts FROM split),
+two AS (SELECT *, array_to_string(parts, '.') AS name, array_to_string(parts[-2:], '.') AS last_two FROM named),
+sorts AS (SELECT *, regexp_matches(name, '^([0-9]+(\.[0-9]+){3}|\[.*\])$') AS address, regexp_matches(last_two,
   '^(ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z]{2}$') AS long FROM two),
 levels AS (
-  SELECT page_id, host, path, CASE WHEN address THEN host WHEN long THEN array_to_string(parts[-3:], '.') ELSE last_two END AS domain,
+  SELECT page_id, host, path, CASE WHEN address THEN name WHEN long THEN array_to_string(parts[-3:], '.') ELSE last_two END AS domain,
     CASE WHEN address THEN 'ip' WHEN long THEN last_two ELSE parts[-1] END AS suffix
   FROM sorts),
 known AS (SELECT l.*, q.quality AS good FROM levels l LEFT JOIN (SELECT doc_id, quality FROM labels WHERE quality IN (0, 1)) q ON q.doc_id = l.page_id),
-h AS (SELECT host, domain, suffix, count(good) AS n, coalesce(sum(good), 0) AS g FROM known GROUP BY ALL),
+h AS (SELECT host, domain, suffix, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS g FROM known GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(g) AS g FROM h GROUP BY ALL),
-s AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM d GROUP BY ALL),
-a AS (SELECT (sum(g) + 0.5::DOUBLE * 20) / (sum(n) + 20::DOUBLE) AS p FROM s),
-sp AS (SELECT suffix, (g + a.p * 20) / (n + 20::DOUBLE) AS p FROM s, a),
-dp AS (SELECT d.domain, d.suffix, (d.g + sp.p * 20) / (d.n + 20::DOUBLE) AS p FROM d JOIN sp USING (suffix)),
-hp AS (SELECT h.host, h.g + dp.p * 20 AS a, h.n - h.g + (1 - dp.p) * 20 AS b FROM h JOIN dp USING (domain, suffix)),
-bound AS (SELECT host, a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM hp),
+s AS (SELECT suffix, sum(n) AS n, sum(g) AS g, (sum(sum(g)) OVER () + 0.5::DOUBLE) / (sum(sum(n)) OVER () + 1) AS p FROM d GROUP BY suffix),
+ss AS (SELECT sum((g - n * p) * (g - n * p) - n * p * (1 - p)) AS beyond, sum(n * p * (1 - p) * (n - 1)) AS room FROM s),
+sw AS (SELECT CASE WHEN coalesce(room, 0) = 0 THEN 20::DOUBLE WHEN beyond > 0 THEN least(greatest(room / beyond - 1, 1), 1000) ELSE 1000 END AS w FROM ss),
+sp AS (SELECT suffix, (g + p * w) / (n + w) AS p FROM s, sw),
+dd AS (SELECT d.*, sp.p FROM d JOIN sp USING (suffix)),
+ds AS (SELECT sum((g - n * p) * (g - n * p) - n * p * (1 - p)) AS beyond, sum(n * p * (1 - p) * (n - 1)) AS room FROM dd),
+dw AS (SELECT CASE WHEN coalesce(room, 0) = 0 THEN 20::DOUBLE WHEN beyond > 0 THEN least(greatest(room / beyond - 1, 1), 1000) ELSE 1000 END AS w FROM ds),
+dp AS (SELECT domain, suffix, (g + p * w) / (n + w) AS p FROM dd, dw),
+hh AS (SELECT h.*, dp.p FROM h JOIN dp USING (domain, suffix)),
+hs AS (SELECT sum((g - n * p) * (g - n * p) - n * p * (1 - p)) AS beyond, sum(n * p * (1 - p) * (n - 1)) AS room FROM hh),
+hw AS (SELECT CASE WHEN coalesce(room, 0) = 0 THEN 20::DOUBLE WHEN beyond > 0 THEN least(greatest(room / beyond - 1, 1), 1000) ELSE 1000 END AS w FROM hs),
+hp AS (SELECT host, g + p * w AS a, n - g + (1 - p) * w AS b FROM hh, hw),
+bound AS (SELECT host, 1 / (1 + exp(1.645::DOUBLE * sqrt(1 / a + 1 / b) - ln(a / b))) AS bound FROM hp),
 ruled AS (
   SELECT page_id, l.host, l.path, bound,
     CASE WHEN (l.host = 'example.org' OR l.host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'

@@ -540,7 +540,8 @@ def test_urls(spark):
 def test_domains(spark):
     hosts = {
         "a.b.co.kr": ("b.co.kr", "co.kr"), "1.2.3.4": ("1.2.3.4", "ip"), "x.example.com": ("example.com", "com"), "co.uk": ("co.uk", "co.uk"),
-        "localhost": ("localhost", "localhost"), "": ("", ""), "a.com.au": ("a.com.au", "com.au"), "shop.de": ("shop.de", "de")
+        "localhost": ("localhost", "localhost"), "": ("", ""), "a.com.au": ("a.com.au", "com.au"), "shop.de": ("shop.de", "de"),
+        "1.2.3.4:8080": ("1.2.3.4", "ip"), "a.co.uk:443": ("a.co.uk", "co.uk"), "x.a.com.": ("a.com", "com"), "me:pw@www.shop.de:80": ("shop.de", "de"), "[::1]:80": ("[::1]", "ip")
     }
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
     domain, suffix = urlfilter.domain_and_suffix(F.col("host"))
@@ -555,6 +556,62 @@ def test_reputation_shrinks(spark):
     assert bound["good.net"] > bound["new.good.net"] > bound["new.bad.net"] and bound["good.net"] > 0.9 > 0.1 > bound["bad.net"]
 
 
+def plain_bounds(pages, good, z=1.645):
+    """host -> bound, level by level."""
+    def worth(level):
+        beyond = sum((g - n * p) ** 2 - n * p * (1 - p) for n, g, p in level)
+        room = sum(n * p * (1 - p) * (n - 1) for n, _, p in level)
+        return 20 if not room else min(max(room / beyond - 1, 1), 1000) if beyond > 0 else 1000
+
+    sums = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    for page, (host, domain, suffix) in pages:
+        for (n, g), key in zip(sums, (suffix, (domain, suffix), (host, domain, suffix)), strict=True):
+            n[key] += page in good
+            g[key] += good.get(page, 0)
+    prior, up = lambda key: (sum(sums[0][1].values()) + 0.5) / (sum(sums[0][0].values()) + 1), {}
+    for k, (n, g) in enumerate(sums):
+        p = {key: prior(key) for key in n}
+        w = worth([(n[key], g[key], p[key]) for key in n])
+        up = {key: (g[key] + p[key] * w, n[key] - g[key] + (1 - p[key]) * w) for key in n}
+        post = {key: a / (a + b) for key, (a, b) in up.items()}
+        prior = (lambda key, post=post: post[key[1]]) if k == 0 else (lambda key, post=post: post[key[1:]])
+    return {h: 1 / (1 + math.exp(z * math.sqrt(1 / a + 1 / b) - math.log(a / b))) for (h, _, _), (a, b) in up.items()}
+
+
+def test_reputation_as_by_hand(spark):
+    rng = random.Random(8)
+    share = {f"h{k}.d{k % 9}.{('com', 'net', 'org')[k % 3]}": rng.betavariate(2 + k % 3 * 3, 2) for k in range(40)}
+    pages = [(k, rng.choice(list(share))) for k in range(3000)]
+    good = {k: int(rng.random() < share[h]) for k, h in pages if rng.random() < 0.7}
+    df = spark.createDataFrame([(k, f"http://{h}:80/") for k, h in pages], "page_id bigint, url string")
+    outcomes = spark.createDataFrame(list(good.items()), "page_id bigint, good int")
+    got = {r.host: r.bound for r in urlfilter.judge(df, outcomes, ()).collect()}
+    want = plain_bounds([(k, (f"{h}:80", ".".join(h.split(".")[-2:]), h.split(".")[-1])) for k, h in pages], good)
+    assert got.keys() == want.keys() and all(math.isclose(got[h], want[h], abs_tol=1e-8) for h in want)
+
+
+def test_strength_of_a_prior(spark):
+    """Moments find the strength that the counts were drawn with."""
+    rng = random.Random(9)
+    for s in (4.0, 60.0):
+        rows = []
+        for _ in range(3000):
+            q, n = rng.betavariate(0.7 * s, 0.3 * s), rng.randrange(2, 40)
+            rows.append((n, sum(rng.random() < q for _ in range(n)), 0.7))
+        assert math.isclose(urlfilter.strength(spark.createDataFrame(rows, "n bigint, g bigint, p double")), s, rel_tol=0.2)
+    one = spark.createDataFrame([(1, 1, 0.5), (1, 0, 0.5)], "n bigint, g bigint, p double")
+    assert urlfilter.strength(one) == 20 == urlfilter.strength(one.limit(0))
+    assert urlfilter.strength(spark.createDataFrame([(10, 5, 0.5)] * 9, "n bigint, g bigint, p double")) == 1000
+
+
+def test_bound_is_near_the_quantile():
+    """The approximation holds the 5 % quantile of the beta to 0.03 for counts of a few pages and more."""
+    rng = np.random.default_rng(10)
+    for a, b in ((3, 2), (8, 3), (20, 4), (50, 50), (200, 10)):
+        true = np.quantile(rng.beta(a, b, 400000), 0.05)
+        assert abs(1 / (1 + math.exp(1.645 * math.sqrt(1 / a + 1 / b) - math.log(a / b))) - true) < 0.03
+
+
 # mixing
 
 
