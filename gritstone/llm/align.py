@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BLANKS, REMEMBERED, Bpe, Remembered
+from .bpe import REMEMBERED, Bpe, Remembered, joined
 from .pieces import SPACE, Pieces
 from .shared import drop, save, slices
 
@@ -102,7 +102,7 @@ class Aligner:
         self.a, self.b = a, b
         self.width = len(b.pieces)
         self.transducer = Transducer([a.token_bytes(n) for n in a.names], b.raw)
-        self.first, self.second = a.encoder(), Remembered(b.encode_stretches, np.int32)
+        self.first, self.second = a.encoder(), Remembered(lambda parts: joined(b.encode_stretches(parts)), np.int32)
         #: Blanks that a piece holds: a text with one is aligned as a whole.
         self.inside = [c for c in b.known if c.isspace()]
         self.clear()
@@ -118,7 +118,7 @@ class Aligner:
         text = " " + text
         return [text] if any(c in text for c in self.inside) else self.a.parts(text)
 
-    def _make(self, parts: list[str]) -> list[np.ndarray]:
+    def _make(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The links of each part, as a * width + b."""
         for known in (self.first, self.second):
             if len(known.index) > REMEMBERED:
@@ -141,7 +141,7 @@ class Aligner:
             self.groups.append(groups_text(a, b, ends))
             out.append(np.array([x * self.width + y for x, y in links], np.int64))
         self.facts = np.concatenate([self.facts, np.array(facts, np.int64).reshape(-1, 4)])
-        return out
+        return joined(out)
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the parts of all texts that can be aligned, end to end, and len + 1 bounds."""

@@ -11,7 +11,7 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,44 +22,50 @@ from .shared import slices
 
 #: Unicode's White_Space. Fixed values.
 BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Parts of a text where words hold no blanks.
+WORDS = f"[^{BLANKS}]+"
 #: Units that a task remembers, and characters of new words that are looked at together.
 REMEMBERED, TOGETHER = 300_000, 1 << 19
 #: Later than any merge.
-NEVER = np.int64(1 << 40)
+NEVER = 1 << 40
+#: Atoms of a word that are merged by looking at all pairs each time; those of a longer one are kept in a heap.
+SHORT = 64
 #: Added to the code of a word's last character where the model marks word ends; byte-level characters have codes below it.
 LAST = 512
 
 
+class _Index(dict):
+    """Numbers strings in the order in which they are first asked for."""
+
+    def __missing__(self, x: str) -> int:
+        n = self[x] = len(self)
+        return n
+
+
 class Remembered:
-    """Numbers of strings, and what was made of each: an array."""
+    """Numbers of strings, and what was made of each: an array. make: from some strings the arrays, end to end, and their sizes."""
 
-    def __init__(self, make: Callable[[list[str]], list[np.ndarray]], dtype: type):
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: type):
         self.make, self.dtype = make, dtype
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.store, self.begin, self.size, self.used = np.zeros(1 << 12, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def numbers(self, rows: list[list[str]]) -> np.ndarray:
         """The number of each string, row after row; new ones are made first."""
-        index = self.index
-        known = len(index)
-        for row in rows:
-            for x in row:
-                if x not in index:
-                    index[x] = len(index)
-        fresh = list(index)[known:] if len(index) > known else []
-        for at in _runs(fresh):
-            made = self.make(at)
-            size = np.array([len(m) for m in made], np.int64)
-            need = self.used + int(size.sum())
+        known = len(self.index)
+        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(rows)), np.int64, sum(map(len, rows)))
+        for at in _runs(list(islice(self.index, known, None))):
+            made, size = self.make(at)
+            need = self.used + len(made)
             if need > len(self.store):
                 self.store = np.concatenate([self.store, np.zeros(max(need, len(self.store)), self.dtype)])
-            self.store[self.used : need] = np.concatenate(made)
+            self.store[self.used : need] = made
             self.begin, self.size = np.concatenate([self.begin, self.used + np.cumsum(size) - size]), np.concatenate([self.size, size])
             self.used = need
-        return np.fromiter(map(index.__getitem__, chain.from_iterable(rows)), np.int64, sum(map(len, rows)))
+        return which
 
     def arrays(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The arrays of these numbers, end to end, and len + 1 bounds."""
@@ -68,6 +74,11 @@ class Remembered:
         return self.store[np.arange(total[-1]) - np.repeat(total[:-1] - self.begin[which], size)], total
 
 
+def joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays end to end, and their sizes."""
+    return np.concatenate(arrays), np.array([len(x) for x in arrays], np.int64)
+
+
 def _runs(strings: list[str]) -> Iterator[list[str]]:
     part, size = [], 0
     for x in strings:
@@ -96,7 +107,7 @@ class Bpe:
         """model: vocab, merges, end_of_word_suffix. special: strings that stand for a token wherever they are in a text. cut: a pattern of parts of a
         text that nothing crosses ('': a text is one part). joined: tokens decode to bytes, else to their names with blanks between."""
         self.normalizer, self.pre_tokenizer, self.special, self.joined = normalizer, pre_tokenizer, dict(special or {}), joined
-        self.cut = re.compile(cut) if cut else None
+        self.cut, self.apart_by_blanks = re.compile(cut) if cut else None, cut == WORDS
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         size = 1 + max([*vocab.values(), *self.special.values()])
@@ -152,7 +163,7 @@ class Bpe:
         known = {n["type"] for n in normal.get("normalizers", [normal] if normal else [])} <= {"NFC", "Lowercase", "Replace"}
         split = pre.get("pretokenizers", [{}])[0]
         if known and split.get("behavior") == "Removed" and r"\s" in str(split.get("pattern")):
-            cut = f"[^{BLANKS}]+"
+            cut = WORDS
         elif not normal and kinds == ["ByteLevel"] and pre.get("use_regex") and not pre.get("add_prefix_space"):
             cut = f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+"
         else:
@@ -235,6 +246,23 @@ class Bpe:
         """The merges one by one: always the pair of least rank, of equals the leftmost."""
         if not hasattr(self, "_ranks"):
             self._ranks = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+            self._product = self.product.tolist()
+        return self._short(atoms) if len(atoms) <= SHORT else self._long(atoms)
+
+    def _short(self, tokens: list[int]) -> list[int]:
+        get, size, product = self._ranks.get, self.size, self._product
+        ranks = [get(a * size + b, NEVER) for a, b in zip(tokens, tokens[1:], strict=False)]
+        while ranks and (rank := min(ranks)) < NEVER:
+            i = ranks.index(rank)
+            tokens[i : i + 2] = [product[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(tokens[i - 1] * size + tokens[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = get(tokens[i] * size + tokens[i + 1], NEVER)
+        return tokens
+
+    def _long(self, atoms: list[int]) -> list[int]:
         ranks, size, n, tokens = self._ranks, self.size, len(atoms), list(atoms)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(ranks[k], i) for i in range(n - 1) if (k := tokens[i] * size + tokens[i + 1]) in ranks]
@@ -244,7 +272,7 @@ class Bpe:
             j = after[i]
             if tokens[i] < 0 or j >= n or ranks.get(tokens[i] * size + tokens[j]) != rank:
                 continue
-            tokens[i], tokens[j] = int(self.product[rank]), -1
+            tokens[i], tokens[j] = self._product[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -253,8 +281,8 @@ class Bpe:
                     heapq.heappush(heap, (ranks[k], a))
         return [t for t in tokens if t >= 0]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words in byte-level characters."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in byte-level characters, end to end, and how many each has."""
         size = np.array([len(w) for w in words], np.int64)
         codes = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
         bounds = np.concatenate([[0], np.cumsum(size + 1)])  # an end of line after each word is in no token
@@ -272,11 +300,17 @@ class Bpe:
         same = word[1:] == word[:-1]
         pairs, inverse = np.unique(ids[:-1][same] * self.size + ids[1:][same], return_inverse=True)
         wrong = self.crossed(pairs // self.size, pairs % self.size)[inverse] if len(pairs) else np.zeros(0, bool)
-        cuts = np.searchsorted(word, np.arange(len(words) + 1))
-        out = [ids[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:], strict=False)]
-        for k in np.unique(word[1:][same][wrong]).tolist():
-            out[k] = np.array(self.merged(self.atoms[codes[bounds[k] : bounds[k + 1] - 1]].tolist()), np.int32)
-        return out
+        again = np.unique(word[1:][same][wrong])
+        bad = np.zeros(len(words), bool)
+        bad[again] = True
+        atoms = self.atoms[codes].tolist()
+        merged = [self.merged(atoms[a:b]) for a, b in zip(bounds[again].tolist(), (bounds[again + 1] - 1).tolist(), strict=True)]
+        sizes = np.bincount(word, minlength=len(words))
+        sizes[again] = [len(m) for m in merged]
+        out = np.zeros(sizes.sum(), np.int32)
+        of_bad = np.repeat(bad, sizes)
+        out[of_bad], out[~of_bad] = list(chain.from_iterable(merged)), ids[~bad[word]]
+        return out, sizes
 
     def _words(self, part: str) -> list[str | int]:
         """The words of a part of a text, in byte-level characters; a special token is its id."""
@@ -289,27 +323,38 @@ class Bpe:
                 out += [w for w, _ in self.pre_tokenizer.pre_tokenize_str(normal)] if normal else []
         return out
 
+    def _rows(self, parts: list[str]) -> list[list[str | int]]:
+        """The words of each part; all at once where blanks part them and none are kept."""
+        if not self.apart_by_blanks or any(x in p for p in parts for x in self.special):
+            return [self._words(p) for p in parts]
+        normal = self.normalizer.normalize_str(" ".join(parts)) if self.normalizer else " ".join(parts)
+        made = self.pre_tokenizer.pre_tokenize_str(normal)
+        sizes = [len(p) for p in normal.split(" ")]
+        starts = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) + 1)])
+        at = np.searchsorted(np.fromiter((span[0] for _, span in made), np.int64, len(made)), starts)
+        words = [w for w, _ in made]
+        return [words[i:j] for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
     def encoder(self) -> Remembered:
         """Encodes parts that nothing crosses; it remembers them, and their words."""
-        known, none = Remembered(self.encode_words, np.int32), np.zeros(0, np.int32)
+        known = Remembered(self.encode_words, np.int32)
 
-        def make(parts: list[str]) -> list[np.ndarray]:
+        def make(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if len(known.index) > REMEMBERED:
                 known.clear()
-            rows = [self._words(p) for p in parts]
-            ids, ends = known.arrays(known.numbers([[w for w in row if isinstance(w, str)] for row in rows]))
+            rows = self._rows(parts)
+            named = self.special and any(not isinstance(w, str) for row in rows for w in row)
+            ids, ends = known.arrays(known.numbers([[w for w in row if isinstance(w, str)] for row in rows] if named else rows))
+            if not named:
+                return ids, np.diff(ends[np.concatenate([[0], np.cumsum([len(r) for r in rows])])])
             out, k = [], 0
             for row in rows:
-                if self.special and any(not isinstance(w, str) for w in row):
-                    own = []
-                    for w in row:
-                        own.append(ids[ends[k] : ends[k + 1]] if isinstance(w, str) else [w])
-                        k += isinstance(w, str)
-                    out.append(np.concatenate([none, *own]).astype(np.int32))
-                else:
-                    out.append(ids[ends[k] : ends[k + len(row)]])
-                    k += len(row)
-            return out
+                own = [np.zeros(0, np.int32)]
+                for w in row:
+                    own.append(ids[ends[k] : ends[k + 1]] if isinstance(w, str) else np.array([w], np.int32))
+                    k += isinstance(w, str)
+                out.append(np.concatenate(own))
+            return joined(out)
 
         return Remembered(make, np.int32)
 
@@ -319,10 +364,12 @@ class Bpe:
     def decode(self, ids: list[int]) -> str:
         """The library's text of these ids. Ids outside the vocabulary, and nulls, are left out."""
         n = len(self.names)
-        names = [self.names[k] for k in ids if k is not None and 0 <= k < n]
-        if not self.joined:
-            return " ".join(names)
-        return b"".join(map(self.token_bytes, names)).decode("utf-8", "replace")
+        return self.text([k for k in ids if k is not None and 0 <= k < n])
+
+    def text(self, ids: list[int]) -> str:
+        """decode() of ids in the vocabulary."""
+        names = map(self.names.__getitem__, ids)
+        return b"".join(map(self.token_bytes, names)).decode("utf-8", "replace") if self.joined else " ".join(names)
 
     @staticmethod
     def token_bytes(name: str) -> bytes:
@@ -363,7 +410,7 @@ def encode(docs: DataFrame, bpe: Bpe, column: str = "text", ids: bool = True, pa
                 made["_packed"] = pa.array([raw[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
             if decoded:
                 flat = every.tolist()
-                made["_decoded"] = pa.array([bpe.decode(flat[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.string())
+                made["_decoded"] = pa.array([bpe.text(flat[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.string())
             yield pa.RecordBatch.from_arrays([*held.columns, *[made[c] for c in wanted]], [*names, *wanted])
 
     return docs.mapInArrow(run, schema)
