@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, save
+from .shared import drop, handed_on, save
 
 #: Edges up to which a round is one job: a hub's are then few enough for a task. With more, what is gathered of each node is a table of its own. The
 #: result is the same.
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         before, state = state, _state(now)
         if state == before:
             break
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return handed_on(now, now.select(F.col("a").alias("id"), F.col("b").alias("component")))
 
 
 def _state(edges: DataFrame) -> tuple:

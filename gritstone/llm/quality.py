@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACE, hash_words, save, slices, text_bytes
+from .shared import LOWER, SPACE, drop, hash_words, save, slices, text_bytes
 
 STATISTICS = (
     "word_length", "capitals", "digits", "symbols", "bars", "accents", "distinct_words", "repeated_next", "top_word", "distinct_lines", "line_words",
@@ -167,9 +167,11 @@ def fit(stats: DataFrame, labels: DataFrame, shrink_to_pooled: float = 0.1, shri
     rows = save(stats.join(known, "doc_id").select("words", "statistics", "quality"), "quality-labelled")
     first = _moments(rows, None)
     if first[:, 0].min() < 2:
+        drop(rows)
         return Discriminant()
     centre = first[:, 1 : d + 1].sum(0) / first[:, 0].sum()
     total = _moments(rows, centre)
+    drop(rows)
     return Discriminant.fit(centre, total[:, 0], total[:, 1 : d + 1], total[:, d + 1 :].reshape(2, d, d), shrink_to_pooled, shrink_to_diagonal)
 
 
@@ -199,7 +201,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, with all columns, that score at least threshold; all of them where nothing could be learned. Texts are read twice and never
     shuffled."""
-    model = fit(save(with_statistics(docs), "quality"), labels)
+    stats = save(with_statistics(docs), "quality")
+    model = fit(stats, labels)
+    drop(stats)
     if model.mean is None:
         return docs
 

@@ -28,13 +28,15 @@ LOWER[65:91] += 32
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Where that is unset: a temporary folder of our own if the session is local, so that all tasks share its
-    disk, else a folder in the warehouse."""
+    disk, else a folder in the warehouse, which must not be the driver's own disk: that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         folder = f"file://{tempfile.mkdtemp(prefix='gritstone-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     elif not folder:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_gritstone"
+        if re.match("(file:|/)", folder):
+            raise ValueError(f"executors don't share {folder}: set spark.checkpoint.dir to a folder of the cluster")
     return folder.rstrip("/")
 
 
@@ -54,6 +56,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def handed_on(table: DataFrame, view: DataFrame) -> DataFrame:
+    """view, which is all that reads a saved table from now on: drop(view) deletes the table."""
+    _PATHS[view] = _PATHS.pop(table)
+    return view
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Deletes tables that save() wrote and that nothing reads any more."""
     for table in tables:

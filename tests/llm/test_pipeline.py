@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 import sentencepiece
 from test_ngramjoin import brute
 from test_small_operators import DOCS, brute_lines, odd_rows, plain_scores, prose
 
-from gritstone.llm.queries import PIECE_MODEL
+from gritstone.llm import shared
+from gritstone.llm.queries import PIECE_MODEL, QUERIES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -76,3 +78,31 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_tables_go_after_their_last_reader(spark, monkeypatch, tmp_path):
+    """What a written result leaves are the tables that the result itself reads."""
+    monkeypatch.setattr(shared, "shared_folder", lambda _: f"file://{tmp_path}")
+    sf = "/root/testdata/sf0.001"
+    reads = {
+        "op2_quality": {"quality"}, "op4_ngram_join": {"survey", "edges"}, "op8_url_filter": {"hosts"}, "op11_treaps": {"postings", "first-block"},
+        "op13_align": set(), "op9_mixing": {"rates"}, "op10_passages": {"named", "representatives", "sides"}
+    }
+    for name, own in reads.items():
+        before = {p.name for p in tmp_path.iterdir()}
+        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+        left = {p.name.rpartition("-")[0] for p in tmp_path.iterdir() if p.name not in before}
+        assert left <= own, (name, left)
+
+
+def test_no_local_disk_on_a_cluster(spark):
+    class Other:  # a session of a cluster, as far as shared_folder() looks at one
+        class conf:
+            get = staticmethod(lambda key, default=None: "file:/root/warehouse" if "warehouse" in key else default)
+
+        class sparkContext:
+            master = "yarn"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError):
+        shared.shared_folder(Other)
