@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gritstone.llm import linededup, mixing, ngramjoin, pieces, quality
 from gritstone.llm.queries import PIECE_MODEL, crc_remainder
-from gritstone.llm.shared import read, save
+from gritstone.llm.shared import drop, read, save
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
