@@ -54,9 +54,10 @@ def blast_filter(error_code: str, service: str | None = None, step: str | None =
 
 
 def dedup_first(events: DataFrame, key: str = "event_id", order: str = "seq") -> DataFrame:
-    """The first row of each key stays."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return events.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The first row of each key stays, and every row whose key is null or '': such rows have never been seen."""
+    named = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+    rank = F.row_number().over(Window.partitionBy(key, F.when(~named, F.col(order))).orderBy(order))
+    return events.withColumn("_rank", rank).where(~named | (F.col("_rank") == 1)).drop("_rank")
 
 
 def fnv1a32(text: Column) -> Column:

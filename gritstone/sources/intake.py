@@ -11,6 +11,7 @@ from ..operators.filters import dedup_first
 from ..operators.validation import EVENT as FIELDS
 from ..operators.validation import fields, reject_reason
 from ..schema import EVENT
+from .log import MOST_FILE, EventLog
 
 #: Lines of a batch, and bytes of a line or body, that are taken.
 MOST_LINES, MOST_BYTES = 256, 1 << 20
@@ -59,7 +60,7 @@ def oversized(lines: DataFrame) -> DataFrame:
 
 def read_log(spark: SparkSession, folder: str, since: datetime | None = None, slack: timedelta = timedelta(minutes=5)) -> DataFrame:
     """Lines of the event log's files events-*.jsonl, without those last written more than the slack before `since` and without lines of over a MiB;
-    ordered by `file` and `line_id`."""
+    replay() orders them by file and line_id."""
     reader = spark.read.option("pathGlobFilter", "events-*.jsonl")
     reader = reader.option("modifiedAfter", (since - slack).strftime("%Y-%m-%dT%H:%M:%S")) if since else reader
     rows = reader.text(folder).select("value", "_metadata.file_modification_time", "_metadata.file_name")
@@ -77,9 +78,11 @@ def replay(lines: DataFrame, since) -> tuple[DataFrame, DataFrame]:
     return dedup_first(events), rows.where("skip is not null").groupBy("skip").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def append_log(events: DataFrame, folder: str) -> None:
-    """Adds events to the log as JSON lines."""
-    events.write.mode("append").json(folder)
+def append_log(events: DataFrame, folder: str, max_bytes: int = MOST_FILE) -> None:
+    """Adds events to the log as JSON lines, in files of about max_bytes each that read_log() finds once all of them are written."""
+    events.sparkSession.dataSource.register(EventLog)
+    lines = events.select(F.to_json(F.struct("*")).alias("value"))
+    lines.write.format("event_log").option("max_bytes", max_bytes).mode("append").save(folder)
 
 
 def legacy_entries(lines: DataFrame, schema) -> DataFrame:
