@@ -12,6 +12,7 @@ from ..functions import text
 from ..operators import correlate, detect, filters, fold, incidents, reads, state, trace
 from ..schema import FAILED
 from ..sources import alerts, intake, legacy, otlp
+from . import reports
 from .views import long_events, seeds, signals, wide_events
 
 NOW = datetime(2024, 1, 29)
@@ -619,6 +620,25 @@ def report_signals(spark, sf_dir):
     return state.report_signals(s, signals(spark, sf_dir), 120).select("incident_id", "signal_id", "signal_type", F.col("place").cast("int").alias("place"))
 
 
+@query
+def report_hash(spark, sf_dir):
+    """The hashes of every incident's report: its largest families, signals, runtime evidence, suspected deployment, samples and next checks."""
+    s, events, found = seeds(spark, sf_dir), wide_events(spark, sf_dir), signals(spark, sf_dir)
+    until = s.withColumn("until", F.col("now"))
+    ref = lambda rows, part: rows.select("incident_id", F.lit(part).alias("part"), "signal_id", "place")
+    refs = ref(state.report_signals(until, found, 120), "signals").unionByName(ref(correlate.runtime_match(s, found, 120), "runtime"))
+    details = found.withColumn("reason", F.concat_ws(" ", F.lit("seen <"), "signal_id"))
+    matched = correlate.deploy_match(s, _deploys(spark, sf_dir), minutes=60 * 72)
+    changes = matched.select("incident_id", "deploy_id", "service", F.col("deploy_first_seen").alias("deployed_at"))
+    samples = s.select("incident_id", F.array(F.concat_ws("_", "service", "day"), F.lit("other")).alias("samples"))
+    asked = until.withColumns({
+        "services": F.lit(1), "cause": F.when(F.col("events") % 3 == 0, "deploy").when(F.col("events") % 3 == 1, "dependency").otherwise("unknown"),
+        "confidence": F.when(F.col("users") > 1, "high").otherwise("low"), "warnings": F.when(F.col("events") % 2 == 0, F.array(F.lit("partial_trace"))),
+    })
+    families = state.top_families(until, events, 60 * 48)
+    return reports.reports(asked, "2024-01-31T00:00:00Z", families, samples, None, refs, details, changes).select("incident_id", "report_hash", "evidence_fingerprint")
+
+
 @query
 def top_families(spark, sf_dir):
     s = seeds(spark, sf_dir).withColumn("until", F.col("now"))

@@ -1,4 +1,4 @@
-"""The triage report: assembled on the driver from a few small results, hashed the same way every time, and rendered."""
+"""The triage report of one incident as a dictionary: hashed the same way every time, checked and rendered. Reports of many are in reports.py."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ import hashlib
 import json
 from copy import deepcopy
 
-from pyspark.sql import DataFrame
-
 VERSION, CONFIDENCES = "triage.v1", ("low", "medium", "high")
 #: The report's fields in the order in which they are hashed; those marked True are left out where empty.
 ORDER = {
@@ -88,45 +86,6 @@ def build(incident: dict, blast: dict, families: list[dict], generated_at: str,
     return report
 
 
-def from_frames(
-    incident: DataFrame, blast: DataFrame, families: DataFrame, samples: DataFrame, story: DataFrame, signals: DataFrame, alerts: DataFrame,
-    change: DataFrame, generated_at: str, window: str = "15m"
-) -> dict:
-    """The report of one incident from DataFrames, each of at most a few hundred rows.
-
-    incident: one row (incident_id, service, cause, confidence, and downstream_service and warnings where known). blast: requests, users, services.
-    families: of state.top_families(). samples: samples, of
-    state.stable_samples(). story: of trace.trace_stories(), the first sample's. signals: of state.report_signals(). alerts: signal_id, severity.
-    change: of correlate.suspect_change(). Empty frames leave their part out.
-    """
-    one = lambda df: (rows := df.limit(1).collect()) and rows[0].asDict(True) or {}
-    i, b, told, moved, held = one(incident), one(blast), one(story), one(change), one(samples).get("samples") or []
-    if not i:
-        raise LookupError("no such incident")
-    first = {}
-    if told:
-        wrong = next((s for s in told["path"] if s["status"] == "error"), {})
-        anchor = told.get("anchor") or {}
-        first = {
-            "origin_service": told["service"], "origin_step": anchor.get("step") or "", "first_failing_step": wrong.get("name"),
-            "error_code": anchor.get("error_code"), "sample_trace_id": told["trace_id"]
-        }
-        first = {k: v for k, v in first.items() if v or k in ("origin_service", "origin_step")}
-    last = told["path"][-1]["name"] if told and told["path"] else ""
-    summary = f"{first['origin_service']}/{first['origin_step']} → {last}" if last else ""
-    deploy = moved.get("suspect_deploy_id") if moved.get("deploy_service") else None
-    rate = lambda bad, n: None if not moved.get(n) else moved[bad] / moved[n]
-    parts = {
-        "first_failure": first, "sample_traces": [{"trace_id": t, "summary": summary if t == first.get("sample_trace_id") else ""} for t in held],
-        "signals": [{"id": r.signal_id, "type": r.signal_type, "evidence_ids": [r.signal_id]} for r in signals.orderBy("place").collect()],
-        "alerts": [{"signal_id": r.signal_id, "source": "", "severity": r.signal_severity, "reason": "", "evidence_ids": [r.signal_id]} for r in alerts.orderBy("place").collect()],
-        "suspect_change": deploy and {"deploy_id": deploy, "service": moved["deploy_service"], "version": moved["deploy_version"], "deployed_at": str(moved["deploy_first_seen"]), "error_rate_before": rate("bad_before", "n_before"), "error_rate_after": rate("bad_after", "n_after")},
-        "next_checks": next_checks(i["cause"], i["service"], i.get("downstream_service"), deploy, i.get("warnings") or []),
-    }
-    largest = [{k: r[k] for k in ("service", "step", "error_code", "count")} for r in families.orderBy("place").collect()]
-    return build(i | {"window": window}, b, largest, generated_at, **parts)
-
-
 def markdown(report: dict) -> str:
     """The report for a person on call."""
     b = report["blast_snapshot"]
@@ -159,17 +118,22 @@ def pagerduty_event(report: dict, key: str) -> dict:
     }
 
 
+#: What to look at next for each cause, and where none explains the failures; and for what the traces lack.
+CHECKS = {
+    "dependency": ("dependency-health", "Look at the health of {downstream} as {service} sees it."),
+    "deploy": ("deploy-diff", "Compare {service} before and after {deploy}, and consider taking it back."),
+    "runtime": ("runtime-events", "Look at restarts, memory and crashes of {service}."),
+    "app": ("failing-step", "Read the failing step of {service} in a sample trace."),
+}
+WIDEN = ("widen", "Widen the window around {service}; nothing explains the failures yet.")
+GAPS = {
+    "missing_service_version": "Record the version of each service.", "missing_dependency_signal": "Send dependency signals for called services.",
+    "partial_trace": "Pass the parent span on, so that traces link up."
+}
+
+
 def next_checks(cause: str, service: str, downstream: str | None, deploy_id: str | None, warnings: list[str]) -> list[dict]:
     """What to look at next, by cause and by what the traces lack."""
-    prompts = {
-        "dependency": ("dependency-health", f"Look at the health of {downstream or 'the called service'} as {service} sees it."),
-        "deploy": ("deploy-diff", f"Compare {service} before and after {deploy_id or 'its last deployment'}, and consider taking it back."),
-        "runtime": ("runtime-events", f"Look at restarts, memory and crashes of {service}."),
-        "app": ("failing-step", f"Read the failing step of {service} in a sample trace."),
-    }
-    found = [prompts.get(cause, ("widen", f"Widen the window around {service}; nothing explains the failures yet."))]
-    gaps = {
-        "missing_service_version": "Record the version of each service.", "missing_dependency_signal": "Send dependency signals for called services.",
-        "partial_trace": "Pass the parent span on, so that traces link up."
-    }
-    return [{"id": i, "prompt": p} for i, p in [*found, *[(w, gaps[w]) for w in sorted(set(warnings)) if w in gaps]]]
+    name, text = CHECKS.get(cause, WIDEN)
+    text = text.replace("{service}", service).replace("{downstream}", downstream or "the called service").replace("{deploy}", deploy_id or "its last deployment")
+    return [{"id": i, "prompt": p} for i, p in [(name, text), *[(w, GAPS[w]) for w in sorted(set(warnings)) if w in GAPS]]]

@@ -484,6 +484,29 @@ SELECT coalesce(o.incident_id, n.incident_id) AS incident_id, coalesce(o.env, n.
 FROM o FULL JOIN n ON o.incident_id = n.incident_id""",
     "report_signals": W + """SELECT * FROM (SELECT s.incident_id, g.signal_id, g.type AS signal_type, CAST(row_number() OVER (PARTITION BY s.incident_id ORDER BY g.at_ DESC, g.signal_id DESC) AS INTEGER) AS place
 FROM seeds s JOIN sig g ON g.at_ BETWEEN s.now - INTERVAL 120 MINUTE AND s.now) WHERE place <= 200""",
+    "report_hash": W + """, s AS (SELECT *, CASE events % 3 WHEN 0 THEN 'deploy' WHEN 1 THEN 'dependency' ELSE 'unknown' END AS cause FROM seeds),
+c AS (SELECT s.incident_id, s.service, w.step, w.error_code, count(*) AS count FROM s JOIN w ON w.failed AND w.service = s.service AND w.ts_start BETWEEN s.now - INTERVAL 48 HOUR AND s.now GROUP BY ALL),
+f AS (SELECT incident_id, '[' || string_agg(format('{{"service":"{}","step":"{}","error_code":"{}","count":{}}}', service, step, error_code, count), ',' ORDER BY place) || ']' AS families
+  FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY count DESC, step, error_code) AS place FROM c) WHERE place <= 5 GROUP BY incident_id),
+g AS (SELECT incident_id, '[' || string_agg(format('{{"id":"{0}","type":"{1}","evidence_ids":["{0}"]}}', signal_id, type), ',' ORDER BY place) || ']' AS signals, list('signal:' || signal_id) AS signal_ids
+  FROM (SELECT s.incident_id, g.signal_id, g.type, row_number() OVER (PARTITION BY s.incident_id ORDER BY g.at_ DESC, g.signal_id DESC) AS place
+    FROM s JOIN sig g ON g.at_ BETWEEN s.now - INTERVAL 120 MINUTE AND s.now) WHERE place <= 200 GROUP BY incident_id),
+t AS (SELECT signal_id, strftime(at_, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(at_) % 1000000 = 0 THEN '' ELSE '.' || rtrim(strftime(at_, '%f'), '0') END || 'Z' AS at_text FROM sig),
+r AS (SELECT m.incident_id, '[' || string_agg('{"signal_id":"' || m.signal_id || '","subtype":"","service":"' || g.service || '","source":"bench","severity":"' || g.severity || '","reason":"seen \\u003c ' || m.signal_id ||
+    '","occurred_at":"' || at_text || '"}', ',' ORDER BY m.place) || ']' AS runtime, list('runtime:' || m.signal_id) AS runtime_ids
+  FROM rtm m JOIN sig g USING (signal_id) JOIN t USING (signal_id) GROUP BY m.incident_id),
+d AS (SELECT incident_id, deploy_id, split_part(deploy_id, ':', 2) AS deploy_service, strftime(deploy_first_seen, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(deploy_first_seen) % 1000000 = 0 THEN '' ELSE '.' || rtrim(strftime(deploy_first_seen, '%f'), '0') END || 'Z' AS deployed FROM depm),
+p AS (SELECT s.incident_id, '{"schema_version":"triage.v1","incident_ref":{"id":"' || s.incident_id || '","window":"15m"},"blast_snapshot":{"requests":' || requests || ',"users":' || users || ',"services":1,"top_error_families":' || coalesce(families, 'null') || '}' ||
+    CASE WHEN deploy_id IS NULL THEN '' ELSE ',"suspect_change":{"deploy_id":"' || deploy_id || '","service":"' || deploy_service || '","deployed_at":"' || deployed || '"}' END ||
+    ',"sample_traces":[{"trace_id":"' || s.service || '_' || day || '","summary":""},{"trace_id":"other","summary":""}]' || coalesce(',"signals":' || signals, '') || coalesce(',"runtime":' || runtime, '') || ',"next_checks":[' ||
+    CASE cause WHEN 'deploy' THEN '{"id":"deploy-diff","prompt":"Compare ' || s.service || ' before and after ' || coalesce(deploy_id, 'its last deployment') || ', and consider taking it back."}'
+      WHEN 'dependency' THEN '{"id":"dependency-health","prompt":"Look at the health of ' || downstream_service || ' as ' || s.service || ' sees it."}'
+      ELSE '{"id":"widen","prompt":"Widen the window around ' || s.service || '; nothing explains the failures yet."}' END ||
+    CASE WHEN events % 2 = 0 THEN ',{"id":"partial_trace","prompt":"Pass the parent span on, so that traces link up."}' ELSE '' END ||
+    '],"confidence":"' || CASE WHEN users > 1 THEN 'high' ELSE 'low' END || '","generated_at":"","report_hash":""}' AS body,
+  list_sort(list_distinct(list_concat(['incident:' || s.incident_id, 'trace:' || s.service || '_' || day, 'trace:other'], CASE WHEN deploy_id IS NULL THEN [] ELSE ['deploy:' || deploy_id] END, coalesce(signal_ids, []), coalesce(runtime_ids, [])))) AS ids
+  FROM s LEFT JOIN f USING (incident_id) LEFT JOIN g USING (incident_id) LEFT JOIN r USING (incident_id) LEFT JOIN d USING (incident_id))
+SELECT incident_id, 'sha256:' || sha256(body) AS report_hash, 'sha256:' || sha256(array_to_string(ids, chr(10))) AS evidence_fingerprint FROM p""",
     "top_families": W + """, c AS (SELECT s.incident_id, w.step, w.error_code, count(*) AS count FROM seeds s JOIN w ON w.failed AND w.service = s.service AND w.ts_start BETWEEN s.now - INTERVAL 48 HOUR AND s.now GROUP BY ALL)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY count DESC, step, error_code) AS INTEGER) AS place FROM c) WHERE place <= 5""",
     "retention": W + """SELECT incident_id AS id FROM seeds WHERE NOT (events % 2 = 0 AND epoch(TIMESTAMP '2024-01-20') - floor(epoch(now)) > 168 * 3600)

@@ -1,13 +1,15 @@
 """Golden cases of the operators, on hand-built events."""
 
+import json
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from gritstone.operators import correlate, detect, filters, incidents, reads, state, trace
-from gritstone.plans import report
+from gritstone.plans import report, reports
 
 T0 = datetime(2024, 1, 1, 12)
 EVENTS = "event_id string, ts_start timestamp_ntz, ts_end timestamp_ntz, duration_ms bigint, service string, env string, version string, trace_id string, parent_span_id string, status string, step string, error_code string, user_id string, seq bigint"
@@ -387,19 +389,61 @@ def test_report_from_frames(spark):
     deploys = spark.createDataFrame([("d1", "checkout", "v2", T0)], "id string, service string, version string, first_seen timestamp_ntz")
     change = correlate.suspect_change(asked, deploys, correlate.deploy_rate_delta(deploys, events))
     alerts = correlate.alert_evidence(asked.withColumnsRenamed({"since": "started_at", "until": "now"}), signals)
-    made = report.from_frames(
-        asked, reads.blast_radius(events, events.where(filters.blast_filter("X"))), state.top_families(asked, events), samples, trace.stories(story),
-        state.report_signals(asked, signals), alerts, change, "2024-01-01T00:00:00Z"
+    blast = reads.blast_radius(events, events.where(filters.blast_filter("X"))).first()
+    row = asked.withColumns({c: F.lit(blast[c]) for c in ("requests", "users", "services")})
+    details = signals.withColumns({"source": F.lit("pager"), "reason": F.lit('disk <90 %> "full"'), "metadata": F.lit('{"alert_id": "a9", "provider_url": "http://p/?a&b"}')})
+    refs = alerts.select("incident_id", F.lit("alerts").alias("part"), "signal_id", "place").unionByName(
+        state.report_signals(asked, signals).select("incident_id", F.lit("signals").alias("part"), "signal_id", "place")
+    ).unionByName(spark.createDataFrame([("i1", "runtime", "sig1", 1)], "incident_id string, part string, signal_id string, place int"))
+    changes = change.where("deploy_service is not null").select(
+        "incident_id", F.col("suspect_deploy_id").alias("deploy_id"), F.col("deploy_service").alias("service"), F.col("deploy_version").alias("version"), F.col("deploy_first_seen").alias("deployed_at"),
+        (F.col("bad_before") / F.nullif("n_before", F.lit(0))).alias("error_rate_before"), (F.col("bad_after") / F.nullif("n_after", F.lit(0))).alias("error_rate_after")
     )
+    told = trace.stories(story).withColumn("incident_id", F.lit("i1"))
+    make = lambda at, rows=row: json.loads(reports.reports(rows, at, state.top_families(asked, events), samples, told, refs, details, changes).first().report)
+    made = make("2024-01-01T00:00:00Z")
     assert (made["blast_snapshot"]["requests"], made["blast_snapshot"]["users"]) == (2, 2)
     assert [(f["step"], f["count"]) for f in made["blast_snapshot"]["top_error_families"]] == [("pay", 2), ("other", 1)]
     assert [s["trace_id"] for s in made["sample_traces"]] == ["t", "t2"] and made["sample_traces"][0]["summary"] == "checkout/pay → pay"
     assert made["first_failure"]["first_failing_step"] == "pay" and made["suspect_change"]["deploy_id"] == "d1" and made["signals"][0]["id"] == "sig1" and made["alerts"][0]["signal_id"] == "sig1"
-    again = report.from_frames(
-        asked, reads.blast_radius(events, events.where(filters.blast_filter("X"))), state.top_families(asked, events), samples, trace.stories(story),
-        state.report_signals(asked, signals), alerts, change, "2025-01-01T00:00:00Z"
+    assert made["alerts"][0] | {"evidence_ids": 0} == {"signal_id": "sig1", "alert_id": "a9", "source": "pager", "severity": "warning", "reason": 'disk <90 %> "full"', "provider_url": "http://p/?a&b", "evidence_ids": 0}
+    assert made["runtime"][0]["occurred_at"].endswith(":01:00Z") and made["runtime"][0]["service"] == "checkout"
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", made["suspect_change"]["deployed_at"])
+    assert made["report_hash"] == report.report_hash(made) and made["evidence_fingerprint"] == report.fingerprint(made)
+    assert make("2025-01-01T00:00:00Z")["report_hash"] == made["report_hash"] and not report.problems(made)
+
+    # what was captured comes first
+    snapped = row.withColumns({
+        "blast": F.expr("named_struct('requests', 7L, 'users', 5L, 'services', 3L, 'sampled_traces', array('z', 't'))"),
+        "propagation": F.expr("named_struct('origin_service', 'db', 'origin_step', 'q', 'sample_trace_id', 'z', 'path', array(named_struct('step', 'a', 'status', 'ok', 'error_code', ''), named_struct('step', 'b', 'status', 'error', 'error_code', 'E9')))"),
+    })
+    made = make("2024-01-01T00:00:00Z", snapped)
+    assert [made["blast_snapshot"][c] for c in ("requests", "users", "services")] == [7, 5, 3]
+    assert made["first_failure"] == {"origin_service": "db", "origin_step": "q", "first_failing_step": "b", "error_code": "E9", "sample_trace_id": "z"}
+    assert made["sample_traces"] == [{"trace_id": "z", "summary": "db/q → b"}, {"trace_id": "t", "summary": ""}]
+    assert made["report_hash"] == report.report_hash(made) and made["evidence_fingerprint"] == report.fingerprint(made)
+
+
+def test_reports_of_odd_incidents(spark):
+    """Texts with all that JSON escapes, nulls, and incidents without any part: the same hashes as of one report at a time."""
+    odd = "".join(map(chr, range(1, 40))) + '\\u000B "<>&é😀\u2028\u2029'
+    rows = [("a", odd, "deploy", "high", 1, None, 3, [odd, "partial_trace"]), (odd, "s", "none", "sure", None, 2, None, None), ("", "s", "app", "low", 1, 1, 1, []), (None, "s", "app", "low", 1, 1, 1, [])]
+    i = spark.createDataFrame(rows, "incident_id string, service string, cause string, confidence string, requests int, users int, services int, warnings array<string>")
+    families = spark.createDataFrame([("a", odd, None, odd, 5, 1)], "incident_id string, service string, step string, error_code string, count int, place int")
+    samples = spark.createDataFrame([("a", [odd, "t2"]), (odd, [])], "incident_id string, samples array<string>")
+    got = {r.incident_id: r for r in reports.reports(i, "now", families, samples).collect()}
+    assert set(got) == {"a", odd}
+    for r in got.values():
+        made = json.loads(r.report)
+        assert made["report_hash"] == r.report_hash == report.report_hash(made) and made["evidence_fingerprint"] == r.evidence_fingerprint == report.fingerprint(made)
+        assert report.canonical(made) == r.report and not report.problems(made)
+    assert reports.reports(i.limit(0), "now").collect() == []
+
+
+def test_a_snapshot_in_words(spark):
+    asked = spark.createDataFrame(
+        [("i1", "prod", "checkout", "pay", "X", "deploy", "high")], "incident_id string, env string, service string, step string, error_code string, cause string, confidence string"
     )
-    assert again["report_hash"] == made["report_hash"] and not report.problems(made)
     assert state.snapshot_text(
         asked.withColumns({"status": F.lit("active"), "severity": F.lit(3), "requests": F.lit(2), "users": F.lit(None)})
     ).first().text.splitlines()[0] == "i1 active severity 3"
