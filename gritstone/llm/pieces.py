@@ -118,7 +118,9 @@ class Pieces:
             want = [self.pieces[left - 1], right] if left else [right]
             return self.merged("".join(want)) == want
 
-        return _PAIRS.setdefault(self.key, Verdicts()).of(keys, judge)
+        if self.key not in _PAIRS:
+            _PAIRS[self.key] = Verdicts()
+        return _PAIRS[self.key].of(keys, judge)
 
     def _apart(self, text: str) -> list[int]:
         """Ids of a short stretch with characters that no piece holds alone: what is in no piece comes as bytes, or as unknown."""

@@ -92,10 +92,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    aligned = align.align(docs, bpe.Bpe.load(BYTE_MERGES, special=False), pieces.Pieces.load(PIECE_MODEL))
-    digest = F.when(F.col("_groups") == "", "").otherwise(F.sha2(F.col("_groups").cast("binary"), 256))
-    counts = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    return aligned.select("doc_id", *[F.col(f"_{c}").alias(c) for c in counts], digest.alias("groups_sha256"))
+    a, b = bpe.Bpe.load(BYTE_MERGES, special=False), pieces.Pieces.load(PIECE_MODEL)
+    aligned = align.align(docs, a, b, groups="_groups_sha256", keep_text=False)
+    columns = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return aligned.select("doc_id", *[F.col(f"_{c}").alias(c) for c in columns])
 
 
 QUERIES: dict[str, Query] = {

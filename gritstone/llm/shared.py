@@ -44,12 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it again: a lineage cut that outlives any executor. The table goes with drop(), or when the driver
     ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     atexit.register(_delete, spark, path)
     table = spark.read.parquet(path)
     _PATHS[table] = path

@@ -191,7 +191,8 @@ def test_align_as_brute_force(spark, monkeypatch):
     got = [tuple(r[c] for c in names) for r in align.align(df, one, two).orderBy("doc_id").collect()]
     assert got == want and any(w[2] < min(w[0], w[1]) for w in want)
     monkeypatch.setattr(align, "TRAVELS", 300)  # counts go to tasks in several parts
-    monkeypatch.setattr(align, "REMEMBERED", 50)
+    monkeypatch.setattr(align, "PARTS", 50)
+    monkeypatch.setattr(align, "COUNTED", 100)
     got = [tuple(r[c] for c in names) for r in align.align(df, one, two).orderBy("doc_id").collect()]
     assert got == want
     assert align.align(df.limit(0), one, two).collect() == []
