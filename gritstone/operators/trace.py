@@ -37,22 +37,19 @@ class Graph:
         self.usable = bool(self.parent)
 
     def depths(self) -> dict[str, int]:
-        """The number of events above each one; in a cycle, of all that it can reach."""
+        """The number of events above each one; in a cycle, and below it, of all that it can reach."""
         out: dict[str, int] = {}
         for start in self.parent:
-            path, at = [], start
-            while at in self.parent and at not in out and at not in path[-1:] and len(path) <= len(self.parent):
-                path.append(at)
+            place: dict[str, int] = {}
+            at = start
+            while at in self.parent and at not in out and at not in place:
+                place[at] = len(place)
                 at = self.parent[at]
-            if len(path) > len(self.parent):  # it leads into a cycle
-                seen, at = [], start
-                while at not in seen:
-                    seen.append(at)
-                    at = self.parent[at]
-                out[start] = len(seen)
-                continue
-            base = out.get(at, 0)
-            for k, e in enumerate(reversed(path)):
+            path = list(place)
+            ring = path[place[at] :] if at in place else []
+            out |= dict.fromkeys(ring, len(ring))
+            base = len(ring) or out.get(at, 0)
+            for k, e in enumerate(reversed(path[: len(path) - len(ring)])):
                 out[e] = base + k + 1
         return out
 

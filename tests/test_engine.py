@@ -356,6 +356,43 @@ def test_anomaly_incidents(spark):
     assert got["s", "LATENCY_SPIKE"].incident_id == "mine" and got["s", "LATENCY_SPIKE"].started_at == T0 and got["s", "TRAFFIC_DROP"].incident_id.startswith("inc_")
 
 
+def test_anchor_on_any_graph():
+    """Random parents, cycles included: the anchor is a failed event that no failed event is below, the deepest one, whatever the order of events."""
+    rng, cyclic = random.Random(12), 0
+    for _ in range(400):
+        n = rng.randrange(2, 8)
+        rows = [
+            {
+                "event_id": f"e{k}", "ts_start": T0 + timedelta(seconds=rng.randrange(5)), "service": "s", "status": rng.choice(("ok", "error")), "spans": [f"s{k}"], "seq": k,
+                "parent_span_id": rng.choice(("", f"s{rng.choice([j for j in range(n) if j != k])}", f"s{rng.choice([j for j in range(n) if j != k])}")),
+            } for k in range(n)
+        ]
+        up = {r["event_id"]: "e" + r["parent_span_id"][1:] for r in rows if r["parent_span_id"]}
+        bad = {r["event_id"] for r in rows if r["status"] == "error"}
+
+        def below(top):
+            """All that is reached from an event through the calls it made, itself too if it is reached."""
+            seen, stack = set(), [top]
+            while stack:
+                at = stack.pop()
+                fresh = [c for c, p in up.items() if p == at and c not in seen]
+                seen |= set(fresh)
+                stack += fresh
+            return seen
+
+        cyclic += any(e in below(e) for e in up)
+        leaves = {e for e in bad if not below(e) & bad}
+        found = {(trace.anchor(rng.sample(rows, n))[0] or {}).get("event_id") for _ in range(4)}
+        assert len(found) == 1
+        if bad and up and leaves and any(e in up or e in up.values() for e in bad):
+            depth = trace.Graph(rows).depths()
+            by = {r["event_id"]: r for r in rows}
+            assert found == {min(leaves, key=lambda e: (-depth.get(e, 0), by[e]["ts_start"], e))}
+    assert cyclic > 50
+    call = lambda k, parent, status: {"event_id": k, "ts_start": T0, "service": "s", "status": status, "spans": [k], "seq": 0, "parent_span_id": parent}
+    assert trace.anchor([call("a", "b", "error"), call("b", "a", "ok"), call("d", "b", "error")])[0]["event_id"] == "d"
+
+
 def test_deep_traces_are_linear():
     rows = [
         {
