@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import correlate, detect, filters, fold, incidents, reads, state, trace
+from ..operators import admission, assembly, correlate, detect, filters, fold, incidents, reads, state, trace
 from ..schema import FAILED
 from ..sources import alerts, intake, legacy, otlp
 from . import reports
@@ -614,6 +614,37 @@ def incident_transitions(spark, sf_dir):
     return fold.transitions(_daily_sightings(spark, sf_dir), FIRST_DAY, DAY, 28, 2.5 * DAY).drop("env", "service")
 
 
+@query
+def assembled_events(spark, sf_dir):
+    """Each event's request from the records it would have left: a step that may stay open, an inner one that never ends, a log, and four ways to end."""
+    w = wide_events(spark, sf_dir)
+    at, k, bad = F.col("event_id") * 1000, F.col("k"), F.col("status").isin(*FAILED)
+    ended = F.when(k % 13 == 0, "panic").when(k % 13 == 1, "timeout").when(k % 13 == 2, "aborted").otherwise("close")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("")) if not isinstance(c, str) else F.lit(c)
+
+    def record(seq, kind, after, when=None, name="", span="", status="", code="", reason=""):
+        row = F.struct(F.lit(seq).cast("bigint").alias("seq"), text(kind).alias("kind"), (at + after).alias("at_ms"), text(name).alias("name"), text(span).alias("span_id"), text(status).alias("status"), text(code).alias("code"), text(reason).alias("reason"))
+        return row if when is None else F.when(when, row)
+
+    rows = F.array(
+        record(1, "open", 0), record(2, "step", 2, name=F.concat(F.lit("step_"), k % 3), span="1"), record(3, "step", 5, k % 6 == 0, name="inner", span="2"),
+        record(4, "log", 7, k % 4 == 0, name="warn"), record(5, "step_end", 9 + k % 30, k % 5 != 0, span="1", status=F.when(bad, "error").otherwise("ok"), code=F.col("error_code"), reason=F.concat(F.lit("r"), k % 4), name=F.concat(F.lit("step_"), k % 3)),
+        record(6, "suppress", 45, k % 17 == 0), record(7, ended, 50), record(8, "panic", 60, k % 2 == 0),
+    )
+    records = w.select(F.col("event_id").cast("string").alias("request_id"), "service", "env", "trace_id", "parent_span_id", F.lit(None).cast("string").alias("value"), F.inline(F.filter(rows, lambda r: r.isNotNull())))
+    made, number = assembly.assemble(records), lambda c: F.coalesce(c, F.lit(-1))  # suppressed ones have none
+    return made.select(
+        "request_id", "status", F.col("anchor.step").alias("anchor_step"), F.col("anchor.error_code").alias("anchor_code"), number(F.size("steps")).alias("n_steps"), number(F.size("logs")).alias("n_logs"),
+        F.array_join("errors.code", ",").alias("errors"), number(F.aggregate("steps", F.lit(0).cast("bigint"), lambda a, x: a + x["duration_ms"])).alias("step_ms"), "duration_ms"
+    )
+
+
+@query
+def newest_ids(spark, sf_dir):
+    """Events whose trace was not among the last 100 traces admitted."""
+    return admission.newest(wide_events(spark, sf_dir).select("event_id", "trace_id", "seq"), "trace_id", "seq", 100).select("event_id", "trace_id")
+
+
 @query
 def report_signals(spark, sf_dir):
     s = seeds(spark, sf_dir).withColumn("until", F.col("now"))

@@ -484,6 +484,25 @@ SELECT coalesce(o.incident_id, n.incident_id) AS incident_id, coalesce(o.env, n.
 FROM o FULL JOIN n ON o.incident_id = n.incident_id""",
     "report_signals": W + """SELECT * FROM (SELECT s.incident_id, g.signal_id, g.type AS signal_type, CAST(row_number() OVER (PARTITION BY s.incident_id ORDER BY g.at_ DESC, g.signal_id DESC) AS INTEGER) AS place
 FROM seeds s JOIN sig g ON g.at_ BETWEEN s.now - INTERVAL 120 MINUTE AND s.now) WHERE place <= 200""",
+    "newest_ids": W.replace("WITH", "WITH RECURSIVE", 1) + """, placed AS MATERIALIZED (SELECT event_id, trace_id, dense_rank() OVER (ORDER BY trace_id) AS t, row_number() OVER (ORDER BY event_id) AS place FROM w),
+ids AS MATERIALIZED (SELECT list(t ORDER BY place) AS t FROM placed),
+scan AS (
+  SELECT 0::BIGINT AS place, false AS fresh, []::BIGINT[] AS held
+  UNION ALL
+  SELECT s.place + 1, NOT list_contains(s.held, ids.t[s.place + 1]), CASE WHEN list_contains(s.held, ids.t[s.place + 1]) THEN s.held ELSE list_append(s.held[-99:], ids.t[s.place + 1]) END
+  FROM scan s, ids WHERE s.place < len(ids.t))
+SELECT event_id, trace_id FROM scan JOIN placed USING (place) WHERE fresh""",
+    "assembled_events": W + """, r AS (SELECT *, k % 17 = 0 AS supp, failed AND k % 5 <> 0 AS bad, CASE k % 13 WHEN 0 THEN 'panic' WHEN 1 THEN 'timeout' WHEN 2 THEN 'aborted' ELSE 'close' END AS ended FROM w)
+SELECT CAST(event_id AS VARCHAR) AS request_id,
+  CASE WHEN supp THEN 'suppressed' WHEN ended = 'panic' THEN 'error' WHEN ended = 'timeout' THEN 'timeout' WHEN bad THEN 'error' WHEN ended = 'aborted' THEN 'aborted' ELSE 'ok' END AS status,
+  CASE WHEN supp THEN NULL WHEN bad THEN step WHEN ended = 'close' THEN NULL WHEN k % 6 = 0 THEN 'inner' WHEN k % 5 = 0 THEN 'step_' || (k % 3) ELSE 'request' END AS anchor_step,
+  CASE WHEN supp THEN NULL WHEN bad THEN error_code WHEN ended <> 'close' THEN upper(ended) END AS anchor_code,
+  CASE WHEN supp THEN -1 ELSE (k % 5 <> 0)::INTEGER + CASE WHEN ended = 'close' THEN 0 ELSE (k % 6 = 0)::INTEGER + (k % 5 = 0)::INTEGER END END AS n_steps,
+  CASE WHEN supp THEN -1 ELSE (k % 4 = 0)::INTEGER END AS n_logs,
+  CASE WHEN supp THEN NULL ELSE array_to_string(list_filter([CASE WHEN bad THEN error_code END, CASE WHEN ended = 'panic' THEN 'PANIC' END], lambda x: x IS NOT NULL), ',') END AS errors,
+  CASE WHEN supp THEN -1 ELSE CASE WHEN k % 5 <> 0 THEN 7 + k % 30 ELSE 0 END + CASE WHEN ended = 'close' THEN 0 ELSE CASE WHEN k % 6 = 0 THEN 45 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 48 ELSE 0 END END END AS step_ms,
+  50::BIGINT AS duration_ms
+FROM r""",
     "report_hash": W + """, s AS (SELECT *, CASE events % 3 WHEN 0 THEN 'deploy' WHEN 1 THEN 'dependency' ELSE 'unknown' END AS cause FROM seeds),
 c AS (SELECT s.incident_id, s.service, w.step, w.error_code, count(*) AS count FROM s JOIN w ON w.failed AND w.service = s.service AND w.ts_start BETWEEN s.now - INTERVAL 48 HOUR AND s.now GROUP BY ALL),
 f AS (SELECT incident_id, '[' || string_agg(format('{{"service":"{}","step":"{}","error_code":"{}","count":{}}}', service, step, error_code, count), ',' ORDER BY place) || ']' AS families
