@@ -39,27 +39,34 @@ def spans_to_events(exports: DataFrame, now=None, step_attribute: str = "event.s
     zero = lambda c: F.coalesce(F.col(c), F.lit("")).rlike("^0*$")
     micros = lambda c: F.expr(f"cast({c} as bigint) div 1000")  # noqa: E731  nanoseconds are beyond a double
 
-    thrown = F.filter(F.coalesce("events", F.array().cast(f"array<{_EVENT}>")), lambda e: e["name"] == "exception")
-    wrong = F.coalesce(F.col("status.code") == ERROR, F.lit(False)) | (F.size(thrown) > 0)
-    answered = _value("attributes", "http.response.status_code")["intValue"].try_cast("int")
-    has_answer = F.coalesce(answered > 0, F.lit(False))
-    http = has_answer | _value("attributes", "http.request.method").isNotNull() | _value("attributes", "http.route").isNotNull()
-    status_code = F.when(has_answer, answered).when(wrong, 500).otherwise(200)
-    error = wrong | (has_answer & (answered >= 500))
-
-    rows = rows.select("*", thrown.alias("thrown"), http.alias("is_http"), status_code.alias("status_code"), error.alias("is_error"))
     own = lambda x: F.nullif(x, F.lit(""))
-    step = F.coalesce(own(_text("attributes", step_attribute, "http.route")), own(F.col("name")), F.lit("otlp.span"))
-    attribute_of = lambda e, name: F.nullif(_text(e["attributes"], name), F.lit(""))
-    typed = F.get(F.filter("thrown", lambda e: attribute_of(e, "exception.type").isNotNull()), 0)
-    told = F.get(F.filter("thrown", lambda e: attribute_of(e, "exception.message").isNotNull()), 0)
-    any_reason = F.coalesce(attribute_of(told, "exception.message"), own(F.col("status.message")), F.lit("otlp span reported error"))
-    own_code, typed_code = own(_text("attributes", code_attribute)), attribute_of(typed, "exception.type")
-    code = F.coalesce(own_code, typed_code, F.concat(F.lit("HTTP_"), F.col("status_code").cast("string")))
-    reason = F.when(own_code.isNull() & typed_code.isNotNull(), _text(typed["attributes"], "exception.message")).otherwise(any_reason)
-    rows = rows.select("*", step.alias("step"), code.alias("code"), reason.alias("reason"))
 
-    service = _text("resource", "service.name")
+    def once(df: DataFrame, **columns: Column) -> DataFrame:
+        """df with these columns, a row for a row: they are made once here, and not again in each expression that names them."""
+        return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+    thrown = F.filter(F.coalesce("events", F.array().cast(f"array<{_EVENT}>")), lambda e: e["name"] == "exception")
+    told = F.transform(thrown, lambda e: F.struct(own(_text(e["attributes"], "exception.type")).alias("type"), own(_text(e["attributes"], "exception.message")).alias("message")))
+    rows = once(
+        rows, thrown=told, answered=_value("attributes", "http.response.status_code")["intValue"].try_cast("int"), method=_value("attributes", "http.request.method"),
+        route=_value("attributes", "http.route"), own_step=own(_text("attributes", step_attribute)), own_code=own(_text("attributes", code_attribute)), service=_text("resource", "service.name"),
+        env=own(_text("resource", "deployment.environment.name", "deployment.environment")), version=_text("resource", "service.version"),
+        peer=host_of(_text("attributes", "peer.service", "server.address", "net.peer.name")), elsewhere=_text("attributes", "url.path", "http.target"),
+    )
+    text_of = lambda c: own(F.col(f"{c}.stringValue"))
+    wrong = F.coalesce(F.col("status.code") == ERROR, F.lit(False)) | (F.size("thrown") > 0)
+    has_answer = F.coalesce(F.col("answered") > 0, F.lit(False))
+    rows = once(
+        rows, is_http=has_answer | F.col("method").isNotNull() | F.col("route").isNotNull(), is_error=wrong | (has_answer & (F.col("answered") >= 500)),
+        status_code=F.when(has_answer, F.col("answered")).when(wrong, 500).otherwise(200), step=F.coalesce("own_step", text_of("route"), own(F.col("name")), F.lit("otlp.span")),
+        typed=F.get(F.filter("thrown", lambda e: e["type"].isNotNull()), F.lit(0)), said=F.get(F.filter("thrown", lambda e: e["message"].isNotNull()), F.lit(0)),
+    )
+    any_reason = F.coalesce("said.message", own(F.col("status.message")), F.lit("otlp span reported error"))
+    code = F.coalesce("own_code", "typed.type", F.concat(F.lit("HTTP_"), F.col("status_code").cast("string")))
+    reason = F.when(F.col("own_code").isNull() & F.col("typed.type").isNotNull(), F.coalesce("typed.message", F.lit(""))).otherwise(any_reason)
+    rows = once(rows, code=code, reason=reason)
+
+    service, peer = F.col("service"), F.col("peer")
     start_at = F.timestamp_micros(micros("startTimeUnixNano"))
     drop = F.when(service == "", "missing_service").when(zero("traceId"), "missing_trace_id").when(zero("spanId"), "invalid_span").when(
         ~F.col("is_http"), "unsupported_kind"
@@ -71,13 +78,12 @@ def spans_to_events(exports: DataFrame, now=None, step_attribute: str = "event.s
         F.floor((nanos("endTimeUnixNano") - nanos("startTimeUnixNano")) / 1_000_000)
     ).cast("bigint")
     end = F.greatest(micros("startTimeUnixNano"), micros("endTimeUnixNano"))
-    peer = host_of(_text("attributes", "peer.service", "server.address", "net.peer.name"))
-    downstream = F.struct(peer.alias("service"), _text("attributes", "http.route", "url.path", "http.target").alias("endpoint"), F.lit("http").alias("kind"))
+    downstream = F.struct(peer.alias("service"), F.coalesce(text_of("route"), "elsewhere").alias("endpoint"), F.lit("http").alias("kind"))
     fault = F.struct(F.col("code"), F.col("reason"), F.lit("otlp").alias("cause"))
     when_wrong = lambda x: F.when(F.col("is_error"), x)
     state = F.when(F.col("is_error"), "error").otherwise("ok")
     fields = F.to_json(F.struct(
-        F.struct(F.col("status_code").alias("status"), own(_text("attributes", "http.request.method")).alias("method"), own(_text("attributes", "http.route")).alias("route")).alias("http"),
+        F.struct(F.col("status_code").alias("status"), text_of("method").alias("method"), text_of("route").alias("route")).alias("http"),
         F.struct(F.coalesce("name", F.lit("")).alias("span_name"), F.coalesce(F.get(F.array(*[F.lit(k) for k in KINDS]), F.coalesce("kind", F.lit(0))), F.col("kind").cast("string")).alias("span_kind")).alias("otel"),
     ))
     log = F.struct(
@@ -87,7 +93,7 @@ def spans_to_events(exports: DataFrame, now=None, step_attribute: str = "event.s
     )
     return rows.select(
         event_uuid(F.lower("traceId"), F.lower("spanId")).alias("event_id"), start_at.alias("ts_start"), F.timestamp_micros(end).alias("ts_end"), length.alias("duration_ms"), service.alias("service"),
-        F.coalesce(own(_text("resource", "deployment.environment.name", "deployment.environment")), F.lit("unknown")).alias("env"), _text("resource", "service.version").alias("version"),
+        F.coalesce("env", F.lit("unknown")).alias("env"), "version",
         F.lower("traceId").alias("trace_id"), F.lower("spanId").alias("span_id"), F.when(zero("parentSpanId"), "").otherwise(F.lower("parentSpanId")).alias("parent_span_id"), state.alias("status"),
         when_wrong(F.struct(F.col("step"), F.col("code").alias("error_code"), F.lit("otlp").alias("kind"))).alias("anchor"),
         F.array(F.struct(
