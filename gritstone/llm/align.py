@@ -23,7 +23,9 @@ from .shared import drop, save, slices
 #: Pairs of ids whose counts go to tasks in one step (17 bytes each); with more of them there are more steps.
 TRAVELS = 1 << 20
 #: Parts and transitions that a task remembers, and distinct pairs that it counts before it hands them on.
-PARTS, STEPS, COUNTED = 600_000, 1 << 20, 1 << 20
+PARTS, STEPS, COUNTED = 1_000_000, 1 << 20, 1 << 20
+#: Kept by worker processes from task to task, by models.
+_ALIGNERS: dict[tuple[int, int], Aligner] = {}
 
 
 class Transducer:
@@ -201,7 +203,8 @@ def _aligned(docs: DataFrame, a: Bpe, b: Pieces, column: str, groups: str, keep:
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a, b)
+        aligner = _ALIGNERS.get((a.key, b.key)) or Aligner(a, b)
+        _ALIGNERS[a.key, b.key] = aligner
         for held in slices(batches, column):
             which, bounds = aligner.read(held.column(column).to_pylist())
             total = np.zeros((len(which) + 1, 3), np.int64)

@@ -132,6 +132,7 @@ class Bpe:
         ranks = np.arange(len(pairs))
         if len(np.unique(self.product)) < len(pairs) or (np.maximum(self.made[left], self.made[right]) >= ranks).any():
             raise ValueError("merges that are out of order, or make a token twice, can't be verified by pairs")
+        self.key = hash((tuple(self.names), tuple(pairs), tuple(self.special), cut))
         keys = left * size + right
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], ranks[order]
