@@ -59,8 +59,7 @@ def test_search_as_brute_force(spark, monkeypatch):
     docs, items = corpus(random.Random(1))
     want = brute_search(docs, items)
     assert found(spark, docs, items) == want and len(want) > 200
-    monkeypatch.setattr(treaps, "BLOCK", 700)  # many blocks, ranges in small turns
-    monkeypatch.setattr(treaps, "RANGES", 3)
+    monkeypatch.setattr(treaps, "BLOCK", 700)  # many blocks
     assert found(spark, docs, items, 7) == want
     monkeypatch.setattr(treaps, "TERMS", 60)  # several passes
     assert found(spark, docs, items, k=4) == brute_search(docs, items, 4)
@@ -68,7 +67,9 @@ def test_search_as_brute_force(spark, monkeypatch):
     assert found(spark, [(1, None)], items) == []
 
 
-def test_treaps_prune_and_stay_right():
+@pytest.mark.parametrize("ranges", [treaps.RANGES, 3])
+def test_treaps_prune_and_stay_right(monkeypatch, ranges):
+    monkeypatch.setattr(treaps, "RANGES", ranges)
     rng = np.random.default_rng(2)
     n = 3000
     rows = [(t, d) for t in range(12) for d in np.flatnonzero(rng.random(n) < 1 / (t + 1)).tolist()]
@@ -191,13 +192,29 @@ def test_align_as_brute_force(spark, monkeypatch):
     got = [tuple(r[c] for c in names) for r in align.align(df, one, two).orderBy("doc_id").collect()]
     assert got == want and any(w[2] < min(w[0], w[1]) for w in want)
     monkeypatch.setattr(align, "TRAVELS", 300)  # counts go to tasks in several parts
-    monkeypatch.setattr(align, "PARTS", 50)
-    monkeypatch.setattr(align, "COUNTED", 100)
     got = [tuple(r[c] for c in names) for r in align.align(df, one, two).orderBy("doc_id").collect()]
     assert got == want
     assert align.align(df.limit(0), one, two).collect() == []
 
 
+def test_an_aligner_that_forgets(monkeypatch):
+    """What it remembers has no say in what it finds."""
+    one, two, rows = bpe.Bpe.load(queries.BYTE_MERGES, special=False), pieces.Pieces.load(queries.PIECE_MODEL), texts(random.Random(6), 60)[:-1]
+
+    def facts(aligner, size):
+        out = []
+        for k in range(0, len(rows), size):
+            which, bounds = aligner.read(rows[k : k + size])
+            out += [[(aligner.groups[p], aligner.parts.arrays(np.array([p]))[0].tolist()) for p in which[i:j]] for i, j in zip(bounds, bounds[1:], strict=False)]
+        return out
+
+    want = facts(align.Aligner(one, two), 1000)
+    monkeypatch.setattr(align, "PARTS", 30)
+    monkeypatch.setattr(align, "STEPS", 20)
+    assert facts(align.Aligner(one, two), 3) == want
+    assert align.unpack(align.pack(np.array([7] * 70000 + [3], np.int64)))[1].tolist() == [1, 65535, 70000 - 65535]
+
+
 def test_queries_digest_the_outputs(spark, tmp_path):
     rows = [(0, "The end of the world's news."), (1, None), (2, ""), (3, "▁ odd")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
