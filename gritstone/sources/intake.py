@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.filters import dedup_first
 from ..operators.validation import EVENT as FIELDS
@@ -52,6 +54,47 @@ def envelope(parsed: DataFrame, known_ids: DataFrame | None = None) -> DataFrame
     )
 
 
+#: Why a line is refused.
+REASONS = ("invalid_json", "bridge_not_implemented", "schema_validation_failed")
+
+
+def _tallies() -> list:
+    verdict = lambda what: F.count_if(F.col("_verdict") == what)
+    return [verdict("").alias("accepted"), verdict("duplicate").alias("duplicate"), *[verdict(r).alias(r) for r in REASONS]]
+
+
+def admitted(parsed: DataFrame, order: str = "line", counts: Observation | str = "intake") -> DataFrame:
+    """The events of parse() that are valid and the first of their id (by `order`), and, as they flow by, how many lines were accepted, duplicate, or
+    refused for each reason: no second pass. counts: an Observation, for batches, whose get is there once something has run; or the name of the metrics,
+    which Counts reads of a stream (there the watermark's dropDuplicates takes duplicates away before, so that none are counted)."""
+    rows = parsed.withColumn("_id", F.when(F.col("reason").isNull(), F.col("event.event_id")))
+    if not parsed.isStreaming:
+        place = F.row_number().over(Window.partitionBy("_id", F.when(F.col("_id").isNull(), F.col(order))).orderBy(order))
+        again = (place > 1) & F.col("_id").isNotNull()
+    else:
+        again = F.lit(False)
+    rows = rows.withColumn("_verdict", F.when(F.col("reason").isNotNull(), F.col("reason")).when(again, "duplicate").otherwise(""))
+    keep = [c for c in parsed.columns if c not in ("value", "event", "reason")]
+    return rows.observe(counts, *_tallies()).where("_verdict = ''").select(*keep, "event.*")
+
+
+class Counts(StreamingQueryListener):
+    """Sums of the tallies of all batches of a stream, by name: total[name]["accepted"] and so on."""
+
+    def __init__(self) -> None:
+        self.total: dict[str, Counter] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            self.total.setdefault(name, Counter()).update(row.asDict())
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def oversized(lines: DataFrame) -> DataFrame:
     """Batches with too many lines or too long a body: they are refused as a whole."""
     sizes = lines.where(F.trim("value") != "").groupBy("batch").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value")).alias("bytes"))

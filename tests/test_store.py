@@ -4,10 +4,13 @@ import json
 import os
 import random
 import re
+import time
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from gritstone.operators import admission, filters, state
@@ -187,3 +190,37 @@ def test_stream_to_the_log(spark, tmp_path):
     (source / "b.txt").write_text("three\n")
     run()
     assert sorted(r.value for r in intake.read_log(spark, str(out)).collect()) == ["one", "three", "two"]
+
+
+def test_counts_are_observed_while_data_flows(spark, tmp_path):
+    """As envelope() counts them, in one pass; and in a stream, by a listener."""
+    valid = {
+        "schema_version": "2.0", "event_id": "e0", "ts_start": "2024-01-01T00:00:00Z", "ts_end": "2024-01-01T00:00:01Z", "kind": "http", "service": "s", "env": "prod", "trace_id": "a" * 32,
+        "status": "ok"
+    }
+    rng = random.Random(3)
+    texts = [rng.choice(("{", json.dumps(valid | {"schema_version": "1.1"}), json.dumps(valid | {"kind": "x"}), json.dumps(valid | {"event_id": f"e{rng.randrange(40)}"}))) for _ in range(300)]
+    parsed = intake.parse(spark.createDataFrame([("b", k, t) for k, t in enumerate(texts)], "batch string, line int, value string"))
+    seen = Observation("seen")
+    events = intake.admitted(parsed, counts=seen).collect()
+    want = intake.envelope(parsed).first()
+    refused = Counter(r.reason for r in want.rejected)
+    assert seen.get == {"accepted": want.accepted, "duplicate": want.duplicate} | {r: refused[r] for r in intake.REASONS}
+    assert len(events) == want.accepted == len({e.event_id for e in events}) and want.duplicate > 30
+
+    (tmp_path / "in").mkdir()
+    listener = intake.Counts()
+    spark.streams.addListener(listener)
+    try:
+        for k in (0, 1):
+            (tmp_path / "in" / f"{k}.txt").write_text("\n".join(texts[150 * k : 150 * k + 150]))
+            stream = intake.admitted(intake.parse(spark.readStream.text(str(tmp_path / "in"))), counts="flow")
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(120)
+        for _ in range(50):
+            if sum(listener.total.get("flow", Counter()).values()) >= 300:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert {r: listener.total["flow"][r] for r in intake.REASONS} == {r: refused[r] for r in intake.REASONS}
+    assert listener.total["flow"]["accepted"] == want.accepted + want.duplicate == spark.read.parquet(f"{tmp_path}/out").count()
