@@ -262,9 +262,10 @@ def deploy_detect(spark, sf_dir):
 
 @query
 def deploy_upsert(spark, sf_dir):
+    """Some writes of a service name another environment, which is a conflict for its ids."""
     w = wide_events(spark, sf_dir)
     rows = w.select(
-        F.concat_ws(":", "service", "version").alias("id"), "service", "env",
+        F.concat_ws(":", "service", "version").alias("id"), "service", F.when(F.col("k") % 50 == 7, "stage").otherwise(F.col("env")).alias("env"),
         F.when(F.col("k") % 2 == 0, F.col("version")).otherwise("").alias("version"), F.col("ts_start").alias("first_seen"),
         F.col("ts_end").alias("last_seen"), "seq"
     )
@@ -555,9 +556,11 @@ def deploy_fallback(spark, sf_dir):
 @query
 def suspect_change(spark, sf_dir):
     deploys = _deploys(spark, sf_dir)
-    rates = correlate.deploy_rate_delta(deploys.dropDuplicates(["id"]), wide_events(spark, sf_dir), minutes=600, least=1)
+    first = deploys.groupBy("id").agg(F.min("service").alias("service"), F.min("first_seen").alias("first_seen"))
+    rates = correlate.deploy_rate_delta(first, wide_events(spark, sf_dir), minutes=600, least=1)
     s = seeds(spark, sf_dir).withColumn("suspect_deploy_id", F.concat_ws(":", F.lit("otlp"), "service", "env", "version"))
-    return correlate.suspect_change(s, deploys, rates).select("incident_id", "suspect_deploy_id", "deploy_version", "deploy_first_seen")
+    counts = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("n_before", "bad_before", "n_after", "bad_after")]  # -1: no such deployment
+    return correlate.suspect_change(s, deploys, rates).select("incident_id", "suspect_deploy_id", "deploy_version", "deploy_first_seen", *counts)
 
 
 @query

@@ -338,7 +338,7 @@ SELECT * FROM l WHERE run_length >= 2""",
     "incident_lifecycle": _lifecycle(),
     "deploy_detect": W + "SELECT id, service, version, first_seen FROM dep",
     "deploy_upsert": W + (
-        ", u AS (SELECT service || ':' || version AS id, service, env, CASE WHEN k % 2 = 0 THEN version ELSE '' END AS version, ts_start, "
+        ", u AS (SELECT service || ':' || version AS id, service, CASE WHEN k % 50 = 7 THEN 'stage' ELSE env END AS env, CASE WHEN k % 2 = 0 THEN version ELSE '' END AS version, ts_start, "
         "ts_end, event_id FROM w) SELECT id, min(service) AS service, min(env) AS env, arg_max(version, event_id) FILTER (version <> '') AS "
         "version, min(ts_start) AS first_seen, max(ts_end) AS last_seen, count(*) AS writes FROM u GROUP BY id HAVING count(DISTINCT env) = "
         "1"
@@ -445,8 +445,11 @@ FROM seeds s JOIN sig g ON g.type = 'alert' AND g.service = s.service AND g.at_
   SELECT s.incident_id, g.signal_id, g.at_, row_number() OVER (PARTITION BY s.incident_id ORDER BY g.at_ DESC, g.signal_id DESC) AS r FROM seeds s
     JOIN sig g ON g.type = 'deploy' AND g.service = s.service AND g.at_ BETWEEN s.now - INTERVAL 24 HOUR AND s.now
   WHERE NOT EXISTS (SELECT 1 FROM dep d WHERE d.service = s.service AND d.version = s.version AND d.first_seen BETWEEN s.now - INTERVAL 24 HOUR AND s.now)) WHERE r = 1""",
-    "suspect_change": W + """, d AS (SELECT id, min(first_seen) AS first_seen, any_value(version) AS version FROM dep GROUP BY id)
-SELECT s.incident_id, 'otlp:' || s.service || ':' || s.env || ':' || s.version AS suspect_deploy_id, d.version AS deploy_version, d.first_seen AS deploy_first_seen FROM seeds s LEFT JOIN d ON d.id = 'otlp:' || s.service || ':' || s.env || ':' || s.version""",
+    "suspect_change": W + """, d AS (SELECT id, min(service) AS service, min(first_seen) AS first_seen, any_value(version) AS version FROM dep GROUP BY id),
+c AS (SELECT d.id, count(*) FILTER (ts_start <= first_seen) AS n_before, count(*) FILTER (failed AND ts_start <= first_seen) AS bad_before, count(*) FILTER (ts_start >= first_seen) AS n_after, count(*) FILTER (failed AND ts_start >= first_seen) AS bad_after
+  FROM d JOIN w ON w.service = d.service AND ts_start BETWEEN first_seen - INTERVAL 600 MINUTE AND first_seen + INTERVAL 600 MINUTE GROUP BY d.id)
+SELECT s.incident_id, 'otlp:' || s.service || ':' || s.env || ':' || s.version AS suspect_deploy_id, d.version AS deploy_version, d.first_seen AS deploy_first_seen,
+  coalesce(n_before, -1) AS n_before, coalesce(bad_before, -1) AS bad_before, coalesce(n_after, -1) AS n_after, coalesce(bad_after, -1) AS bad_after FROM seeds s LEFT JOIN c ON c.id = 'otlp:' || s.service || ':' || s.env || ':' || s.version LEFT JOIN d ON d.id = 'otlp:' || s.service || ':' || s.env || ':' || s.version""",
     "family_samples": W + """, n AS (
   SELECT s.incident_id, s.step AS own, w.step, w.trace_id, w.ts_start, row_number() OVER (PARTITION BY s.incident_id ORDER BY w.ts_start DESC, w.event_id) AS r
   FROM seeds s JOIN w ON w.failed AND w.service = s.service AND w.error_code = s.error_code AND w.ts_start BETWEEN s.started_at AND s.now),
