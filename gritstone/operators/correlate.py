@@ -63,6 +63,7 @@ def upsert_deploys(rows: DataFrame) -> DataFrame:
 
 
 def deploy_conflicts(rows: DataFrame) -> DataFrame:
+    """The ids that two environments or more write; a null environment is none."""
     return rows.groupBy("id").agg(F.count_distinct("env").alias("envs")).where("envs > 1").select("id")
 
 

@@ -81,9 +81,12 @@ def head_sample(events: DataFrame, percent: int = 2, slow_ms: int = 400, salt: s
 
 
 def cap_per_second(events: DataFrame, most: int, priority: Column, order: str = "seq") -> DataFrame:
-    """At most so many events of each second that have no priority; those with it all stay."""
-    second = Window.partitionBy(F.date_trunc("second", "ts_start"), priority).orderBy(order)
-    return events.withColumn("_place", F.row_number().over(second)).where(priority | (F.col("_place") <= most)).drop("_place")
+    """At most so many events of each second that have no priority; those with it all stay, and aren't put in order. A null priority is none; events
+    without a start are one second's. Of a second's events no more than the cap of each task are put in order in one place."""
+    sure = F.coalesce(priority, F.lit(False))
+    second = Window.partitionBy(F.date_trunc("second", "ts_start")).orderBy(order)
+    capped = events.where(~sure).withColumn("_place", F.row_number().over(second)).where(F.col("_place") <= most).drop("_place")
+    return events.where(sure).unionByName(capped)
 
 
 def cold_search(
@@ -102,7 +105,8 @@ def cold_search(
 def signal_query(
     signals: DataFrame, service=None, env=None, source=None, reason=None, types: Iterable[str] = (), since=None, until=None, limit: int = 200
 ) -> DataFrame:
-    """Newest first, then larger ids; at most 200."""
+    """Newest first, then larger ids; at most 200. A filter that is given leaves out signals whose value is null; bounds leave out those without a
+    time. No signals give none."""
     keep = in_window(since, until, "timestamp")
     for column, value in (("service", service), ("env", env), ("source", source), ("reason", reason)):
         if value:
@@ -113,5 +117,7 @@ def signal_query(
 
 
 def deploy_window(deployments: DataFrame, since=None, until=None, service: str | None = None) -> DataFrame:
+    """Deployments first seen within the bounds (both count), newest first, ties by id. Bounds leave out those without first_seen, which else come
+    last."""
     keep = in_window(since, until, "first_seen")
     return deployments.where(keep & (F.col("service") == service) if service else keep).orderBy(F.desc("first_seen"), "id")

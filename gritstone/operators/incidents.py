@@ -96,6 +96,7 @@ def lifecycle(state: DataFrame, seen: DataFrame, now: Column, minutes: int = 2)
 
 
 def retained(incidents: DataFrame, now: Column, hours: int = 168) -> DataFrame:
+    """All but resolved incidents that were last seen more than so many hours ago, and those of which a null leaves that open."""
     old = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_seen").cast("timestamp")) > hours * 3600
     return incidents.where(~((F.col("status") == "resolved") & old))
 

@@ -123,6 +123,7 @@ def replace_unresolved(store: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def signals_retained(signals: DataFrame, now: Column, hours: int = 72) -> DataFrame:
+    """Signals of the last hours, the bound included; those without a time go."""
     return signals.where(F.unix_micros(F.col("timestamp").cast("timestamp")) >= F.unix_micros(now.cast("timestamp")) - hours * 3_600_000_000)
 
 

@@ -32,12 +32,13 @@ def ingest(lines: DataFrame, out: str, refused: str, checkpoint: str, late: str
 
 
 def minute_counters(events: DataFrame, late: str = "24 hours") -> DataFrame:
-    """Requests and failures of each minute."""
+    """Requests and failures of each minute; events without a start are in none, a null status is no failure."""
     windows = events.withWatermark("ts_start", late).groupBy(F.window("ts_start", "1 minute"))
     return windows.agg(F.count(F.lit(1)).alias("total"), F.count_if(failed()).alias("errors")).select(F.col("window.start").alias("minute"), "total", "errors")
 
 
 def service_counters(events: DataFrame, late: str = "24 hours") -> DataFrame:
+    """Requests and failures of each service and minute; a null service is one of its own."""
     windows = events.withWatermark("ts_start", late).groupBy(F.window("ts_start", "1 minute"), "service")
     return windows.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(failed()).alias("errors")
