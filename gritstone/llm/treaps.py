@@ -187,7 +187,8 @@ def _searched(docs: DataFrame, queries: pa.Table, k: int) -> DataFrame:
     wanted = [term[order][i:j] for i, j in zip(ends, ends[1:], strict=False)]
     null = names == -(1 << 63)
 
-    postings = save(forward(docs, terms), "postings")
+    # A row's number is written with it: both searches must deal it to the same block, however Spark cuts the table for them.
+    postings = save(forward(docs, terms).withColumn("number", F.xxhash64(F.monotonically_increasing_id())), "postings")
     total = postings.agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L"), F.sum(F.size("terms")).alias("p")).collect()[0]
     if not total["p"]:
         return spark.createDataFrame([], FOUND)
@@ -198,7 +199,7 @@ def _searched(docs: DataFrame, queries: pa.Table, k: int) -> DataFrame:
     weights[counts.column("t").to_numpy()] = counts.column("w").to_numpy()
 
     blocks = max(1, -(-total["p"] // BLOCK))
-    dealt = postings.where(F.size("terms") > 0).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    dealt = postings.where(F.size("terms") > 0).withColumn("block", F.pmod("number", F.lit(blocks)).cast("int")).drop("number")
 
     def searcher(least: np.ndarray):
         def run(block: pa.Table) -> pa.Table:
