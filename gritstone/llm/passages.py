@@ -5,11 +5,14 @@ A text is its sequence of word shingles. Under a hash function, all stretches of
 start in l..c and end in c..r, where l..r is the subtree of c in the Cartesian tree of the hashes. Windows that hold a stretch of the least
 length are kept. Two stretches of similarity s share the least hash, a window's key, under each function with probability s.
 
-Equal texts are one node. Windows of a key that few nodes have are all held against each other. A key of more nodes is hot: its windows may lie in
-many different passages, so they
-are dealt again by what stands on either side of the key's shingle, and meet the first window of such a group; and stretches that too few other keys
-cover are
-looked for as a whole. What happens to a window follows from keys and nodes alone, never from how rows lie in tasks.
+Equal texts are one node. Windows of a key that few nodes have are all held against each other. A key of more nodes is hot: its windows make no pairs;
+each stretch of the least length that one of them holds goes by an exact way instead, a prefix join of the stretches' sets of shingles. What happens to
+a window follows from keys and nodes alone, never from how rows lie in tasks.
+
+The exact way: two sets of similarity s share at least s of either, so one of the rarest shingles of both, as many as may be missing and one more. Of a
+shingle that few nodes have, all nodes are held against each other. Stretches with others among their rarest ones are classes: those with the same
+shared shingles, whatever else they hold, and of the same size, have the same similarity to each other and to any other stretch. A class's members are
+held against its first, and classes against each other where they aren't linked yet, if bits of their shingles don't tell them apart.
 """
 
 from __future__ import annotations
@@ -21,12 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bits_of, drop, hash_words, id_bits, in_bits, mix, save, shingles, signed, slices, with_slot
+from .components import components
+from .shared import SLICE_BYTES, bits_of, drop, hash_words, id_bits, in_bits, mix, save, shingles, signed, slices, with_slot
 
 #: Hash functions, and how many of them must agree on a pair of stretches: at similarity 0.8 a pair is missed with probability 0.0016.
 FUNCTIONS, AGREE = 6, 2
 #: A key is hot that about more nodes have (counted in 64 bits, so that copies in other tasks don't count again).
 MEET = 8
+#: Of the shingles that more nodes have, those of which so many of the 64 bits are set (about 90 nodes) come last in the order of the exact way.
+MANY = 48
+#: The most stretches of a run; a longer one goes on as the next, at the same places of a text in any layout.
+RUN = 1 << 13
+#: Classes of stretches whose contents a task remembers having written.
+TOLD = 1 << 18
 #: Windows of a node with the same key that are kept apart; more, as in a text of one repeated line, are one window that spans them.
 APART = 4
 #: Windows of a pair of documents up to which all are held against all at once; above it, one after another.
@@ -38,8 +48,8 @@ MOST_BITS = 28
 #: In place of a function: a stretch whose shingles are all equal, which needs no other to agree. A window that spans several is marked by SPANS.
 WHOLE, SPANS = 30, 64
 _SEEDS = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_SIDE = np.uint64(0xC2B2AE3D27D4EB4F)
-WINDOW = "key bigint, node bigint, lc bigint, rf bigint, before bigint, after bigint, hot boolean"
+WINDOW = "key bigint, node bigint, lc bigint, rf bigint, part binary"
+STRETCH = "kind int, key bigint, node bigint, lc bigint, rf bigint, up bigint, solid boolean, tokens array<bigint>, size int, held int"
 
 
 def _sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -134,8 +144,8 @@ def _texts(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator
 
 
 def _counted_keys(texts: DataFrame, size: int, least: int) -> DataFrame:
-    """key and hot of the keys that more than one node has: those whose least and largest nodes differ. How many nodes a key has is told from 64 bits
-    of which each node sets one; that decides `hot` alone. Windows are counted within tasks first."""
+    """key, hot and many of the keys that more than one node has: those whose least and largest nodes differ. How many nodes a key has is told from 64 bits
+    of which each node sets one; that decides `hot` and `many` alone. Windows are counted within tasks first."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -151,11 +161,20 @@ def _counted_keys(texts: DataFrame, size: int, least: int) -> DataFrame:
         if n:
             yield _counted(held)
 
-    counts = texts.mapInArrow(emit, "key bigint, node bigint, last bigint, bits bigint").groupBy("key").agg(
+    return _shared(texts.mapInArrow(emit, COUNT), "keys")
+
+
+COUNT = "key bigint, node bigint, last bigint, bits bigint"
+
+
+def _shared(counted: DataFrame, name: str) -> DataFrame:
+    """key, hot and many of the keys that more than one node has, of rows that _counted() made."""
+    counts = counted.groupBy("key").agg(
         F.min("node").alias("node"), F.max(F.coalesce("last", "node")).alias("last"),
         F.bit_or(F.coalesce("bits", F.expr("shiftleft(1L, cast(shiftrightunsigned(node, 58) as int))"))).alias("bits")
     )
-    return save(counts.where("node <> last").select("key", (F.bit_count("bits") > MEET).alias("hot")), "keys")
+    n = F.bit_count("bits")
+    return save(counts.where("node <> last").select("key", (n > MEET).alias("hot"), (n > MANY).alias("many")), name)
 
 
 def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -180,54 +199,144 @@ def _filter(keys: DataFrame) -> tuple[np.ndarray, np.uint64]:
 
 
 def _windows(texts: DataFrame, keys: DataFrame, size: int, least: int) -> DataFrame:
-    """The windows whose keys more than one node has, with the least hash of as many shingles on either side of the key's as make half a stretch (null
-    where the text ends before), and `hot` where their keys may be;
-    and as windows of WHOLE the stretches of the least length that fewer than AGREE functions cover by keys that aren't hot."""
+    """The windows whose keys more than one node has and that aren't hot; and, as `part` of rows without a key, the shingles from lc on of each run of
+    stretches of the least length that a window of a hot key holds. The filter says what is hot, for both alike."""
     (bits, mask), (hot_bits, hot_mask) = _filter(keys), _filter(keys.where("hot"))
-    side = least // 2
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, s, bounds in _texts(batches, size, least):
             rows = []
             cover = np.zeros(len(s) + 1, np.int64)
-            near = mix(s ^ _SIDE)
-            low = _sliding(np.minimum, near, side) if len(near) >= side else near[:0]
             for f, seed in enumerate(_SEEDS):
                 h = mix(s ^ seed)
                 l, c, r = compact_windows(h, bounds, least)
                 own = in_bits(bits, h[c] & mask)
                 l, c, r = l[own], c[own], r[own]
-                key, doc, l, c, r, spans = _spanned(h[c], np.searchsorted(bounds, c, "right") - 1, l, c, r)
-                hot = in_bits(hot_bits, key & hot_mask)
+                hot = in_bits(hot_bits, h[c] & hot_mask)
                 np.add.at(cover, np.maximum(l, c - least + 1)[hot], 1)
                 np.add.at(cover, np.minimum(c, r - least + 1)[hot] + 1, -1)
-                begin, end = bounds[doc], bounds[doc + 1]
-                before, after = c - side >= begin, c + side < end
-                at = lambda there, k: pa.array(low[np.where(there, k, 0)].view(np.int64) if len(low) else np.zeros(len(there), np.int64), mask=~there)
-                packed = [
-                    signed(key), pa.array(nodes[doc]), pa.array((l - begin) << 32 | (c - begin)),
-                    pa.array((r - begin) << 8 | np.where(spans, SPANS, 0) | f)
-                ]
-                rows.append([*packed, at(before, c - side), at(after, c + 1), pa.array(hot)])
-            starts = np.flatnonzero(np.cumsum(cover)[: len(s)] > FUNCTIONS - AGREE)
+                l, c, r = l[~hot], c[~hot], r[~hot]
+                key, doc, l, c, r, spans = _spanned(h[c], np.searchsorted(bounds, c, "right") - 1, l, c, r)
+                begin = bounds[doc]
+                rows.append(
+                    [
+                        signed(key), pa.array(nodes[doc]), pa.array((l - begin) << 32 | (c - begin)),
+                        pa.array((r - begin) << 8 | np.where(spans, SPANS, 0) | f), pa.nulls(len(key), pa.binary())
+                    ]
+                )
+            starts = np.flatnonzero(np.cumsum(cover)[: len(s)] > 0)
             doc = np.searchsorted(bounds, starts, "right") - 1
-            fits = starts + least <= bounds[doc + 1]
-            starts, doc = starts[fits], doc[fits]
-            acc = np.zeros(len(starts), np.uint64)
-            for k in range(least):
-                acc = mix(acc + s[starts + k])
-            begin, none = starts - bounds[doc], pa.nulls(len(starts), pa.int64())
-            rows.append(
-                [
-                    signed(acc), pa.array(nodes[doc]), pa.array(begin << 32 | begin), pa.array((begin + least - 1) << 8 | WHOLE), none, none,
-                    pa.array(np.ones(len(starts), bool))
-                ]
-            )
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*rows, strict=True)], ["key", "node", "lc", "rf", "before", "after", "hot"])
+            cut = (np.diff(starts) != 1) | (np.diff(doc) != 0) | ((starts - bounds[doc])[1:] % RUN == 0)
+            first = np.flatnonzero(np.append(True, cut)[: len(starts)])
+            last = np.append(first[1:], len(starts))[: len(first)] - 1
+            parts = [s[a : b + least].tobytes() for a, b in zip(starts[first], starts[last], strict=True)]
+            none = pa.nulls(len(first), pa.int64())
+            rows.append([none, pa.array(nodes[doc[first]]), pa.array(starts[first] - bounds[doc[first]]), none, pa.array(parts, pa.binary())])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*rows, strict=True)], ["key", "node", "lc", "rf", "part"])
 
     return save(texts.mapInArrow(emit, WINDOW), "windows")
 
 
+def _parts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all parts of a batch, and bounds."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("part")]
+    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.cumsum([0, *map(len, parts)])
+
+
+def _stretches(rest: DataFrame, least: int, similarity: float) -> DataFrame:
+    """What the exact way looks at, of runs (node, lc, part). Shingles are in one order: those that few nodes have, then others. A stretch's rarest
+    ones are so many of the first shared ones that a similar stretch shares one of them, and has it among its own.
+
+    kind 0: a shingle (key) that few nodes have, and the place in a text of stretches of which it is a rarest one.
+    kind 1: a stretch with others among its rarest, its class (key), the class (up) of the first of the stretches that follow each other up to it, and
+    whether members of its class are similar (solid).
+    kind 2: a class, the rarest shingles of it that many nodes have (tokens), how many are shared (held), the size of its sets, and as lc and rf the bits
+    of its shared shingles under two hashes.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "part", 8 * COUNTED):
+            s, bounds = _parts(batch)
+            if len(s):
+                yield _counted([(s, np.repeat(batch.column("node").to_numpy(), np.diff(bounds)))])
+
+    shared = _shared(rest.mapInArrow(count, COUNT), "shared")
+    filters = [_filter(x) for x in (shared, shared.where("hot"), shared.where("many"))]
+    drop(shared)
+    zero, one = np.uint64(0), np.uint64(1)
+    names = [c.split()[0] for c in STRETCH.split(", ")]
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.int32()]
+
+    def batch_of(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(columns["key"])
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kind) for c, kind in zip(names, kinds, strict=True)], names)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
+        for batch in slices(batches, "part", SLICE_BYTES // 8):
+            s, bounds = _parts(batch)
+            nodes, base = batch.column("node").to_numpy(), batch.column("lc").to_numpy()
+            is_shared, is_hot, is_many = (in_bits(bits, s & mask) for bits, mask in filters)
+            level = np.where(is_shared, np.where(is_hot, np.where(is_many, 2, 1), 0), 3).astype(np.uint64)
+            value = level << np.uint64(62) | mix(s) >> np.uint64(2)
+            per = np.diff(bounds) - least + 1
+            run = np.repeat(np.arange(len(per)), per)
+            at = np.arange(len(run)) - np.repeat(np.cumsum(per) - per, per) + bounds[run]
+            some = np.append(0, np.cumsum(is_shared))
+            some = np.flatnonzero(some[at + least] > some[at])
+            run, at = run[some], at[some]
+            sets = np.sort(value[at[:, None] + np.arange(least)], axis=1)
+            first = np.ones(sets.shape, bool)
+            first[:, 1:] = sets[:, 1:] != sets[:, :-1]
+            size = first.sum(1)
+            own = first & (sets < np.uint64(3) << np.uint64(62))
+            held = own.sum(1)
+            need = np.ceil(similarity * size - 1e-9).astype(np.int64)
+            may = np.flatnonzero(held >= need)
+            run, at, sets, own, size, held, need = (x[may] for x in (run, at, sets, own, size, held, need))
+            rare = own & (np.cumsum(own, axis=1) <= (held - need + 1)[:, None])
+            cold = sets < np.uint64(1) << np.uint64(62)
+            start = at - bounds[run] + base[run]
+
+            row, col = np.nonzero(rare & cold)
+            key, of = sets[row, col], run[row]
+            order = np.lexsort((row, key, of))
+            key, of, begin = key[order], of[order], start[row[order]]
+            group = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))[: len(key)])
+            low, high = begin[group], begin[np.append(group[1:], len(key))[: len(group)] - 1]
+            yield batch_of(
+                kind=pa.array(np.zeros(len(group), np.int32)), key=signed(key[group]), node=pa.array(nodes[of[group]]), lc=pa.array(low << 32 | low),
+                rf=pa.array((high + least - 1) << 8 | WHOLE)
+            )
+
+            row = np.flatnonzero((rare & ~cold).any(1))
+            sets, own, rare, size, held, start, run = sets[row], own[row], (rare & ~cold)[row], size[row], held[row], start[row], run[row]
+            name = mix(np.where(own, mix(sets), np.uint64(0)).sum(1, dtype=np.uint64) ^ mix(size.astype(np.uint64)))
+            solid = held >= similarity * (2 * size - held) - 1e-9
+            # a stretch and the next one differ by a shingle each, so they are similar where they are large enough
+            goes_on = np.append(False, (np.diff(start) == 1) & (run[1:] == run[:-1]) & solid[1:] & solid[:-1] & (size[:-1] - 1 >= similarity * (size[:-1] + 1)))
+            up = name[np.maximum.accumulate(np.where(goes_on[: len(row)], 0, np.arange(len(row))))] if len(row) else name
+            yield batch_of(
+                kind=pa.array(np.ones(len(row), np.int32)), key=signed(name), node=pa.array(nodes[run]), lc=pa.array(start << 32 | start),
+                rf=pa.array((start + least - 1) << 8 | WHOLE), up=signed(up), solid=pa.array(solid)
+            )
+
+            _, once = np.unique(name, return_index=True)
+            once = np.array([k for k in once.tolist() if int(name[k]) not in told], np.int64)
+            if len(told) > TOLD:
+                told.clear()
+            told.update(name[once].tolist())
+            bits = [np.bitwise_or.reduce(np.where(own[once], one << (mix(sets[once]) >> np.uint64(by) & np.uint64(63)), zero), axis=1) for by in (0, 6)]
+            rare = rare[once]
+            tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rare.sum(1))).astype(np.int32)), signed(sets[once][rare]))
+            yield batch_of(
+                kind=pa.array(np.full(len(once), 2, np.int32)), key=signed(name[once]), lc=signed(bits[0]), rf=signed(bits[1]), tokens=tokens,
+                size=pa.array(size[once].astype(np.int32)), held=pa.array(held[once].astype(np.int32))
+            )
+
+    return save(rest.mapInArrow(emit, STRETCH), "stretches")
+
+
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From windows in order of key and node: each with every other one of its key and another node. A key has few nodes here, and a node few windows
     of a key."""
@@ -267,38 +376,64 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PAIR = "a bigint, b bigint, lc bigint, rf bigint, lc2 bigint, rf2 bigint"
 
 
-def _with_first(rows: DataFrame, reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Each window (key, node, lc, rf) with the window of its key's first node, by the least doc_id; and tables to drop. Firsts are gathered within tasks and joined as a
-    table, so a key of a third of all rows is split."""
-    rows = save(rows.join(reps.select("node", "rep"), "node"), "grouped")
-    first = save(rows.groupBy("key").agg(F.min(F.struct("rep", "node", "lc", "rf")).alias("first")), "firsts")
-    both = rows.join(first, "key").where("rep <> first.rep")
-    turned = F.col("node") < F.col("first.node")  # a is the larger node, as in _partners()
-    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
-    pairs = [(pick(c, f"first.{c}"), pick(f"first.{c}", c)) for c in ("node", "lc", "rf")]
-    made = both.select(
-        *[x.alias(n) for x, n in zip((p[k] for k in (0, 1) for p in pairs), ("a", "lc", "rf", "b", "lc2", "rf2"), strict=True)]
-    ).select("a", "b", "lc", "rf", "lc2", "rf2")
-    return made, [rows, first]
+def _turned(both: DataFrame) -> DataFrame:
+    """Pairs of windows x (node, lc, rf) and y, the larger node first, as in _partners()."""
+    turned = F.col("x.node") < F.col("y.node")
+    pick = lambda x, y, c: F.when(turned, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}"))
+    sides = [(x, y, c, n) for x, y, names in (("x", "y", ("a", "lc", "rf")), ("y", "x", ("b", "lc2", "rf2"))) for c, n in zip(("node", "lc", "rf"), names, strict=True)]
+    return both.where("x.rep <> y.rep").select(*[pick(x, y, c).alias(n) for x, y, c, n in sides]).select("a", "b", "lc", "rf", "lc2", "rf2")
 
 
-def _window_pairs(windows: DataFrame, keys: DataFrame, reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs of windows, and tables to drop once these are written."""
-    plain = windows.where("not hot").select("key", "node", "lc", "rf")
-    whole = F.col("rf").bitwiseAND(F.lit(31)) == WHOLE
-    judged = windows.where(F.col("hot") & ~whole).select("key", "node", "lc", "rf", "before", "after").join(
-        keys.withColumnRenamed("hot", "is_hot"), "key", "left"
+def _class_pairs(stretches: DataFrame, reps: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of stretches of classes, and tables to drop: each one of a solid class with its first (by the least doc_id), and classes that are similar
+    and that no chain of similar stretches links yet. Firsts are gathered within tasks and joined as a table, so a class of a third of all rows is
+    split."""
+    window = F.struct("rep", "node", "lc", "rf")
+    rows = save(stretches.where("kind = 1").join(reps.select("node", "rep"), "node").select("key", "solid", window.alias("x")), "grouped")
+    first = save(rows.groupBy("key").agg(F.min("x").alias("y"), F.first("solid").alias("solid")), "firsts")
+    starred = _turned(rows.where("solid").join(first.select("key", "y"), "key"))
+
+    linked = components(stretches.where("kind = 1 and key <> up").select(F.col("key").alias("u"), F.col("up").alias("v")))
+    classes = save(
+        stretches.where("kind = 2").dropDuplicates(["key"]).join(linked, F.col("key") == F.col("id"), "left").select(
+            "key", "tokens", "held", "size", F.col("lc").alias("bits"), F.col("rf").alias("more_bits"), F.coalesce("component", "key").alias("component")
+        ),
+        "classes"
     )
-    judged = save(judged, "judged")
-    cold = plain.unionByName(judged.where("not coalesce(is_hot, false)").select("key", "node", "lc", "rf"))
-    cold = cold.repartition("key").sortWithinPartitions("key", "node", "lc", "rf").mapInArrow(_partners, PAIR)
+    drop(linked)
+    # so many of a class's shared shingles come from a token on, and are all that it shares with another class whose first common token that is
+    left = F.ceil(similarity * F.col("size") - 1e-9) + F.size("tokens") - 1 - F.col("at")
+    alike = lambda x, y: similarity / (1 + similarity) * (F.col(x) + F.col(y)) - 1e-9  # noqa: E731  what similar sets of these sizes share
+    tokens = classes.select("*", F.posexplode("tokens").alias("at", "token")).withColumn("left", left).drop("tokens", "at")
+    tokens = tokens.join(tokens.groupBy("token").agg(F.min("size").alias("least")), "token").where(F.col("left") >= alike("size", "least"))
+    tokens = save(tokens, "tokens")
+    mixed = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    mixed = tokens.join(mixed, "token")
+    share = alike("x.size", "y.size")
+    # a shingle that one of them has and the other hasn't changes a bit at most
+    apart = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    met = mixed.alias("x").join(mixed.alias("y"), F.col("x.token") == F.col("y.token")).where(
+        (F.col("x.component") < F.col("y.component")) & (F.least("x.left", "y.left") >= share)
+        & (F.greatest(apart("bits"), apart("more_bits")) <= F.col("x.held") + F.col("y.held") - 2 * share)
+    )
+    near = save(met.select(F.col("x.key").alias("p"), F.col("y.key").alias("q")).distinct(), "near")
+    # members of a class that isn't solid are each similar to the other class's, but not to one another
+    near_both = near.unionByName(near.select(F.col("q").alias("p"), F.col("p").alias("q")))
+    members = first.where("solid").select(F.col("key").alias("p"), F.col("y").alias("x")).unionByName(
+        rows.where("not solid").select(F.col("key").alias("p"), "x")
+    )
+    across = _turned(near_both.join(members, "p").join(first.select(F.col("key").alias("q"), "y"), "q"))
+    return starred.unionByName(across), [rows, first, classes, tokens, near]
 
-    def beside(k: int, name: str) -> DataFrame:
-        return judged.where(F.col("is_hot") & F.col(name).isNotNull()).select(F.xxhash64("key", F.lit(k), name).alias("key"), "node", "lc", "rf")
 
-    stretches = windows.where(whole).select("key", "node", "lc", "rf")
-    starred, scratch = _with_first(beside(0, "before").unionByName(beside(1, "after")).unionByName(stretches), reps)
-    return cold.unionByName(starred), [judged, *scratch]
+def _window_pairs(windows: DataFrame, reps: DataFrame, least: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of windows, and tables to drop once these are written."""
+    stretches = _stretches(windows.where("key is null").select("node", "lc", "part"), least, similarity)
+    columns = ("key", "node", "lc", "rf")
+    few = windows.where("key is not null").select(*columns).unionByName(stretches.where("kind = 0").select(*columns))
+    few = few.repartition("key").sortWithinPartitions(*columns).mapInArrow(_partners, PAIR)
+    classes, scratch = _class_pairs(stretches, reps, similarity)
+    return few.unionByName(classes), [stretches, *scratch]
 
 
 def _agree(f: np.ndarray, windows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -546,16 +681,11 @@ def repeated_passages(docs: DataFrame, size: int = 5, similarity: float = 0.8, l
 
     Words are counted from 0, end is not in the passage. doc_id > other_id. Of equal texts the one of least doc_id stands for all; each other one has
     one row, its whole text as a passage of that one.
-    Windows of a key that about MEET nodes have are all compared, so that a passage of similarity 0.8 with no hot key is missed with probability
-    0.0016.
-    A hot key's windows are compared with the first one (by doc_id) among those with the same least hash of the half stretch before the key's shingle,
-    and among those with the same one after it. Stretches
-    of the least length for which fewer than AGREE functions have a key that isn't hot are also looked for as a whole, by the hash of all their
-    shingles: each is compared with the first one equal to it, so a
-    verbatim passage is found however many documents hold parts of it. A passage that a third of the documents share costs a few rows a document, and
-    each of them is linked with the first.
-    A near passage that is nowhere verbatim over least_words words, and whose agreeing keys are hot, may be missed where the first windows beside its
-    keys hold another passage.
+    Windows of a key that about MEET nodes have are all compared. Stretches of the least length in windows of a key that more nodes have are compared by an
+    exact join of their sets of shingles, so that a pair of similar stretches of that length is missed with probability 0.0016 at most, whatever their
+    keys, and never where they share a hot one. A passage that a third of the documents share costs a few rows a document: stretches of
+    a class are linked with its first, and of two classes that similar stretches don't link already the first ones are compared. So links between classes that
+    are linked otherwise may have no row of their own.
     Verification is exact, on the shingles of both stretches. A null text counts as empty; texts of under least_words words have no
     passage. Rows with a null doc_id take no part. Rows with the same doc_id are not compared with each other; where such texts differ, each of them
     is compared. Repeated rows count once. Other columns are not looked at.
@@ -577,14 +707,15 @@ def repeated_passages(docs: DataFrame, size: int = 5, similarity: float = 0.8, l
 
     keys = _counted_keys(texts.select("node", "text"), size, least)
     windows = _windows(texts.select("node", "text"), keys, size, least)
-    pairs, scratch = _window_pairs(windows, keys, reps)
+    drop(keys)
+    pairs, scratch = _window_pairs(windows, reps, least, similarity)
     regions = save(
         pairs.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(
             _regions, "a bigint, b bigint, a0 bigint, a1 bigint, b0 bigint, b1 bigint"
         ),
         "regions"
     )
-    drop(keys, windows, *scratch)
+    drop(windows, *scratch)
     rep = lambda side: reps.select(F.col("node").alias(side), F.col("rep").alias(f"{side}_id"))
     pairs = regions.join(rep("a"), "a").join(rep("b"), "b").where("a_id <> b_id")
 

@@ -166,6 +166,59 @@ def test_recall_where_every_key_is_hot(spark):
             assert share >= 0.95 if near else share == 1.0
 
 
+def pieces_corpus(rng, pairs):
+    """Passages of 60 words, each in two documents, with another word in the middle of the one; and pieces of them, too short for a passage, in a dozen
+    documents before these. So every key is hot, and what comes first beside it is a piece."""
+    rows = []
+    for _ in range(pairs):
+        passage = words(rng, 60)
+        for side in (0, 1):
+            own = [w if k != 30 or not side else "edit" for k, w in enumerate(passage)]
+            rows.append((10_000 + len(rows), " ".join(words(rng, 30) + own + words(rng, 30))))
+    want = {(rows[k + 1][0], rows[k][0]) for k in range(0, 2 * pairs, 2)}
+    passages_ = [t.split()[30:90] for _, t in rows[::2]]
+    for passage in passages_:
+        for start in (0, 6, 12, 18):
+            rows += [(len(rows), " ".join(words(rng, 30) + passage[start : start + 42] + words(rng, 30))) for _ in range(12)]
+    return rows, want
+
+
+def test_near_passages_behind_first_pieces(spark):
+    rows, want = pieces_corpus(random.Random(31), 12)
+    got = {(r[0], r[3]) for r in found(spark, rows)}
+    assert got == want
+
+
+def test_hot_passages_as_brute_force(spark):
+    """Documents of hot phrases, verbatim or with a word changed: those that brute force links are linked, whatever the order of ids."""
+    rng = random.Random(32)
+    phrases, rows = [words(rng, 30) for _ in range(5)], []
+    for k in range(32):
+        text = words(rng, 5)
+        for p in rng.sample(phrases, 2):
+            p = list(p)
+            if rng.random() < 0.3:
+                p[rng.randrange(30)] = f"edit{rng.randrange(3)}"
+            text += p
+        rows.append((k, " ".join(text + words(rng, 5))))
+    want, up = brute_passages(rows), linked({(r[0], r[3]) for r in found(spark, rows)})
+    assert len(want) == 20 and all(up[a] == up[b] for a, b in want)
+
+
+def test_classes_of_many_near_copies(spark):
+    """A passage with a word or two changed at random in each of 200 documents: all are linked, and by few rows."""
+    rng = random.Random(33)
+    passage, rows = words(rng, 90), []
+    for k in range(200):
+        own = list(passage)
+        for _ in range(rng.choice((1, 2))):
+            own[rng.randrange(90)] = f"edit{k}"
+        rows.append((k, " ".join(words(rng, 20) + own + words(rng, 20))))
+    got = {(r[0], r[3]) for r in found(spark, rows)}
+    assert linked(got) == linked({(k, 0) for k in range(1, 200)})
+    assert len(got) < 200 * 199 / 4
+
+
 def test_miss_probability():
     n, s = passages.FUNCTIONS, 0.8
     assert sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(passages.AGREE)) < 0.002
