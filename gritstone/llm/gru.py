@@ -22,7 +22,10 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    y = np.negative(x)
+    np.exp(y, out=y)
+    y += 1
+    return np.reciprocal(y, out=y)
 
 
 @dataclass
@@ -86,13 +89,17 @@ class Model:
         """Natural log of the probability of each target (any shape, flattened with its hidden states)."""
         hidden, target = hidden.reshape(-1, HIDDEN), target.ravel()
         cls, member, order, edges = _by_class(target)
-        logits = hidden @ self.c + self.cb
-        out = logits[np.arange(len(target)), cls] - np.log(np.exp(logits).sum(1))
+        logits = hidden @ self.c
+        logits += self.cb
+        out = logits[np.arange(len(target)), cls]
+        out -= np.log(np.exp(logits, out=logits).sum(1))
         for k in range(CLASSES):
             rows = order[edges[k] : edges[k + 1]]
             if len(rows):
-                logits = hidden[rows] @ self.w[k] + self.wb[k]
-                out[rows] += logits[np.arange(len(rows)), member[rows]] - np.log(np.exp(logits).sum(1))
+                logits = hidden[rows] @ self.w[k]
+                logits += self.wb[k]
+                own = logits[np.arange(len(rows)), member[rows]]
+                out[rows] += own - np.log(np.exp(logits, out=logits).sum(1))
         return out
 
 
@@ -120,7 +127,9 @@ class Trainer:
         scale = F32(1 / ids.shape[1])
         flat, goal = out.reshape(-1, k), target.ravel()
         cls, member, order, edges = _by_class(goal)
-        p = np.exp(flat @ m.c + m.cb)
+        p = flat @ m.c
+        p += m.cb
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(goal)), cls] -= 1
         d = p @ m.c.T
@@ -129,11 +138,14 @@ class Trainer:
         for c in range(CLASSES):
             rows = order[edges[c] : edges[c + 1]]
             if len(rows):
-                p = np.exp(flat[rows] @ m.w[c] + m.wb[c])
+                own = flat[rows]
+                p = own @ m.w[c]
+                p += m.wb[c]
+                np.exp(p, out=p)
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(rows)), member[rows]] -= 1
                 d[rows] += p @ m.w[c].T
-                self._step("w", flat[rows].T @ p * scale, c)
+                self._step("w", own.T @ p * scale, c)
                 self._step("wb", p.sum(0) * scale, c)
         d = d.reshape(out.shape) * scale
         back = np.zeros_like(last)
