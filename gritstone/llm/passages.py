@@ -41,6 +41,8 @@ TOLD = 1 << 18
 APART = 4
 #: Windows of a pair of documents up to which all are held against all at once; above it, one after another.
 AT_ONCE = 64
+#: Runs of a pair of texts up to which all are held against all at once.
+FEW = 512
 #: Windows whose keys a task counts at a time.
 COUNTED = 1 << 20
 #: The largest filter of keys: 32 MB. Where it fills up, more rows go through to the joins; results stay.
@@ -49,6 +51,8 @@ MOST_BITS = 28
 WHOLE, SPANS = 30, 64
 _SEEDS = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 WINDOW = "key bigint, node bigint, lc bigint, rf bigint, part binary"
+#: The columns of a stretch that hold the bits of a class, which has no place.
+BITS = ("node", "lc", "rf", "up")
 STRETCH = "kind int, key bigint, node bigint, lc bigint, rf bigint, up bigint, solid boolean, tokens array<bigint>, size int, held int"
 
 
@@ -250,8 +254,8 @@ def _stretches(rest: DataFrame, least: int, similarity: float) -> DataFrame:
     kind 0: a shingle (key) that few nodes have, and the place in a text of stretches of which it is a rarest one.
     kind 1: a stretch with others among its rarest, its class (key), the class (up) of the first of the stretches that follow each other up to it, and
     whether members of its class are similar (solid).
-    kind 2: a class, the rarest shingles of it that many nodes have (tokens), how many are shared (held), the size of its sets, and as lc and rf the bits
-    of its shared shingles under two hashes.
+    kind 2: a class, the rarest shingles of it that many nodes have (tokens), how many are shared (held), the size of its sets, and as BITS the 256 bits
+    of its shared shingles.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,12 +330,14 @@ def _stretches(rest: DataFrame, least: int, similarity: float) -> DataFrame:
             if len(told) > TOLD:
                 told.clear()
             told.update(name[once].tolist())
-            bits = [np.bitwise_or.reduce(np.where(own[once], one << (mix(sets[once]) >> np.uint64(by) & np.uint64(63)), zero), axis=1) for by in (0, 6)]
+            place = mix(sets[once])
+            bit, word = np.where(own[once], one << (place & np.uint64(63)), zero), place >> np.uint64(62)
+            bits = {c: signed(np.bitwise_or.reduce(np.where(word == np.uint64(k), bit, zero), axis=1)) for k, c in enumerate(BITS)}
             rare = rare[once]
             tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rare.sum(1))).astype(np.int32)), signed(sets[once][rare]))
             yield batch_of(
-                kind=pa.array(np.full(len(once), 2, np.int32)), key=signed(name[once]), lc=signed(bits[0]), rf=signed(bits[1]), tokens=tokens,
-                size=pa.array(size[once].astype(np.int32)), held=pa.array(held[once].astype(np.int32))
+                kind=pa.array(np.full(len(once), 2, np.int32)), key=signed(name[once]), tokens=tokens, size=pa.array(size[once].astype(np.int32)),
+                held=pa.array(held[once].astype(np.int32)), **bits
             )
 
     return save(rest.mapInArrow(emit, STRETCH), "stretches")
@@ -384,19 +390,50 @@ def _turned(both: DataFrame) -> DataFrame:
     return both.where("x.rep <> y.rep").select(*[pick(x, y, c).alias(n) for x, y, c, n in sides]).select("a", "b", "lc", "rf", "lc2", "rf2")
 
 
-def _class_pairs(stretches: DataFrame, reps: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs of stretches of classes, and tables to drop: each one of a solid class with its first (by the least doc_id), and classes that are similar
-    and that no chain of similar stretches links yet. Firsts are gathered within tasks and joined as a table, so a class of a third of all rows is
-    split."""
+def _similar(near: DataFrame, first: DataFrame, runs: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Of near pairs of classes (p, q in components cp, cq) one that is similar for each pair of components, and whether q is solid. The sets of their
+    first stretches are cut out of the runs and compared as a whole; their intersection is that of any members, except where both lie in one text: such
+    pairs all stay. Two solid classes whose first stretches lie in one document make no pair."""
+    classes = near.select(F.col("p").alias("key")).unionByName(near.select(F.col("q").alias("key"))).distinct()
+    place = (F.shiftright("y.lc", 32) - F.col("run.lc")).cast("int")
+    sets = first.join(classes, "key", "left_semi").alias("first").join(runs.alias("run"), F.col("first.y.node") == F.col("run.node")).where(
+        (place >= 0) & (place <= F.octet_length("part") / 8 - least)
+    ).groupBy("key").agg(
+        F.first("solid").alias("solid"), F.first("y.rep").alias("rep"), F.first("y.node").alias("node"),
+        F.first(F.substring("part", 8 * place + 1, F.lit(8 * least))).alias("part")
+    )
+    side = lambda key: sets.select(F.col("key").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in ("solid", "rep", "node", "part")])
+    both = near.join(side("p"), "p").join(side("q"), "q").where("not (p_solid and q_solid and p_rep = q_rep)")
+    names = ["p", "q", "cp", "cq", "q_solid", "sure"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "p_part", SLICE_BYTES):
+            x, y = (np.sort(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, least), axis=1) for c in ("p_part", "q_part"))
+            n, m, union = (1 + (s[:, 1:] != s[:, :-1]).sum(1) for s in (x, y, np.sort(np.concatenate([x, y], axis=1), axis=1)))
+            sure = batch.column("p_node").to_numpy() != batch.column("q_node").to_numpy()
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(sure)], names)
+            yield out.filter(pa.array(~sure | (n + m - union >= similarity * union - 1e-9)))
+
+    found = both.mapInArrow(compare, "p bigint, q bigint, cp bigint, cq bigint, q_solid boolean, sure boolean")
+    apart = [F.when(~F.col("sure"), F.col(c)).alias(f"own_{c}") for c in ("p", "q")]
+    found = found.groupBy("cp", "cq", *apart).agg(F.min(F.struct("p", "q", "q_solid")).alias("one"))
+    return save(found.select("one.*"), "similar")
+
+
+def _class_pairs(stretches: DataFrame, runs: DataFrame, reps: DataFrame, least: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of stretches of classes, and tables to drop: each one of a solid class with its first (by the least doc_id), and of two components, which
+    are classes that chains of similar stretches link, a pair of similar classes. Firsts are gathered within tasks and joined as a table, so a class of a
+    third of all rows is split."""
     window = F.struct("rep", "node", "lc", "rf")
     rows = save(stretches.where("kind = 1").join(reps.select("node", "rep"), "node").select("key", "solid", window.alias("x")), "grouped")
     first = save(rows.groupBy("key").agg(F.min("x").alias("y"), F.first("solid").alias("solid")), "firsts")
     starred = _turned(rows.where("solid").join(first.select("key", "y"), "key"))
 
     linked = components(stretches.where("kind = 1 and key <> up").select(F.col("key").alias("u"), F.col("up").alias("v")))
+    bits = [f"bits{k}" for k in range(len(BITS))]
     classes = save(
         stretches.where("kind = 2").dropDuplicates(["key"]).join(linked, F.col("key") == F.col("id"), "left").select(
-            "key", "tokens", "held", "size", F.col("lc").alias("bits"), F.col("rf").alias("more_bits"), F.coalesce("component", "key").alias("component")
+            "key", "tokens", "held", "size", *[F.col(c).alias(b) for c, b in zip(BITS, bits, strict=True)], F.coalesce("component", "key").alias("component")
         ),
         "classes"
     )
@@ -411,28 +448,29 @@ def _class_pairs(stretches: DataFrame, reps: DataFrame, similarity: float) -> tu
     mixed = tokens.join(mixed, "token")
     share = alike("x.size", "y.size")
     # a shingle that one of them has and the other hasn't changes a bit at most
-    apart = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    apart = sum(F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits)
     met = mixed.alias("x").join(mixed.alias("y"), F.col("x.token") == F.col("y.token")).where(
-        (F.col("x.component") < F.col("y.component")) & (F.least("x.left", "y.left") >= share)
-        & (F.greatest(apart("bits"), apart("more_bits")) <= F.col("x.held") + F.col("y.held") - 2 * share)
+        (F.col("x.component") < F.col("y.component")) & (F.least("x.left", "y.left") >= share) & (apart <= F.col("x.held") + F.col("y.held") - 2 * share)
     )
-    near = save(met.select(F.col("x.key").alias("p"), F.col("y.key").alias("q")).distinct(), "near")
+    near = save(met.select(*[F.col(c).alias(n) for c, n in (("x.key", "p"), ("y.key", "q"), ("x.component", "cp"), ("y.component", "cq"))]).distinct(), "near")
+    similar = _similar(near, first, runs, least, similarity)
     # members of a class that isn't solid are each similar to the other class's, but not to one another
-    near_both = near.unionByName(near.select(F.col("q").alias("p"), F.col("p").alias("q")))
+    both = similar.select("p", "q").unionByName(similar.where("not q_solid").select(F.col("q").alias("p"), F.col("p").alias("q")))
     members = first.where("solid").select(F.col("key").alias("p"), F.col("y").alias("x")).unionByName(
         rows.where("not solid").select(F.col("key").alias("p"), "x")
     )
-    across = _turned(near_both.join(members, "p").join(first.select(F.col("key").alias("q"), "y"), "q"))
-    return starred.unionByName(across), [rows, first, classes, tokens, near]
+    across = _turned(both.join(members, "p").join(first.select(F.col("key").alias("q"), "y"), "q"))
+    return starred.unionByName(across), [rows, first, classes, tokens, near, similar]
 
 
 def _window_pairs(windows: DataFrame, reps: DataFrame, least: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs of windows, and tables to drop once these are written."""
-    stretches = _stretches(windows.where("key is null").select("node", "lc", "part"), least, similarity)
+    runs = windows.where("key is null").select("node", "lc", "part")
+    stretches = _stretches(runs, least, similarity)
     columns = ("key", "node", "lc", "rf")
     few = windows.where("key is not null").select(*columns).unionByName(stretches.where("kind = 0").select(*columns))
     few = few.repartition("key").sortWithinPartitions(*columns).mapInArrow(_partners, PAIR)
-    classes, scratch = _class_pairs(stretches, reps, similarity)
+    classes, scratch = _class_pairs(stretches, runs, reps, least, similarity)
     return few.unionByName(classes), [stretches, *scratch]
 
 
@@ -533,6 +571,14 @@ def _runs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return runs[:, np.argsort(runs[0], kind="stable")]
 
 
+def _neighbours(i: np.ndarray, k: np.ndarray, n: np.ndarray, far: int) -> tuple[list[int], list[int]]:
+    """Of each of a few runs the nearest one after it and before it that is no farther than `far` in either text, or -1: all pairs of runs at once."""
+    dx, dy = i - (i + n)[:, None], k - (k + n)[:, None]
+    fits = (np.minimum(dx, dy) >= -4) & (np.maximum(dx, dy) <= far) & (i > i[:, None]) & (k > k[:, None])
+    cost = np.where(fits, dx + dy, 2 * far + 1)
+    return tuple(np.where(fits.any(axis), cost.argmin(axis), -1).tolist() for axis in (1, 0))
+
+
 class _Pair:
     """The shingles of two stretches as small numbers, so that sets of them are tables."""
 
@@ -598,27 +644,36 @@ class _Pair:
         far, seeds, used = 8, np.flatnonzero(n >= least // 3), np.zeros(len(i), bool)
         best = None
 
-        by_end = np.argsort(i + n, kind="stable")
-        ends = (i + n)[by_end]
-        every, few = np.arange(len(i)), len(i) <= 256
+        if not len(seeds):
+            return None
+        few = len(i) <= FEW
+        if few:
+            after, before = _neighbours(i, k, n, far)
+        else:
+            by_end = np.argsort(i + n, kind="stable")
+            ends = (i + n)[by_end]
         tried: set[int] = set()
 
+        def next_run(at: int, step: int) -> int:
+            """The nearest run on that side, or -1."""
+            if few:
+                return after[at] if step > 0 else before[at]
+            if step > 0:  # runs are in order of i
+                near = np.arange(*np.searchsorted(i, [i[at] + n[at] - 4, i[at] + n[at] + far + 1]))
+                dx, dy = i[near] - (i[at] + n[at]), k[near] - (k[at] + n[at])
+                further = (i[near] > i[at]) & (k[near] > k[at])
+            else:
+                near = np.sort(by_end[slice(*np.searchsorted(ends, [i[at] - far, i[at] + 5]))])
+                dx, dy = i[at] - (i[near] + n[near]), k[at] - (k[near] + n[near])
+                further = (i[near] < i[at]) & (k[near] < k[at])
+            fits = np.flatnonzero(further & (dx >= -4) & (dx <= far) & (dy >= -4) & (dy <= far))
+            return int(near[fits[np.argmin(dx[fits] + dy[fits])]]) if len(fits) else -1
+
         def follow(at: int, step: int) -> list[int]:
             out = []
-            while True:
-                if step > 0:  # runs are in order of i
-                    near = every if few else every[slice(*np.searchsorted(i, [i[at] + n[at] - 4, i[at] + n[at] + far + 1]))]
-                    dx, dy = i[near] - (i[at] + n[at]), k[near] - (k[at] + n[at])
-                    further = (i[near] > i[at]) & (k[near] > k[at])
-                else:
-                    near = every if few else np.sort(by_end[slice(*np.searchsorted(ends, [i[at] - far, i[at] + 5]))])
-                    dx, dy = i[at] - (i[near] + n[near]), k[at] - (k[near] + n[near])
-                    further = (i[near] < i[at]) & (k[near] < k[at])
-                fits = np.flatnonzero(further & (dx >= -4) & (dx <= far) & (dy >= -4) & (dy <= far))
-                if not len(fits):
-                    return out
-                at = int(near[fits[np.argmin(dx[fits] + dy[fits])]])
+            while (at := next_run(at, step)) >= 0:
                 out.append(at)
+            return out
 
         for seed in seeds[np.argsort(-n[seeds], kind="stable")].tolist():
             if used[seed]:
@@ -640,12 +695,16 @@ def near_passages(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -
     Of each gap only places stay, in both texts, that lie in a stretch with enough shingles of the other's. The longest such stretch is tried at three
     shares, and where none of these passes, chains of equal runs."""
     pair = _Pair(x, y)
-    out, gaps = [], [(0, len(x))]
+    out, gaps, whole_y = [], [(0, len(x))], pair.held(pair.y)
+    # so many of `least` places that lie in stretches of that share of hits, which may overlap, are hits
+    enough = similarity / (2 - similarity) * least - 1e-6
     while gaps:
         a, b = gaps.pop()
         if b - a < least:
             continue
         own = pair.x[a:b]
+        if whole_y[own].sum() < enough:
+            continue
         on, y_on, before = np.ones(b - a, bool), np.ones(len(y), bool), -1
         while before != (before := int(on.sum() + y_on.sum())):
             hit = on & pair.held(pair.y[y_on])[own]

@@ -219,6 +219,40 @@ def test_classes_of_many_near_copies(spark):
     assert len(got) < 80 * 79 / 2, len(got)
 
 
+def test_linked_classes_make_no_more_pairs(spark, monkeypatch):
+    """Similar classes of near copies are linked by a few pairs, not by each with each other one, and all documents still are."""
+    rng, made, turned = random.Random(33), [], passages._turned
+
+    def counted(both):
+        made.append(turned(both).count())
+        return turned(both)
+
+    monkeypatch.setattr(passages, "_turned", counted)
+    passage, rows = words(rng, 90), []
+    for k in range(60):
+        own = list(passage)
+        for _ in range(rng.choice((1, 2))):
+            own[rng.randrange(90)] = f"edit{k}"
+        rows.append((k, " ".join(words(rng, 20) + own + words(rng, 20))))
+    got = {(r[0], r[3]) for r in found(spark, rows)}
+    assert linked(got) == linked({(k, 0) for k in range(1, 60)})
+    assert made[1] < 60, made  # 3442 where all similar classes of different components were paired
+
+
+def test_neighbours_of_runs():
+    rng = np.random.default_rng(34)
+    for _ in range(20):
+        i, k, n = np.sort(rng.integers(0, 60, 20)), rng.integers(0, 60, 20), rng.integers(1, 9, 20)
+        after, before = passages._neighbours(i, k, n, 8)
+        for a in range(20):
+            gaps = {b: (i[b] - i[a] - n[a], k[b] - k[a] - n[a]) for b in range(20) if i[b] > i[a] and k[b] > k[a]}
+            gaps = {b: x + y for b, (x, y) in gaps.items() if -4 <= min(x, y) and max(x, y) <= 8}
+            assert after[a] == min(gaps, key=gaps.get, default=-1)
+            gaps = {b: (i[a] - i[b] - n[b], k[a] - k[b] - n[b]) for b in range(20) if i[b] < i[a] and k[b] < k[a]}
+            gaps = {b: x + y for b, (x, y) in gaps.items() if -4 <= min(x, y) and max(x, y) <= 8}
+            assert before[a] == min(gaps, key=gaps.get, default=-1)
+
+
 def test_miss_probability():
     n, s = passages.FUNCTIONS, 0.8
     assert sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(passages.AGREE)) < 0.002
