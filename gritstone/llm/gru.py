@@ -12,6 +12,10 @@ import numpy as np
 CLASSES, MEMBERS, HIDDEN = 48, 48, 16
 VOCABULARY = CLASSES * MEMBERS
 F32 = np.float32
+#: Rows of logits that are made at a time, so that they stay in a core's cache.
+ROWS = 1024
+#: Sums rows of logits by a product, which is faster than a sum along short rows.
+_ONES, _MEMBER_ONES = np.ones(CLASSES, F32), np.ones(MEMBERS, F32)
 
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,14 +77,15 @@ class Model:
         k = HIDDEN
         gx = self.x[ids]
         out = np.empty((*ids.shape, k), F32)
-        kept = [] if trace else None
+        kept = tuple(np.empty((*ids.shape, n), F32) for n in (k, k, 2 * k, k)) if trace else None
         for t in range(len(ids)):
             h = h * keep[t][:, None]
             a = h @ self.u
             zr = _sigmoid(gx[t, :, : 2 * k] + a[:, : 2 * k])
             n = 2 * _sigmoid(2 * (gx[t, :, 2 * k :] + zr[:, k:] * a[:, 2 * k :])) - 1
             if trace:
-                kept.append((h, a[:, 2 * k :], zr, n))
+                for held, value in zip(kept, (h, a[:, 2 * k :], zr, n), strict=True):
+                    held[t] = value
             h = n + zr[:, :k] * (h - n)
             out[t] = h
         return (out, h, kept) if trace else (out, h)
@@ -89,17 +94,23 @@ class Model:
         """Natural log of the probability of each target (any shape, flattened with its hidden states)."""
         hidden, target = hidden.reshape(-1, HIDDEN), target.ravel()
         cls, member, order, edges = _by_class(target)
-        logits = hidden @ self.c
-        logits += self.cb
-        out = logits[np.arange(len(target)), cls]
-        out -= np.log(np.exp(logits, out=logits).sum(1))
+        out, at = np.empty(len(target), F32), np.arange(len(target))
+        for t in range(0, len(target), ROWS):
+            rows = slice(t, t + ROWS)
+            logits = hidden[rows] @ self.c
+            logits += self.cb
+            out[rows] = logits[at[: len(logits)], cls[rows]]
+            out[rows] -= np.log(np.exp(logits, out=logits) @ _ONES)
+        hidden, member = hidden[order], member[order]
+        inner = np.empty(len(target), F32)
         for k in range(CLASSES):
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
+            rows = slice(edges[k], edges[k + 1])
+            if edges[k] < edges[k + 1]:
                 logits = hidden[rows] @ self.w[k]
                 logits += self.wb[k]
-                own = logits[np.arange(len(rows)), member[rows]]
-                out[rows] += own - np.log(np.exp(logits, out=logits).sum(1))
+                inner[rows] = logits[at[: len(logits)], member[rows]]
+                inner[rows] -= np.log(np.exp(logits, out=logits) @ _MEMBER_ONES)
+        out[order] += inner
         return out
 
 
@@ -130,40 +141,44 @@ class Trainer:
         p = flat @ m.c
         p += m.cb
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(goal)), cls] -= 1
+        p /= (p @ _ONES)[:, None]
+        at = np.arange(len(goal))
+        p[at, cls] -= 1
         d = p @ m.c.T
         self._step("c", flat.T @ p * scale)
         self._step("cb", p.sum(0) * scale)
+        flat, member = flat[order], member[order]
+        inner_d = np.empty_like(flat)
         for c in range(CLASSES):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
+            rows = slice(edges[c], edges[c + 1])
+            if edges[c] < edges[c + 1]:
                 own = flat[rows]
                 p = own @ m.w[c]
                 p += m.wb[c]
                 np.exp(p, out=p)
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(rows)), member[rows]] -= 1
-                d[rows] += p @ m.w[c].T
+                p /= (p @ _MEMBER_ONES)[:, None]
+                p[at[: len(p)], member[rows]] -= 1
+                inner_d[rows] = p @ m.w[c].T
                 self._step("w", own.T @ p * scale, c)
                 self._step("wb", p.sum(0) * scale, c)
+        d[order] += inner_d
         d = d.reshape(out.shape) * scale
+        before, an, zr, n = kept
+        z, r = zr[..., :k], zr[..., k:]
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), an * r * (1 - r)
         back = np.zeros_like(last)
-        gates = np.empty((*ids.shape, 3 * k), F32)
-        gu = np.zeros_like(m.u)
+        gates, inner = np.empty((*ids.shape, 3 * k), F32), np.empty((*ids.shape, 3 * k), F32)
         for t in range(len(ids) - 1, -1, -1):
-            before, an, zr, n = kept[t]
             back = back + d[t]
-            z, r = zr[:, :k], zr[:, k:]
+            dn = back * by_n[t]
             g = gates[t]
-            dn = back * (1 - z) * (1 - n * n)
-            g[:, :k] = back * (before - n) * z * (1 - z)
-            g[:, k : 2 * k] = dn * an * r * (1 - r)
+            np.multiply(back, by_z[t], out=g[:, :k])
+            np.multiply(dn, by_r[t], out=g[:, k : 2 * k])
             g[:, 2 * k :] = dn
-            inner = g.copy()
-            inner[:, 2 * k :] *= r
-            gu += before.T @ inner
-            back = (back * z + inner @ m.u.T) * keep[t][:, None]
+            inner[t, :, : 2 * k] = g[:, : 2 * k]
+            np.multiply(dn, r[t], out=inner[t, :, 2 * k :])
+            back = (back * z[t] + inner[t] @ m.u.T) * keep[t][:, None]
+        gu = before.reshape(-1, k).T @ inner.reshape(-1, 3 * k)
         self._step("u", np.clip(gu, -1, 1))
         order = np.argsort(ids.ravel().astype(np.int16), kind="stable")
         which = ids.ravel()[order]
