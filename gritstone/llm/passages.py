@@ -12,7 +12,8 @@ a window follows from keys and nodes alone, never from how rows lie in tasks.
 The exact way: two sets of similarity s share at least s of either, so one of the rarest shingles of both, as many as may be missing and one more. Of a
 shingle that few nodes have, all nodes are held against each other. Stretches with others among their rarest ones are classes: those with the same
 shared shingles, whatever else they hold, and of the same size, have the same similarity to each other and to any other stretch. A class's members are
-held against its first, and classes against each other where they aren't linked yet, if bits of their shingles don't tell them apart.
+held against its first. Classes that aren't linked yet are held against each other, by bits of their shingles and then by whole sets; of two components
+one similar pair of classes stays. A longer passage that holds no similar stretch of the least length is not looked for in this way.
 """
 
 from __future__ import annotations
@@ -743,8 +744,8 @@ def repeated_passages(docs: DataFrame, size: int = 5, similarity: float = 0.8, l
     Windows of a key that about MEET nodes have are all compared. Stretches of the least length in windows of a key that more nodes have are compared by an
     exact join of their sets of shingles, so that a pair of similar stretches of that length is missed with probability 0.0016 at most, whatever their
     keys, and never where they share a hot one. A passage that a third of the documents share costs a few rows a document: stretches of
-    a class are linked with its first, and of two classes that similar stretches don't link already the first ones are compared. So links between classes that
-    are linked otherwise may have no row of their own.
+    a class are linked with its first, and of two components of classes one similar pair is compared. So links between classes that are linked otherwise may
+    have no row of their own.
     Verification is exact, on the shingles of both stretches. A null text counts as empty; texts of under least_words words have no
     passage. Rows with a null doc_id take no part. Rows with the same doc_id are not compared with each other; where such texts differ, each of them
     is compared. Repeated rows count once. Other columns are not looked at.
