@@ -399,10 +399,9 @@ def _similar(near: DataFrame, first: DataFrame, runs: DataFrame, least: int, sim
     place = (F.shiftright("y.lc", 32) - F.col("run.lc")).cast("int")
     sets = first.join(classes, "key", "left_semi").alias("first").join(runs.alias("run"), F.col("first.y.node") == F.col("run.node")).where(
         (place >= 0) & (place <= F.octet_length("part") / 8 - least)
-    ).groupBy("key").agg(
-        F.first("solid").alias("solid"), F.first("y.rep").alias("rep"), F.first("y.node").alias("node"),
-        F.first(F.substring("part", 8 * place + 1, F.lit(8 * least))).alias("part")
-    )
+    ).select(
+        "key", "solid", "y.rep", "y.node", F.substring("part", 8 * place + 1, F.lit(8 * least)).alias("part")
+    ).groupBy("key").agg(*[F.first(c).alias(c) for c in ("solid", "rep", "node", "part")])  # rows are cut before this sorts them: a run has up to 64 KB
     side = lambda key: sets.select(F.col("key").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in ("solid", "rep", "node", "part")])
     both = near.join(side("p"), "p").join(side("q"), "q").where("not (p_solid and q_solid and p_rep = q_rep)")
     names = ["p", "q", "cp", "cq", "q_solid", "sure"]

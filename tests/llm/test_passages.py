@@ -239,6 +239,26 @@ def test_linked_classes_make_no_more_pairs(spark, monkeypatch):
     assert made[1] < 60, made  # 3442 where all similar classes of different components were paired
 
 
+def test_sets_of_classes_are_cut_out_before_they_are_sorted(spark, monkeypatch):
+    """A long text with many classes is a run of 64 KB: what is sorted for each of its classes is its set alone."""
+    rng, plans, save = random.Random(35), [], passages.save
+
+    def planned(df, name, *more):
+        if name == "similar":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return save(df, name, *more)
+
+    monkeypatch.setattr(passages, "save", planned)
+    passage, rows = words(rng, 90), []
+    for k in range(40):
+        own = list(passage)
+        own[rng.randrange(90)] = f"edit{k}"
+        rows.append((k, " ".join(words(rng, 20) + own + words(rng, 20))))
+    assert found(spark, rows)
+    sums = [line for line in plans[0].splitlines() if "Aggregate [" in line and "p_part" in line]
+    assert sums and not any("substring" in line for line in sums), sums
+
+
 def test_neighbours_of_runs():
     rng = np.random.default_rng(34)
     for _ in range(20):
