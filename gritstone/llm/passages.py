@@ -44,6 +44,8 @@ APART = 4
 AT_ONCE = 64
 #: Runs of a pair of texts up to which all are held against all at once.
 FEW = 512
+#: Places on their way from which on each goes on alone, as steps of all at once have little to do.
+ALONE = 32
 #: Windows whose keys a task counts at a time.
 COUNTED = 1 << 20
 #: The largest filter of keys: 32 MB. Where it fills up, more rows go through to the joins; results stay.
@@ -72,24 +74,22 @@ def _jumped(to: np.ndarray, passed: Callable[[np.ndarray, np.ndarray], np.ndarra
     and never is."""
     none = len(to)
     live = np.flatnonzero(to < none)
-    while len(live):
+    while len(live) > ALONE:
         live = live[passed(to[live], live)]
         to[live] = to[to[live]]
         live = live[to[live] < none]
+    for k in live.tolist():
+        while to[k] < none and passed(to[k], k):
+            to[k] = to[to[k]]
     return to
 
 
-def compact_windows(hashes: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """l, c, r (inclusive, places in hashes) of the nodes, whose subtree has at least so many items, of the Cartesian trees of the texts
-    hashes[bounds[d]:bounds[d + 1]]. Of equal hashes the leftmost is the root.
-
-    Such a node has the least hash of some stretch of that length, and what bounds its subtree is another such node: so only these go through the
-    loop.
-    """
-    n, none = len(hashes), np.zeros(0, np.int64)
-    size = np.diff(bounds)
+def _roots(hashes: np.ndarray, bounds: np.ndarray, least: int) -> np.ndarray:
+    """Places of the texts hashes[bounds[d]:bounds[d + 1]] that have a least hash of some stretch of that length, the others of equal ones too. So their
+    hashes are those of the leftmost ones."""
+    n, size = len(hashes), np.diff(bounds)
     if n < least or not (size >= least).any():
-        return none, none, none
+        return np.zeros(0, np.int64)
     low = _sliding(np.minimum, hashes, least)
     inside = np.zeros(n + 1, np.int64)
     long = size >= least
@@ -97,7 +97,19 @@ def compact_windows(hashes: np.ndarray, bounds: np.ndarray, least: int) -> tuple
     np.add.at(inside, bounds[1:][long] - least + 1, -1)
     low = np.where(np.cumsum(inside)[: len(low)] > 0, low, np.uint64(0))
     pad = np.zeros(least - 1, np.uint64)
-    c = np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, low, pad]), least) == hashes)
+    return np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, low, pad]), least) == hashes)
+
+
+def compact_windows(hashes: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """l, c, r (inclusive, places in hashes) of the nodes, whose subtree has at least so many items, of the Cartesian trees of the texts
+    hashes[bounds[d]:bounds[d + 1]]. Of equal hashes the leftmost is the root.
+
+    Such a node has the least hash of some stretch of that length, and what bounds its subtree is another such node: so only these go through the
+    loop.
+    """
+    c = _roots(hashes, bounds, least)
+    if not len(c):
+        return c, c, c
     doc = np.searchsorted(bounds, c, "right") - 1
     values, at, m = hashes[c], np.arange(len(c)), len(c)
     first, last = np.append(True, doc[1:] != doc[:-1]), np.append(doc[1:] != doc[:-1], True)
@@ -157,7 +169,7 @@ def _counted_keys(texts: DataFrame, size: int, least: int) -> DataFrame:
         for nodes, s, bounds in _texts(batches, size, least):
             for seed in _SEEDS:
                 h = mix(s ^ seed)
-                _, c, _ = compact_windows(h, bounds, least)
+                c = _roots(h, bounds, least)  # a key needs no window
                 held.append((h[c], nodes[np.searchsorted(bounds, c, "right") - 1]))
                 n += len(c)
             if n >= COUNTED:

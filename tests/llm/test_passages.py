@@ -36,6 +36,16 @@ def test_windows_of_many_texts_at_once():
     assert sorted(zip(*passages.compact_windows(h, bounds, 6), strict=True)) == sorted(alone)
 
 
+def test_keys_without_windows():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 30, 50)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    for top in (1 << 60, 40, 4, 2):
+        h = rng.integers(1, top, bounds[-1]).astype(np.uint64)
+        keys = [{(int(h[k]), int(np.searchsorted(bounds, k, "right"))) for k in at} for at in (passages._roots(h, bounds, 6), passages.compact_windows(h, bounds, 6)[1])]
+        assert keys[0] == keys[1] and (top < 1 << 60 or keys[0])
+
+
 def test_longest_stretch():
     rng = np.random.default_rng(1)
     for _ in range(50):
