@@ -44,8 +44,6 @@ APART = 4
 AT_ONCE = 64
 #: Runs of a pair of texts up to which all are held against all at once.
 FEW = 512
-#: Places on their way from which on each goes on alone, as steps of all at once have little to do.
-ALONE = 32
 #: Windows whose keys a task counts at a time.
 COUNTED = 1 << 20
 #: The largest filter of keys: 32 MB. Where it fills up, more rows go through to the joins; results stay.
@@ -74,13 +72,10 @@ def _jumped(to: np.ndarray, passed: Callable[[np.ndarray, np.ndarray], np.ndarra
     and never is."""
     none = len(to)
     live = np.flatnonzero(to < none)
-    while len(live) > ALONE:
+    while len(live):
         live = live[passed(to[live], live)]
         to[live] = to[to[live]]
         live = live[to[live] < none]
-    for k in live.tolist():
-        while to[k] < none and passed(to[k], k):
-            to[k] = to[to[k]]
     return to
 
 
