@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import SLICE_BYTES, bits_of, drop, hash_words, id_bits, in_bits, mix, save, shingles, signed, slices, with_slot
+from .shared import SLICE_BYTES, SPACE, drop, hash_words, id_bits, in_bits, mix, save, shingles, signed, slices, text_bytes, with_slot
 
 #: Hash functions, and how many of them must agree on a pair of stretches: at similarity 0.8 a pair is missed with probability 0.0016.
 FUNCTIONS, AGREE = 6, 2
@@ -48,13 +48,15 @@ FEW = 512
 COUNTED = 1 << 20
 #: The largest filter of keys: 32 MB. Where it fills up, more rows go through to the joins; results stay.
 MOST_BITS = 28
+#: The low bits of a key that say where it is in the largest filter's words. Keys are put in order by them, so a group of keys is one place of a filter.
+PLACE = MOST_BITS - 6
 #: In place of a function: a stretch whose shingles are all equal, which needs no other to agree. A window that spans several is marked by SPANS.
 WHOLE, SPANS = 30, 64
 _SEEDS = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 WINDOW = "key bigint, node bigint, lc bigint, rf bigint, part binary"
 #: The columns of a stretch that hold the bits of a class, which has no place.
 BITS = ("node", "lc", "rf", "up")
-STRETCH = "kind int, key bigint, node bigint, lc bigint, rf bigint, up bigint, solid boolean, tokens array<bigint>, size int, held int"
+STRETCH = "kind int, key bigint, node bigint, lc bigint, rf bigint, up bigint, rep bigint, solid boolean, tokens array<bigint>, size int, held int"
 
 
 def _sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -139,6 +141,17 @@ def _unpacked(lc: np.ndarray, rf: np.ndarray) -> np.ndarray:
     return np.stack([l, np.where(spans, l, c), np.where(spans, r, c), r])
 
 
+def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words a text has, in its place."""
+    for batch in slices(batches):
+        raw, bounds = text_bytes(batch.column("text"))
+        space = np.concatenate([[True], SPACE[raw], [True]])
+        first = space[:-1] & ~space[1:]
+        first[bounds] = ~space[bounds + 1]  # no word crosses from a text to the next
+        words = np.diff(np.searchsorted(np.flatnonzero(first), bounds)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(words)], ["doc_id", "node", "words"])
+
+
 def _texts(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """nodes, shingles and bounds of the texts that are long enough; a task looks at a node once."""
     seen: set[int] = set()
@@ -155,38 +168,96 @@ def _texts(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator
             yield nodes[own], np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
+def _rolled(keys: np.ndarray, by: int = PLACE) -> np.ndarray:
+    """The low bits of the keys first. What is least of many hashes has low topmost bits; these are even."""
+    return keys << np.uint64(64 - by) | keys >> np.uint64(by)
+
+
 def _counted_keys(texts: DataFrame, size: int, least: int) -> DataFrame:
     """key, hot and many of the keys that more than one node has: those whose least and largest nodes differ. How many nodes a key has is told from 64 bits
     of which each node sets one; that decides `hot` and `many` alone. Windows are counted within tasks first."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for nodes, s, bounds in _texts(batches, size, least):
             for seed in _SEEDS:
                 h = mix(s ^ seed)
                 c = _roots(h, bounds, least)  # a key needs no window
-                held.append((h[c], nodes[np.searchsorted(bounds, c, "right") - 1]))
-                n += len(c)
-            if n >= COUNTED:
-                yield _counted(held)
-                held, n = [], 0
-        if n:
-            yield _counted(held)
+                yield h[c], nodes[np.searchsorted(bounds, c, "right") - 1]
 
-    return _shared(texts.mapInArrow(emit, COUNT), "keys")
+    return _shared(texts, emit, "keys")
 
 
-COUNT = "key bigint, node bigint, last bigint, bits bigint"
+def _shared(rows: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], name: str) -> DataFrame:
+    """key, hot and many of the keys that more than one node has, of the keys and nodes that emit() makes of rows. Keys travel in groups, many to a row, of
+    which a partition has about ten."""
+    log_groups = min(PLACE, (8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for keys, nodes in emit(batches):
+            held.append((_rolled(keys), nodes))
+            n += len(keys)
+            if n >= COUNTED:
+                yield _packed(held, log_groups)
+                held, n = [], 0
+        if n:
+            yield _packed(held, log_groups)
 
-def _shared(counted: DataFrame, name: str) -> DataFrame:
-    """key, hot and many of the keys that more than one node has, of rows that _counted() made."""
-    counts = counted.groupBy("key").agg(
-        F.min("node").alias("node"), F.max(F.coalesce("last", "node")).alias("last"),
-        F.bit_or(F.coalesce("bits", F.expr("shiftleft(1L, cast(shiftrightunsigned(node, 58) as int))"))).alias("bits")
-    )
-    n = F.bit_count("bits")
-    return save(counts.where("node <> last").select("key", (n > MEET).alias("hot"), (n > MANY).alias("many")), name)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            groups = batch.column("keys").to_numpy()
+            cut = int(np.searchsorted(groups, groups[-1])) if len(groups) else 0  # the last group may go on in the next batch
+            if n >= COUNTED and cut:
+                yield _met([*held, batch.slice(0, cut)])
+                held, n, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            n += len(text_bytes(batch.column("ones"))[0]) // 16 + len(text_bytes(batch.column("several"))[0]) // 32
+        if held:
+            yield _met(held)
+
+    packed = rows.mapInArrow(count, "keys int, ones binary, several binary").repartition("keys").sortWithinPartitions("keys")
+    return save(packed.mapInArrow(gather, "key bigint, hot boolean, many boolean"), name)
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], log_groups: int) -> pa.RecordBatch:
+    """Rows of the groups of (rolled) keys: keys that one node has, with it; and others, with the least and largest node and their bits."""
+    counted = _counted(held)
+    keys, node = (counted.column(c).to_numpy().view(np.uint64) for c in ("key", "node"))
+    one = counted.column("last").is_null().to_numpy(zero_copy_only=False)
+    last, bits = (counted.column(c).fill_null(0).to_numpy().view(np.uint64) for c in ("last", "bits"))
+    group = (keys >> np.uint64(64 - log_groups)).astype(np.int32)
+    names = np.unique(group)
+    columns = []
+    for own, parts in ((one, (keys, node)), (~one, (keys, node, last, bits))):
+        data = np.stack([x[own] for x in parts], axis=1)
+        ends = np.append(0, np.searchsorted(group[own], names, "right")) * 8 * len(parts)
+        columns.append(pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]))
+    return pa.RecordBatch.from_arrays([pa.array(names), *columns], ["keys", "ones", "several"])
+
+
+def _met(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """key, hot and many of the keys in rows of _packed() that more than one node has."""
+    ones, several = (np.concatenate([text_bytes(x.column(c))[0] for x in held]).view(np.uint64).reshape(-1, n) for c, n in (("ones", 2), ("several", 4)))
+    keys = np.concatenate([ones[:, 0], several[:, 0]])
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = np.append(False, keys[1:] == keys[:-1])[: len(keys)]
+    may = np.flatnonzero(same | np.append(same[1:], False)[: len(keys)] | (order >= len(ones)))
+    keys, at = keys[may], order[may]
+    rows = np.zeros((len(at), 3), np.int64)  # nodes are signed here as in _counted()
+    alone = at < len(ones)
+    node = ones[at[alone], 1]
+    rows[alone] = np.stack([node, node, np.uint64(1) << (node >> np.uint64(58))], axis=1).view(np.int64)
+    rows[~alone] = several[at[~alone] - len(ones), 1:].view(np.int64)
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    if len(start):
+        low, high, bits = np.minimum.reduceat(rows[:, 0], start), np.maximum.reduceat(rows[:, 1], start), np.bitwise_or.reduceat(rows[:, 2], start)
+    else:
+        low = high = bits = np.zeros(0, np.int64)
+    met = low != high
+    n = np.bitwise_count(bits[met].view(np.uint64))
+    return pa.RecordBatch.from_arrays([signed(_rolled(keys[start[met]], 64 - PLACE)), pa.array(n > MEET), pa.array(n > MANY)], ["key", "hot", "many"])
 
 
 def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -203,17 +274,48 @@ def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     )
 
 
-def _filter(keys: DataFrame) -> tuple[np.ndarray, np.uint64]:
-    """Eight bits a key up to MOST_BITS, and the mask of a key's place."""
-    log_bits = min(MOST_BITS, max(16, int(8 * keys.count()).bit_length()))
-    mask = (1 << log_bits) - 1
-    return bits_of(keys.select(F.col("key").bitwiseAND(F.lit(mask)).alias("s")), log_bits), np.uint64(mask)
+def _filters(keys: DataFrame, *columns: str) -> list[tuple[np.ndarray, np.uint64]]:
+    """A filter of the keys, and one of those for which a column holds, for each: the words, and by how much a key's place is too long for them. A key
+    sets three bits of one of 16 to 32 a key, up to MOST_BITS."""
+    counts = keys.agg(F.count(F.lit(1)), *[F.count_if(c) for c in columns]).collect()[0]
+    shifts = [np.uint64(MOST_BITS - min(MOST_BITS, max(16, (16 * n).bit_length()))) for n in counts]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, rows = batch.column("key").to_numpy().view(np.uint64), []
+            for k, shift in enumerate(shifts):
+                own = key[batch.column(columns[k - 1]).to_numpy(zero_copy_only=False)] if k else key
+                if len(own):
+                    at, bits = _place(own, shift)
+                    order = np.argsort(at, kind="stable")
+                    at, bits = at[order], bits[order]
+                    start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                    rows.append((k, at[start].tobytes(), np.bitwise_or.reduceat(bits, start).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["k", "at", "bits"])
+
+    out = [np.zeros(1 << (PLACE - int(shift)), np.uint64) for shift in shifts]
+    for batch in keys.mapInArrow(emit, "k int, at binary, bits binary").toArrow().to_batches():  # a word is in a few rows: keys are in order of their places
+        for k, at, bits in zip(*(batch.column(c).to_pylist() for c in ("k", "at", "bits")), strict=True):
+            out[k][np.frombuffer(at, np.int64)] |= np.frombuffer(bits, np.uint64)
+    return list(zip(out, shifts, strict=True))
+
+
+def _place(keys: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """A key's word in a filter, and its bits there."""
+    one, bit = np.uint64(1), np.uint64(63)
+    at = (keys & np.uint64((1 << PLACE) - 1)) >> shift
+    return at.astype(np.int64), one << (keys >> np.uint64(PLACE) & bit) | one << (keys >> np.uint64(PLACE + 6) & bit) | one << (keys >> np.uint64(PLACE + 12) & bit)
+
+
+def _has(held: tuple[np.ndarray, np.uint64], keys: np.ndarray) -> np.ndarray:
+    at, bits = _place(keys, held[1])
+    return held[0][at] & bits == bits
 
 
 def _windows(texts: DataFrame, keys: DataFrame, size: int, least: int) -> DataFrame:
     """The windows whose keys more than one node has and that aren't hot; and, as `part` of rows without a key, the shingles from lc on of each run of
     stretches of the least length that a window of a hot key holds. The filter says what is hot, for both alike."""
-    (bits, mask), (hot_bits, hot_mask) = _filter(keys), _filter(keys.where("hot"))
+    every, hot_ones = _filters(keys, "hot")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, s, bounds in _texts(batches, size, least):
@@ -222,9 +324,9 @@ def _windows(texts: DataFrame, keys: DataFrame, size: int, least: int) -> DataFr
             for f, seed in enumerate(_SEEDS):
                 h = mix(s ^ seed)
                 l, c, r = compact_windows(h, bounds, least)
-                own = in_bits(bits, h[c] & mask)
+                own = _has(every, h[c])
                 l, c, r = l[own], c[own], r[own]
-                hot = in_bits(hot_bits, h[c] & hot_mask)
+                hot = _has(hot_ones, h[c])
                 np.add.at(cover, np.maximum(l, c - least + 1)[hot], 1)
                 np.add.at(cover, np.minimum(c, r - least + 1)[hot] + 1, -1)
                 l, c, r = l[~hot], c[~hot], r[~hot]
@@ -255,29 +357,41 @@ def _parts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint64), *parts]), np.cumsum([0, *map(len, parts)])
 
 
-def _stretches(rest: DataFrame, least: int, similarity: float) -> DataFrame:
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that link what the edges u, v link: each name but the least of a component, and that one."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y, up = at[: len(u)], at[len(u) :], np.arange(len(names))
+    while ((p := up[x]) != (q := up[y])).any():
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while (up != up[up]).any():
+            up = up[up]
+    own = up != np.arange(len(names))
+    return names[own], names[up[own]]
+
+
+def _stretches(rest: DataFrame, reps: DataFrame, least: int, similarity: float) -> DataFrame:
     """What the exact way looks at, of runs (node, lc, part). Shingles are in one order: those that few nodes have, then others. A stretch's rarest
     ones are so many of the first shared ones that a similar stretch shares one of them, and has it among its own.
 
     kind 0: a shingle (key) that few nodes have, and the place in a text of stretches of which it is a rarest one.
-    kind 1: a stretch with others among its rarest, its class (key), the class (up) of the first of the stretches that follow each other up to it, and
-    whether members of its class are similar (solid).
+    kind 1: a stretch with others among its rarest, the least doc_id of its text (rep), its class (key), and whether members of its class are similar
+    (solid).
     kind 2: a class, the rarest shingles of it that many nodes have (tokens), how many are shared (held), the size of its sets, and as BITS the 256 bits
     of its shared shingles.
+    kind 3: two classes (key, up) that a chain of similar stretches, each the next one of a text, links in the task's texts; a task has as few as link all.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in slices(batches, "part", 8 * COUNTED):
             s, bounds = _parts(batch)
-            if len(s):
-                yield _counted([(s, np.repeat(batch.column("node").to_numpy(), np.diff(bounds)))])
+            yield s, np.repeat(batch.column("node").to_numpy(), np.diff(bounds))
 
-    shared = _shared(rest.mapInArrow(count, COUNT), "shared")
-    filters = [_filter(x) for x in (shared, shared.where("hot"), shared.where("many"))]
+    shared = _shared(rest, own, "shared")
+    filters = _filters(shared, "hot", "many")
     drop(shared)
     zero, one = np.uint64(0), np.uint64(1)
     names = [c.split()[0] for c in STRETCH.split(", ")]
-    kinds = [pa.int32(), *[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.int32()]
+    kinds = [pa.int32(), *[pa.int64()] * 6, pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.int32()]
 
     def batch_of(**columns: pa.Array) -> pa.RecordBatch:
         n = len(columns["key"])
@@ -285,10 +399,11 @@ def _stretches(rest: DataFrame, least: int, similarity: float) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
+        links, n_links = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))], 0
         for batch in slices(batches, "part", SLICE_BYTES // 8):
             s, bounds = _parts(batch)
-            nodes, base = batch.column("node").to_numpy(), batch.column("lc").to_numpy()
-            is_shared, is_hot, is_many = (in_bits(bits, s & mask) for bits, mask in filters)
+            nodes, base, reps_ = (batch.column(c).to_numpy() for c in ("node", "lc", "rep"))
+            is_shared, is_hot, is_many = (_has(held, s) for held in filters)
             level = np.where(is_shared, np.where(is_hot, np.where(is_many, 2, 1), 0), 3).astype(np.uint64)
             value = level << np.uint64(62) | mix(s) >> np.uint64(2)
             per = np.diff(bounds) - least + 1
@@ -330,8 +445,12 @@ def _stretches(rest: DataFrame, least: int, similarity: float) -> DataFrame:
             up = name[np.maximum.accumulate(np.where(goes_on[: len(row)], 0, np.arange(len(row))))] if len(row) else name
             yield batch_of(
                 kind=pa.array(np.ones(len(row), np.int32)), key=signed(name), node=pa.array(nodes[run]), lc=pa.array(start << 32 | start),
-                rf=pa.array((start + least - 1) << 8 | WHOLE), up=signed(up), solid=pa.array(solid)
+                rf=pa.array((start + least - 1) << 8 | WHOLE), rep=pa.array(reps_[run]), solid=pa.array(solid)
             )
+            links.append((name[name != up], up[name != up]))
+            n_links += len(links[-1][0])
+            if n_links >= COUNTED:
+                links, n_links = [_forest(*map(np.concatenate, zip(*links, strict=True)))], 0
 
             _, once = np.unique(name, return_index=True)
             once = np.array([k for k in once.tolist() if int(name[k]) not in told], np.int64)
@@ -347,8 +466,10 @@ def _stretches(rest: DataFrame, least: int, similarity: float) -> DataFrame:
                 kind=pa.array(np.full(len(once), 2, np.int32)), key=signed(name[once]), tokens=tokens, size=pa.array(size[once].astype(np.int32)),
                 held=pa.array(held[once].astype(np.int32)), **bits
             )
+        u, v = _forest(*map(np.concatenate, zip(*links, strict=True)))
+        yield batch_of(kind=pa.array(np.full(len(u), 3, np.int32)), key=signed(u), up=signed(v))
 
-    return save(rest.mapInArrow(emit, STRETCH), "stretches")
+    return save(rest.join(reps.select("node", "rep"), "node").mapInArrow(emit, STRETCH), "stretches")
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,16 +548,16 @@ def _similar(near: DataFrame, first: DataFrame, runs: DataFrame, least: int, sim
     return save(found.select("one.*"), "similar")
 
 
-def _class_pairs(stretches: DataFrame, runs: DataFrame, reps: DataFrame, least: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+def _class_pairs(stretches: DataFrame, runs: DataFrame, least: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs of stretches of classes, and tables to drop: each one of a solid class with its first (by the least doc_id), and of two components, which
     are classes that chains of similar stretches link, a pair of similar classes. Firsts are gathered within tasks and joined as a table, so a class of a
     third of all rows is split."""
     window = F.struct("rep", "node", "lc", "rf")
-    rows = save(stretches.where("kind = 1").join(reps.select("node", "rep"), "node").select("key", "solid", window.alias("x")), "grouped")
+    rows = stretches.where("kind = 1").select("key", "solid", window.alias("x"))
     first = save(rows.groupBy("key").agg(F.min("x").alias("y"), F.first("solid").alias("solid")), "firsts")
     starred = _turned(rows.where("solid").join(first.select("key", "y"), "key"))
 
-    linked = components(stretches.where("kind = 1 and key <> up").select(F.col("key").alias("u"), F.col("up").alias("v")))
+    linked = components(stretches.where("kind = 3").select(F.col("key").alias("u"), F.col("up").alias("v")))
     bits = [f"bits{k}" for k in range(len(BITS))]
     classes = save(
         stretches.where("kind = 2").dropDuplicates(["key"]).join(linked, F.col("key") == F.col("id"), "left").select(
@@ -467,17 +588,17 @@ def _class_pairs(stretches: DataFrame, runs: DataFrame, reps: DataFrame, least:
         rows.where("not solid").select(F.col("key").alias("p"), "x")
     )
     across = _turned(both.join(members, "p").join(first.select(F.col("key").alias("q"), "y"), "q"))
-    return starred.unionByName(across), [rows, first, classes, tokens, near, similar]
+    return starred.unionByName(across), [first, classes, tokens, near, similar]
 
 
 def _window_pairs(windows: DataFrame, reps: DataFrame, least: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs of windows, and tables to drop once these are written."""
     runs = windows.where("key is null").select("node", "lc", "part")
-    stretches = _stretches(runs, least, similarity)
+    stretches = _stretches(runs, reps, least, similarity)
     columns = ("key", "node", "lc", "rf")
     few = windows.where("key is not null").select(*columns).unionByName(stretches.where("kind = 0").select(*columns))
     few = few.repartition("key").sortWithinPartitions(*columns).mapInArrow(_partners, PAIR)
-    classes, scratch = _class_pairs(stretches, runs, reps, least, similarity)
+    classes, scratch = _class_pairs(stretches, runs, least, similarity)
     return few.unionByName(classes), [stretches, *scratch]
 
 
@@ -662,9 +783,7 @@ class _Pair:
         tried: set[int] = set()
 
         def next_run(at: int, step: int) -> int:
-            """The nearest run on that side, or -1."""
-            if few:
-                return after[at] if step > 0 else before[at]
+            """The nearest run on that side of many, or -1."""
             if step > 0:  # runs are in order of i
                 near = np.arange(*np.searchsorted(i, [i[at] + n[at] - 4, i[at] + n[at] + far + 1]))
                 dx, dy = i[near] - (i[at] + n[at]), k[near] - (k[at] + n[at])
@@ -678,6 +797,11 @@ class _Pair:
 
         def follow(at: int, step: int) -> list[int]:
             out = []
+            if few:
+                to = after if step > 0 else before
+                while (at := to[at]) >= 0:
+                    out.append(at)
+                return out
             while (at := next_run(at, step)) >= 0:
                 out.append(at)
             return out
@@ -713,12 +837,12 @@ def near_passages(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -
         if whole_y[own].sum() < enough:
             continue
         on, y_on, before = np.ones(b - a, bool), np.ones(len(y), bool), -1
-        while before != (before := int(on.sum() + y_on.sum())):
+        while before != (before := (n := int(on.sum())) + (m := int(y_on.sum()))) and n >= least and m >= least:
             hit = on & pair.held(pair.y[y_on])[own]
             on = on & _dense(hit, similarity)
             y_hit = y_on & pair.held(own[on])[pair.y]
             y_on = y_on & _dense(y_hit, similarity)
-        if on.sum() < least or y_on.sum() < least:
+        if n < least or m < least:
             continue
         for share in (similarity, (1 + similarity) / 2, 1.0):
             i, j = _longest(hit, share)
@@ -760,7 +884,7 @@ def repeated_passages(docs: DataFrame, size: int = 5, similarity: float = 0.8, l
     texts = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).where("doc_id is not null").withColumn("node", F.xxhash64("text"))
-    named = save(texts.select("doc_id", "node", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words")), "named")
+    named = save(texts.select("doc_id", "node", "text").mapInArrow(_with_words, "doc_id bigint, node bigint, words int"), "named")
     reps = save(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "representatives")
     copies = named.where(F.col("words") >= least_words).join(
         reps.where("rep <> last").select("node", "rep"), "node"

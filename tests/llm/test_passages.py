@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from gritstone.llm import passages
 
@@ -360,3 +361,40 @@ def test_windows_of_a_repeated_line_are_one():
     l, c, r = np.arange(8) * 10, np.arange(8) * 10 + 3, np.arange(8) * 10 + 9
     out = list(zip(*(x.tolist() for x in passages._spanned(keys, doc, l, c, r)), strict=True))
     assert out == [(5, 0, 60, 63, 69, False), (7, 0, 0, 3, 59, True), (7, 1, 70, 73, 79, False)]
+
+
+def test_shared_keys_as_counted_one_by_one(spark):
+    """Keys of several nodes, of either sign, in tasks or across them; they travel many to a row, and a filter lets few others through."""
+    rng = np.random.default_rng(36)
+    keys = rng.integers(1, 1 << 63, 20_000).astype(np.uint64)
+    held = {int(k): rng.integers(-(1 << 63), 1 << 63, n) for k, n in zip(keys, rng.choice((1, 1, 1, 2, 3, 40, 300), len(keys)), strict=True)}
+    rows = [(k - (1 << 64) if k >> 63 else k, int(n)) for k, own in held.items() for n in own]
+    rows = spark.createDataFrame(rows + rows[:1000], "k bigint, node bigint").repartition(5)
+
+    def emit(batches):
+        for batch in batches:
+            yield batch.column("k").to_numpy().view(np.uint64), batch.column("node").to_numpy()
+
+    shared = passages._shared(rows, emit, "test")
+    bits = {k: len({int(n) >> 58 for n in own}) for k, own in held.items() if len({*own.tolist()}) > 1}
+    assert {(r.key % (1 << 64), r.hot, r.many) for r in shared.collect()} == {(k, n > passages.MEET, n > passages.MANY) for k, n in bits.items()}
+    every, hot = passages._filters(shared, "hot")
+    assert passages._has(every, np.array([*bits], np.uint64)).all() and passages._has(hot, np.array([k for k, n in bits.items() if n > passages.MEET], np.uint64)).all()
+    others = rng.integers(1, 1 << 63, 100_000).astype(np.uint64)
+    assert passages._has(every, others).mean() < 0.03  # up to an eighth where a key set one bit of 8 to 16
+
+
+def test_forest_links_what_its_edges_link():
+    rng = np.random.default_rng(37)
+    for n in (0, 1, 30, 300):
+        u, v = rng.integers(0, 300, (2, n)).astype(np.uint64)
+        p, q = passages._forest(u, v)
+        assert len({*p.tolist()}) == len(p) and linked(zip(p.tolist(), q.tolist(), strict=True)) == {k: x for k, x in linked(
+            zip(u.tolist(), v.tolist(), strict=True)).items() if k in {*p.tolist(), *q.tolist()}}
+        assert len(p) == len({*u.tolist(), *v.tolist()}) - len({*linked(zip(u.tolist(), v.tolist(), strict=True)).values()})
+
+
+def test_words_are_counted_in_their_texts():
+    texts = ["", "a b", "c", "  x\ty \x0b", "é\x85ü z", None, "z", " "]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(range(8)), pa.array(texts)], ["doc_id", "node", "text"])
+    assert [n for b in passages._with_words(iter([batch])) for n in b.column("words").to_pylist()] == [0, 2, 1, 2, 2, 0, 1, 0]
